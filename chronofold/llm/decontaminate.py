@@ -88,11 +88,11 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     contaminated if they cover a word and at least one in ``one_in`` words.
     """
     found = stored(window_hits(docs, bench, id_col, text_col, item_col), "window-hits")
-    hits = found.where("pos >= 0").groupBy("id", "content").agg(
+    hits = found.where("pos >= 0").groupBy(F.col("id").alias("hit_id"), F.col("content").alias("hit_content")).agg(
         F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("spans"), F.collect_set("item").alias("items")
     )
     rows = found.where("pos < 0").select("id", "content", "n_words")
-    out = rows.join(hits, rows["id"].eqNullSafe(hits["id"]) & (rows["content"] == hits["content"]), "left").drop(hits["id"]).drop(hits["content"])
+    out = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("content") == F.col("hit_content")), "left")
     n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long")
     out = out.select(
         F.col("id").alias(id_col), F.col("n_words").cast("long"), n_hit.alias("n_hit"),

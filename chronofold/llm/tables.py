@@ -88,12 +88,12 @@ def gapless_rank(
     keys = [*group, "__b"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     inner = W.partitionBy(*keys).orderBy(*order)
     placed = dealt.withColumn("__r", F.row_number().over(inner) - 1)
-    match = [placed[k].eqNullSafe(offsets[k]) for k in keys]
+    match = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     out = placed.join(offsets, match, "inner")
-    return out.select(*[placed[c] for c in df.columns], (F.col("__r") + F.col("__o")).cast("long").alias(name))
+    return out.select(*df.columns, (F.col("__r") + F.col("__o")).cast("long").alias(name))
 
 
 def connected_components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
