@@ -9,10 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import decontaminate, exact, shards, simhash, toxicity
+from chronofold.llm import decontaminate, exact, licences, packing, paragraphs, shards, simhash, substrings, tokens, toxicity
 from chronofold.llm.tables import documents
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _held_out(c):
     return F.crc32(c.cast("string").cast("binary")) % 3 == toxicity.HELD_OUT
 
@@ -42,7 +49,33 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_shards, op5_decontaminate, op7_toxicity, op8_simhash)}
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(documents(spark, sf_dir), licences.known_licences(spark))
+
+
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.dedup_paragraphs(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_substrings, op3_shards, op4_packing, op5_decontaminate, op6_token_counts, op7_toxicity, op8_simhash, op9_licences, op10_paragraphs,
+    )
+}
 
 _NORM = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 

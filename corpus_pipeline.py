@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import decontaminate, exact, simhash, toxicity
+from chronofold.llm import decontaminate, exact, packing, simhash, toxicity
+from chronofold.llm.queries import vocabulary
 from chronofold.llm.tables import documents, stored
 
 
@@ -28,11 +29,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the remaining documents' pieces in sequences of 2048 tokens."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
     ("near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
 #: SQL cannot express the trained model, the fingerprints or the tokenizer; tests hold the pipeline against brute force.
