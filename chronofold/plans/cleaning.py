@@ -16,8 +16,13 @@ def clean_audit(spark, sf_dir):
     return cleaned(spark, sf_dir).select("source_id", "row_id", F.round("snr", 6).alias("snr"), "hard_reject", "standard_keep", "final_keep", "reject_reason")
 
 
+def rounded(c, digits=6):
+    """Rounded, with no negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
 def _rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[rounded(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def clean_summary(spark, sf_dir):

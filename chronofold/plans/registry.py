@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronofold.plans import cleaning
+from chronofold.plans import cleaning, periods
 
-_PARTS = [cleaning]
+_PARTS = [cleaning, periods]
 
 
 def queries() -> dict:

@@ -37,9 +37,11 @@ def light_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as sparse curves: one source per user, one band per event type."""
     x = table(spark, sf_dir, "events")
+    day = F.datediff("ts", F.lit("1970-01-01")).cast("double") * F.lit(86400e6)  # independent of the session's time zone
+    micros = day + (F.hour("ts") * 3600 + F.minute("ts") * 60).cast("double") * F.lit(1e6) + F.expr("extract(SECOND FROM ts)").cast("double") * F.lit(1e6)
     return x.select(
         F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("row_id"),
-        (F.unix_micros("ts").cast("double") / F.lit(86400e6) + F.lit(40587.0)).alias("mjd"),
+        (micros / F.lit(86400e6) + F.lit(40587.0)).alias("mjd"),
         F.col("event_type").alias("band"), F.col("value").alias("ujy"),
     )
 
