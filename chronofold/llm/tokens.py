@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from chronofold.llm.tables import stored, text_of
 
 LIMIT = 512
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xac\xae-\xff]*\Z")
 #: The vocabulary's pre-token pattern with its classes spelt out for the characters of ``_PLAIN``.
 _L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -65,30 +66,39 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         block = TaskContext.get().partitionId() << 32
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            sizes = texts.cast(pa.binary()) if texts.type != pa.binary() else texts
-            sizes = np.array([len(x) for x in sizes.to_pylist()], np.int64)
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
             start = 0
             while start < b.num_rows:
                 total, end = 0, start
                 while end < b.num_rows and (end == start or total + sizes[end] <= BLOCK_BYTES):
                     total, end = total + sizes[end], end + 1
-                words, whole, found = Counter(), [], []
-                for t in texts.slice(start, end - start).to_pylist():
+                first: dict[str, int] = {}  # the block's pre-tokens in order of appearance; documents keep only numbers
+                whole, found = [], []
+                for k in range(start, end):
+                    t = texts[k].as_py()
                     if _PLAIN.match(t) and not added.search(t):
                         c = Counter(_PIECE.findall(t))
-                        found.append((list(c), np.fromiter(c.values(), np.uint32, len(c))))
-                        words.update(c)
+                        at = np.fromiter((first.setdefault(w, len(first)) for w in c), np.int32, len(c))
+                        found.append((at, np.fromiter(c.values(), np.uint32, len(c))))
                         whole.append(0)
                     else:
-                        found.append(([], np.zeros(0, np.uint32)))
+                        found.append((np.zeros(0, np.int32), np.zeros(0, np.uint32)))
                         whole.append(len(lib.encode(t, add_special_tokens=False).ids))
-                tokens = sorted(words, key=lambda w: (-words[w], w))
-                number = {w: i for i, w in enumerate(tokens)}
+                total_of = np.zeros(len(first), np.int64)
+                for at, n in found:
+                    total_of[at] += n
+                tokens = list(first)
+                first.clear()
+                order = sorted(range(len(tokens)), key=lambda i: (-total_of[i], tokens[i]))  # noqa: B023
+                number = np.empty(len(tokens), np.int64)
+                number[order] = np.arange(len(tokens))
+                tokens = [tokens[i] for i in order]
                 freqs = []
-                for ws, n in found:
-                    at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
+                for at, n in found:
+                    at = number[at]
                     by = np.argsort(at)
                     freqs.append(_packed(np.concatenate([np.diff(at[by], prepend=0), n[by]])))
+                del found
                 d, k = end - start, len(tokens)
                 none = lambda kind, n: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
