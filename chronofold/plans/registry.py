@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronofold.plans import cleaning, periods
+from chronofold.plans import cleaning, periods, recommendation
 
-_PARTS = [cleaning, periods]
+_PARTS = [cleaning, periods, recommendation]
 
 
 def queries() -> dict:

@@ -80,3 +80,56 @@ LC_SQL = """lc AS (
 
 EV_SQL = """ev AS (SELECT CAST(user_id AS VARCHAR) AS source_id, event_id AS row_id,
   CAST(epoch_us(ts) AS DOUBLE) / CAST(86400e6 AS DOUBLE) + CAST(40587 AS DOUBLE) AS mjd, event_type AS band, value AS ujy FROM events)"""
+
+
+def _mod(a: int, m: int, b: int = 0):
+    return (F.col("k") * a + b) % m
+
+
+def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Period-search summaries, three series (o, c, combined) a part, made by modular arithmetic so that every rule's branches occur."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("size"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("i")) for i, n in enumerate(("o", "c", "combined"))])).alias("s"))
+    p = p.where("(part * 5 + s.i) % 11 <> 0").withColumn("k", F.col("part") * 3 + F.col("s.i"))
+    base = (F.col("part") * 37 % 400).cast("double") / 10.0 + 0.7
+    factor = F.element_at(F.array(*[F.lit(x) for x in (1.0, 1.0, 1.01, 2.0, 0.5, 1.37)]), (_mod(7, 6) + 1).cast("int"))
+    period = F.when(_mod(1, 13) == 0, 1.0).when(_mod(1, 13) == 1, 0.5).otherwise(base * factor)
+    part = lambda a, m, scale, b=0: _mod(a, m, b).cast("double") / scale
+    return p.select(
+        F.col("part").cast("string").alias("source_id"), F.col("s.name").alias("series"), period.alias("recommended_series_period_days"), period.alias("raw_ls_best_period_days"),
+        part(17, 100, 125.0).alias("raw_ls_best_power"), F.when(_mod(3, 5) == 0, None).otherwise(part(11, 40, 1000.0)).alias("raw_ls_fap"), F.when(_mod(1, 17) == 0, None).otherwise(part(13, 90, 10.0)).alias("ls_peak_snr"),
+        F.when(_mod(1, 19) == 0, None).otherwise(part(19, 80, 10.0)).alias("raw_fold_amp_snr"), (part(23, 60, 100.0) - 0.1).alias("raw_fold_scatter_reduction"),
+        (part(29, 90, 100.0) + 1.0).alias("best_to_second_power_ratio"), F.when(_mod(1, 23) == 0, None).otherwise(part(31, 120, 100.0) + 1.0).alias("best_to_fourth_power_ratio"),
+        (_mod(5, 7) == 0).alias("top4_flat"), part(41, 100, 100.0).alias("raw_alias_score"), (_mod(41, 100) >= 50).alias("raw_is_alias_suspect"), (_mod(43, 9) == 0).alias("alias_correction_applied"),
+        (_mod(47, 8) == 0).alias("two_p_supported"), (_mod(53, 10) == 0).alias("mh_2p_supported"), (_mod(59, 6) == 0).alias("top_peak_2p_present"), F.when(_mod(1, 3) == 0, period * 2).otherwise(None).alias("bls_best_period_days"),
+        F.col("size").cast("double").alias("catalogue_period_days"),
+    )
+
+
+SERIES_SQL = """ser AS (SELECT CAST(part AS VARCHAR) AS source_id, series, P AS recommended_series_period_days, P AS raw_ls_best_period_days, CAST(k * 17 % 100 AS DOUBLE) / 125 AS raw_ls_best_power,
+  CASE WHEN k * 3 % 5 <> 0 THEN CAST(k * 11 % 40 AS DOUBLE) / 1000 END AS raw_ls_fap, CASE WHEN k % 17 <> 0 THEN CAST(k * 13 % 90 AS DOUBLE) / 10 END AS ls_peak_snr,
+  CASE WHEN k % 19 <> 0 THEN CAST(k * 19 % 80 AS DOUBLE) / 10 END AS raw_fold_amp_snr, CAST(k * 23 % 60 AS DOUBLE) / 100 - CAST(0.1 AS DOUBLE) AS raw_fold_scatter_reduction,
+  CAST(k * 29 % 90 AS DOUBLE) / 100 + 1 AS best_to_second_power_ratio, CASE WHEN k % 23 <> 0 THEN CAST(k * 31 % 120 AS DOUBLE) / 100 + 1 END AS best_to_fourth_power_ratio,
+  k * 5 % 7 = 0 AS top4_flat, CAST(k * 41 % 100 AS DOUBLE) / 100 AS raw_alias_score, k * 41 % 100 >= 50 AS raw_is_alias_suspect, k * 43 % 9 = 0 AS alias_correction_applied,
+  k * 47 % 8 = 0 AS two_p_supported, k * 53 % 10 = 0 AS mh_2p_supported, k * 59 % 6 = 0 AS top_peak_2p_present, CASE WHEN k % 3 = 0 THEN P * 2 END AS bls_best_period_days, CAST(size AS DOUBLE) AS catalogue_period_days
+  FROM (SELECT *, CASE WHEN k % 13 = 0 THEN CAST(1 AS DOUBLE) WHEN k % 13 = 1 THEN CAST(0.5 AS DOUBLE) ELSE
+        (CAST(part * 37 % 400 AS DOUBLE) / 10 + CAST(0.7 AS DOUBLE)) * CAST([1.0, 1.0, 1.01, 2.0, 0.5, 1.37][k * 7 % 6 + 1] AS DOUBLE) END AS P
+        FROM (SELECT p_partkey AS part, p_size AS size, i, ['o', 'c', 'combined'][i + 1] AS series, p_partkey * 3 + i AS k FROM part, (VALUES (0), (1), (2)) t(i) WHERE (p_partkey * 5 + i) % 11 <> 0)))"""
+
+
+def peak_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked peaks, four a series and three series a supplier, with the supplier's sky position."""
+    s = fields(spark, sf_dir)
+    s = s.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("i")) for i, n in enumerate(("o", "c", "combined"))])).alias("s"))
+    s = s.select("*", F.explode(F.array(*[F.lit(r) for r in (1, 2, 3, 4)])).alias("rank")).withColumn("k", F.col("source_id").cast("long") * 12 + F.col("s.i") * 4 + F.col("rank"))
+    periods = F.array(*[F.lit(x) for x in (7.321, 1.0, 14.642, 3.3, 12.7, 25.4, 5.1, 2.0, 29.6, 9.9)])
+    period = F.element_at(periods, (_mod(7, 10) + 1).cast("int")) * (1.0 + (_mod(3, 5) - 2).cast("double") * 0.002)
+    return s.select(
+        "source_id", "ra_deg", "dec_deg", F.col("s.name").alias("series"), "rank", period.alias("period_days"), (F.lit(0.9) / F.col("rank")).alias("power"), (F.lit(1.0) / F.col("rank")).alias("power_fraction_of_best"),
+        (_mod(11, 100).cast("double") / 100.0).alias("raw_sampling_window_power"),
+    )
+
+
+PEAK_SQL = """pk AS (SELECT source_id, ra_deg, CAST(0 AS DOUBLE) AS dec_deg, series, rank, CAST([7.321, 1.0, 14.642, 3.3, 12.7, 25.4, 5.1, 2.0, 29.6, 9.9][k * 7 % 10 + 1] AS DOUBLE) * (1 + CAST(k * 3 % 5 - 2 AS DOUBLE) * CAST(0.002 AS DOUBLE)) AS period_days,
+  CAST(0.9 AS DOUBLE) / rank AS power, CAST(1 AS DOUBLE) / rank AS power_fraction_of_best, CAST(k * 11 % 100 AS DOUBLE) / 100 AS raw_sampling_window_power
+  FROM (SELECT CAST(s_suppkey AS VARCHAR) AS source_id, CAST(n_regionkey * 10 AS DOUBLE) AS ra_deg, ['o', 'c', 'combined'][i + 1] AS series, r AS rank, s_suppkey * 12 + i * 4 + r AS k
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey, (VALUES (0), (1), (2)) t(i), (VALUES (1), (2), (3), (4)) u(r)))"""
