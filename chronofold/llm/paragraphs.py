@@ -38,6 +38,7 @@ LEAST_WORDS = 20
 #: Different lines of one band that one task compares at most, on average, from each of two chunks.
 CHUNK = 512
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+_MIX = 0x9E3779B97F4A7C15
 _RNG = np.random.default_rng(20240301)
 _A = (_RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
@@ -54,11 +55,39 @@ def shingles(words: list[str]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(starts, ends)], np.uint64))
 
 
-def bands(sh: np.ndarray) -> list[int]:
-    """One 64-bit key for each band."""
-    x = sh ^ (sh >> np.uint64(31))
-    least = np.array([(((x * a + b) ^ ((x * a + b) >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min() for a, b in zip(_A, _B)], np.uint64)
-    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+class _Hashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def bands(lines: list[list[str]], known: _Hashes) -> np.ndarray:
+    """(line, band) keys of many lines at once: minima of multiply-add hashes over all their shingles' word hashes."""
+    size = np.array([len(w) for w in lines])
+    h = np.fromiter((known[w] for ws in lines for w in ws), np.uint64, int(size.sum()))
+    if len(known) > 500_000:
+        known.clear()
+    shingle = h[: len(h) - SHINGLE + 1].copy()
+    for j in range(1, SHINGLE):
+        shingle = (shingle ^ (shingle >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : len(h) - SHINGLE + 1 + j]
+    shingle ^= shingle >> np.uint64(31)
+    shingle *= np.uint64(0x94D049BB133111EB)
+    first = np.cumsum(size) - size
+    inside = np.ones(len(shingle), bool)  # shingles that run over a line's end do not count
+    for j in range(1, SHINGLE):
+        at = first[1:] - j
+        inside[at[at < len(inside)]] = False
+    x = shingle[inside]
+    starts = np.cumsum(size - SHINGLE + 1) - (size - SHINGLE + 1)
+    keys = np.empty((len(lines), BANDS), np.uint64)
+    for i in range(BANDS):
+        k = np.full(len(lines), i + 1, np.uint64)
+        for r in range(ROWS):
+            k = (k ^ (k >> np.uint64(31))) * np.uint64(_MIX) + np.minimum.reduceat(x * _A[i * ROWS + r] + _B[i * ROWS + r], starts)
+        keys[:, i] = k
+    return keys.view(np.int64)
 
 
 def _key(words: list[str]) -> int:
@@ -68,26 +97,38 @@ def _key(words: list[str]) -> int:
 def _lines(batches):
     """(line, doc, text, start, end, bands) of each paragraph; bands only once for equal lines of a batch."""
     names = ["line", "doc", "text", "start", "end", "bands"]
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+    known = _Hashes()
     for b in batches:
         seen: set[int] = set()
-        cols = [[] for _ in names]
+        cols, fresh, total = [[] for _ in names[:5]], [], 0
+
+        def rows(cols=cols, fresh=fresh):
+            at = np.zeros(len(cols[0]) + 1, np.int32)
+            at[1:] = np.cumsum([w is not None for w in fresh]) * BANDS
+            some = [w for w in fresh if w is not None]
+            keys = bands(some, known).ravel() if some else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys), mask=pa.array([w is None for w in fresh]))
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], lists], names)
+
         for doc, text, t in zip(*(c.to_pylist() for c in b.columns)):
             at = 0
             for ln in t.split("\n"):
-                size = len(ln.encode())
+                size = len(ln) if ln.isascii() else len(ln.encode())
                 words = ln.lower().split()
                 if len(words) >= LEAST_WORDS:
                     k = _key(words)
-                    new = k not in seen
-                    seen.add(k)
-                    for c, v in zip(cols, (k, doc, text, at, at + size, bands(shingles(words)) if new else None)):
+                    for c, v in zip(cols, (k, doc, text, at, at + size)):
                         c.append(v)
+                    fresh.append(None if k in seen else words)
+                    seen.add(k)
+                    total += len(words)
                 at += size + 1
-            if len(cols[0]) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-                cols = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            if total >= 400_000:
+                yield rows()
+                for c in (*cols, fresh):
+                    c.clear()
+                total = 0
+        yield rows()
 
 
 def _sentences(batches):
