@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronofold.plans import cleaning, periods, recommendation
+from chronofold.plans import cleaning, morphology, periods, recommendation
 
-_PARTS = [cleaning, periods, recommendation]
+_PARTS = [cleaning, periods, recommendation, morphology]
 
 
 def queries() -> dict:
