@@ -107,7 +107,7 @@ def _lines(batches):
             at[1:] = np.cumsum([w is not None for w in fresh]) * BANDS
             some = [w for w in fresh if w is not None]
             keys = bands(some, known).ravel() if some else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys), mask=pa.array([w is None for w in fresh]))
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys), mask=pa.array([w is None for w in fresh], pa.bool_()))
             return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], lists], names)
 
         for doc, text, t in zip(*(c.to_pylist() for c in b.columns)):
