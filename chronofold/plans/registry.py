@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronofold.plans import cleaning, morphology, periods, recommendation
+from chronofold.plans import classification, cleaning, morphology, periods, recommendation, spaces
 
-_PARTS = [cleaning, periods, recommendation, morphology]
+_PARTS = [cleaning, periods, recommendation, morphology, classification, spaces]
 
 
 def queries() -> dict:

@@ -133,3 +133,52 @@ PEAK_SQL = """pk AS (SELECT source_id, ra_deg, CAST(0 AS DOUBLE) AS dec_deg, ser
   CAST(0.9 AS DOUBLE) / rank AS power, CAST(1 AS DOUBLE) / rank AS power_fraction_of_best, CAST(k * 11 % 100 AS DOUBLE) / 100 AS raw_sampling_window_power
   FROM (SELECT CAST(s_suppkey AS VARCHAR) AS source_id, CAST(n_regionkey * 10 AS DOUBLE) AS ra_deg, ['o', 'c', 'combined'][i + 1] AS series, r AS rank, s_suppkey * 12 + i * 4 + r AS k
         FROM supplier JOIN nation ON s_nationkey = n_nationkey, (VALUES (0), (1), (2)) t(i), (VALUES (1), (2), (3), (4)) u(r)))"""
+
+
+#: Name: (a, m, scale, offset); the value of part k is (k * a % m) / scale + offset.
+FEATURE_SPECS = {
+    "profile_chi2": (7, 60, 1.5, 0.0), "profile_snr": (11, 40, 2.0, 0.0), "phase_coverage": (13, 100, 100.0, 0.0), "coherent_dimming_score": (17, 100, 100.0, 0.0), "wave_model_score": (19, 80, 100.0, 0.0),
+    "ls_peak_ratio": (23, 80, 1.0, 0.0), "flare_event_count": (5, 6, 1.0, 0.0), "validated_flare_median_significance": (29, 120, 10.0, 0.0), "validated_flare_independent_nights": (3, 5, 1.0, 0.0),
+    "validated_flare_cross_filter_fraction": (31, 10, 10.0, 0.0), "validated_flare_multi_point_fraction": (37, 11, 10.0, 0.0), "flare_leave_one_event_out_persistent": (1, 2, 1.0, 0.0), "flare_asymmetry": (41, 100, 100.0, 0.0),
+    "irregular_variability_score": (43, 100, 100.0, 0.0), "evolution_raw_score": (47, 150, 100.0, 0.0), "scatter_over_error": (53, 70, 10.0, 0.5), "dip_point_quality_fraction": (59, 50, 100.0, 0.5), "dip_dominance": (61, 30, 10.0, 0.5),
+    "flare_primary_validation_pass": (1, 3, 2.0, 0.0), "flare_point_fraction": (67, 30, 300.0, 0.0), "median_quoted_error": (71, 40, 100.0, 0.01), "robust_amplitude_mag": (73, 100, 100.0, 0.05), "mirror_symmetry": (79, 30, 100.0, 0.71),
+    "profile_peak_count": (1, 4, 1.0, 0.0), "dip_significance": (83, 120, 10.0, 0.0), "dip_duty_cycle": (89, 40, 100.0, 0.0), "dip_supporting_cycles": (97, 7, 1.0, 0.0), "dip_cycle_support_fraction": (101, 100, 100.0, 0.0),
+    "dip_supporting_time_sections": (103, 5, 1.0, 0.0), "dip_independent_nights": (107, 6, 1.0, 0.0), "secondary_dip_depth_norm": (109, 100, 100.0, 0.0), "secondary_dip_phase_separation": (113, 50, 100.0, 0.0), "dip_depth_norm": (127, 80, 100.0, 0.2),
+    "strongest_flare_sigma": (131, 150, 10.0, 0.0), "dimming_event_count": (3, 4, 1.0, 0.0), "strongest_dimming_sigma": (137, 150, 10.0, 0.0), "temporal_coherence_score": (139, 100, 100.0, 0.0), "out_of_distribution_score": (149, 130, 100.0, 0.0),
+    "phase_time_section_dependence": (151, 40, 100.0, 0.0), "dip_single_section_fraction": (157, 100, 100.0, 0.0), "phase_coverage_near_dip": (163, 60, 100.0, 0.4), "phase_coverage_outside_dip": (167, 80, 100.0, 0.2),
+    "flare_duty_fraction": (173, 20, 2000.0, 0.0), "single_point_flare_event_count": (1, 5, 2.0, 0.0), "flare_dominance": (179, 30, 10.0, 0.5), "flare_duty_cycle": (181, 60, 100.0, 0.0), "out_of_flare_variation": (191, 70, 100.0, 0.0),
+    "minimum_section_correlation": (193, 200, 100.0, -1.0), "wave_dimming_score_margin": (197, 60, 100.0, -0.3), "section_median_range_sigma": (199, 60, 10.0, 0.0), "same_direction_excursion_groups": (1, 4, 1.0, 0.0),
+    "dip_cycle_contrast_scatter": (211, 80, 100.0, 0.0), "maximum_section_distance": (223, 90, 100.0, 0.0), "sections_with_shape": (1, 5, 1.0, 0.0), "dimming_point_fraction": (227, 100, 1000.0, 0.0),
+}
+
+
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of morphology features a part, by modular arithmetic, so that the rules' branches occur."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
+    period = F.when(F.col("k") % 9 == 0, None).when(F.col("k") % 14 == 1, 1.0).otherwise(F.col("size").cast("double") + 0.37)
+    cols = [(_mod(a, m).cast("double") / float(s) + float(o)).alias(n) for n, (a, m, s, o) in FEATURE_SPECS.items()]
+    return p.select(F.col("k").cast("string").alias("source_id"), F.concat(F.lit("d"), F.col("k") % 3).alias("dataset"), period.alias("recommended_period_days"), (F.col("k") % 6 == 0).alias("filter_disagreement"), *cols)
+
+
+FEATURE_SQL = "fr AS (SELECT CAST(p_partkey AS VARCHAR) AS source_id, 'd' || (p_partkey % 3) AS dataset, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 14 = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(p_size AS DOUBLE) + CAST(0.37 AS DOUBLE) END AS recommended_period_days, p_partkey % 6 = 0 AS filter_disagreement, " + ", ".join(
+    f"CAST(p_partkey * {a} % {m} AS DOUBLE) / CAST({s} AS DOUBLE) + CAST({o} AS DOUBLE) AS {n}" for n, (a, m, s, o) in FEATURE_SPECS.items()
+) + " FROM part)"
+
+
+def catalogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classified catalogue, one row a part, with families, tags and reasons by modular arithmetic."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
+    pick = lambda names, a: F.element_at(F.array(*[F.lit(n) for n in names]), (_mod(a, len(names)) + 1).cast("int"))
+    return p.select(
+        F.col("k").cast("string").alias("source_id"), pick(("d0", "d1"), 1).alias("dataset"), pick(("transit", "wavelike", "unknown", "noisy", "flaring"), 3).alias("final_primary_tag"),
+        pick(("", "alias_period", "multi_bump;symmetric", "symmetric", "alias_period;asymmetric;alias_period", "poor_photometry", ""), 5).alias("final_secondary_tags"), pick(("", "low_confidence", "low_confidence;gappy_phase_coverage"), 7).alias("review_reasons"),
+        pick(("routine", "review", "exotic_candidate", "review"), 11).alias("final_interest_status"), (_mod(13, 100).cast("double") / 100.0).alias("confidence"), (_mod(17, 100).cast("double") / 100.0).alias("interest_confidence"),
+        F.when(_mod(1, 8) == 0, None).otherwise(F.col("size").cast("double")).alias("recommended_period_days"), _mod(19, 60).cast("double").alias("profile_chi2"), (_mod(7, 3) != 0).alias("needs_review"), pick(("", "complex_occultation"), 1).alias("interest_reasons"),
+    )
+
+
+CATALOGUE_SQL = """cat AS (SELECT CAST(k AS VARCHAR) AS source_id, ['d0', 'd1'][k % 2 + 1] AS dataset, ['transit', 'wavelike', 'unknown', 'noisy', 'flaring'][k * 3 % 5 + 1] AS final_primary_tag,
+  ['', 'alias_period', 'multi_bump;symmetric', 'symmetric', 'alias_period;asymmetric;alias_period', 'poor_photometry', ''][k * 5 % 7 + 1] AS final_secondary_tags, ['', 'low_confidence', 'low_confidence;gappy_phase_coverage'][k * 7 % 3 + 1] AS review_reasons,
+  ['routine', 'review', 'exotic_candidate', 'review'][k * 11 % 4 + 1] AS final_interest_status, CAST(k * 13 % 100 AS DOUBLE) / 100 AS confidence, CAST(k * 17 % 100 AS DOUBLE) / 100 AS interest_confidence,
+  CASE WHEN k % 8 <> 0 THEN CAST(p_size AS DOUBLE) END AS recommended_period_days, CAST(k * 19 % 60 AS DOUBLE) AS profile_chi2, k * 7 % 3 <> 0 AS needs_review, ['', 'complex_occultation'][k % 2 + 1] AS interest_reasons
+  FROM (SELECT p_partkey AS k, p_size FROM part))"""
