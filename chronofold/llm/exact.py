@@ -21,8 +21,15 @@ from chronofold.llm.tables import SPACES, discard, stored, text_of, without
 PREFIX_CHARS = 64
 
 
-def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).count().where("count > 1").select(*keys)
+def _shared(rows: DataFrame) -> DataFrame:
+    """(bytes, prefix) of the groups that both steps leave with two rows.
+
+    Rows are summed to one per length and prefix before anything is dealt by
+    length alone, so neither a common length nor a group of copies is a hot key.
+    """
+    counts = rows.groupBy("bytes", "prefix").count()
+    lengths = counts.groupBy("bytes").agg(F.sum("count").alias("n")).where("n > 1").select("bytes")
+    return counts.join(lengths, "bytes", "left_semi").where("count > 1").select("bytes", "prefix")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
@@ -43,8 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *([F.sha2(norm, 256).alias("sha")] if digest_all else [F.lit(None).cast("string").alias("sha"), norm.alias("norm")]),
     )
     narrow = stored(sketch.drop("norm"), "exact-sketch") if digest_all else sketch
-    by_length = narrow.join(_shared(narrow, ["bytes"]), "bytes", "left_semi")
-    shared = _shared(by_length, ["bytes", "prefix"])
+    shared = _shared(narrow)
     if digest_all:
         rows, survivors = narrow, narrow.join(shared, ["bytes", "prefix"], "left_semi")
     else:
