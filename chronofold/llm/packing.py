@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import gapless_rank, stored, text_of
+from chronofold.llm.tables import gapless_rank, give_back, stored, text_of
 
 CAPACITY, END_ID = 2048, 0
 #: Runs that may be broadcast (five numbers each).
@@ -43,7 +43,7 @@ class WordTokenizer:
     added token's string in them, go to the library whole.
     """
 
-    def __init__(self, path: str, size: int = 400_000):
+    def __init__(self, path: str, size: int = 200_000):
         from tokenizers import Tokenizer
 
         self.lib, self.size, self.known = Tokenizer.from_file(path), size, {}
@@ -105,6 +105,8 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     [part.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["id", "piece", "start", "length", "crc"],
                 )
+        del tok
+        give_back()
 
     fields = [T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "crc")]]
     return rows.mapInArrow(go, T.StructType([rows.schema["id"], *fields]))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import connected_components, discard, stored, text_of, without
+from chronofold.llm.tables import connected_components, discard, give_back, stored, text_of, without
 
 SHINGLE, MOST_BITS = 4, 4
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -74,8 +74,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def go(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            parts = (b.column(1).slice(i, 256).to_pylist() for i in range(0, b.num_rows, 256))
+            fps = np.array([fingerprint(t, shingle) for part in parts for t in part], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+        give_back()
 
     return rows.mapInArrow(go, schema)
 

@@ -51,6 +51,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system; workers live on for later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_of(df: DataFrame, text_col: str = "text") -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import stored, text_of
+from chronofold.llm.tables import give_back, stored, text_of
 
 BUCKETS, FACTORS = 1 << 20, 8
 #: Labelled rows that training reads at most; a document's terms are at most its words times four.
@@ -116,12 +116,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     rows = rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != HELD_OUT)
     rows = stored(rows.orderBy(F.xxhash64("id"), "id").limit(most), "toxic-labels")
-    texts = docs.join(F.broadcast(rows), docs[id_col] == rows["id"]).select("id", "y", text_of(docs, text_col).alias("text"))
+    plain = docs.select(docs[id_col].alias("__id"), text_of(docs, text_col).alias("text"))
+    texts = plain.join(F.broadcast(rows), F.col("__id") == F.col("id")).select("id", "y", "text")
 
     def go(batches):
         for b in batches:
-            terms = [terms_of(t).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(terms, pa.binary())], ["id", "y", "terms"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                terms = [terms_of(t).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array(terms, pa.binary())], ["id", "y", "terms"])
+        give_back()
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("terms", T.BinaryType())])
     got = stored(texts.mapInArrow(go, schema), "toxic-terms").orderBy(F.xxhash64("id"), "id", "terms").limit(most).toArrow()
@@ -131,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 class _Scorer:
     """Scores texts; remembers which slots a word has, for at most ``size`` words."""
 
-    def __init__(self, machine: Machine, size: int = 300_000):
+    def __init__(self, machine: Machine, size: int = 150_000):
         self.machine, self.size, self.known = machine, size, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
@@ -149,6 +153,10 @@ class _Scorer:
             rows.append(np.fromiter(sorted(found), np.int64, len(found)))
         return self.machine.score(rows)
 
+    def column(self, texts: pa.Array) -> np.ndarray:
+        parts = [self(texts.slice(i, 256).to_pylist()) for i in range(0, len(texts), 256)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
 
 def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, score, predicted."""
@@ -158,8 +166,10 @@ def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
     def go(batches):
         scorer = _Scorer(shared.value)
         for b in batches:
-            s = scorer(b.column(1).to_pylist())
+            s = scorer.column(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
+        del scorer
+        give_back()
 
     return rows.mapInArrow(go, T.StructType([rows.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
@@ -172,7 +182,9 @@ def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", thresh
     def go(batches):
         scorer = _Scorer(shared.value)
         for b in batches:
-            s = scorer(b.column(at).to_pylist())
+            s = scorer.column(b.column(at))
             yield b.filter(pa.array(s < threshold))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(go, docs.schema)
