@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import stored, text_of
+from chronofold.llm.tables import give_back, stored, text_of
 
 LIMIT = 512
 BLOCK_BYTES = 16 << 20
@@ -111,6 +111,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                         [pa.array(np.full(m, block)), none(ids.type, m), none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), pa.array(np.arange(i, i + m, dtype=np.int32)), pa.array(part, pa.string())], names
                     )
                 block, start = block + 1, end
+                del tokens, number, order, freqs, first
+            give_back()
 
     table = stored(rows.mapInArrow(cut, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])), "pretokens")
 
