@@ -67,7 +67,7 @@ class PeriodConfig:
     weight_field: float = 0.50
     weight_window: float = 0.35
     fap_threshold: float = 0.01
-    nonvar_fap: float = 0.01
+    nonvar_fap: float = 0.05
     peak_snr: float = 3.0
     fold_snr: float = 3.0
     strong_ratio2: float = 1.5

@@ -51,6 +51,7 @@ def families(scored: DataFrame, cfg: MorphologyConfig = MorphologyConfig()) -> D
     """
     v, t = _reader(scored), cfg.threshold
     period, dim = F.col("recommended_period_days"), F.col("score_transit")
+    disagree = F.coalesce("filter_disagreement", F.lit(False)) if "filter_disagreement" in scored.columns else F.lit(False)
     has = F.coalesce(period > 0, F.lit(False))
     flags: dict[str, Column] = {
         "alias_like": F.coalesce(F.least(*[F.abs(period - a) / a for a in (0.5, 2.0 / 3.0, 1.0, 2.0)]) < t("alias_relative_tolerance"), F.lit(False)),
@@ -101,7 +102,7 @@ def families(scored: DataFrame, cfg: MorphologyConfig = MorphologyConfig()) -> D
     eclipse = (v("secondary_dip_depth_norm") >= t("secondary_eclipse_fraction") * F.greatest(v("dip_depth_norm"), F.lit(1e-9))) & (F.abs(v("secondary_dip_phase_separation") - 0.5) <= t("eclipse_phase_tolerance"))
     single_flare = (v("flare_event_count") == 1) & (v("validated_flare_well_sampled_event_count") >= 1) & ~f("flaring")
     tag_rules = [
-        (f("alias_like"), "alias_period"), (f("poor"), "poor_photometry"), (~has, "missing_recommended_period"), (F.coalesce("filter_disagreement", F.lit(False)), "filter_disagreement"), (f("seasonal"), "seasonal_phase_coupling"),
+        (f("alias_like"), "alias_period"), (f("poor"), "poor_photometry"), (~has, "missing_recommended_period"), (disagree, "filter_disagreement"), (f("seasonal"), "seasonal_phase_coupling"),
         (f("gappy"), "gappy_phase_coverage"), (f("driven"), "poor_point_driven"), (f("single_section"), "single_section_dimming"), (v("single_point_flare_event_count") >= 1, "single_point_bright_excursions"), (single_flare, "single_flare_candidate"),
         (f("ambiguous"), "transit_wave_ambiguous"), (on("poor"), "low_snr_photometry"), (on("transit", v("dip_duty_cycle", 1.0) <= 0.16), "narrow_eclipse"), (on("transit", v("dip_duty_cycle", 1.0) > 0.16), "broad_occultation"),
         (on("transit", v("dip_duty_cycle", 1.0) > 0.16), "dust_occultation_like"), (on("transit", v("mirror_symmetry") < 0.98), "asymmetric_occultation"), (on("transit", f("double_dip")), "double_dip"), (on("transit", f("double_dip")), "complex_occultation"),
@@ -124,7 +125,7 @@ def families(scored: DataFrame, cfg: MorphologyConfig = MorphologyConfig()) -> D
     conf = F.when(~has & F.col("primary_tag").isin("transit", "wavelike"), F.least(conf, F.lit(0.4))).otherwise(conf)
     d = d.withColumn("confidence", conf)
     review_rules = [
-        (f("alias_like"), "period_on_one_day_alias"), (f("poor"), "median_error_above_limit"), (~has, "missing_recommended_period"), (F.coalesce("filter_disagreement", F.lit(False)), "significant_filters_disagree"), (f("seasonal"), "transit_rejected_seasonal"),
+        (f("alias_like"), "period_on_one_day_alias"), (f("poor"), "median_error_above_limit"), (~has, "missing_recommended_period"), (disagree, "significant_filters_disagree"), (f("seasonal"), "transit_rejected_seasonal"),
         (f("gappy"), "gappy_phase_coverage"), (f("driven"), "poor_point_driven"), (f("single_section"), "single_section_dimming"), (v("single_point_flare_event_count") >= 1, "single_point_bright_excursions"), (single_flare, "single_flare_candidate"),
         (f("ambiguous"), "transit_wave_ambiguous"), (on("dimming"), "dimming_without_repeatability"), (on("unresolved"), "unresolved_morphology"), (F.col("confidence") < t("low_confidence"), "low_confidence"), (v("out_of_distribution_score") > 1, "out_of_distribution"),
         (f("alias_like"), "alias_or_harmonic"),

@@ -101,7 +101,7 @@ adopted AS (SELECT repl.*, coalesce(pk.period_days, p1) AS p FROM repl LEFT JOIN
 EVIDENCE_SQL = SERIES_SQL + """,
 ev0 AS (SELECT *, coalesce(best_to_second_power_ratio >= 1.5, false) OR coalesce(best_to_fourth_power_ratio >= 1.8, false) AS dominant, coalesce(raw_ls_fap <= 0.01, false) AS f,
         coalesce(ls_peak_snr >= 3, false) AS p, coalesce(raw_fold_amp_snr >= 3, false) AS d FROM ser),
-ev1 AS (SELECT *, (f AND (dominant OR d OR p)) OR (dominant AND (d OR p)) OR (p AND d) AS significant, coalesce(best_to_fourth_power_ratio <= 1.2, false) AND NOT f AND NOT p AND NOT d AS likely_nonvar FROM ev0),
+ev1 AS (SELECT *, (f AND (dominant OR d OR p)) OR (dominant AND (d OR p)) OR (p AND d) AS significant, coalesce(best_to_fourth_power_ratio <= 1.2, false) AND NOT coalesce(raw_ls_fap <= 0.05, false) AND NOT p AND NOT d AS likely_nonvar FROM ev0),
 ev AS (SELECT *, CASE WHEN significant THEN CAST(3 AS DOUBLE) ELSE 0 END + CASE WHEN dominant THEN 1 ELSE 0 END + coalesce(greatest(0, least(2, (best_to_second_power_ratio - 1) / CAST(0.5 AS DOUBLE))), 0)
    + coalesce(greatest(0, least(2, (best_to_fourth_power_ratio - 1) / CAST(0.8 AS DOUBLE))), 0) + coalesce(least(ls_peak_snr / 6, 1.5), 0) + coalesce(least(raw_fold_amp_snr / 6, 1.5), 0)
    + CASE WHEN raw_fold_scatter_reduction > 0 THEN least(raw_fold_scatter_reduction * 3, 1) ELSE 0 END + CASE WHEN f THEN CAST(0.5 AS DOUBLE) ELSE 0 END - CASE WHEN raw_is_alias_suspect THEN CAST(0.75 AS DOUBLE) ELSE 0 END
