@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-"))
@@ -17,13 +17,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id that each node of ``nodes`` (id) reaches over ``links`` (a, b)."""
-    both = _cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _cut(nodes.select("id", F.col("id").alias("component")))
+    both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut_lineage(nodes.select("id", F.col("id").alias("component")))
     for _ in range(most_rounds):
         lower = both.join(label, F.col("b") == F.col("id")).groupBy(F.col("a").alias("n")).agg(F.min("component").alias("c"))
         step = label.join(lower, F.col("id") == F.col("n"), "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"))
         jump = step.select(F.col("id").alias("j"), F.col("component").alias("jc"))
-        new = _cut(step.join(jump, F.col("component") == F.col("j"), "left").select("id", F.least("component", F.coalesce("jc", "component")).alias("component")))
+        new = cut_lineage(step.join(jump, F.col("component") == F.col("j"), "left").select("id", F.least("component", F.coalesce("jc", "component")).alias("component")))
         moved = new.select("id", F.col("component").alias("x")).join(label, "id").where("x <> component").isEmpty()
         label = new
         if moved:
