@@ -16,6 +16,7 @@ in them are counted by the library itself, whole, in the first pass.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 
@@ -40,9 +41,16 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N
 def _library(path: str):
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(path)
-    added = re.compile("|".join(re.escape(t.content) for t in lib.get_added_tokens_decoder().values()) or r"(?!)")
-    return lib, added
+    return Tokenizer.from_file(path)
+
+
+def _added(path: str) -> re.Pattern:
+    """The strings of the vocabulary's added tokens; read without building the vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        head = f.read(1 << 20)
+    at = head.index('"added_tokens"')
+    tokens, _ = json.JSONDecoder().raw_decode(head, head.index("[", at))
+    return re.compile("|".join(re.escape(t["content"]) for t in tokens) or r"(?!)")
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -62,7 +70,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     kinds = [T.LongType(), id_field.dataType, T.LongType(), T.LongType(), T.BinaryType(), T.IntegerType(), T.StringType()]
 
     def cut(batches):
-        lib, added = _library(vocabulary)
+        lib, added = None, _added(vocabulary)  # the library itself is only loaded for texts that need it
         block = TaskContext.get().partitionId() << 32
         for b in batches:
             ids, texts = b.column(0), b.column(1)
@@ -83,21 +91,24 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                         whole.append(0)
                     else:
                         found.append((np.zeros(0, np.int32), np.zeros(0, np.uint32)))
+                        lib = lib or _library(vocabulary)
                         whole.append(len(lib.encode(t, add_special_tokens=False).ids))
                 total_of = np.zeros(len(first), np.int64)
                 for at, n in found:
                     total_of[at] += n
                 tokens = list(first)
                 first.clear()
-                order = sorted(range(len(tokens)), key=lambda i: (-total_of[i], tokens[i]))  # noqa: B023
+                order = np.array(sorted(range(len(tokens)), key=tokens.__getitem__), np.int64)
+                order = order[np.argsort(-total_of[order], kind="stable")] if len(order) else order
                 number = np.empty(len(tokens), np.int64)
                 number[order] = np.arange(len(tokens))
-                tokens = [tokens[i] for i in order]
+                tokens = [tokens[i] for i in order.tolist()]
                 freqs = []
-                for at, n in found:
+                for k, (at, n) in enumerate(found):
                     at = number[at]
                     by = np.argsort(at)
                     freqs.append(_packed(np.concatenate([np.diff(at[by], prepend=0), n[by]])))
+                    found[k] = None
                 del found
                 d, k = end - start, len(tokens)
                 none = lambda kind, n: pa.nulls(n, kind)
@@ -117,7 +128,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     table = stored(rows.mapInArrow(cut, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])), "pretokens")
 
     def count(batches):
-        lib, _ = _library(vocabulary)
+        lib = _library(vocabulary)
         last, pieces = None, 0
         for b in batches:
             tokens = b.column(0).dictionary_encode()
@@ -136,6 +147,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(
                 [pa.array([blocks[p[0]] for p in parts], pa.int64()), pa.array([_packed(np.concatenate([numbers[p], per[p]])) for p in parts], pa.binary())], ["b", "pieces"]
             )
+        del lib
+        give_back()
 
     tokens = table.where("token is not null").select("token", "block", "number").repartition("token").sortWithinPartitions("token")
     pieces = tokens.mapInArrow(count, "b long, pieces binary")
