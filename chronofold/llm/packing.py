@@ -16,16 +16,16 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections import defaultdict
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import gapless_rank, give_back, stored, text_of
+from chronofold.llm.tables import gapless_rank, give_back, small_batches, stored, text_of
 
 CAPACITY, END_ID = 2048, 0
 #: Runs that may be broadcast (five numbers each).
@@ -35,58 +35,51 @@ _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xac\xae-\xff]*\Z")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
 
 
+class _Ids(dict):
+    """Ids of pre-tokens as bytes, encoded when first asked for; emptied when ``size`` is reached."""
+
+    def __init__(self, lib, size: int):
+        self.whole, self.tokenize, self.size = lib.encode, lib.model.tokenize, size
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.size:
+            self.clear()
+        # ASCII stands for itself in the model's alphabet; other bytes go through the library's own mapping.
+        ids = [t.id for t in self.tokenize(word)] if word.isascii() else self.whole(word, add_special_tokens=False).ids
+        raw = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return raw
+
+
 class WordTokenizer:
     """Ids of texts under a vocabulary that lower-cases, drops white space and marks word ends.
 
-    Pre-tokens are encoded once while they stay in a cache of about ``size`` words and
+    Pre-tokens are encoded once while they stay in a cache of ``size`` words and
     their ids are strung together as bytes. Texts outside ``_PLAIN``, or with an
     added token's string in them, go to the library whole.
     """
 
-    def __init__(self, path: str, size: int = 200_000):
+    def __init__(self, path: str, size: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.lib, self.size, self.known = Tokenizer.from_file(path), size, {}
-        vocab = self.lib.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()) or r"(?!)")
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                raw, starts = ids.astype("<u4").tobytes(), [0, *ends[:-1].tolist()]
-                self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts, ends.tolist()))
-            else:
-                for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.lib = Tokenizer.from_file(path)
+        self.known = _Ids(self.lib, size)
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = []
-        words = []
+        out = []
         for t in texts:
-            plain = _PLAIN.match(t) and not self.added.search(t)
-            words.append(_PIECE.findall(t.lower()) if plain else None)
-        missing = {w for ws in words if ws for w in ws if w not in self.known}
-        if len(missing) + len(self.known) > self.size:
-            self.known.clear()
-            missing = {w for ws in words if ws for w in ws}
-        self._learn(sorted(missing))
-        known = self.known
-        for t, ws in zip(texts, words):
-            if ws is None:
-                out.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            if _PLAIN.match(t) and not any(a in t for a in self.added):
+                out.append(b"".join(map(self.known.__getitem__, _PIECE.findall(t.lower()))))
             else:
-                out.append(b"".join(map(known.__getitem__, ws)))
+                ids = self.lib.encode(t, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, crc) of every document's pieces."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
 
     def go(batches):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import connected_components, discard, give_back, stored, text_of, without
+from chronofold.llm.tables import connected_components, discard, give_back, small_batches, stored, text_of, without
 
 SHINGLE, MOST_BITS = 4, 4
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -69,6 +69,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())])
 

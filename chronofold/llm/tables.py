@@ -65,6 +65,20 @@ def give_back() -> None:
         trim(0)
 
 
+BATCH_ROWS = "1024"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in small Arrow batches, unless the session has a size of its own.
+
+    The default counts rows of any width; ten thousand documents a batch hold
+    tens of MB in several copies on both sides of the pipe.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def text_of(df: DataFrame, text_col: str = "text") -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
@@ -85,20 +99,18 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 
 
-def gapless_rank(
-    df: DataFrame, group: list[str], order: list[str], name: str, spread: list[str], rows_per_bucket: int = 20_000
-) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, spread: list[str], rows_per_bucket: int = 1_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, whatever a group's size.
 
-    A window over the whole group would put it in one task. Rows of a group are
-    dealt by a hash of ``spread`` over as many buckets as the largest group
-    needs; only the bucket counts are summed up in order, and each row takes its
-    bucket's offset plus its place in the bucket. ``df`` should be a stored table
-    since it is read twice.
+    A window over a whole group would put it in one task. Rows of a group are
+    dealt by a hash of ``spread`` over a number of buckets in proportion to the
+    group's size; only the bucket counts are summed up in order, and each row takes
+    its bucket's offset plus its place in the bucket. ``df`` should be a stored
+    table since it is read three times.
     """
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    buckets = max(1, -(-largest // rows_per_bucket))
-    dealt = df.withColumn("__b", F.pmod(F.xxhash64(*spread), F.lit(buckets)))
+    sizes = stored(df.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.ceil(F.count(F.lit(1)) / rows_per_bucket).alias("__m")), "group-sizes")
+    own = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    dealt = df.join(sizes, own).select(*df.columns, F.pmod(F.xxhash64(*spread), F.col("__m")).alias("__b"))
     keys = [*group, "__b"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)

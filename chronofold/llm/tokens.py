@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import give_back, stored, text_of
+from chronofold.llm.tables import give_back, small_batches, stored, text_of
 
 LIMIT = 512
 BLOCK_BYTES = 16 << 20
@@ -44,13 +44,26 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-def _added(path: str) -> re.Pattern:
+def _added(path: str) -> list[str]:
     """The strings of the vocabulary's added tokens; read without building the vocabulary."""
     with open(path, encoding="utf-8") as f:
         head = f.read(1 << 20)
     at = head.index('"added_tokens"')
     tokens, _ = json.JSONDecoder().raw_decode(head, head.index("[", at))
-    return re.compile("|".join(re.escape(t["content"]) for t in tokens) or r"(?!)")
+    return [t["content"] for t in tokens]
+
+
+def _blocks(batches):
+    """(ids, texts) of whole batches joined up to about ``BLOCK_BYTES``."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.column(1).nbytes
+        if total >= BLOCK_BYTES:
+            yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
+            held, total = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -64,6 +77,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, for a byte-level vocabulary file of the tokenizers library."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     id_field = rows.schema["id"]
     names = ["block", "id", "n_bytes", "whole", "freq", "number", "token"]
@@ -72,19 +86,18 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def cut(batches):
         lib, added = None, _added(vocabulary)  # the library itself is only loaded for texts that need it
         block = TaskContext.get().partitionId() << 32
-        for b in batches:
-            ids, texts = b.column(0), b.column(1)
+        for ids, texts in _blocks(batches):
             sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
             start = 0
-            while start < b.num_rows:
+            while start < len(ids):
                 total, end = 0, start
-                while end < b.num_rows and (end == start or total + sizes[end] <= BLOCK_BYTES):
+                while end < len(ids) and (end == start or total + sizes[end] <= BLOCK_BYTES):
                     total, end = total + sizes[end], end + 1
                 first: dict[str, int] = {}  # the block's pre-tokens in order of appearance; documents keep only numbers
                 whole, found = [], []
                 for k in range(start, end):
                     t = texts[k].as_py()
-                    if _PLAIN.match(t) and not added.search(t):
+                    if _PLAIN.match(t) and not any(a in t for a in added):
                         c = Counter(_PIECE.findall(t))
                         at = np.fromiter((first.setdefault(w, len(first)) for w in c), np.int32, len(c))
                         found.append((at, np.fromiter(c.values(), np.uint32, len(c))))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import give_back, stored, text_of
+from chronofold.llm.tables import give_back, small_batches, stored, text_of
 
 BUCKETS, FACTORS = 1 << 20, 8
 #: Labelled rows that training reads at most; a document's terms are at most its words times four.
@@ -160,6 +160,7 @@ class _Scorer:
 
 def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, score, predicted."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias(id_col), text_of(docs, text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most MOST_TERMS * (FACTORS + 2) numbers
 
@@ -176,6 +177,7 @@ def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns unchanged."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text_col)
 
