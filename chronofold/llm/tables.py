@@ -65,6 +65,14 @@ def give_back() -> None:
         trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 BATCH_ROWS = "1024"
 
 

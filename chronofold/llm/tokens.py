@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import give_back, small_batches, stored, text_of
+from chronofold.llm.tables import give_back, release, small_batches, stored, text_of
 
 LIMIT = 512
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Counted pre-tokens that a task holds before it writes a row a block.
+FLUSH_ROWS = 1 << 18
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xac\xae-\xff]*\Z")
 #: The vocabulary's pre-token pattern with its classes spelt out for the characters of ``_PLAIN``.
 _L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -84,6 +86,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     kinds = [T.LongType(), id_field.dataType, T.LongType(), T.LongType(), T.BinaryType(), T.IntegerType(), T.StringType()]
 
     def cut(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # so that give_back reaches it
         lib, added = None, _added(vocabulary)  # the library itself is only loaded for texts that need it
         block = TaskContext.get().partitionId() << 32
         for ids, texts in _blocks(batches):
@@ -141,8 +144,22 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     table = stored(rows.mapInArrow(cut, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])), "pretokens")
 
     def count(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         lib = _library(vocabulary)
-        last, pieces = None, 0
+        last, pieces, held, size = None, 0, [], 0
+
+        def flush():
+            """One row a block for what has been counted: its pre-tokens' numbers and pieces."""
+            nonlocal size
+            blocks, numbers, per = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            size = 0
+            by = np.argsort(blocks, kind="stable")
+            parts = np.split(by, np.flatnonzero(np.diff(blocks[by])) + 1) if len(by) else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([blocks[p[0]] for p in parts], pa.int64()), pa.array([_packed(np.concatenate([numbers[p], per[p]])) for p in parts], pa.binary())], ["b", "pieces"]
+            )
+
         for b in batches:
             tokens = b.column(0).dictionary_encode()
             distinct = tokens.dictionary.to_pylist()
@@ -153,18 +170,19 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             per = np.array([many[t] for t in distinct], np.int64)[tokens.indices.to_numpy()]
             last = b.column(0)[b.num_rows - 1].as_py() if b.num_rows else last
             pieces = many.get(last, pieces)
-            blocks, numbers = b.column(1).to_numpy(), b.column(2).to_numpy()
-            by = np.argsort(blocks, kind="stable")
-            cuts = np.flatnonzero(np.diff(blocks[by])) + 1
-            parts = np.split(by, cuts) if len(by) else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([blocks[p[0]] for p in parts], pa.int64()), pa.array([_packed(np.concatenate([numbers[p], per[p]])) for p in parts], pa.binary())], ["b", "pieces"]
-            )
+            held.append((b.column(1).to_numpy(), b.column(2).to_numpy(), per))
+            size += len(per)
+            if size >= FLUSH_ROWS:
+                yield flush()
+        if held:
+            yield flush()
         del lib
         give_back()
 
     tokens = table.where("token is not null").select("token", "block", "number").repartition("token").sortWithinPartitions("token")
-    pieces = tokens.mapInArrow(count, "b long, pieces binary")
+    pieces = stored(tokens.mapInArrow(count, "b long, pieces binary"), "pieces")
+    del tokens
+    release(docs.sparkSession)
     freq = table.where("token is null").select("block", "id", "n_bytes", "whole", "freq")
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
