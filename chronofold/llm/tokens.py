@@ -3,7 +3,8 @@
 One pass cuts the texts into pre-tokens, block by block, and stores two kinds of
 rows: the block's distinct pre-tokens, numbered, and each document's pre-token
 frequencies as numbers and counts. The pre-tokens are then dealt by their text,
-so that equal ones of all blocks meet; each distinct one is encoded once and its
+so that equal ones of all blocks meet (a block sends one compressed row to each
+part); each distinct one is encoded once and its
 number of pieces goes back to every block that has it. There the pieces are
 joined to the frequencies and summed. No ids are kept anywhere. A pre-token has
 one row a block however often it occurs, so frequent words are no hot keys, and
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -31,7 +33,9 @@ from pyspark.sql import types as T
 from chronofold.llm.tables import give_back, release, small_batches, stored, text_of
 
 LIMIT = 512
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Parts that pre-tokens are dealt to by hash, for each shuffle partition.
+PARTS = 4
 #: Counted pre-tokens that a task holds before it writes a row a block.
 FLUSH_ROWS = 1 << 18
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xac\xae-\xff]*\Z")
@@ -82,8 +86,9 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     id_field = rows.schema["id"]
-    names = ["block", "id", "n_bytes", "whole", "freq", "number", "token"]
-    kinds = [T.LongType(), id_field.dataType, T.LongType(), T.LongType(), T.BinaryType(), T.IntegerType(), T.StringType()]
+    names = ["block", "id", "n_bytes", "whole", "freq", "part", "numbers", "tokens"]
+    kinds = [T.LongType(), id_field.dataType, T.LongType(), T.LongType(), T.BinaryType(), T.IntegerType(), T.BinaryType(), T.BinaryType()]
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches):
         pa.set_memory_pool(pa.system_memory_pool())  # so that give_back reaches it
@@ -129,14 +134,19 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 d, k = end - start, len(tokens)
                 none = lambda kind, n: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(d, block)), ids.slice(start, d), pa.array(sizes[start:end]), pa.array(whole, pa.int64()), pa.array(freqs, pa.binary()), none(pa.int32(), d), none(pa.string(), d)], names
+                    [pa.array(np.full(d, block)), ids.slice(start, d), pa.array(sizes[start:end]), pa.array(whole, pa.int64()), pa.array(freqs, pa.binary()), none(pa.int32(), d), none(pa.binary(), d), none(pa.binary(), d)], names
+                )
+                part = np.fromiter((zlib.crc32(t.encode()) % parts for t in tokens), np.int32, k)
+                by = np.argsort(part, kind="stable")
+                groups = np.split(by, np.flatnonzero(np.diff(part[by])) + 1) if k else []
+                m = len(groups)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(m, block)), none(ids.type, m), none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), pa.array([part[g[0]] for g in groups], pa.int32()),
+                        pa.array([_packed(g) for g in groups], pa.binary()), pa.array([zlib.compress("\0".join([tokens[i] for i in g.tolist()]).encode(), 1) for g in groups], pa.binary()),
+                    ],
+                    names,
                 )
-                for i in range(0, k, 65536):
-                    part = tokens[i : i + 65536]
-                    m = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(m, block)), none(ids.type, m), none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), pa.array(np.arange(i, i + m, dtype=np.int32)), pa.array(part, pa.string())], names
-                    )
                 block, start = block + 1, end
                 del tokens, number, order, freqs, first
             give_back()
@@ -146,7 +156,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def count(batches):
         pa.set_memory_pool(pa.system_memory_pool())
         lib = _library(vocabulary)
-        last, pieces, held, size = None, 0, [], 0
+        many: dict[str, int] = {}  # the task's distinct pre-tokens; equal ones of all blocks are in one task
+        held, size = [], 0
 
         def flush():
             """One row a block for what has been counted: its pre-tokens' numbers and pieces."""
@@ -161,29 +172,25 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             )
 
         for b in batches:
-            tokens = b.column(0).dictionary_encode()
-            distinct = tokens.dictionary.to_pylist()
-            todo = [t for t in distinct if t != last]
-            many = dict(zip(todo, (len(e.ids) for e in lib.encode_batch_fast(todo, add_special_tokens=False))))
-            if last is not None:
-                many.setdefault(last, pieces)
-            per = np.array([many[t] for t in distinct], np.int64)[tokens.indices.to_numpy()]
-            last = b.column(0)[b.num_rows - 1].as_py() if b.num_rows else last
-            pieces = many.get(last, pieces)
-            held.append((b.column(1).to_numpy(), b.column(2).to_numpy(), per))
-            size += len(per)
-            if size >= FLUSH_ROWS:
-                yield flush()
+            for raw, block, numbers in zip(*(b.column(k).to_pylist() for k in range(3))):
+                tokens = zlib.decompress(raw).decode().split("\0")
+                todo = [t for t in tokens if t not in many]
+                many.update(zip(todo, (len(e.ids) for e in lib.encode_batch_fast(todo, add_special_tokens=False))))
+                held.append((np.full(len(tokens), block), _unpacked(numbers), np.fromiter(map(many.__getitem__, tokens), np.int64, len(tokens))))
+                size += len(tokens)
+                if size >= FLUSH_ROWS:
+                    yield flush()
         if held:
             yield flush()
         del lib
+        many.clear()
         give_back()
 
-    tokens = table.where("token is not null").select("token", "block", "number").repartition("token").sortWithinPartitions("token")
+    tokens = table.where("part is not null").select("tokens", "block", "numbers", "part").repartition("part").drop("part")
     pieces = stored(tokens.mapInArrow(count, "b long, pieces binary"), "pieces")
     del tokens
     release(docs.sparkSession)
-    freq = table.where("token is null").select("block", "id", "n_bytes", "whole", "freq")
+    freq = table.where("part is null").select("block", "id", "n_bytes", "whole", "freq")
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [_unpacked(p).reshape(2, -1) for p in right.column("pieces").to_pylist()]
