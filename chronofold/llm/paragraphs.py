@@ -12,6 +12,14 @@ that. So sentences of at least five words are read as paragraphs of their own,
 at similarity 1: runs of consecutive sentences that an earlier document has,
 ``LEAST_WORDS`` words or more together, are removed as well.
 
+A passage need not begin or end with a sentence or a line. So each window of
+``PASSAGE`` words, wherever it lies, is filed under the eight-word gram of least
+hash that it holds; equal windows are filed alike. The windows under one gram
+occurrence form a segment. Equal segments are settled by their hashes, different
+segments of one gram window by window. Every word that lies in a window of an
+earlier document is removed, which is each common run of ``PASSAGE`` words or
+more to its full length.
+
 The first document of a class (by id, then place) keeps its paragraph; later
 documents lose theirs. Repeats inside one document are left alone. Defined
 cases: null and empty texts have no paragraphs; rows that repeat id and text
@@ -29,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.substrings import BLOCK_BYTES, _release, without_spans
+from chronofold.llm.substrings import BLOCK_BYTES, _release, _runs, without_spans
 from chronofold.llm.tables import connected_components, discard, stored, text_of
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -37,12 +45,23 @@ BANDS, ROWS = 10, 3
 LEAST_WORDS = 20
 #: Different lines of one band that one task compares at most, on average, from each of two chunks.
 CHUNK = 512
+#: Words of a window, and of the grams that windows are filed under.
+PASSAGE, GRAM = 50, 8
+#: Grams with more segments than this are compared window by window through an aggregate.
+CROWD = 2_000
+#: Windows of one document that are indexed at a time; places take the low bits of a gram's sort key.
+STRETCH, PLACE_BITS = 1 << 17, 18
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _MIX = 0x9E3779B97F4A7C15
 _RNG = np.random.default_rng(20240301)
 _A = (_RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 
+_UP, _DOWN = (np.cumprod(np.array([1] + [x] * (STRETCH + PASSAGE), np.uint64)) for x in (_MIX, pow(_MIX, -1, 1 << 64)))
+# The characters that str.split() takes as white space.
+_SPACE = np.zeros(0x3002, bool)
+_SPACE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+
 
 def shingles(words: list[str]) -> np.ndarray:
     """The distinct 64-bit hashes of a line's five-word shingles."""
@@ -183,6 +202,235 @@ def _later(batches):
             yield pa.RecordBatch.from_arrays(kept.columns[1:7], ["doc", "text", "start", "end", "ordinal", "words"])
 
 
+def _places(t: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each word of ``t.split()``."""
+    if t.isascii():
+        edge = np.flatnonzero(np.diff(_SPACE[np.frombuffer(t.encode(), np.uint8)], prepend=True, append=True))
+    else:
+        c = np.frombuffer(t.encode("utf-32-le"), "<u4")
+        edge = np.flatnonzero(np.diff(_SPACE[np.minimum(c, 0x3001)], prepend=True, append=True))
+        at = np.zeros(len(c) + 1, np.int64)
+        np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000), out=at[1:])
+        edge = at[edge]
+    return edge[::2], edge[1::2]
+
+
+def _word_hashes(t: str, known: _Hashes) -> np.ndarray:
+    words = t.lower().split()
+    if len(words) < PASSAGE:
+        return np.zeros(0, np.uint64)
+    if len(known) > 500_000:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _prefix(h: np.ndarray) -> np.ndarray:
+    """Sums p of a polynomial hash: that of words a to z is (p[z] - p[a]) * _DOWN[a]."""
+    p = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _UP[: len(h)], out=p[1:])
+    return p
+
+
+def _segments(h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash of the gram, hash of the segment's words, first window, windows) of each segment of a document's word hashes."""
+    found, spare, low = [], PASSAGE - GRAM + 1, np.uint64(PLACE_BITS)
+    for at in range(0, max(len(h) - PASSAGE + 1, 0), STRETCH):
+        p = _prefix(h[at : at + STRETCH + PASSAGE - 1])
+        g = (p[GRAM:] - p[:-GRAM]) * _DOWN[: len(p) - GRAM]
+        g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        g ^= g >> np.uint64(32)
+        least = (g >> low << low) | np.arange(len(g), dtype=np.uint64)
+        width = 1
+        while 2 * width <= spare:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if spare > width:
+            least = np.minimum(least[: len(least) - (spare - width)], least[spare - width :])
+        place = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        n = np.diff(np.append(first, len(place)))
+        seg = (p[first + n + PASSAGE - 1] - p[first]) * _DOWN[first] + n.astype(np.uint64)
+        seg = (seg ^ (seg >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        found.append((g[place[first]].view(np.int64), seg.view(np.int64), first + at, n))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+
+
+_FILED = [("gram", pa.int64()), ("seg", pa.int64()), ("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64()), ("n", pa.int32())]
+_FILED_SQL = "gram long, seg long, doc long, text long, start long, end long, first long, n int"
+_SPAN_SQL = "doc long, text long, start long, end long"
+
+
+def _cut(doc, text, start, end):
+    """A batch of spans to remove: rows without a gram."""
+    m = len(doc)
+    none = [pa.nulls(m, k) for _, k in _FILED]
+    return pa.RecordBatch.from_arrays([none[0], none[1], *(pa.array(c, pa.int64()) for c in (doc, text, start, end)), none[6], none[7]], [k for k, _ in _FILED])
+
+
+def _filed(batches):
+    """Segments, of each different one those in the first document of a block of text, and spans that the block itself removes."""
+    known = _Hashes()
+    for b in batches:
+        rows = sorted(zip(*(c.to_pylist() for c in b.columns)), key=lambda r: r[:2])
+        i = 0
+        while i < len(rows):
+            who, cols, total = [], [], 0
+            while i < len(rows) and (not total or total + len(rows[i][2]) <= BLOCK_BYTES):
+                doc, text, t = rows[i]
+                i += 1
+                if who and who[-1] == (doc, text):
+                    continue
+                total += len(t) + 1
+                h = _word_hashes(t, known)
+                if len(h):
+                    gram, seg, first, n = _segments(h)
+                    a, z = _places(t)
+                    cols.append((gram, seg, np.full(len(n), len(who)), a[first], z[first + n + PASSAGE - 2], first, n))
+                    who.append((doc, text))
+            if not cols:
+                continue
+            gram, seg, rank, start, end, first, n = (np.concatenate(x) for x in zip(*cols))
+            docs, texts = (np.array(x, np.int64) for x in zip(*who))
+            by = np.lexsort((seg, gram))  # stable, so the first document comes first
+            new = np.ones(len(by), bool)
+            new[1:] = (gram[by[1:]] != gram[by[:-1]]) | (seg[by[1:]] != seg[by[:-1]])
+            again = np.zeros(len(by), bool)
+            again[by] = rank[by] != rank[by][np.flatnonzero(new)[np.cumsum(new) - 1]]
+            stay = np.flatnonzero(~again)
+            for k in range(0, len(stay), 65536):
+                s = stay[k : k + 65536]
+                vals = (gram[s], seg[s], docs[rank[s]], texts[rank[s]], start[s], end[s], first[s], n[s])
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(kind.to_pandas_dtype()), kind) for v, (_, kind) in zip(vals, _FILED)], [c for c, _ in _FILED])
+            if again.any():
+                r, a, z = rank[again], start[again], end[again]
+                at = np.flatnonzero(_runs(a, z, r))
+                yield _cut(docs[r[at]], texts[r[at]], a[at], np.maximum.reduceat(z, at))
+
+
+def _settled(batches):
+    """Over rows sorted by gram, segment, document: spans of segments that an earlier document has, and the other segments of grams with different ones."""
+    names = [c for c, _ in _FILED]
+    last, owner, held, mixed = None, None, [], False  # the key before, its first document; rows of a gram with one segment so far
+    for b in batches:
+        spans = b.filter(b.column(0).is_null())
+        if spans.num_rows:
+            yield pa.RecordBatch.from_arrays(spans.columns, names)
+        b = pa.RecordBatch.from_arrays(b.filter(b.column(0).is_valid()).columns, names)
+        if not b.num_rows:
+            continue
+        gram, seg, doc, text, start, end = (b.column(k).to_numpy() for k in range(6))
+        new_gram = np.ones(len(gram), bool)
+        new_gram[1:] = gram[1:] != gram[:-1]
+        new_gram[0] = last is None or gram[0] != last[0]
+        new = new_gram.copy()
+        new[1:] |= seg[1:] != seg[:-1]
+        new[0] |= last is None or seg[0] != last[1]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        d, t = (np.where(at >= 0, c[at], owner[k] if owner else 0) for k, c in enumerate((doc, text)))
+        later = (d != doc) | (t != text)
+        last, owner = (gram[-1], seg[-1]), (d[-1], t[-1])
+        if later.any():
+            yield _cut(doc[later], text[later], start[later], end[later])
+        group = np.cumsum(new_gram)  # 0: the gram of the batch before
+        kinds = np.bincount(group, new, int(group[-1]) + 1)
+        open_ = kinds > 1
+        open_[0] = mixed or kinds[0] > 0
+        if open_[0] and not new_gram[0]:
+            yield from held
+            held = []
+        emit = ~later & open_[group]
+        if emit.any():
+            yield b.filter(pa.array(emit))
+        mixed = bool(open_[group[-1]])
+        if group[-1] or mixed:
+            held = []
+        if not mixed:
+            held.append(b.filter(pa.array(~later & (group == group[-1]))))
+
+
+def _window_hashes(batches):
+    """Each listed segment with the hashes, first bytes and end bytes of its windows."""
+    known = _Hashes()
+    names, kinds = ["gram", "doc", "text", "first", "hashes", "starts", "ends"], [pa.int64()] * 4 + [pa.binary()] * 3
+    for b in batches:
+        cols = [[] for _ in names]
+        for doc, text, t, segs in zip(*(c.to_pylist() for c in b.columns)):
+            h = _word_hashes(t, known)
+            a, z = _places(t)
+            for s in segs:
+                f, n = s["first"], s["n"]
+                p = _prefix(h[f : f + n + PASSAGE - 1])
+                w = (p[PASSAGE:] - p[:-PASSAGE]) * _DOWN[:n]
+                vals = (s["gram"], doc, text, f, w.tobytes(), a[f : f + n].astype(np.int64).tobytes(), z[f + PASSAGE - 1 : f + n + PASSAGE - 1].astype(np.int64).tobytes())
+                for c, v in zip(cols, vals):
+                    c.append(v)
+            if len(cols[0]) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                cols = [[] for _ in names]
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+
+def _compared(batches):
+    """Over segments sorted by gram, document: spans of windows that the gram has in an earlier document."""
+    gram, seen = None, {}
+    for b in batches:
+        cols = [[] for _ in range(4)]
+        for g, doc, text, _, hashes, starts, ends in zip(*(c.to_pylist() for c in b.columns)):
+            if g != gram:
+                gram, seen = g, {}
+            me, open_at = (doc, text), None
+            later = [seen.setdefault(w, me) != me for w in np.frombuffer(hashes, np.uint64).tolist()]
+            if True in later:
+                a, z = np.frombuffer(starts, np.int64), np.frombuffer(ends, np.int64)
+                for i, x in enumerate([*later, False]):
+                    if x and open_at is None:
+                        open_at = i
+                    elif not x and open_at is not None:
+                        for c, v in zip(cols, (doc, text, int(a[open_at]), int(z[i - 1]))):
+                            c.append(v)
+                        open_at = None
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc", "text", "start", "end"])
+
+
+def _windows(batches):
+    """One row a window: hash, document, text, first and end byte."""
+    for b in batches:
+        for i in range(0, b.num_rows, 2048):
+            s = b.slice(i, 2048)
+            x, a, z = (np.frombuffer(b"".join(s.column(k).to_pylist()), np.int64) for k in (4, 5, 6))
+            n = np.array([len(v) // 8 for v in s.column(4).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x, np.repeat(s.column(1).to_numpy(), n), np.repeat(s.column(2).to_numpy(), n), a, z)], ["x", "doc", "text", "start", "end"])
+
+
+def repeated_passages(rows: DataFrame) -> DataFrame:
+    """(doc, text, start, end): byte spans of ``rows`` (doc, text, body) that cover each window of ``PASSAGE`` words that an earlier document has."""
+    spark = rows.sparkSession
+    filed = rows.mapInArrow(_filed, _FILED_SQL)
+    dealt = filed.repartition(F.coalesce("gram", F.xxhash64("doc", "start"))).sortWithinPartitions("gram", "seg", "doc", "text", "start")
+    settled = stored(dealt.mapInArrow(_settled, _FILED_SQL), "passages")
+    del filed, dealt
+    _release(spark)
+    whole = settled.where("gram is null").select("doc", "text", "start", "end")
+    mixed = settled.where("gram is not null").select("gram", "doc", "text", "first", "n")
+    lists = mixed.groupBy(F.col("doc").alias("d"), F.col("text").alias("t")).agg(F.collect_list(F.struct("gram", "first", "n")).alias("segs"))
+    once = rows.join(lists, (F.col("doc") == F.col("d")) & (F.col("text") == F.col("t"))).select("doc", "text", "body", "segs")
+    fetched = stored(once.mapInArrow(_window_hashes, "gram long, doc long, text long, first long, hashes binary, starts binary, ends binary"), "passage-windows")
+    _release(spark)
+    crowds = stored(mixed.groupBy("gram").count().where(F.col("count") > CROWD).select("gram"), "crowded-passages")
+    columns = ["gram", "doc", "text", "first", "hashes", "starts", "ends"]
+    calm = fetched.join(crowds, "gram", "left_anti").select(columns).repartition("gram").sortWithinPartitions("gram", "doc", "text", "first")
+    found = calm.mapInArrow(_compared, _SPAN_SQL)
+    windows = stored(fetched.join(crowds, "gram", "left_semi").select(columns).mapInArrow(_windows, f"x long, {_SPAN_SQL}"), "crowded-passage-windows")
+    firsts = windows.groupBy("x").agg(F.min(F.struct("doc", "text")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = stored(firsts.select("x", F.col("f.doc").alias("fd"), F.col("f.text").alias("ft")), "first-passages")
+    later = windows.join(firsts, "x").where("not (doc = fd and text = ft)").select("doc", "text", "start", "end")
+    out = stored(whole.unionByName(found).unionByName(later).distinct(), "repeated-passages")
+    discard(settled, fetched, windows)
+    _release(spark)
+    return out
+
+
 def _similar(batches):
     """Links of each group of lines: a spanning forest of the pairs at ``SIMILAR`` or more."""
     for b in batches:
@@ -284,7 +532,10 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["doc", "text", "runs"])
 
     passages = per_doc.mapInArrow(runs, f"doc long, text long, runs {w}").select("doc", "text", F.explode("runs").alias("r")).select("doc", "text", "r.start", "r.end")
-    return stored(lines.unionByName(passages), "repeated-spans")
+    sentences = stored(passages, "repeated-sentence-runs")
+    discard(later)
+    _release(spark)
+    return stored(lines.unionByName(sentences).unionByName(repeated_passages(rows)), "repeated-spans")
 
 
 def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -128,5 +129,77 @@ def test_line_links_match_brute_force(docs, monkeypatch, chunk):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def brute_windows(rows):
+    """Byte marks of each (id, text): words in a window of an earlier document, both lower case."""
+    firsts, marks = {}, {}
+    for i, t in sorted({((2**63 - 1) if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], hash64(r[1]))):
+        w, m = [(x.start(), x.end(), x[0].lower()) for x in re.finditer(r"\S+", t)], bytearray(len(t.encode()))
+        for k in range(len(w) - paragraphs.PASSAGE + 1):
+            span = w[k : k + paragraphs.PASSAGE]
+            if firsts.setdefault(tuple(x[2] for x in span), (i, t)) != (i, t):
+                a, z = len(t[: span[0][0]].encode()), len(t[: span[-1][1]].encode())
+                m[a:z] = b"\1" * (z - a)
+        marks[(i, t)] = bytes(m)
+    return marks
+
+
+def hash64(t):
+    return xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(t.encode(), 42) >= 1 << 63 else 0)
+
+
+CUT = prose(300, 60)  # 60 words without a sentence end
+INSIDE = [(40 + i, prose(310 + i, 45) + " é\u3000" + CUT + " " + prose(330 + i, 35)) for i in range(9)] + [
+    (60, prose(350, 40) + "\n" + prose(351, 9) + " " + CUT.upper()), (61, CUT[: len(CUT) // 2] + "\n\t" + CUT[len(CUT) // 2 :].lstrip() + " " + prose(352, 30)), (62, " ".join([prose(353, 60)] * 3)),
+    (63, prose(354, 30) + " " + " ".join(CUT.split()[:49])), (64, prose(355, 70)), (64, prose(355, 70)), (64, prose(355, 70) + " more"), (None, prose(356, 80)), (None, prose(356, 80)), (65, "a " * 300), (66, "a " * 400),
+]
+
+
+def marked(rows, spans):
+    want = {(i, hash64(t)): m for (i, t), m in brute_windows(rows).items()}
+    got = {k: bytearray(len(m)) for k, m in want.items()}
+    for doc, text, start, end in spans:
+        got[(doc, text)][start:end] = b"\1" * (end - start)
+    assert {k: bytes(m) for k, m in got.items()} == want and sum(map(sum, want.values())) > 4000
+
+
+@pytest.mark.parametrize("crowd", [2000, 2])
+def test_passages_match_brute_force(docs, monkeypatch, crowd):
+    monkeypatch.setattr(paragraphs, "CROWD", crowd)
+    from pyspark.sql import functions as F
+
+    rows = ODD + INSIDE
+    body = F.coalesce("text", F.lit(""))
+    d = docs(rows).repartition(5).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.encode(body, "UTF-8")).alias("text"), body.alias("body"))
+    marked(rows, [tuple(r) for r in paragraphs.repeated_passages(d).collect()])
+
+
+@pytest.mark.parametrize(("block", "stretch", "batch"), [(24 << 20, 1 << 17, 10_000), (1500, 64, 7), (1, 1 << 17, 1)])
+def test_passages_of_small_blocks_and_batches(monkeypatch, block, stretch, batch):
+    monkeypatch.setattr(paragraphs, "BLOCK_BYTES", block)
+    monkeypatch.setattr(paragraphs, "STRETCH", stretch)
+    import pyarrow as pa
+
+    rows = ODD + INSIDE
+    random.Random(3).shuffle(rows)
+    table = [(2**63 - 1 if i is None else i, hash64(t or ""), t or "") for i, t in rows]
+    bodies = {r[:2]: r[2] for r in table}
+    tables = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*table[k : k + 9])], ["doc", "text", "body"]) for k in range(0, len(table), 9)]
+    cut = lambda rs, kind: [pa.RecordBatch.from_pylist(rs[k : k + batch], kind) for k in range(0, len(rs), batch)]
+    filed = [r for b in paragraphs._filed(tables) for r in b.to_pylist()]
+    filed.sort(key=lambda r: (r["gram"] is not None, r["gram"], r["seg"], r["doc"], r["text"], r["start"]) if r["gram"] is not None else (False,))
+    settled = [r for b in paragraphs._settled(cut(filed, pa.schema(paragraphs._FILED))) for r in b.to_pylist()]
+    mixed = [r for r in settled if r["gram"] is not None]
+    per_doc = [pa.RecordBatch.from_pylist([{"doc": k[0], "text": k[1], "body": t, "segs": [r for r in mixed if (r["doc"], r["text"]) == k]}]) for k, t in bodies.items() if any((r["doc"], r["text"]) == k for r in mixed)]
+    hashed = sorted((r for b in paragraphs._window_hashes(per_doc) for r in b.to_pylist()), key=lambda r: (r["gram"], r["doc"], r["text"], r["first"]))
+    spans = [r for r in settled if r["gram"] is None] + [r for b in paragraphs._compared(cut(hashed, None)) for r in b.to_pylist()]
+    marked(rows, [(r["doc"], r["text"], r["start"], r["end"]) for r in spans])
+
+
+def test_passage_inside_unlike_lines(docs):
+    rows = [(1, prose(401, 31) + " " + CUT + " " + prose(402, 33)), (2, prose(403, 37) + " " + CUT + " " + prose(404, 29))]
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in paragraphs.dedup_paragraphs(docs(rows), with_bytes=True).collect()}
+    assert got == {1: rows[0][1], 2: prose(403, 37) + "  " + prose(404, 29)}
+
+
 def test_empty_tables(docs):
     assert simhash.simhash_groups(docs([])).count() == 0 and paragraphs.dedup_paragraphs(docs([])).count() == 0
