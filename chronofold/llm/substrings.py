@@ -152,6 +152,7 @@ def _settle(batches, length: int):
     names = ["gram", "seg", "doc", "text", "start", "n", "off", "end"]
     kinds = [np.int64] * 5 + [np.int32] * 2 + [np.int64]
     last, held, held_open = None, None, False  # the sort key before; a segment that waits for its gram's next
+    row = None  # the row before: a row that repeats id and text files the same segments at the same places
 
     def out(cols):
         return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, kinds)], names)
@@ -164,6 +165,14 @@ def _settle(batches, length: int):
         if not b.num_rows:
             continue
         gram, seg, doc, text, start, n, off = (b.column(k).to_numpy() for k in range(7))
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1])
+        fresh[0] = row != (gram[0], seg[0], doc[0], text[0], start[0])
+        row = (gram[-1], seg[-1], doc[-1], text[-1], start[-1])
+        if not fresh.all():
+            gram, seg, doc, text, start, n, off = (c[fresh] for c in (gram, seg, doc, text, start, n, off))
+        if not len(gram):
+            continue
         first_gram = np.ones(len(gram), bool)
         first_gram[1:] = gram[1:] != gram[:-1]
         first_seg = first_gram.copy()
@@ -220,10 +229,13 @@ def _ctx(cols):
 
 def _compared(batches, length: int):
     """Over segments sorted by gram, document, start: spans of windows that the gram's earlier segments hold."""
-    gram, seen = None, set()
+    gram, seen, row = None, set(), None
     for b in batches:
         cols = [[] for _ in range(4)]
         for g, doc, text, start, n, off, raw in zip(*(c.to_pylist() for c in b.columns)):
+            if row == (g, doc, text, start):  # fetched from another row of the same id and text
+                continue
+            row = (g, doc, text, start)
             if g != gram:
                 gram, seen = g, set()
             open_at = None

@@ -38,6 +38,22 @@ def test_against_brute_force(docs, monkeypatch, crowd, block):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) in mine
 
 
+@pytest.mark.parametrize("crowd", [2000, 1])
+def test_repeated_rows_in_different_partitions_are_one_document(docs, monkeypatch, crowd):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    twice = [(70, OTHER[:300]), (71, PASSAGE + "!" + PASSAGE), (None, prose(80, 50)), (72, OTHER[:150] + "#" + prose(81, 40))]
+    rows = [*twice, *twice, (60, PASSAGE), *twice]
+    d = docs(rows[:1])
+    for r in rows[1:]:
+        d = d.union(docs([r]))  # each row in a partition of its own
+    want = brute(rows)
+    got = substrings.dedup_substrings(d).collect()
+    assert len(got) == len(rows)
+    texts = {i: (t or "").encode() for i, t in rows}
+    for r in got:
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[(2**63 - 1 if r["doc_id"] is None else r["doc_id"], texts[r["doc_id"]])]
+
+
 def test_kept_bytes(docs):
     got = {r["doc_id"]: r["kept"] for r in substrings.dedup_substrings(docs([(1, OTHER), (2, "head " + OTHER)]), with_bytes=True).collect()}
     assert bytes(got[1]).decode() == OTHER and bytes(got[2]) == b"head "
