@@ -5,7 +5,10 @@ spellings made alike, punctuation and white space reduced to single spaces. The
 digest of the whole text's form is looked up among the known licences; each
 line's form is looked up too, which finds licence notices inside documents. The
 known digests are a small table of fixed texts or the caller's own; it is
-broadcast only if a count shows at most ``MOST_BROADCAST`` entries.
+broadcast only if a count shows at most ``MOST_BROADCAST`` entries. Full licence
+texts (``licence_texts``, one file a licence) are a second table: a long text is
+respelt for its lookup only if its first words begin one of them, and
+``text_digest`` does not depend on them.
 
 Defined cases: null, empty and copyright-only texts have the empty form, which is
 no licence; rows that repeat are reported each; several known names of one form
@@ -14,6 +17,9 @@ are all reported, joined by " OR " in name order; an empty known table matches n
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +57,15 @@ Permission is granted to anyone to use this software for any purpose, including
     ("all-rights-reserved", "All rights reserved."),
 )
 
+# Headings that often stand above a text, by SPDX identifier.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "Zlib": ("zlib License", "The zlib License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+}
+#: A text's first words of which full texts are told apart, and more than the respelling of that many can join.
+OPENING, READ = 4, 8
+MOST_OPENINGS = 1_000
+
 COPYRIGHT_LINE = r"(?im)^[ \t]*(?:[#*/;-]+[ \t]*)?(?:copyright\b|\(c\)|©).*$"
 
 
@@ -71,18 +86,39 @@ def canonical(c: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, texts: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
-    """(digest, form_bytes, licence) of the known texts: distinct canonical forms."""
+    """(digest, form_bytes, opening, licence) of the known texts: distinct canonical forms."""
     rows = texts if isinstance(texts, DataFrame) else spark.createDataFrame(list(KNOWN if texts is None else texts) or [], "licence string, text string")
     forms = rows.select("licence", canonical(F.coalesce("text", F.lit(""))).alias("form")).where("form <> ''").distinct()
-    return forms.groupBy(F.sha2("form", 256).alias("digest"), F.octet_length("form").alias("form_bytes")).agg(F.array_join(F.array_sort(F.collect_set("licence")), " OR ").alias("licence"))
+    return forms.groupBy(F.sha2("form", 256).alias("digest"), F.octet_length("form").alias("form_bytes"), F.substring_index("form", " ", OPENING).alias("opening")).agg(F.array_join(F.array_sort(F.collect_set("licence")), " OR ").alias("licence"))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(SPDX identifier, text) of whole licences: each with and without its appendix, its heading, a line of reserved rights, its clauses' numbers, its line ends."""
+    found = [(p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))]
+    found += [(n, t.split("END OF TERMS AND CONDITIONS")[0] + end) for n, t in found if "END OF TERMS AND CONDITIONS" in t for end in ("", "END OF TERMS AND CONDITIONS")]
+    found += [(n, re.sub(r"(?m)^\d\. ", "* ", t)) for n, t in found if n.startswith("BSD-")]
+    found += [(n, "All rights reserved.\n" + t) for n, t in found if n.startswith("BSD-")]
+    whole = [(n, t) for n, t in KNOWN if "\n" in t]
+    # Wrapping decides which of a text's own lines begin with "copyright": paragraphs on one line each, and all on one line.
+    found += [(n, "\n\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", t))) for n, t in found] + [(n, " ".join(t.split())) for n, t in found]
+    return found + [(n, f"{title}\n{t}") for n, t in found + whole for title in TITLES.get(n, ())]
+
+
+def known_texts(spark: SparkSession) -> DataFrame:
+    """``known_licences`` of ``full_texts``."""
+    return known_licences(spark, full_texts())
 
 
-def licence_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, text_digest, licence (of the whole text, or null), notices (sorted names found in lines), n_notices."""
+def _opening(form: Column) -> Column:
+    return F.substring_index(_spelt(F.substring_index(form, " ", READ)), " ", OPENING)
+
+
+def licence_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, text_digest, licence (of the whole text, or null), notices (sorted names found in lines), n_notices.
+
+    ``texts``: more known licences, long ones too, that leave ``text_digest`` as it is.
+    """
     known = stored(known, "licences")
-    count = known.count()
-    if count <= MOST_BROADCAST:
-        known = F.broadcast(known)
     bare = F.regexp_replace(text_of(docs, text_col), COPYRIGHT_LINE, "")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), F.transform(F.split(bare, "\n"), _form).alias("lines"))
     # Respelling is left to the few forms whose words could be a licence's: the longest spelling change bounds their size.
@@ -90,13 +126,26 @@ def licence_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     slack = sum(abs(len(a) - len(b)) for a, b in SPELLINGS) * 40
     longest = known.agg(F.max("form_bytes")).first()[0] or 0
     near = F.octet_length(whole) <= longest + slack
+    bound = longest + slack
+    likely = lambda x: F.lit(False)
+    if texts is not None:
+        more = stored(texts, "licence-texts")
+        most = (more.agg(F.max("form_bytes")).first()[0] or 0) + slack
+        openings = [r[0] for r in more.select("opening").distinct().limit(MOST_OPENINGS + 1).collect()]
+        begins = lambda x: _opening(x).isin(openings) if len(openings) <= MOST_OPENINGS else F.lit(True)
+        likely = lambda x: (F.octet_length(x) > bound) & (F.octet_length(x) <= most) & begins(x)
+        known = known.select("digest", "licence").unionByName(more.select("digest", "licence"))
+        known = stored(known.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("licence")), " OR ").alias("licence")), "all-licences")
+    if known.count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
+    short = lambda x: F.octet_length(x) <= bound
     rows = rows.select(
-        "row", "id", F.sha2(F.when(near, _spelt(whole)).otherwise(whole), 256).alias("digest"),
-        F.transform(F.filter("lines", lambda x: (x != "") & (F.octet_length(x) <= longest + slack)), lambda x: F.sha2(_spelt(x), 256)).alias("line_digests"),
+        "row", "id", F.sha2(F.when(near, _spelt(whole)).otherwise(whole), 256).alias("digest"), F.when(likely(whole), F.sha2(_spelt(whole), 256)).alias("long_digest"),
+        F.transform(F.filter("lines", lambda x: (x != "") & (short(x) | likely(x))), lambda x: F.sha2(_spelt(x), 256)).alias("line_digests"),
     )
     rows = stored(rows, "licence-digests")
     names = known.select(F.col("digest").alias("k"), F.col("licence"))
     hits = rows.select("row", F.explode("line_digests").alias("d")).join(names, F.col("d") == F.col("k"))
     hits = stored(hits.groupBy(F.col("row").alias("r")).agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"), F.count(F.lit(1)).alias("n_notices")), "licence-notices")
-    out = rows.join(names, F.col("digest") == F.col("k"), "left").join(hits, F.col("row") == F.col("r"), "left")
+    out = rows.join(names, F.coalesce("long_digest", "digest") == F.col("k"), "left").join(hits, F.col("row") == F.col("r"), "left")
     return out.select(F.col("id").alias(id_col), F.col("digest").alias("text_digest"), "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

@@ -63,7 +63,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licence_scan(documents(spark, sf_dir), licences.known_licences(spark))
+    return licences.licence_scan(documents(spark, sf_dir), licences.known_licences(spark), texts=licences.known_texts(spark))
 
 
 def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

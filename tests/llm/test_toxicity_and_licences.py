@@ -54,6 +54,19 @@ def test_licences(spark, docs):
     assert licences.licence_scan(docs(rows), licences.known_licences(spark, [])).where("licence is not null or n_notices > 0").count() == 0
 
 
+def test_full_licence_texts(spark, docs):
+    texts = {p.stem: p.read_text() for p in (__import__("pathlib").Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    names = sorted(texts)
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "BSL-1.0", "0BSD"} <= set(names)
+    rows = [(100 + i, "Copyright (c) 2021 B. Person\n\n" + __import__("re").sub(r"\blicense\b", "licence", texts[n]).upper()) for i, n in enumerate(names)]
+    rows += [(10, texts["GPL-3.0"].split("END OF TERMS")[0]), (11, texts["GPL-3.0"] + " And more."), (12, "Prose.\n" + " ".join(texts["MPL-2.0"].split())), (13, "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + licences.KNOWN[0][1]), (14, "BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + texts["BSD-3-Clause"])]
+    scan = lambda **more: {r["doc_id"]: r for r in licences.licence_scan(docs(rows), licences.known_licences(spark), **more).collect()}
+    got, before = scan(texts=licences.known_texts(spark)), scan()
+    assert {n: got[100 + i]["licence"] for i, n in enumerate(names)} == {n: n for n in names}
+    assert [got[i]["licence"] for i in range(10, 15)] == ["GPL-3.0", None, None, "MIT", "BSD-3-Clause"] and got[12]["notices"] == "MPL-2.0"
+    assert {i: r["text_digest"] for i, r in got.items()} == {i: r["text_digest"] for i, r in before.items()}
+
+
 @pytest.mark.skipif("not __import__('os').path.isdir('/root/testdata/sf0.001')", reason="no test tables")
 def test_pipeline_is_its_stages_by_brute_force(spark):
     """Each stage's survivors from plain Python, on the smallest tables; only the trained model is shared."""
