@@ -134,3 +134,38 @@ def test_partitioning_does_not_matter(spark):
     one = P.analyse(rows.coalesce(1), with_bls=False, partitions=1).orderBy("source_id").select("source_id", F.round("raw_ls_best_period_days", 9).alias("p")).collect()
     many = P.analyse(rows.repartition(7), with_bls=False, partitions=5).orderBy("source_id").select("source_id", F.round("raw_ls_best_period_days", 9).alias("p")).collect()
     assert one == many
+
+
+def test_box_search_tells_short_durations_apart_at_long_periods():
+    """A dip of 0.1 d every 31.7 d fills a twelfth of what a bin of P / 120 would make of it with its neighbours."""
+    import numpy as np
+
+    from chronofold.config import PeriodConfig
+    from chronofold.operators import spectral
+
+    rng = np.random.default_rng(8)
+    span = 400.0
+    period = 1 / (1 / 50 + 7 / (15 * span))  # on the search's own grid, which is coarser than a short dip at long periods
+    t = np.sort(np.concatenate([[0.0, span], rng.uniform(0, span, 1500), *[k * period + 3 + rng.uniform(-0.25, 0.25, 30) for k in range(8)]]))
+    y = rng.normal(0, 0.02, len(t)) - 0.1 * (np.abs((t - 3 + period / 2) % period - period / 2) < 0.05)
+    best, sde = spectral.bls(t, y, np.full(len(t), 0.02), PeriodConfig())
+    assert abs(best - period) / period < 1e-6
+
+
+def test_period_queries_cover_every_gated_series(spark, tmp_path, monkeypatch):
+    from chronofold.plans import periods
+
+    rows = spark.createDataFrame([("a", s) for s in ("c", "o", "combined")], "source_id string, series string")
+    seen = {}
+    monkeypatch.setattr(periods, "prepared", lambda *_: rows)
+    monkeypatch.setattr(periods.S, "gate", lambda r: r.selectExpr("*", "'ok' as status"))
+
+    def analyse(r, **_):
+        seen["series"] = {x["series"] for x in r.collect()}
+        raise StopIteration
+
+    monkeypatch.setattr(periods.P, "analyse", analyse)
+    for query in (periods.bls, periods.ls_dense):
+        with __import__("pytest").raises(StopIteration):
+            query(spark, "")
+        assert seen.pop("series") == {"c", "o", "combined"}
