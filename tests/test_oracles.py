@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 
 from chronofold.plans import registry
-from conftest import DATA
+from cases import DATA
 
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
