@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.tables import SPACES, discard, stored, text_of, without
+from chronofold.llm.tables import SPACES, content, discard, keep_rows, stored, text_of
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX_CHARS = 64
@@ -32,14 +32,16 @@ def _shared(rows: DataFrame) -> DataFrame:
     return counts.join(lengths, "bytes", "left_semi").where("count > 1").select("bytes", "prefix")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, with_content: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     ``text_sha256`` is null for rows that length or prefix proved unique, whose
     content is then never digested. ``digest_all`` fills it for every row; the
     digest is then taken while the lengths are, and the refinement runs over the
-    narrow table of lengths and hashes alone.
+    narrow table of lengths and hashes alone. ``with_content`` adds the two columns of
+    ``tables.content``, which tell rows of one id apart.
     """
+    marks = ["__x", "__y"] if with_content else []
     norm = F.translate(text_of(docs, text_col), SPACES, "")
     sketch = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -47,6 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.octet_length(norm).alias("bytes"),
         F.char_length(text_of(docs, text_col)).alias("points"),
         F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("prefix"),
+        *(content(text_of(docs, text_col)) if with_content else []),
         *([F.sha2(norm, 256).alias("sha")] if digest_all else [F.lit(None).cast("string").alias("sha"), norm.alias("norm")]),
     )
     narrow = stored(sketch.drop("norm"), "exact-sketch") if digest_all else sketch
@@ -55,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows, survivors = narrow, narrow.join(shared, ["bytes", "prefix"], "left_semi")
     else:
         marked = sketch.join(shared.withColumn("__s", F.lit(True)), ["bytes", "prefix"], "left")
-        rows = stored(marked.select("row", "id", "bytes", "points", "prefix", F.when(F.col("__s"), F.sha2("norm", 256)).alias("sha")), "exact-rows")
+        rows = stored(marked.select("row", "id", "bytes", "points", "prefix", *marks, F.when(F.col("__s"), F.sha2("norm", 256)).alias("sha")), "exact-rows")
         survivors = rows.where("sha is not null")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("n"), "id", "row"))
     groups = stored(
@@ -69,24 +72,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("best.row") == F.col("row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *marks,
     )
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    found = stored(exact_dedup(docs, id_col, text_col, digest_all=True), "exact-found")
-    ids = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay"))
-    gone = stored(ids.where("stay = 0 or rows > 1").select(id_col, "rows", "stay"), "exact-gone")
-    rest = without(docs, gone.select(id_col), id_col)
-    if gone.where("stay > 0").isEmpty():
-        return rest
-    # Ids that repeat: the rows are told apart by their text.
-    keep = found.where("kept").select(F.col(id_col).alias("__i"), F.col("text_sha256").alias("__s"))
-    again = gone.where("stay > 0").select(F.col(id_col).alias("__i"))
-    few = docs.join(again, docs[id_col].eqNullSafe(again["__i"]), "left_semi")
-    few = few.withColumn("__d", F.sha2(F.translate(text_of(few, text_col), SPACES, ""), 256))
-    few = few.join(keep, few[id_col].eqNullSafe(keep["__i"]) & (few["__d"] == keep["__s"]), "left_semi")
-    few = few.withColumn("__p", F.char_length(text_of(few, text_col)))
-    best = few.groupBy(F.col(id_col).alias("__i"), F.col("__d").alias("__s")).agg(F.max("__p").alias("__m"))
-    few = few.join(best, few[id_col].eqNullSafe(best["__i"]) & (few["__d"] == best["__s"]) & (few["__p"] == best["__m"]), "left_semi")
-    return rest.unionByName(few.dropDuplicates([id_col, "__d"]).drop("__d", "__p"))
+    found = stored(exact_dedup(docs, id_col, text_col, digest_all=True, with_content=True), "exact-found")
+    return keep_rows(docs, found.select(F.col(id_col).alias("__id"), "__x", "__y", F.col("kept").alias("stays")), id_col, text_col)

@@ -3,16 +3,18 @@
 A text's canonical form is lower case, without copyright lines, with equivalent
 spellings made alike, punctuation and white space reduced to single spaces. The
 digest of the whole text's form is looked up among the known licences; each
-line's form is looked up too, which finds licence notices inside documents. The
-known digests are a small table of fixed texts or the caller's own; it is
-broadcast only if a count shows at most ``MOST_BROADCAST`` entries. Full licence
-texts (``licence_texts``, one file a licence) are a second table: a long text is
-respelt for its lookup only if its first words begin one of them, and
-``text_digest`` does not depend on them.
+line's form is looked up too, which finds licence notices inside documents. Full
+licence texts (``licence_texts``, one file a licence) are a second table: they are
+also sought inside documents, from each line that begins with the first words of
+one, by the digest of as many characters as that text has. ``text_digest`` depends
+on the text alone, not on what is known. Known tables are the caller's or small
+tables of fixed texts, broadcast only if a count shows at most ``MOST_BROADCAST`` entries.
 
 Defined cases: null, empty and copyright-only texts have the empty form, which is
-no licence; rows that repeat are reported each; several known names of one form
-are all reported, joined by " OR " in name order; an empty known table matches nothing.
+no licence; rows that repeat are reported each, and ids may repeat or be null;
+several known names of one form are all reported, joined by " OR " in name order;
+an empty known table matches nothing; an empty table gives an empty result; other
+columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,9 +64,10 @@ TITLES = {
     "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "Zlib": ("zlib License", "The zlib License"),
     "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
 }
-#: A text's first words of which full texts are told apart, and more than the respelling of that many can join.
-OPENING, READ = 4, 8
-MOST_OPENINGS = 1_000
+#: A full text's first words, which its place inside a document is known by; lines that they are read from.
+OPENING, OPENING_LINES = 4, 8
+#: Distinct lengths of known forms that lines are compared with before they are digested; more are not compared.
+MOST_LENGTHS = 10_000
 
 COPYRIGHT_LINE = r"(?im)^[ \t]*(?:[#*/;-]+[ \t]*)?(?:copyright\b|\(c\)|©).*$"
 
@@ -75,10 +78,19 @@ def _form(c: Column) -> Column:
     return c
 
 
-def _spelt(c: Column) -> Column:
+def _all_spelt(forms: Column) -> Column:
+    """Each form of an array with equivalent spellings made alike; a form without a spelling's letters is only searched for them."""
+
+    def respelt(old: str, new: str):
+        return lambda x: F.when(F.contains(x, F.lit(old)), F.regexp_replace(x, rf"\b{old}\b", new)).otherwise(x)
+
     for old, new in SPELLINGS:
-        c = F.regexp_replace(c, rf"\b{old}\b", new)
-    return c
+        forms = F.transform(forms, respelt(old, new))
+    return forms
+
+
+def _spelt(c: Column) -> Column:
+    return F.element_at(_all_spelt(F.array(c)), 1)
 
 
 def canonical(c: Column) -> Column:
@@ -86,10 +98,10 @@ def canonical(c: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, texts: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
-    """(digest, form_bytes, opening, licence) of the known texts: distinct canonical forms."""
+    """(digest, chars, opening, licence) of the known texts: distinct canonical forms."""
     rows = texts if isinstance(texts, DataFrame) else spark.createDataFrame(list(KNOWN if texts is None else texts) or [], "licence string, text string")
     forms = rows.select("licence", canonical(F.coalesce("text", F.lit(""))).alias("form")).where("form <> ''").distinct()
-    return forms.groupBy(F.sha2("form", 256).alias("digest"), F.octet_length("form").alias("form_bytes"), F.substring_index("form", " ", OPENING).alias("opening")).agg(F.array_join(F.array_sort(F.collect_set("licence")), " OR ").alias("licence"))
+    return forms.groupBy(F.sha2("form", 256).alias("digest"), F.char_length("form").alias("chars"), F.substring_index("form", " ", OPENING).alias("opening")).agg(F.array_join(F.array_sort(F.collect_set("licence")), " OR ").alias("licence"))
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -109,43 +121,42 @@ def known_texts(spark: SparkSession) -> DataFrame:
     return known_licences(spark, full_texts())
 
 
-def _opening(form: Column) -> Column:
-    return F.substring_index(_spelt(F.substring_index(form, " ", READ)), " ", OPENING)
-
-
 def licence_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, text_digest, licence (of the whole text, or null), notices (sorted names found in lines), n_notices.
+    """One row per row of ``docs``: id, text_digest, licence (of the whole text, or null), notices (sorted names found inside), n_notices (lines that are one).
 
-    ``texts``: more known licences, long ones too, that leave ``text_digest`` as it is.
+    ``texts``: more known licences, whole texts, which are also found inside documents over several lines.
     """
-    known = stored(known, "licences")
+    known = stored(known.withColumn("inside", F.lit(False)).unionByName(texts.withColumn("inside", F.lit(True))) if texts is not None else known.withColumn("inside", F.lit(False)), "licences")
+    names = stored(known.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("licence")), " OR ").alias("licence")), "all-licences")
+    lengths = [r[0] for r in known.select("chars").distinct().limit(MOST_LENGTHS + 1).collect()]
+    whole_texts = known.where("inside").select("digest", "chars", "opening").distinct()
+    n_texts, longest = whole_texts.agg(F.count(F.lit(1)), F.max("chars")).first()
+    openings = [r[0] for r in whole_texts.select("opening").distinct().limit(MOST_LENGTHS + 1).collect()]
+
     bare = F.regexp_replace(text_of(docs, text_col), COPYRIGHT_LINE, "")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), F.transform(F.split(bare, "\n"), _form).alias("lines"))
-    # Respelling is left to the few forms whose words could be a licence's: the longest spelling change bounds their size.
-    whole = F.array_join(F.filter("lines", lambda x: x != ""), " ")
-    slack = sum(abs(len(a) - len(b)) for a, b in SPELLINGS) * 40
-    longest = known.agg(F.max("form_bytes")).first()[0] or 0
-    near = F.octet_length(whole) <= longest + slack
-    bound = longest + slack
-    likely = lambda x: F.lit(False)
-    if texts is not None:
-        more = stored(texts, "licence-texts")
-        most = (more.agg(F.max("form_bytes")).first()[0] or 0) + slack
-        openings = [r[0] for r in more.select("opening").distinct().limit(MOST_OPENINGS + 1).collect()]
-        begins = lambda x: _opening(x).isin(openings) if len(openings) <= MOST_OPENINGS else F.lit(True)
-        likely = lambda x: (F.octet_length(x) > bound) & (F.octet_length(x) <= most) & begins(x)
-        known = known.select("digest", "licence").unionByName(more.select("digest", "licence"))
-        known = stored(known.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("licence")), " OR ").alias("licence")), "all-licences")
-    if known.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
-    short = lambda x: F.octet_length(x) <= bound
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), F.filter(F.transform(F.split(bare, "\n"), _form), lambda x: x != "").alias("raw"))
+    rows = rows.select("row", "id", _all_spelt(F.concat("raw", F.array(F.array_join("raw", " ")))).alias("forms"))
+    rows = rows.select("row", "id", F.element_at("forms", -1).alias("whole"), F.slice("forms", 1, F.size("forms") - 1).alias("lines"))
+    likely = lambda x: F.char_length(x).isin(lengths) if len(lengths) <= MOST_LENGTHS else F.lit(True)
+    begins = lambda i: F.substring_index(_spelt(F.array_join(F.slice("lines", i, OPENING_LINES), " ")), " ", OPENING)
+    here = lambda i: begins(i).isin(openings) if len(openings) <= MOST_LENGTHS else F.lit(True)
+    places = F.filter(F.sequence(F.lit(1), F.size("lines")), here) if n_texts else F.array().cast("array<int>")
+    rest = lambda i: F.substring(_spelt(F.array_join(F.slice("lines", i, F.size("lines")), " ")), 1, (longest or 0) + 1)
     rows = rows.select(
-        "row", "id", F.sha2(F.when(near, _spelt(whole)).otherwise(whole), 256).alias("digest"), F.when(likely(whole), F.sha2(_spelt(whole), 256)).alias("long_digest"),
-        F.transform(F.filter("lines", lambda x: (x != "") & (short(x) | likely(x))), lambda x: F.sha2(_spelt(x), 256)).alias("line_digests"),
+        "row", "id", F.sha2("whole", 256).alias("digest"), F.transform(F.filter("lines", likely), lambda x: F.sha2(x, 256)).alias("line_digests"),
+        F.when(F.size("lines") > 1, F.transform(places, rest)).alias("rests"),
     )
     rows = stored(rows, "licence-digests")
-    names = known.select(F.col("digest").alias("k"), F.col("licence"))
-    hits = rows.select("row", F.explode("line_digests").alias("d")).join(names, F.col("d") == F.col("k"))
-    hits = stored(hits.groupBy(F.col("row").alias("r")).agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"), F.count(F.lit(1)).alias("n_notices")), "licence-notices")
-    out = rows.join(names, F.coalesce("long_digest", "digest") == F.col("k"), "left").join(hits, F.col("row") == F.col("r"), "left")
+
+    if names.count() <= MOST_BROADCAST:
+        names, whole_texts = F.broadcast(names), F.broadcast(whole_texts)
+    keyed = names.select(F.col("digest").alias("k"), "licence")
+    hits = rows.select("row", F.explode("line_digests").alias("d")).join(keyed, F.col("d") == F.col("k")).select("row", "licence", F.lit(1).alias("n"))
+    if n_texts:
+        runs = rows.where(F.size("rests") > 0).select("row", F.explode("rests").alias("rest")).withColumn("o", F.substring_index("rest", " ", OPENING))
+        runs = runs.join(whole_texts, F.col("o") == F.col("opening"))
+        own = (F.sha2(F.expr("substring(rest, 1, chars)"), 256) == F.col("digest")) & F.expr("substring(rest, chars + 1, 1)").isin("", " ")
+        hits = hits.unionByName(runs.where(own).select("row", F.col("digest").alias("d")).join(keyed, F.col("d") == F.col("k")).select("row", "licence", F.lit(0).alias("n")))
+    hits = stored(hits.groupBy(F.col("row").alias("r")).agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"), F.sum("n").alias("n_notices")), "licence-notices")
+    out = rows.join(keyed, F.col("digest") == F.col("k"), "left").join(hits, F.col("row") == F.col("r"), "left")
     return out.select(F.col("id").alias(id_col), F.col("digest").alias("text_digest"), "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

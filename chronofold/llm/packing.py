@@ -8,8 +8,8 @@ ranks first..first+n-1 of a length the sequences seq..seq+n-1 at one offset.
 Pieces are then numbered within their length and joined to the runs.
 
 Defined cases: a null or empty text is the single id 0; rows that repeat are
-packed separately; equal lengths are ranked by id, so the plan is the same for
-every partitioning; an empty table gives an empty result.
+packed separately; ids may repeat or be null; an empty table gives an empty result;
+other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import gapless_rank, give_back, small_batches, stored, text_of
+from chronofold.llm.tables import gapless_rank, give_back, slices, stored, text_of
 
 CAPACITY, END_ID = 2048, 0
-#: Runs that may be broadcast (five numbers each).
-MOST_BROADCAST = 500_000
+#: Rows of the plan that may be broadcast (six numbers each), and ranks of one length that share a key of the join.
+MOST_BROADCAST, RANKS = 500_000, 1 << 16
 #: Texts of these characters alone take the cached path: their case, normal form and classes are the same in every library.
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xac\xae-\xff]*\Z")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
@@ -79,25 +79,22 @@ class WordTokenizer:
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, crc) of every document's pieces."""
-    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
 
     def go(batches):
         tok = WordTokenizer(vocabulary)
         end = END_ID.to_bytes(4, "little")
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                at, piece, start, length, crc = [], [], [], [], []
-                for k, raw in enumerate(tok.ids(part.column(1).to_pylist())):
-                    raw += end
-                    for p, a in enumerate(range(0, len(raw), 4 * capacity)):
-                        cut = raw[a : a + 4 * capacity]
-                        at.append(k), piece.append(p), start.append(a // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    ["id", "piece", "start", "length", "crc"],
-                )
+        for part in slices(batches, 256):
+            at, piece, start, length, crc = [], [], [], [], []
+            for k, raw in enumerate(tok.ids(part.column(1).to_pylist())):
+                raw += end
+                for p, a in enumerate(range(0, len(raw), 4 * capacity)):
+                    cut = raw[a : a + 4 * capacity]
+                    at.append(k), piece.append(p), start.append(a // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                ["id", "piece", "start", "length", "crc"],
+            )
         del tok
         give_back()
 
@@ -138,16 +135,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, ranks: int = RANKS) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = stored(pieces(docs, vocabulary, id_col, text_col, capacity), "pieces")
+    spark = docs.sparkSession
+    rows = stored(pieces(docs, vocabulary, id_col, text_col, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces", texts=True)
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    runs = plan(counts, capacity)
-    slots = rows.sparkSession.createDataFrame(runs, "l long, first long, n long, seq long, offset long")
-    if len(runs) <= MOST_BROADCAST:
+    runs = spark.createDataFrame(plan(counts, capacity), "l long, first long, n long, seq long, offset long")
+    # A run is cut where ranks change their share, so that pieces of a common length meet their runs under many keys.
+    share = F.explode(F.sequence(F.expr(f"first div {ranks}"), F.expr(f"(first + n - 1) div {ranks}")))
+    slots = stored(runs.withColumn("share", share), "packing-plan")
+    if slots.count() <= MOST_BROADCAST:
         slots = F.broadcast(slots)
-    ranked = gapless_rank(rows, ["length"], ["id", "piece", "crc"], "rank", ["id", "piece"])
-    own = (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+    ranked = gapless_rank(rows, ["length"], ["id", "piece", "crc"], "rank", "row")
+    own = (F.col("length") == F.col("l")) & (F.expr(f"rank div {ranks}") == F.col("share")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
     out = ranked.join(slots, own)
     return out.select(
         F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"),

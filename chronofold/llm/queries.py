@@ -89,15 +89,13 @@ def _licence_sql() -> str:
             c = f"regexp_replace({c}, {quote(chr(92) + 'b' + old + chr(92) + 'b')}, {quote(new)}, 'g')"
         return c
 
-    slack = sum(abs(len(a) - len(b)) for a, b in licences.SPELLINGS) * 40
     rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in licences.KNOWN)
     return f"""
-        WITH k AS (SELECT sha256(form) AS digest, max(strlen(form)) AS n, string_agg(DISTINCT name, ' OR ' ORDER BY name) AS licence FROM (SELECT name, {spelt(form(bare('t')))} AS form FROM (VALUES {rows}) v(name, t)) GROUP BY form),
-        m AS (SELECT max(n) + {slack} AS most FROM k),
+        WITH k AS (SELECT sha256(form) AS digest, string_agg(DISTINCT name, ' OR ' ORDER BY name) AS licence FROM (SELECT name, {spelt(form(bare('t')))} AS form FROM (VALUES {rows}) v(name, t)) GROUP BY form),
         l AS (SELECT doc_id, i, x FROM (SELECT doc_id, string_split({bare("coalesce(text, '')")}, chr(10)) AS a FROM documents), unnest(list_transform(a, lambda y: {form('y')})) WITH ORDINALITY AS u(x, i)),
         w AS (SELECT doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (x <> ''), '') AS whole FROM l GROUP BY doc_id),
-        d AS (SELECT doc_id, sha256(CASE WHEN strlen(whole) <= most THEN {spelt('whole')} ELSE whole END) AS text_digest FROM w, m),
-        h AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notices FROM (SELECT doc_id, sha256({spelt('x')}) AS g FROM l, m WHERE x <> '' AND strlen(x) <= most) JOIN k ON g = digest GROUP BY doc_id)
+        d AS (SELECT doc_id, sha256({spelt('whole')}) AS text_digest FROM w),
+        h AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notices FROM (SELECT doc_id, sha256({spelt('x')}) AS g FROM l WHERE x <> '') JOIN k ON g = digest GROUP BY doc_id)
         SELECT doc_id, text_digest, licence, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices FROM d LEFT JOIN k ON text_digest = digest LEFT JOIN h USING (doc_id)"""
 
 

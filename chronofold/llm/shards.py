@@ -7,13 +7,17 @@ is found by summing bytes over a histogram of the node's keys and refining the
 one bucket that holds it; what reaches the driver is at most ``BINS`` numbers a
 node and pass, whatever the table's size. Rows are never sorted or gathered.
 
+A metadata value's number is its place among all distinct values of its column,
+found by a range sort, so values that begin alike are still told apart.
+
 Keys are unique but for hash collisions: the upper bits are the value, the lower
 bits a hash of the row, so a single hot value (a third of all rows from one
 source) is cut as finely as any other. A document is never cut, so a shard's
 bytes differ from the target by about one document at most.
 
 Defined cases: null text has size 1; null metadata come before all values;
-rows that repeat are separate rows; an empty table gives an empty result.
+rows that repeat are separate rows, and ids may repeat or be null; an empty table
+gives an empty result; columns other than id, text and the metadata are never read.
 """
 
 from __future__ import annotations
@@ -23,19 +27,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.tables import gapless_rank, stored, text_of
+from chronofold.llm.tables import discard, gapless_rank, stored, text_of, with_place
 
 VALUE_BITS, HASH_BITS, BIN_BITS = 24, 38, 13
 BINS = 1 << BIN_BITS
+#: Distinct values of a metadata column that may be broadcast, and their bytes.
+MOST_VALUES, MOST_VALUE_BYTES = 500_000, 32 << 20
 #: A cut is near enough once the bucket that holds it has this share of a shard.
 NEAR = 0.0002
 
 
-def _ordinal(c: Column) -> Column:
-    """A string's place in byte order from its first three bytes, as 24 bits."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 3)), 6, "0"), 16, 10).cast("long"), F.lit(0))
-
-
 def _scaled(c: Column, low: float, high: float) -> Column:
     span = max(high - low, 1e-9)
     return F.coalesce(F.least(F.lit((1 << VALUE_BITS) - 1), ((c - low) / span * (1 << VALUE_BITS)).cast("long")), F.lit(0))
@@ -89,31 +90,48 @@ def _cuts(rows: DataFrame, node_of: Column, nodes: list[_Node], dims: list[str],
         todo = left
 
 
-def kd_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", metadata: tuple = ("source", "lang")) -> DataFrame:
-    """One row per row of ``docs``: id, size, text_crc32, shard, slot."""
+def _numbered(raw: DataFrame, column: str, name: str) -> DataFrame:
+    """``raw`` with the place of ``column``'s value among the column's distinct values, from 1; 0 for null."""
+    places = stored(with_place(raw, column, name), "metadata-places").withColumnRenamed(column, "__v")
+    n, width = places.agg(F.count(F.lit(1)), F.sum(F.octet_length("__v"))).first()
+    if n <= MOST_VALUES and (width or 0) <= MOST_VALUE_BYTES:
+        places = F.broadcast(places)
+    return raw.join(places, raw[column] == places["__v"], "left").drop("__v").withColumn(name, F.coalesce(F.col(name) + 1, F.lit(0)))
+
+
+def shard_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata: tuple = ("source", "lang")) -> tuple[DataFrame, list[str], int]:
+    """(id, size, crc, row and a key for each dimension) of every row of ``docs``, the names of the keys, all bytes."""
     text = docs[text_col].cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     named = [m for m in metadata if m in docs.columns]
     raw = stored(
         docs.select(
             docs[id_col].alias("id"), size.alias("size"), F.crc32(F.encode(text_of(docs, text_col), "UTF-8")).alias("crc"),
-            *[_ordinal(docs[m].cast("string")).alias(f"v{i}") for i, m in enumerate(named)],
-        ),
+            *[docs[m].cast("string").alias(f"m{i}") for i, m in enumerate(named)],
+        ).withColumn("row", F.monotonically_increasing_id()),
         "shard-sketch",
     )
+    for i in range(len(named)):
+        raw = _numbered(raw, f"m{i}", f"v{i}")
     measures = [*[f"v{i}" for i in range(len(named))], "log2(size)"]
     ends = raw.agg(*[f(F.expr(m)) for m in measures for f in (F.min, F.max)], F.sum("size")).first()
     total = ends[-1] or 0
-    tie = F.shiftrightunsigned(F.xxhash64("crc", "size", "id"), 64 - HASH_BITS)
+    tie = F.shiftrightunsigned(F.xxhash64("crc", "size", "id", "row"), 64 - HASH_BITS)
     dims = [f"k{i}" for i in range(len(measures))]
     keyed = raw.select(
-        "id", "size", "crc",
+        "id", "size", "crc", "row",
         *[
             (F.shiftleft(_scaled(F.expr(m), float(ends[2 * i] or 0), float(ends[2 * i + 1] or 0)), HASH_BITS).bitwiseOR(tie)).alias(dims[i])
             for i, m in enumerate(measures)
         ],
     )
-    rows = stored(keyed, "shard-keys")
+    return stored(keyed, "shard-keys"), dims, total
+
+
+def kd_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", metadata: tuple = ("source", "lang")) -> DataFrame:
+    """One row per row of ``docs``: id, size, text_crc32, shard, slot."""
+    keys, dims, total = shard_keys(docs, id_col, text_col, metadata)
+    rows = keys
     node_of, level, first = F.lit(0), [_Node(0, n_shards)], {0: 0}
     while any(n.leaves > 1 for n in level):
         open_nodes = [n for n in level if n.leaves > 1]
@@ -137,13 +155,15 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_
         rows = rows.withColumn("node", expr)
         node_of, level = F.col("node"), nxt
     number = F.lit(0) if n_shards == 1 else reduce(lambda c, n: c.when(node_of == n.name, first[n.name]), level, F.when(F.lit(False), F.lit(0)))
-    placed = rows.select("id", "size", "crc", number.cast("int").alias("shard"))
-    out = gapless_rank(stored(placed, "shard-placed"), ["shard"], ["id", "crc", "size"], "slot", ["id", "crc"])
+    placed = stored(rows.select("id", "size", "crc", "row", number.cast("int").alias("shard")), "shard-placed")
+    discard(keys)
+    out = gapless_rank(placed, ["shard"], ["id", "crc", "size"], "slot", "row")
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the documents into one folder per shard; ids must be unique."""
-    docs.join(shards.select(F.col(id_col).alias("__i"), "shard"), F.col(id_col).eqNullSafe(F.col("__i"))).drop("__i").write.partitionBy(
-        "shard"
-    ).parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, text_col: str = "text", metadata: tuple = ("source", "lang")) -> None:
+    """Write the documents into one folder per shard, all columns unchanged; a number given to each row first joins it to its shard."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "shard-rows")
+    shards = kd_shards(rows, n_shards, "__row", text_col, metadata).select(F.col("__row").alias("__r"), "shard")
+    rows.join(shards, F.col("__row") == F.col("__r")).drop("__row", "__r").write.partitionBy("shard").parquet(path)
+    discard(rows)

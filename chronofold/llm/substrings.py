@@ -11,31 +11,36 @@ gram occurrence takes form a segment.
    copied passage leaves one row a block, not one a copy.
 2. Grams that still have two different segments keep them; their bytes are
    fetched and windows at the same place are compared byte by byte, in the order
-   of documents and starts. Grams with more than ``CROWD`` segments, such as the
-   first words of a passage that many documents quote, are compared window by
-   window through an aggregate instead, which no hot key can hold up.
+   of documents and starts.
+
+Grams with more than ``CROWD`` segments, such as a line that every document has,
+are counted first and never dealt by gram: their segments are compared window by
+window through an aggregate, which no hot key can hold up.
 
 Defined cases: texts under ``length`` bytes, null or empty lose nothing. Rows
 that repeat id and text alike are one document and get the same result. Rows of
-one id with different texts are ordered by a hash of the text. Null ids come last.
+one id with different texts are ordered by a hash of the text. Ids of any type
+count in their own order; null ids come last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import discard, stored, text_of
+from chronofold.llm.tables import discard, numbered, release, slices, stored
 
 LENGTH, GRAM = 100, 32
 CROWD = 2_000
+#: Crowded grams that may be broadcast.
+MOST_CROWDS = 1_000_000
 BLOCK_BYTES = 24 << 20
 #: A stretch of one document that is indexed at a time; places take the low bits of a gram's sort key.
 STRETCH_BITS = 20
@@ -102,18 +107,18 @@ _FILED = "gram long, seg long, doc long, text long, start long, n int, off int,
 def _filed(batches, length: int):
     """Rows of segments, the earliest of each in a block of text, and of spans (gram null) that the block itself removes."""
     for b in batches:
-        raws = [r or b"" for r in b.column(2).to_pylist()]
+        sizes = pc.binary_length(b.column(2)).to_numpy()
         i = 0
-        while i < len(raws):
+        while i < len(sizes):
             j, total = i, 0
-            while j < len(raws) and (j == i or total + len(raws[j]) <= BLOCK_BYTES):
-                total, j = total + len(raws[j]), j + 1
+            while j < len(sizes) and (j == i or total + sizes[j] <= BLOCK_BYTES):
+                total, j = total + sizes[j], j + 1
             ids, texts = b.column(0).slice(i, j - i).to_numpy(), b.column(1).slice(i, j - i).to_numpy()
             order = np.lexsort((texts, ids))
             keep = [k for p, k in enumerate(order) if not p or (ids[k], texts[k]) != (ids[order[p - 1]], texts[order[p - 1]])]
             cols, segs = [], []
             for rank, k in enumerate(keep):
-                raw = raws[i + k]
+                raw = b.column(2)[int(i + k)].as_py()
                 g, first, n, place = segments(raw, length)
                 if len(g):
                     cols.append((g.view(np.int64), np.full(len(g), rank), first, n, place - first))
@@ -208,29 +213,32 @@ def _settle(batches, length: int):
 
 def _fetched(batches, length: int):
     """The bytes of each listed segment."""
-    for b in batches:
-        cols = [[] for _ in range(7)]
-        for doc, text, raw, segs in zip(*(c.to_pylist() for c in b.columns)):
-            for s in segs:
-                vals = (s["gram"], doc, text, s["start"], s["n"], s["off"], raw[s["start"] : s["start"] + s["n"] + length - 1])
-                for c, v in zip(cols, vals):
-                    c.append(v)
-            if len(cols[0]) > 20_000:
-                yield _ctx(cols)
-                cols = [[] for _ in range(7)]
-        if cols[0]:
-            yield _ctx(cols)
-
-
-def _ctx(cols):
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["gram", "doc", "text", "start", "n", "off", "raw"])
+    names = ["gram", "doc", "text", "start", "n", "off", "raw"]
+    for b in slices(batches):
+        lists = b.column(3)
+        per = pc.list_value_length(lists).to_numpy()
+        flat = lists.flatten()
+        gram, start, n, off = (pc.struct_field(flat, k).to_numpy() for k in range(4))
+        owner = np.repeat(np.arange(b.num_rows), per)
+        doc, text = b.column(0).to_numpy()[owner], b.column(1).to_numpy()[owner]
+        end = start + n + length - 1
+        at = 0
+        while at < len(owner):  # a long document's segments go out a few at a time
+            stop = min(len(owner), at + 4096)
+            raws, held, last = [], None, -1
+            for k in range(at, stop):
+                if owner[k] != last:
+                    last = owner[k]
+                    held = b.column(2)[int(last)].as_py()
+                raws.append(held[start[k] : end[k]])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at:stop]) for c in (gram, doc, text, start, n, off)), pa.array(raws, pa.binary())], names)
+            at = stop
 
 
 def _compared(batches, length: int):
     """Over segments sorted by gram, document, start: spans of windows that the gram's earlier segments hold."""
     gram, seen, row = None, set(), None
-    for b in batches:
+    for b in slices(batches, 1024):
         cols = [[] for _ in range(4)]
         for g, doc, text, start, n, off, raw in zip(*(c.to_pylist() for c in b.columns)):
             if row == (g, doc, text, start):  # fetched from another row of the same id and text
@@ -269,43 +277,67 @@ def _windows(batches, length: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["x", "y", "doc", "text", "start"])
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of plans that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def crowded(rows: DataFrame, crowd: int) -> DataFrame:
+    """The grams of ``rows`` that more than ``crowd`` rows have; counted in parts, so that a hot gram is no hot key."""
+    return stored(rows.where("gram is not null").groupBy("gram").count().where(F.col("count") > crowd).select("gram"), "crowded-grams")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc, text, start, end): byte spans, overlapping or not, that cover exactly the bytes to remove. ``text`` is the text's hash."""
-    spark = docs.sparkSession
-    raw = F.encode(text_of(docs, text_col), "UTF-8")
-    doc = F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1))
-    rows = docs.select(doc.alias("doc"), F.xxhash64(raw).alias("text"), raw.alias("raw"))
-    long_rows = rows.where(F.octet_length("raw") >= length)
-    filed = long_rows.mapInArrow(lambda x: _filed(x, length), _FILED)
-    dealt = filed.repartition(F.coalesce("gram", F.xxhash64("doc"))).sortWithinPartitions("gram", "seg", "doc", "text", "start")
+def apart(rows: DataFrame, crowds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of calm grams and rows without a gram, rows of crowded grams).
+
+    A join that is dealt by gram would bring a hot gram back into one task; up to
+    ``MOST_CROWDS`` crowded grams are broadcast (8 bytes each), more meet by a
+    join that adaptive execution splits.
+    """
+    n = crowds.count()
+    if not n:
+        return rows, rows.where("false")
+    few = F.broadcast(crowds) if n <= MOST_CROWDS else crowds
+    return rows.join(few, "gram", "left_anti"), rows.join(few, "gram", "left_semi")
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, text, start, end): byte spans, overlapping or not, that cover exactly the bytes to remove in ``rows`` (doc, text, body)."""
+    spark = rows.sparkSession
+    long_rows = rows.select("doc", "text", F.encode("body", "UTF-8").alias("raw")).where(F.octet_length("raw") >= length)
+    filed = stored(long_rows.mapInArrow(lambda x: _filed(x, length), _FILED), "filed-segments", texts=True)
+    crowds = crowded(filed, CROWD)
+    release(spark)
+    calm, hot = apart(filed, crowds)
+    dealt = calm.repartition(F.coalesce("gram", F.xxhash64("doc", "start"))).sortWithinPartitions("gram", "seg", "doc", "text", "start")
     settled = stored(dealt.mapInArrow(lambda x: _settle(x, length), _FILED), "segments")
-    del filed, dealt
-    _release(spark)
+    segment = ["gram", "doc", "text", "start", "n", "off"]
+    hot = stored(hot.select(segment).distinct(), "crowded-segments")
+    discard(filed)
+    del dealt, calm
+    release(spark)
+
+    def fetch(wanted: DataFrame, then, schema: str) -> DataFrame:
+        lists = wanted.groupBy(F.col("doc").alias("d"), F.col("text").alias("t")).agg(F.collect_list(F.struct("gram", "start", "n", "off")).alias("segs"))
+        once = long_rows.join(lists, (F.col("doc") == F.col("d")) & (F.col("text") == F.col("t"))).select("doc", "text", "raw", "segs")
+        return once.mapInArrow(lambda x: then(_fetched(x, length)), schema)
+
     whole = settled.where("gram is null").select("doc", "text", "start", "end")
-    mixed = settled.where("gram is not null").select("gram", "doc", "text", "start", "n", "off")
-    lists = mixed.groupBy(F.col("doc").alias("d"), F.col("text").alias("t")).agg(F.collect_list(F.struct("gram", "start", "n", "off")).alias("segs"))
-    once = long_rows.join(lists, (F.col("doc") == F.col("d")) & (F.col("text") == F.col("t"))).select("doc", "text", "raw", "segs")
-    fetched = stored(once.mapInArrow(lambda x: _fetched(x, length), "gram long, doc long, text long, start long, n int, off int, raw binary"), "segment-bytes")
-    _release(spark)
-    crowds = stored(mixed.groupBy("gram").count().where(F.col("count") > CROWD).select("gram"), "crowded-grams")
-    columns = ["gram", "doc", "text", "start", "n", "off", "raw"]
-    calm = fetched.join(crowds, "gram", "left_anti").select(columns).repartition("gram").sortWithinPartitions("gram", "doc", "text", "start")
-    span = "doc long, text long, start long, end long"
-    found = calm.mapInArrow(lambda x: _compared(x, length), span)
-    windows = stored(fetched.join(crowds, "gram", "left_semi").select(columns).mapInArrow(lambda x: _windows(x, length), "x long, y long, doc long, text long, start long"), "crowded-windows")
-    firsts = windows.groupBy("x", "y").agg(F.min(F.struct("doc", "text", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = stored(firsts.select("x", "y", F.col("least.doc").alias("d"), F.col("least.text").alias("t"), F.col("least.start").alias("s")), "first-windows")
-    later = windows.join(firsts, ["x", "y"]).where("not (doc = d and text = t and start = s)")
-    out = whole.unionByName(found).unionByName(later.select("doc", "text", "start", (F.col("start") + length).alias("end")))
-    out = stored(out, "removed-spans")
-    discard(settled, fetched, windows)
-    _release(spark)
+    mixed = settled.where("gram is not null").select(segment)
+    fetched = stored(fetch(mixed, lambda x: x, "gram long, doc long, text long, start long, n int, off int, raw binary"), "segment-bytes", texts=True)
+    release(spark)
+    calm = fetched.repartition("gram").sortWithinPartitions("gram", "doc", "text", "start")
+    found = stored(calm.mapInArrow(lambda x: _compared(x, length), "doc long, text long, start long, end long"), "compared-spans")
+    del calm
+    discard(fetched)
+    release(spark)
+    parts = [whole, found]
+    if not hot.isEmpty():
+        windows = stored(fetch(hot, lambda x: _windows(x, length), "x long, y long, doc long, text long, start long"), "crowded-windows", texts=True)
+        firsts = windows.groupBy("x", "y").agg(F.min(F.struct("doc", "text", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        firsts = stored(firsts.select("x", "y", F.col("least.doc").alias("d"), F.col("least.text").alias("t"), F.col("least.start").alias("s")), "first-windows")
+        later = windows.join(firsts, ["x", "y"]).where("not (doc = d and text = t and start = s)")
+        parts.append(stored(later.select("doc", "text", "start", (F.col("start") + length).alias("end")), "later-windows"))
+        discard(windows, firsts)
+        release(spark)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
@@ -327,29 +359,29 @@ def _kept(raw: bytes, spans: list | None) -> tuple[bytes, int]:
     return b"".join(parts), runs
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 once ``spans`` (doc, text, start, end) are cut out; ``with_bytes`` adds ``kept``."""
+def without_spans(rows: DataFrame, spans: DataFrame, id_col: str = "doc_id", with_bytes: bool = False) -> DataFrame:
+    """One row per row of ``rows`` (id, doc, text, body): id, n_bytes, n_removed, n_spans, kept_sha256 once ``spans`` (doc, text, start, end) are cut out; ``with_bytes`` adds ``kept``."""
     lists = spans.groupBy(F.col("doc").alias("d"), F.col("text").alias("t")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    raw = F.encode(text_of(docs, text_col), "UTF-8")
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(raw).alias("text"), raw.alias("raw"))
-    both = rows.join(lists, (F.col("doc") == F.col("d")) & (F.col("text") == F.col("t")), "left").select("id", "raw", "spans")
+    raw = rows.select("id", "doc", "text", F.encode("body", "UTF-8").alias("raw"))
+    both = raw.join(lists, (F.col("doc") == F.col("d")) & (F.col("text") == F.col("t")), "left").select("id", "raw", "spans")
     fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     if with_bytes:
         fields.append(T.StructField("kept", T.BinaryType()))
 
     def go(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for r, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 kept, runs = _kept(r, s)
-                out.append((len(r), len(r) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((len(r), len(r) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
             cols = list(zip(*out)) or [()] * 5
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(cols[k], kinds[k]) for k in range(len(fields))]], ["id", *[f.name for f in fields]])
 
-    return both.mapInArrow(go, T.StructType([both.schema["id"], *fields])).withColumnRenamed("id", id_col)
+    return stored(both.mapInArrow(go, T.StructType([both.schema["id"], *fields])), "without-spans", texts=True).withColumnRenamed("id", id_col)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
     """``without_spans`` for every byte that an earlier ``length``-byte string covers."""
-    return without_spans(docs, repeated_spans(docs, id_col, text_col, length), id_col, text_col, with_bytes)
+    rows = numbered(docs, id_col, text_col)
+    return without_spans(rows, repeated_spans(rows, length), id_col, with_bytes)

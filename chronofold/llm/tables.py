@@ -7,7 +7,8 @@ never a recomputation from half-lost blocks.
 
 from __future__ import annotations
 
-import os
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -23,26 +24,53 @@ _local_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this process only where none is set (tests)."""
+    """The cluster's checkpoint folder. Where none is set, a folder of this process in local mode (tests), an error on a cluster."""
     global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="chronofold-")
     return f"file://{_local_folder}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and return a scan of it."""
+def stored(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
+    """Write ``df`` once into the shared folder and return a scan of it; ``texts``: Python workers get whole texts, so few rows at a time."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/chronofold/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with few_rows(spark) if texts else contextlib.nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def stored_parts(df: DataFrame, label: str, by: str, n: int) -> list[DataFrame]:
+    """Write ``df`` once, dealt by its int column ``by`` into ``n`` tables, which are returned in order; each may be discarded by itself."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/chronofold/{label}-{uuid.uuid4().hex}"
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))  # a file a part and task is open at once, so rows need no sort
+    try:
+        df.write.option("compression", "zstd").partitionBy(by).parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    schema = T.StructType([f for f in df.schema.fields if f.name != by])
+    empty = spark.createDataFrame([], schema)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    parts = []
+    for k in range(n):
+        own = f"{path}/{by}={k}"
+        there = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(own))
+        part = spark.read.schema(schema).parquet(own) if there else empty
+        part.stored_at = own
+        parts.append(part)
+    return parts
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``stored`` that no later plan reads."""
     for df in tables:
@@ -73,18 +101,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-BATCH_ROWS = "1024"
-
+#: Rows that Python workers get at a time where rows hold whole texts. The default of Spark counts rows of any width.
+TEXT_ROWS = 512
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python workers in small Arrow batches, unless the session has a size of its own.
 
-    The default counts rows of any width; ten thousand documents a batch hold
-    tens of MB in several copies on both sides of the pipe.
-    """
+@contextlib.contextmanager
+def few_rows(spark: SparkSession):
+    """Arrow batches of ``TEXT_ROWS`` rows at most for what is planned inside; the session's own setting is back afterwards."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(TEXT_ROWS, int(before)) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(batches, rows: int = 64):
+    """Each Arrow batch in pieces of at most ``rows`` rows, so that few texts are Python objects at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def text_of(df: DataFrame, text_col: str = "text") -> Column:
@@ -101,29 +138,71 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id (null-safe) is not in the one column of ``ids``."""
-    gone = ids.select(F.col(ids.columns[0]).alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+def content(text: Column) -> list[Column]:
+    """Two columns, __x and __y, that tell texts apart (128 bits of hash)."""
+    return [F.xxhash64(text).alias("__x"), F.xxhash64(F.lit(1), text).alias("__y")]
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, spread: list[str], rows_per_bucket: int = 1_000) -> DataFrame:
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged.
+
+    ``verdicts`` has a row for each row of ``docs``: __id, __x, __y (``content``)
+    and ``stays``. Ids may repeat or be null: a row is known by id and text
+    together. Of rows alike in both, one stays if not all of them do, or if ``once``.
+    """
+    keys = ["__id", "__x", "__y"]
+    gone = stored(verdicts.groupBy(*keys).agg(F.count_if("stays").alias("__stay"), F.count(F.lit(1)).alias("__rows")).where("__stay < __rows" + (" or __rows > 1" if once else "")).drop("__rows"), "rows-gone")
+    marked = docs.select(*docs.columns, *content(text_of(docs, text_col)))
+    other = gone.select(*[F.col(k).alias(f"{k}_") for k in keys], "__stay")
+    same = marked[id_col].eqNullSafe(F.col("__id_")) & (F.col("__x") == F.col("__x_")) & (F.col("__y") == F.col("__y_"))
+    rest = marked.join(other, same, "left_anti").select(docs.columns)
+    if gone.where("__stay > 0").isEmpty():
+        return rest
+    few = marked.join(other.where("__stay > 0"), same, "left_semi").dropDuplicates([id_col, "__x", "__y"]).select(docs.columns)
+    return rest.unionByName(few)
+
+
+def with_place(df: DataFrame, by: str, name: str) -> DataFrame:
+    """The distinct values of ``by`` that are not null, with their place in ascending order, from 0 without gaps; a range sort, no window over all."""
+    values = df.select(by).where(F.col(by).isNotNull()).distinct()
+    dealt = stored(values.repartitionByRange(by).sortWithinPartitions(by).withColumn("__m", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("__m", 33)
+    counts = dealt.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
+    before = counts.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    return dealt.join(F.broadcast(before), part == F.col("__p")).select(by, (F.col("__o") + F.col("__m").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+#: The number of a null id in ``numbered``: after all others.
+LAST = 2**63 - 1
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, text, body) of each row: ``doc`` is a long in the order of the ids, whatever their type; ``text`` a hash of the text ``body``."""
+    body = text_of(docs, text_col)
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(body).alias("text"), body.alias("body"))
+    if isinstance(rows.schema["id"].dataType, T.IntegralType):
+        return rows.select("id", F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("doc"), "text", "body")
+    places = stored(with_place(docs.select(docs[id_col].alias("id")), "id", "place"), "id-places").withColumnRenamed("id", "__i")
+    return rows.join(places, F.col("id") == F.col("__i"), "left").select("id", F.coalesce("place", F.lit(LAST)).alias("doc"), "text", "body")
+
+
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, row: str, rows_per_bucket: int = 1_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, whatever a group's size.
 
     A window over a whole group would put it in one task. Rows of a group are
-    dealt by a hash of ``spread`` over a number of buckets in proportion to the
-    group's size; only the bucket counts are summed up in order, and each row takes
-    its bucket's offset plus its place in the bucket. ``df`` should be a stored
-    table since it is read three times.
+    dealt by a hash of ``row``, a number that no other row has, over a number of
+    buckets in proportion to the group's size; only the bucket counts are summed up
+    in order, and each row takes its bucket's offset plus its place in the bucket.
+    ``df`` must be a stored table since it is read three times.
     """
     sizes = stored(df.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.ceil(F.count(F.lit(1)) / rows_per_bucket).alias("__m")), "group-sizes")
     own = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
-    dealt = df.join(sizes, own).select(*df.columns, F.pmod(F.xxhash64(*spread), F.col("__m")).alias("__b"))
+    dealt = df.join(sizes, own).select(*df.columns, F.pmod(F.xxhash64(row), F.col("__m")).alias("__b"))
     keys = [*group, "__b"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inner = W.partitionBy(*keys).orderBy(*order)
+    inner = W.partitionBy(*keys).orderBy(*order, row)
     placed = dealt.withColumn("__r", F.row_number().over(inner) - 1)
     match = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     out = placed.join(offsets, match, "inner")

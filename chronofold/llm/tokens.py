@@ -10,9 +10,15 @@ joined to the frequencies and summed. No ids are kept anywhere. A pre-token has
 one row a block however often it occurs, so frequent words are no hot keys, and
 a block holds at most ``BLOCK_BYTES`` of text or one document.
 
+Texts of characters up to Latin-1 are cut by the vocabulary's pattern with its
+classes spelt out; all others by the library's own pre-tokenizer, so every text
+goes through the same distinct pre-tokens. An added token's string counts one and
+parts the text; only added tokens with flags of their own (single words, stripped
+neighbours, normalised) leave a text to the library as a whole.
+
 Defined cases: null and empty texts have 0 tokens; rows that repeat are counted
-separately. Texts with characters past Latin-1 or with an added token's string
-in them are counted by the library itself, whole, in the first pass.
+separately; ids may repeat or be null; an empty table gives an empty result; other
+columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import give_back, release, small_batches, stored, text_of
+from chronofold.llm.tables import discard, give_back, release, stored, text_of
 
 LIMIT = 512
 BLOCK_BYTES = 16 << 20
 #: Parts that pre-tokens are dealt to by hash, for each shuffle partition.
 PARTS = 4
-#: Counted pre-tokens that a task holds before it writes a row a block.
-FLUSH_ROWS = 1 << 18
+#: Counted pre-tokens that a task holds before it writes a row a block, and distinct ones that it remembers at most.
+FLUSH_ROWS, MOST_KNOWN = 1 << 18, 1 << 20
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xac\xae-\xff]*\Z")
 #: The vocabulary's pre-token pattern with its classes spelt out for the characters of ``_PLAIN``.
 _L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -50,13 +56,40 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-def _added(path: str) -> list[str]:
-    """The strings of the vocabulary's added tokens; read without building the vocabulary."""
+def _added(path: str) -> tuple[list[str], list[str]]:
+    """The strings of the vocabulary's added tokens, those without and those with flags; read without building the vocabulary."""
     with open(path, encoding="utf-8") as f:
         head = f.read(1 << 20)
     at = head.index('"added_tokens"')
     tokens, _ = json.JSONDecoder().raw_decode(head, head.index("[", at))
-    return [t["content"] for t in tokens]
+    odd = [t["content"] for t in tokens if any(t.get(k) for k in ("single_word", "lstrip", "rstrip")) or t.get("normalized") and not t.get("special")]
+    return [t["content"] for t in tokens if t["content"] not in odd], odd
+
+
+class _Cutter:
+    """Pre-tokens of a text, and how many tokens it has besides."""
+
+    def __init__(self, path: str):
+        self.path, self.lib = path, None  # the library itself is only loaded for texts that need it
+        self.plain, self.odd = _added(path)
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.plain, key=len, reverse=True)))) if self.plain else None
+
+    def _cut(self, t: str) -> list[str]:
+        if _PLAIN.match(t):
+            return _PIECE.findall(t)
+        self.lib = self.lib or _library(self.path)
+        if self.lib.normalizer is not None:
+            t = self.lib.normalizer.normalize_str(t)
+        return [t[a:z] for _, (a, z) in self.lib.pre_tokenizer.pre_tokenize_str(t)]
+
+    def __call__(self, t: str) -> tuple[list[str], int]:
+        if any(x in t for x in self.odd):
+            self.lib = self.lib or _library(self.path)
+            return [], len(self.lib.encode(t, add_special_tokens=False).ids)
+        if self.marks is None or not any(x in t for x in self.plain):
+            return self._cut(t), 0
+        parts = self.marks.split(t)
+        return [w for p in parts for w in self._cut(p)], len(parts) - 1
 
 
 def _blocks(batches):
@@ -83,7 +116,6 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, for a byte-level vocabulary file of the tokenizers library."""
-    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     id_field = rows.schema["id"]
     names = ["block", "id", "n_bytes", "whole", "freq", "part", "numbers", "tokens"]
@@ -92,7 +124,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def cut(batches):
         pa.set_memory_pool(pa.system_memory_pool())  # so that give_back reaches it
-        lib, added = None, _added(vocabulary)  # the library itself is only loaded for texts that need it
+        cutter = _Cutter(vocabulary)
         block = TaskContext.get().partitionId() << 32
         for ids, texts in _blocks(batches):
             sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
@@ -104,16 +136,12 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 first: dict[str, int] = {}  # the block's pre-tokens in order of appearance; documents keep only numbers
                 whole, found = [], []
                 for k in range(start, end):
-                    t = texts[k].as_py()
-                    if _PLAIN.match(t) and not any(a in t for a in added):
-                        c = Counter(_PIECE.findall(t))
-                        at = np.fromiter((first.setdefault(w, len(first)) for w in c), np.int32, len(c))
-                        found.append((at, np.fromiter(c.values(), np.uint32, len(c))))
-                        whole.append(0)
-                    else:
-                        found.append((np.zeros(0, np.int32), np.zeros(0, np.uint32)))
-                        lib = lib or _library(vocabulary)
-                        whole.append(len(lib.encode(t, add_special_tokens=False).ids))
+                    words, more = cutter(texts[k].as_py())
+                    c = Counter(words)
+                    del words
+                    at = np.fromiter((first.setdefault(w, len(first)) for w in c), np.int32, len(c))
+                    found.append((at, np.fromiter(c.values(), np.uint32, len(c))))
+                    whole.append(more)
                 total_of = np.zeros(len(first), np.int64)
                 for at, n in found:
                     total_of[at] += n
@@ -151,12 +179,12 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 del tokens, number, order, freqs, first
             give_back()
 
-    table = stored(rows.mapInArrow(cut, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])), "pretokens")
+    table = stored(rows.mapInArrow(cut, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])), "pretokens", texts=True)
 
     def count(batches):
         pa.set_memory_pool(pa.system_memory_pool())
         lib = _library(vocabulary)
-        many: dict[str, int] = {}  # the task's distinct pre-tokens; equal ones of all blocks are in one task
+        many: dict[str, int] = {}  # the task's distinct pre-tokens; equal ones of all blocks are in one task. Past MOST_KNOWN it starts anew.
         held, size = [], 0
 
         def flush():
@@ -174,6 +202,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         for b in batches:
             for raw, block, numbers in zip(*(b.column(k).to_pylist() for k in range(3))):
                 tokens = zlib.decompress(raw).decode().split("\0")
+                if len(many) > MOST_KNOWN:
+                    many.clear()
                 todo = [t for t in tokens if t not in many]
                 many.update(zip(todo, (len(e.ids) for e in lib.encode_batch_fast(todo, add_special_tokens=False))))
                 held.append((np.full(len(tokens), block), _unpacked(numbers), np.fromiter(map(many.__getitem__, tokens), np.int64, len(tokens))))
@@ -204,5 +234,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         return pa.table([left.column("id"), left.column("n_bytes"), pa.array(sums, pa.int64())], names=[id_field.name, "n_bytes", "n_tokens"])
 
     schema = T.StructType([id_field, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    out = freq.groupBy("block").cogroup(pieces.groupBy("b")).applyInArrow(add, schema)
+    out = stored(freq.groupBy("block").cogroup(pieces.groupBy("b")).applyInArrow(add, schema), "token-counts")
+    discard(table, pieces)
+    release(docs.sparkSession)
     return out.withColumnRenamed("id", id_col)

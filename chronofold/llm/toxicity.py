@@ -5,19 +5,27 @@ only, hashed into ``BUCKETS``. The machine has a weight and ``FACTORS`` factors
 term, so it learns pairs of terms that matter together, which additive weights
 cannot. It is trained on the driver over at most ``MOST_TRAINING`` labelled rows
 (those of smallest hash), of which only the term numbers, counted in the
-executors, are collected. Terms that tell nothing about the label in training
-are dropped, so most words of a text cost one cached lookup in scoring.
+executors, are collected.
+
+Of the terms, the machine uses the ``most_terms`` that tell most about the label by
+themselves, if their log-likelihood ratio is ``least_ratio`` or more and ``least_seen``
+training texts have them; ``fit(..., None, 0, 1)`` uses all. All 306,024 terms of 8,000
+labelled rows let the machine learn rare words by heart: held out, it catches 0.79 of
+the toxic texts at the threshold, against 0.99 with 3,000 terms (both leave over 0.999 of
+the others alone). The price: a term that only matters together with another, and
+tells next to nothing alone, is not used.
 
 Only ``text`` enters a score. Defined cases: null, empty and wordless texts get
 the score of no terms; rows of the labels with a null label or id, and labels
-without a document, are ignored; with no row of either class every score is 0;
-an id that has several labels counts as toxic if one says so.
+without a document, are ignored; if no labelled row is toxic every score is 0, if
+all are it is that of a weight of 30, about 1; an id that has several labels counts
+as toxic if one says so; ids may repeat or be null; empty tables are allowed; other
+columns are never read, whatever their names.
 """
 
-from __future__ import annotations
-
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.tables import give_back, small_batches, stored, text_of
+from chronofold.llm.tables import discard, give_back, slices, stored, text_of
 
 BUCKETS, FACTORS = 1 << 20, 8
-#: Labelled rows that training reads at most; a document's terms are at most its words times four.
-MOST_TRAINING = 12_000
-#: Terms that the machine uses: those with the largest log-likelihood ratio in training.
-MOST_TERMS = 3_000
+#: Labelled rows that training reads at most, and their terms' bytes on the driver: rows past that, by hash, are left out too.
+MOST_TRAINING, MOST_TRAINING_BYTES = 12_000, 256 << 20
+#: Terms that the machine uses, see above.
+MOST_TERMS, LEAST_RATIO, LEAST_SEEN = 3_000, 5.0, 3
 THRESHOLD, HELD_OUT = 0.7, 1
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,43 +59,42 @@ def terms_of(text: str | None) -> np.ndarray:
 
 @dataclass
 class Machine:
-    """score = sigmoid(bias + sum w + 1/2 (|sum v|^2 - sum |v|^2)), over the terms that are present, scaled by 1/sqrt(1 + n)."""
+    """score = sigmoid(bias + sum w + 1/2 (|sum v|^2 - sum |v|^2)), over the terms that are present; ``slots`` has the place of each bucket, or -1."""
 
-    slots: dict[int, int]
+    slots: np.ndarray
     bias: float
     w: np.ndarray
     v: np.ndarray
 
-    def raw(self, terms: list[np.ndarray]) -> np.ndarray:
-        out = np.full(len(terms), self.bias)
-        for i, t in enumerate(terms):
-            if len(t):
-                s = self.v[t].sum(0)
-                out[i] += self.w[t].sum() + 0.5 * (s @ s - (self.v[t] ** 2).sum())
-        return out
-
     def score(self, terms: list[np.ndarray]) -> np.ndarray:
         if self.bias == -np.inf:
             return np.zeros(len(terms))
-        return 1 / (1 + np.exp(-np.clip(self.raw(terms), -30, 30)))
+        out = np.full(len(terms), self.bias)
+        for i, t in enumerate(terms):
+            if len(t):
+                v = self.v[t]
+                s = v.sum(0)
+                out[i] += self.w[t].sum() + 0.5 * (s @ s - np.vdot(v, v))
+        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 2e-4, seed: int = 7) -> Machine:
+def fit(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 2e-4, seed: int = 7, most_terms: int | None = MOST_TERMS, least_ratio: float = LEAST_RATIO, least_seen: int = LEAST_SEEN) -> Machine:
     toxic, n = int(labels.sum()), len(labels)
     if not 0 < toxic < n:
-        return Machine({}, -np.inf if not toxic else 30.0, np.zeros(0), np.zeros((0, FACTORS)))
+        return Machine(np.full(BUCKETS, -1, np.int32), -np.inf if not toxic else 30.0, np.zeros(0), np.zeros((0, FACTORS)))
+    p = toxic / n
     seen, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for t, y in zip(terms, labels):
         seen[t] += 1
         bad[t] += y
-    used = np.flatnonzero(seen >= 3)
-    p = toxic / n
+    used = np.flatnonzero(seen >= least_seen)
     k, m = bad[used], seen[used]
     rest, outside = toxic - k, n - m
     ll = lambda a, b: a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9))
     ratio = ll(k, m * p) + ll(m - k, m * (1 - p)) + ll(rest, outside * p) + ll(outside - rest, outside * (1 - p))
-    used = np.sort(used[np.argsort(-ratio, kind="stable")[:MOST_TERMS]][np.sort(-ratio)[:MOST_TERMS] < -5])
-    slot = np.full(BUCKETS, -1)
+    best = np.argsort(-ratio, kind="stable")[:most_terms]
+    used = np.sort(used[best[ratio[best] >= least_ratio]])
+    slot = np.full(BUCKETS, -1, np.int32)
     slot[used] = np.arange(len(used))
     rows = [s[s >= 0] for s in (slot[t] for t in terms)]
     rng = np.random.default_rng(seed)
@@ -107,10 +114,10 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
                 gv[t] += dv * dv
                 w[t] -= rate * dw / np.sqrt(gw[t])
                 v[t] -= rate * dv / np.sqrt(gv[t])
-    return Machine({int(b): i for i, b in enumerate(used)}, float(bias), w, v)
+    return Machine(slot, float(bias), w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_TRAINING) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_TRAINING, most_bytes: int = MOST_TRAINING_BYTES, most_terms: int | None = MOST_TERMS) -> Machine:
     """Fit on the labelled documents outside the held-out third (crc32 of the id as text, modulo 3)."""
     rows = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull())
     rows = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
@@ -120,16 +127,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = plain.join(F.broadcast(rows), F.col("__id") == F.col("id")).select("id", "y", "text")
 
     def go(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                terms = [terms_of(t).tobytes() for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array(terms, pa.binary())], ["id", "y", "terms"])
+        for part in slices(batches, 256):
+            terms = [terms_of(t).tobytes() for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array(terms, pa.binary())], ["id", "y", "terms"])
         give_back()
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("terms", T.BinaryType())])
-    got = stored(texts.mapInArrow(go, schema), "toxic-terms").orderBy(F.xxhash64("id"), "id", "terms").limit(most).toArrow()
-    return fit([np.frombuffer(x.as_py(), np.int32) for x in got["terms"]], got["y"].to_numpy().astype(np.int64))
+    found = stored(texts.mapInArrow(go, schema).withColumn("h", F.xxhash64("id", "terms")), "toxic-terms", texts=True)
+    # Labels are few, but an id may have many documents and a document many terms: both bounds are kept, in the order of a hash.
+    bound = found.select("h", F.octet_length("terms").alias("size")).orderBy("h").limit(most).collect()
+    total, last = 0, None
+    for r in bound:
+        total += r["size"]
+        if total > most_bytes:
+            break
+        last = r["h"]
+    got = found.where(F.col("h") <= last).orderBy("h", "id").limit(most).toArrow() if last is not None else found.limit(0).toArrow()
+    discard(rows, found)
+    return fit([np.frombuffer(x.as_py(), np.int32) for x in got["terms"]], got["y"].to_numpy().astype(np.int64), most_terms=most_terms)
 
 
 class _Scorer:
@@ -147,7 +162,7 @@ class _Scorer:
                 if s is None:
                     if len(known) >= self.size:
                         known.clear()
-                    s = known[w] = tuple(slots[t] for t in terms_of_word(w) if t in slots)
+                    s = known[w] = tuple(int(slots[t]) for t in terms_of_word(w) if slots[t] >= 0)
                 if s:
                     found.update(s)
             rows.append(np.fromiter(sorted(found), np.int64, len(found)))
@@ -158,11 +173,16 @@ class _Scorer:
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
+def _broadcast(spark, machine: Machine):
+    """The machine on the executors: at most ``BUCKETS`` places, weights and factors, 40 MB, whatever the input."""
+    small = Machine(machine.slots, machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32))
+    return spark.sparkContext.broadcast(small)
+
+
 def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, score, predicted."""
-    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias(id_col), text_of(docs, text_col).alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most MOST_TERMS * (FACTORS + 2) numbers
+    shared = _broadcast(docs.sparkSession, machine)
 
     def go(batches):
         scorer = _Scorer(shared.value)
@@ -172,21 +192,20 @@ def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
         del scorer
         give_back()
 
-    return rows.mapInArrow(go, T.StructType([rows.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    scored = rows.mapInArrow(go, T.StructType([rows.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return stored(scored, "toxicity", texts=True)
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns unchanged."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-    at = docs.columns.index(text_col)
+    """``docs`` without the rows that score ``threshold`` or more; all columns unchanged. Python sees the texts alone."""
+    shared = _broadcast(docs.sparkSession, machine)
 
-    def go(batches):
+    @F.arrow_udf("boolean")
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _Scorer(shared.value)
-        for b in batches:
-            s = scorer.column(b.column(at))
-            yield b.filter(pa.array(s < threshold))
+        for texts in parts:
+            yield pa.array(scorer.column(texts) < threshold)
         del scorer
         give_back()
 
-    return docs.mapInArrow(go, docs.schema)
+    return docs.where(clean(docs[text_col].cast("string")))

@@ -30,11 +30,10 @@ def brute(t):
     return len(w), len(hit), len(items), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_against_brute_force(spark, docs, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", broadcast)
+@pytest.mark.parametrize("broadcast", [decontaminate.MOST_BROADCAST, 0])
+def test_against_brute_force(spark, docs, broadcast):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs(ROWS), bench).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs(ROWS), bench, most_broadcast=broadcast).collect())
     assert got == Counter((i, *brute(t)) for i, t in ROWS)
 
 
@@ -42,7 +41,21 @@ def test_removal(spark, docs):
     bench = spark.createDataFrame(ITEMS[:2], "item_id long, text string")
     d = docs([(1, "keep " + prose(2, 13)), (2, "clean")])
     assert [r["doc_id"] for r in decontaminate.decontaminate(d, bench).collect()] == [2]
-    assert {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(d, bench, mode="words").collect()} == {1: "keep", 2: "clean"}
+    assert {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(d, bench, mode="words").collect()} == {1: "keep ", 2: "clean"}
+
+
+def test_rows_of_one_id_are_judged_each_by_its_own_text(spark, docs):
+    bench = spark.createDataFrame(ITEMS[:2], "item_id long, text string")
+    rows = [(1, "x " + prose(2, 13)), (1, "clean"), (None, "y " + prose(2, 13)), (None, "fine"), (None, "fine"), (4, None), (4, None)]
+    left = decontaminate.decontaminate(docs(rows), bench).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter([(1, "clean"), (None, "fine"), (None, "fine"), (4, None), (4, None)])
+
+
+def test_words_mode_leaves_the_rest_of_the_text_as_it_is(spark, docs):
+    bench = spark.createDataFrame([(1, "Only Four É words")], "item_id long, text string")
+    rows = [(1, "Hello, World! Keep: only (four) É-WORDS; This."), (2, "\n«Only four É words» Só"), (3, "Hello, World! Keep This."), (4, "only four É words"), (5, "A only four É words, only four É words B")]
+    got = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs(rows), bench, mode="words").collect()}
+    assert got == {1: "Hello, World! Keep: ; This.", 2: rows[1][1], 3: rows[2][1], 4: "", 5: "A  B"}
 
 
 def test_empty_tables(spark, docs):

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from chronofold.llm import paragraphs, simhash
+from chronofold.llm.tables import numbered, stored_parts
 from llm_cases import ODD, prose
 
 
@@ -87,6 +88,32 @@ def test_keep_one(docs):
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_group(d).collect()) == [3, 9]
 
 
+def test_near_copies_with_repeated_and_absent_ids(docs):
+    rows = [(2, prose(1)), (2, prose(5)), (1, prose(1)), (None, prose(1)), (None, prose(6)), (None, prose(6)), (4, None), (4, ""), (7, prose(7)), (7, prose(7))]
+    left = sorted(((r["doc_id"], r["text"] or "") for r in simhash.keep_one_of_group(docs(rows)).collect()), key=str)
+    assert left == sorted([(1, prose(1)), (2, prose(5)), (None, prose(6)), (7, prose(7)), (4, "")], key=str)
+
+
+def test_near_copies_are_found_and_others_stay(docs):
+    """Recall over pairs of a similarity of 0.8 or more, and no link far below it."""
+    r = random.Random(5)
+    rows, pairs = [], []
+    for k in range(150):
+        w = prose(7000 + k, r.randint(80, 400)).split()
+        v = list(w)
+        for _ in range(max(1, int(len(v) * r.choice([0.005, 0.01, 0.015, 0.02, 0.05, 0.1])))):
+            v[r.randrange(len(v))] = "zz" + str(r.randrange(10**6))
+        a, b = grams(" ".join(w)), grams(" ".join(v))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        pairs.append((2 * k, len(a & b) / len(a | b)))
+    left = {x["doc_id"] for x in simhash.keep_one_of_group(docs(rows)).collect()}
+    near, far = [i for i, j in pairs if j >= 0.8], [i for i, j in pairs if j < 0.65]
+    assert len(near) >= 40 and len(far) >= 30
+    assert all(i in left for i, _ in pairs)
+    assert sum(i + 1 not in left for i in near) >= 0.9 * len(near)
+    assert all(i + 1 in left for i in far)
+
+
 PASSAGE = ". ".join(prose(70 + i, 14).capitalize() for i in range(5)) + "."
 
 
@@ -104,6 +131,21 @@ def test_paragraphs(docs):
     assert bytes(got[21]["kept"]).decode() == prose(3, 40) + "\n" and PASSAGE[:-1] not in bytes(got[24]["kept"]).decode() and prose(8, 30) in bytes(got[24]["kept"]).decode()
 
 
+def parts_of(d, least=20):
+    """Rows (doc, text, body) of documents and their parts by kind."""
+    from pyspark.sql import functions as F
+
+    rows = numbered(d, "doc_id", "text").select("doc", "text", "body")
+    parts = stored_parts(rows.mapInArrow(lambda x: paragraphs._scan(x, least), paragraphs._ROW_SQL), "test", "kind", 5)
+    segments = parts[paragraphs.SEGMENTS].select(F.col("key").alias("gram"), "seg", "doc", "text", "start", "end", F.col("ordinal").alias("first"), "n")
+    return rows, parts[paragraphs.LINES].withColumnRenamed("key", "line"), segments, parts[paragraphs.SPANS].select("doc", "text", "start", "end")
+
+
+def grams(line, n=5):
+    w = line.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
 @pytest.mark.parametrize("chunk", [512, 2])
 def test_line_links_match_brute_force(docs, monkeypatch, chunk):
     monkeypatch.setattr(paragraphs, "CHUNK", chunk)
@@ -117,13 +159,10 @@ def test_line_links_match_brute_force(docs, monkeypatch, chunk):
                 v[r.randrange(60)] = "zz" + str(r.randrange(999))
             lines.append(" ".join(v))
     lines = sorted(set(lines))
-    from pyspark.sql import functions as F
-
-    d = docs(list(enumerate(lines))).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text"), F.col("text").alias("body"))
-    members, comps = paragraphs.line_classes(d)
+    d, members, _, _ = parts_of(docs(list(enumerate(lines))))
     line_of = {m["doc"]: m["line"] for m in members.collect()}
-    comp = {c["node"]: c["component"] for c in comps.collect()}
-    sets = [set(paragraphs.shingles(x.split()).tolist()) for x in lines]
+    comp = {c["node"]: c["component"] for c in paragraphs.line_classes(d, members).collect()}
+    sets = [grams(x) for x in lines]
     want = classes(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     got = [comp.get(line_of[i], line_of[i]) for i in range(len(lines))]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
@@ -165,12 +204,9 @@ def marked(rows, spans):
 @pytest.mark.parametrize("crowd", [2000, 2])
 def test_passages_match_brute_force(docs, monkeypatch, crowd):
     monkeypatch.setattr(paragraphs, "CROWD", crowd)
-    from pyspark.sql import functions as F
-
     rows = ODD + INSIDE
-    body = F.coalesce("text", F.lit(""))
-    d = docs(rows).repartition(5).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.encode(body, "UTF-8")).alias("text"), body.alias("body"))
-    marked(rows, [tuple(r) for r in paragraphs.repeated_passages(d).collect()])
+    d, _, segments, spans = parts_of(docs(rows).repartition(5))
+    marked(rows, [tuple(r) for r in paragraphs.repeated_passages(d, segments).unionByName(spans).collect()])
 
 
 @pytest.mark.parametrize(("block", "stretch", "batch"), [(24 << 20, 1 << 17, 10_000), (1500, 64, 7), (1, 1 << 17, 1)])
@@ -185,16 +221,86 @@ def test_passages_of_small_blocks_and_batches(monkeypatch, block, stretch, batch
     bodies = {r[:2]: r[2] for r in table}
     tables = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*table[k : k + 9])], ["doc", "text", "body"]) for k in range(0, len(table), 9)]
     cut = lambda rs, kind: [pa.RecordBatch.from_pylist(rs[k : k + batch], kind) for k in range(0, len(rs), batch)]
-    filed = [r for b in paragraphs._filed(tables) for r in b.to_pylist()]
-    filed.sort(key=lambda r: (r["gram"] is not None, r["gram"], r["seg"], r["doc"], r["text"], r["start"]) if r["gram"] is not None else (False,))
+    made = [r for b in paragraphs._scan(tables, 20) for r in b.to_pylist()]
+    filed = [{"gram": r["key"], "first": r["ordinal"], **{k: r[k] for k in ("seg", "doc", "text", "start", "end", "n")}} for r in made if r["kind"] == paragraphs.SEGMENTS]
+    filed.sort(key=lambda r: (r["gram"], r["seg"], r["doc"], r["text"], r["start"]))
     settled = [r for b in paragraphs._settled(cut(filed, pa.schema(paragraphs._FILED))) for r in b.to_pylist()]
     mixed = [r for r in settled if r["gram"] is not None]
     per_doc = [pa.RecordBatch.from_pylist([{"doc": k[0], "text": k[1], "body": t, "segs": [r for r in mixed if (r["doc"], r["text"]) == k]}]) for k, t in bodies.items() if any((r["doc"], r["text"]) == k for r in mixed)]
     hashed = sorted((r for b in paragraphs._window_hashes(per_doc) for r in b.to_pylist()), key=lambda r: (r["gram"], r["doc"], r["text"], r["first"]))
-    spans = [r for r in settled if r["gram"] is None] + [r for b in paragraphs._compared(cut(hashed, None)) for r in b.to_pylist()]
+    spans = [r for r in settled if r["gram"] is None] + [r for b in paragraphs._compared(cut(hashed, None)) for r in b.to_pylist()] + [r for r in made if r["kind"] == paragraphs.SPANS]
     marked(rows, [(r["doc"], r["text"], r["start"], r["end"]) for r in spans])
 
 
+def brute_paragraphs(rows, least=20):
+    """Kept bytes of each (id, text) by plain Python: similar lines, runs of equal sentences, windows."""
+    table = sorted({((2**63 - 1) if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], hash64(r[1])))
+    marks = {k: bytearray(m) for k, m in brute_windows(rows).items()}
+    byte = lambda t, at: len(t[:at].encode())
+    lines, sentences = [], {}
+    parsed = {}
+    for me in table:
+        units, at, n = [], 0, 0
+        for ln in me[1].split("\n"):
+            w = [(at + x.start(), at + x.end(), x[0].lower()) for x in re.finditer(r"\S+", ln)]
+            if len(w) >= least:
+                lines.append((me, byte(me[1], at), byte(me[1], at + len(ln)), tuple(x[2] for x in w)))
+            begin = own = 0
+            for k, x in enumerate(w):
+                own += 1
+                if me[1][x[1] - 1] in ".!?" or k == len(w) - 1:
+                    if own >= 5:
+                        units.append((n + begin, n + k, w[begin][0], x[1], tuple(y[2] for y in w[begin : k + 1])))
+                        begin = k + 1
+                    own = 0
+            at, n = at + len(ln) + 1, n + len(w)
+        parsed[me] = units
+        for u in units:
+            sentences.setdefault(u[4], me)
+    sets = [grams(" ".join(x[3])) for x in lines]
+    for k, root in enumerate(classes(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))):
+        me, start, end, _ = lines[k]
+        if lines[root][0] != me:
+            marks[me][start:end] = b"\1" * (end - start)
+    for me, units in parsed.items():
+        run = []
+        for u in [*units, None]:
+            if u and sentences[u[4]] != me and (not run or run[-1][1] + 1 == u[0]):
+                run.append(u)
+                continue
+            if sum(len(x[4]) for x in run) >= least:
+                a, z = byte(me[1], run[0][2]), byte(me[1], run[-1][3])
+                marks[me][a:z] = b"\1" * (z - a)
+            run = [u] if u and sentences[u[4]] != me else []
+    return {me: bytes(x for x, m in zip(me[1].encode(), marks[me]) if not m) for me in table}
+
+
+SHORT = [". ".join(prose(600 + i, n) for i, n in ((0, 8), (1, 3), (2, 9), (3, 12), (4, 2), (5, 6))) + "!", prose(610, 24) + ". " + prose(611, 3) + ". " + prose(612, 7) + "?"]
+MIXED = [(80, prose(620, 25) + ". " + SHORT[0] + "\n" + SHORT[1]), (81, SHORT[0] + " " + prose(621, 30)), (82, prose(622, 9) + ". " + SHORT[1] + " " + prose(623, 12) + ".\nHead\n" + SHORT[0]), (83, SHORT[1].replace(prose(611, 3), prose(624, 3))), (84, SHORT[0].replace(". ", ".")), ("x", None)][:5]
+
+
+@pytest.mark.parametrize("least", [20, 6])
+def test_removal_matches_brute_force(docs, least):
+    near = prose(1, 60).split()
+    near[30] = "changed"
+    rows = ODD + INSIDE + MIXED + [(20, prose(1, 60) + "\n" + prose(2, 40)), (21, prose(3, 40) + "\n" + " ".join(near)), (22, prose(4, 40) + "\n" + prose(1, 60).upper() + "\n" + prose(640, 7)), (23, prose(640, 7) + "\n" + prose(641, 5))]
+    want = brute_paragraphs(rows, least)
+    got = paragraphs.dedup_paragraphs(docs(rows).repartition(4), with_bytes=True, least_words=least).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mine = [v for (i, _), v in want.items() if i == (2**63 - 1 if r["doc_id"] is None else r["doc_id"])]
+        assert bytes(r["kept"]) in mine
+    assert sorted(bytes(r["kept"]) for r in got) == sorted(want[(2**63 - 1 if i is None else i, t or "")] for i, t in rows)
+    assert sum(r["n_removed"] for r in got) > 5000
+
+
+def test_ids_that_are_text_are_ordered_as_text(spark):
+    rows = [("b10", prose(401, 31) + " " + CUT), ("b9", CUT + " " + prose(402, 33)), ("a", "x"), (None, CUT + " " + prose(403, 33)), ("b10", "other")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], bytes(r["kept"]).decode()) for r in paragraphs.dedup_paragraphs(d, with_bytes=True).collect()}
+    assert got == {("b10", rows[0][1]), ("b9", " " + prose(402, 33)), ("a", "x"), (None, " " + prose(403, 33)), ("b10", "other")}
+
+
 def test_passage_inside_unlike_lines(docs):
     rows = [(1, prose(401, 31) + " " + CUT + " " + prose(402, 33)), (2, prose(403, 37) + " " + CUT + " " + prose(404, 29))]
     got = {r["doc_id"]: bytes(r["kept"]).decode() for r in paragraphs.dedup_paragraphs(docs(rows), with_bytes=True).collect()}

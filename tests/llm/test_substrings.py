@@ -61,3 +61,9 @@ def test_kept_bytes(docs):
 
 def test_empty_table(docs):
     assert substrings.dedup_substrings(docs([])).count() == 0
+
+
+def test_ids_that_are_text_are_ordered_as_text(spark):
+    rows = [("b10", OTHER), ("b9", "head " + OTHER), (None, OTHER + " tail"), ("b10", "other"), ("x", None)]
+    got = {(r["doc_id"], bytes(r["kept"]).decode()) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id string, text string"), with_bytes=True).collect()}
+    assert got == {("b10", OTHER), ("b9", "head "), (None, " tail"), ("b10", "other"), ("x", "")}

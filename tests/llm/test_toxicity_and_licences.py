@@ -51,6 +51,11 @@ def test_licences(spark, docs):
         got[r["doc_id"]] = (r["licence"], r["notices"], r["n_notices"])
     assert got[20] == ("MIT", "", 0) and got[21][0] == "MIT" and got[22] == (None, "", 0) and got[23] == (None, "Apache-2.0,MIT", 2) and got[24] == (None, "", 0) and got[25] == ("all-rights-reserved", "all-rights-reserved", 1)
     assert licences.licence_scan(docs([]), licences.known_licences(spark)).count() == 0
+    # Every form is respelt, however long and whatever is known.
+    spelt = [(30, "https " * 900 + "sub\nlicence"), (31, "http " * 900 + "sublicense")]
+    for known in ([("Mine", "http " * 900 + "SUB-LICENSE")], []):
+        found = licences.licence_scan(docs(spelt), licences.known_licences(spark, known)).collect()
+        assert len({r["text_digest"] for r in found}) == 1 and {r["licence"] for r in found} == ({"Mine"} if known else {None})
     assert licences.licence_scan(docs(rows), licences.known_licences(spark, [])).where("licence is not null or n_notices > 0").count() == 0
 
 
@@ -67,14 +72,24 @@ def test_full_licence_texts(spark, docs):
     assert {i: r["text_digest"] for i, r in got.items()} == {i: r["text_digest"] for i, r in before.items()}
 
 
+def test_full_texts_inside_documents(spark, docs):
+    texts = dict(licences.full_texts())
+    bsd, mpl = texts["BSD-2-Clause"], texts["MPL-2.0"]
+    rows = [(1, "Some prose.\n" + bsd + "\nMore prose."), (2, "A\n" + mpl + "\nB\n" + bsd.upper()), (3, "A\n" + bsd.replace("source", "sauce", 1) + "\nB"), (4, " ".join(bsd.split()[:40])), (5, "x\n" + " ".join(mpl.split()))]
+    got = {r["doc_id"]: r for r in licences.licence_scan(docs(rows), licences.known_licences(spark), texts=licences.known_texts(spark)).collect()}
+    assert [got[i]["notices"] for i in range(1, 6)] == ["BSD-2-Clause", "BSD-2-Clause,MPL-2.0", "", "", "MPL-2.0"]
+    assert all(r["licence"] is None for r in got.values())
+
+
 @pytest.mark.skipif("not __import__('os').path.isdir('/root/testdata/sf0.001')", reason="no test tables")
 def test_pipeline_is_its_stages_by_brute_force(spark):
     """Each stage's survivors from plain Python, on the smallest tables; only the trained model is shared."""
     import re
 
     import corpus_pipeline
+    from chronofold.llm import simhash
     from test_contamination import words
-    from test_near_copies import brute_fp, classes
+    from test_near_copies import classes
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -88,8 +103,15 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
         k = re.sub("[\x20\x09-\x0d]", "", t)
         best[k] = min(best.get(k, (0, 1 << 60)), (-len(t), i))
     ids = sorted(i for _, i in best.values())
-    fps = [brute_fp(text[i]) for i in ids]
-    root = classes(fps, lambda a, b: (a ^ b).bit_count() <= 4)
+    import numpy as np
+
+    found = np.stack([simhash.sketch(text[i], simhash._Hashes()) for i in ids])
+    anchors = [set() for _ in ids]
+    for k in range(simhash.ANCHOR_WORDS):
+        for row, key in zip(*simhash._anchors(np.ascontiguousarray(found[:, k]))):
+            anchors[row].add((k, int(key)))
+    most = simhash.most_bits(simhash.NEAR)
+    root = classes(range(len(ids)), lambda a, b: np.bitwise_count(found[a] ^ found[b]).sum() <= most and (not anchors[a].isdisjoint(anchors[b]) or not found[a].any() and not found[b].any()))
     ids = [i for k, i in enumerate(ids) if root[k] == k]
 
     def clean(t):
@@ -102,3 +124,34 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
 
     want = {i for i in ids if clean(text[i])}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
+def stages(spark, rows, schema, tmp_path):
+    """What each stage of the pipeline but the last keeps of ``rows``; benchmark and labels are small."""
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, prose(2, 13))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        docs = out
+    return docs, corpus_pipeline.run(spark, sf)
+
+
+def test_pipeline_with_repeated_and_absent_ids(spark, tmp_path):
+    from collections import Counter
+
+    rows = [(2, prose(1)), (2, prose(5)), (1, prose(1)), (None, prose(1)), (None, prose(6)), (None, prose(6)), (4, None), (4, ""), (7, "x " + prose(2, 13)), (7, prose(7)), (None, "y " + prose(2, 13)), (9, prose(8, 6000))]
+    left, packed = stages(spark, [(i, t, "s", "a", "b", 1) for i, t in rows], "doc_id long, text string, source string, row string, id string, size int", tmp_path)
+    want = Counter([(2, prose(5)), (1, prose(1)), (None, prose(6)), (4, ""), (7, prose(7)), (9, prose(8, 6000))])
+    assert Counter((r["doc_id"], r["text"] or "") for r in left.collect()) == want
+    assert Counter(r["doc_id"] for r in packed.where("piece = 0").collect()) == Counter(i for i, _ in want)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    left, packed = stages(spark, [], "doc_id long, text string, source string, lang string, n_chars long", tmp_path)
+    assert left.count() == 0 and packed.count() == 0
