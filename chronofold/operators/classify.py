@@ -13,8 +13,16 @@ SCORES = ("score_transit", "score_wavelike", "score_flaring", "score_irregular_v
 FAMILIES = tuple(s.removeprefix("score_") for s in SCORES)
 
 
+#: Inputs that some tables have and others don't; all others must be there.
+OPTIONAL = ("out_of_distribution_score",)
+
+
 def _reader(df: DataFrame):
+    """Values of a feature, null as a default. A feature that the table lacks altogether is an error, not a zero."""
+
     def v(name: str, default: float | None = 0.0) -> Column:
+        if name not in df.columns and name not in OPTIONAL:
+            raise ValueError(f"the features lack {name}")
         c = F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
         return c if default is None else F.coalesce(c, F.lit(float(default)))
 

@@ -1,14 +1,12 @@
-"""Phase profiles, excursion events, time-domain and shape features.
+"""Relational forms of phase profiles, excursion events and time-domain features.
 
 Observations are (source_id, row_id, time, mag, err, filter). What is a sum, a
-median or a neighbour in time is native; what needs a whole circular profile at
-once (shifts, axes, fits) is one grouped pandas function over 64-bin profiles.
+median or a neighbour in time is native here. What needs a source's whole fold at
+once (shifts, axes, fits), and all that the staged run uses, is in ``profiles``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,14 +56,13 @@ def fourier(bins: DataFrame, harmonics: int = 4, n_bins: int = 64) -> DataFrame:
     return sums.select("source_id", "filter", amp(1).alias("fourier_amplitude"), *cols)
 
 
-def residuals(points: DataFrame, bins: DataFrame) -> DataFrame:
-    """Points with their folded profile taken off: residual and z = residual over max(error, the band's residual spread)."""
-    cfg = MorphologyConfig()
+def residuals(points: DataFrame, bins: DataFrame, cfg: MorphologyConfig = MorphologyConfig()) -> DataFrame:
+    """Points with their folded profile taken off: residual and z = residual over max(error, the source's residual spread)."""
     band = W.partitionBy("source_id", "filter")
     p = points.withColumn("x", F.col("mag") - median(F.col("mag")).over(band)).withColumn("bin", bin_of(phase(F.col("time"), F.col("period")), cfg.phase_bins))
     b = bins.select(F.col("source_id").alias("bs"), F.col("filter").alias("bf"), F.col("bin").alias("bb"), "value")
     p = p.join(b, (F.col("source_id") == F.col("bs")) & (F.col("filter") == F.col("bf")) & (F.col("bin") == F.col("bb"))).withColumn("residual", F.col("x") - F.col("value"))
-    return p.withColumn("z", F.col("residual") / F.greatest("err", spread(F.col("residual"), band))).drop("bs", "bf", "bb")
+    return p.withColumn("z", F.col("residual") / F.greatest("err", spread(F.col("residual"), W.partitionBy("source_id")))).drop("bs", "bf", "bb")
 
 
 def excursion_events(rows: DataFrame, sigma: float = 5.0, gap: float = 1.0, min_points: int = 2) -> DataFrame:
@@ -84,22 +81,26 @@ def excursion_events(rows: DataFrame, sigma: float = 5.0, gap: float = 1.0, min_
     return out.withColumn("rejection_reason", F.when(F.col("passes_quality_validation"), "").otherwise("single_point_excursion")).drop("nf")
 
 
-def event_metrics(events: DataFrame, n_points: DataFrame) -> DataFrame:
-    """Per source: counts, strongest event, point fraction, asymmetry and whether the loss of any one event leaves two."""
-    ok = F.col("passes_quality_validation")
-    agg = lambda t: [
-        F.count_if((F.col("event_type") == t) & ok).alias(f"{t}_event_count"), F.max(F.when((F.col("event_type") == t) & ok, F.col("peak_residual_significance"))).alias(f"strongest_{t}_sigma"),
-        F.sum(F.when((F.col("event_type") == t) & ok, F.col("n_measurements")).otherwise(0)).alias(f"{t}_points"), F.count_if((F.col("event_type") == t) & ~ok).alias(f"single_point_{t}_count"),
-        F.countDistinct(F.when((F.col("event_type") == t) & ok, F.col("independent_observing_night"))).alias(f"{t}_nights"),
-    ]
-    e = events.groupBy("source_id").agg(*agg("brightening"), *agg("dimming"))
+def event_metrics(events: DataFrame, n_points: DataFrame, min_events: int = 2) -> DataFrame:
+    """Per source of ``n_points`` (source_id, n_points): validated events of either kind, and what supports the brightenings."""
+    ok, kind = F.col("passes_quality_validation"), F.col("event_type")
+    flare, dim = ok & (kind == "brightening"), ok & (kind == "dimming")
+    of = lambda c, x: F.when(c, F.col(x))
+    e = events.groupBy("source_id").agg(
+        F.count_if(flare).alias("flare_event_count"), F.count_if(dim).alias("dimming_event_count"), F.max(of(flare, "peak_residual_significance")).alias("strongest_flare_sigma"),
+        F.max(of(dim, "peak_residual_significance")).alias("strongest_dimming_sigma"), F.sum(of(kind == "brightening", "n_measurements")).alias("bright"), F.sum(of(kind == "dimming", "n_measurements")).alias("faint"),
+        F.sum(of(flare, "n_measurements")).alias("in_flares"), F.countDistinct(of(flare, "independent_observing_night")).alias("validated_flare_independent_nights"), median(of(flare, "median_residual_significance")).alias("validated_flare_median_significance"),
+        F.avg(F.when(flare, F.col("has_cross_filter_support").cast("double"))).alias("validated_flare_cross_filter_fraction"), F.avg(F.when(flare, F.col("is_multi_point").cast("double"))).alias("validated_flare_multi_point_fraction"),
+        F.count_if(flare & (F.col("n_measurements") >= 3)).alias("validated_flare_well_sampled_event_count"), F.count_if(flare & F.col("has_cross_filter_support")).alias("validated_flare_cross_filter_event_count"),
+        F.count_if((kind == "brightening") & (F.col("n_measurements") == 1)).alias("single_point_flare_event_count"),
+    )
     j = n_points.join(e, "source_id", "left")
-    names = [c for c in e.columns if c != "source_id" and not c.startswith("strongest")]
-    j = j.select("source_id", "n_points", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names], *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in e.columns if c.startswith("strongest")])
-    b, d = F.col("brightening_event_count"), F.col("dimming_event_count")
-    return j.withColumn("brightening_point_fraction", F.col("brightening_points") / F.col("n_points")).withColumn("dimming_point_fraction", F.col("dimming_points") / F.col("n_points")).withColumn(
-        "flare_asymmetry", F.coalesce(F.try_divide(b - d, b + d), F.lit(0.0))
-    ).withColumn("leave_one_event_out_persistent", b >= 3)
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    names = [c for c in e.columns if c not in ("source_id", "bright", "faint", "in_flares")]
+    j = j.select("source_id", "n_points", *[zero(c).alias(c) for c in names], *[(zero(c) / F.col("n_points")).alias(n) for c, n in (("bright", "flare_point_fraction"), ("faint", "dimming_point_fraction"), ("in_flares", "flare_duty_fraction"))])
+    n, d = F.col("flare_event_count"), F.col("dimming_event_count")
+    passes = (n >= 2) | (F.col("validated_flare_well_sampled_event_count") >= 1) | (F.col("validated_flare_cross_filter_event_count") >= 1)
+    return j.withColumn("flare_asymmetry", F.coalesce(F.try_divide(n, n + d), F.lit(0.0))).withColumn("flare_leave_one_event_out_persistent", (n - 1 >= max(2, min_events - 1)).cast("double")).withColumn("flare_primary_validation_pass", passes.cast("double"))
 
 
 def with_sections(points: DataFrame, k: int = 4) -> DataFrame:
@@ -141,143 +142,35 @@ def phase_section_dependence(points: DataFrame) -> DataFrame:
     return out.select("source_id", clip01(F.col("mi") / F.greatest("h", F.lit(1e-9))).alias("phase_time_section_dependence"))
 
 
-def cycle_dimming(points: DataFrame, bins: DataFrame, width: float = 0.1) -> DataFrame:
-    """Per source: covered cycles, cycles whose dip window is dimmer than the rest by 1.5 sigma, nights and sections that support the dip at the faintest bin."""
-    src = W.partitionBy("source_id")
-    dip = bins.groupBy(F.col("source_id").alias("ds")).agg(((F.max(F.struct("value", (-F.col("bin")).alias("b")))["b"] * -1 + 0.5) / 64.0).alias("dip_phase"))
-    p = with_sections(points).withColumn("x", F.col("mag") - median(F.col("mag")).over(W.partitionBy("source_id", "filter"))).withColumn("cycle", F.floor((F.col("time") - F.min("time").over(src)) / F.col("period")))
-    p = p.join(dip, F.col("source_id") == F.col("ds")).withColumn("d", F.abs(phase(F.col("time"), F.col("period")) - F.col("dip_phase"))).withColumn("inside", F.least("d", 1 - F.col("d")) <= width)
-    c = p.groupBy("source_id", "cycle").agg(
-        F.count_if("inside").alias("n_in"), F.count_if(~F.col("inside")).alias("n_out"), F.avg(F.when(F.col("inside"), F.col("x"))).alias("m_in"), F.avg(F.when(~F.col("inside"), F.col("x"))).alias("m_out"),
-        median(F.col("err")).alias("e"), F.min("section").alias("section"), F.min(F.when(F.col("inside"), F.floor("time"))).alias("night"),
-    ).where("n_in > 0 and n_out > 0")
-    c = c.withColumn("contrast", (F.col("m_in") - F.col("m_out")) / (F.col("e") * F.sqrt(1 / F.col("n_in") + 1 / F.col("n_out")))).withColumn("good", F.col("contrast") >= 1.5)
-    return c.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("dip_covered_cycles"), F.count_if("good").alias("dip_supporting_cycles"), F.countDistinct(F.when(F.col("good"), F.col("section"))).alias("dip_supporting_time_sections"),
-        F.countDistinct(F.when(F.col("good"), F.col("night"))).alias("dip_independent_nights"), (F.count_if("good") / F.count(F.lit(1))).alias("dip_cycle_support_fraction"), median(F.col("contrast")).alias("median_contrast"),
-    )
-
-
-# Circular profiles.
-
-
-def circular_fill(v: np.ndarray) -> np.ndarray:
-    """Missing bins by linear interpolation around the circle; zeros if all are missing."""
-    ok = np.isfinite(v)
-    if not ok.any():
-        return np.zeros_like(v)
-    n, at = len(v), np.flatnonzero(ok)
-    return np.interp(np.arange(n), np.concatenate([at - n, at, at + n]), np.tile(v[at], 3))
-
-
-def best_shift(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
-    """The roll of ``b`` nearest to ``a`` and their root mean square distance."""
-    d = [float(np.sqrt(np.mean((a - np.roll(b, s)) ** 2))) for s in range(len(a))]
-    k = int(np.argmin(d))
-    return k, d[k]
-
-
-def longest_run(mask: np.ndarray) -> int:
-    """Longest run of true values around the circle."""
-    if mask.all():
-        return len(mask)
-    best = run = 0
-    for x in np.concatenate([mask, mask]):
-        run = run + 1 if x else 0
-        best = max(best, run)
-    return best
-
+def dips(bins: DataFrame, n_bins: int = 64) -> DataFrame:
+    """(source_id, dip_phase, dip_duty_cycle): the faintest bin's phase and the share of occupied bins at least half as deep."""
+    w = W.partitionBy("source_id")
+    b = bins.groupBy("source_id", "bin").agg(F.avg("value").alias("v")).withColumn("depth", F.col("v") - median(F.col("v")).over(w))
+    b = b.withColumn("deepest", F.max("depth").over(w))
+    at = F.min(F.when(F.col("depth") == F.col("deepest"), F.col("bin")))
+    return b.groupBy("source_id").agg((at / float(n_bins)).alias("dip_phase"), F.avg((F.col("depth") >= F.col("deepest") / 2).cast("double")).alias("dip_duty_cycle"))
 
-def mirror_symmetry(v: np.ndarray, noise: float) -> float:
-    """Largest share of the significant harmonics' power that is even about some axis."""
-    n = len(v)
-    z = np.fft.rfft(v - v.mean())[1:] * 2 / n
-    z = z[np.abs(z) > 3 * noise * np.sqrt(2 / n)]
-    if not len(z):
-        return float("nan")
-    h = np.flatnonzero(np.abs(np.fft.rfft(v - v.mean())[1:] * 2 / n) > 3 * noise * np.sqrt(2 / n)) + 1
-    axes = np.arange(4 * n) / (4 * n) * 2 * np.pi
-    even = (np.real(z[:, None] * np.exp(1j * np.outer(h, axes))) ** 2).sum(0)
-    return float(even.max() / (np.abs(z) ** 2).sum())
 
+def cycle_dimming(points: DataFrame, dip: DataFrame) -> DataFrame:
+    """Per source: cycles with points in the dip and a baseline, those whose dip is fainter by 1.5 sigma, and the nights and sections of their faint points.
 
-def shape(v: np.ndarray, noise: float) -> dict[str, float]:
-    """Shape numbers of a normalised circular profile (magnitudes: up is fainter)."""
-    n, m = len(v), float(np.median(v))
-    dip, flare = float(np.percentile(v, 98) - m), float(m - np.percentile(v, 2))
-    in_dip, in_flare = v - m > dip / 2, m - v > flare / 2
-    smooth = (np.roll(v, 1) + v + np.roll(v, -1)) / 3
-    peaks = (smooth > np.roll(smooth, 1)) & (smooth >= np.roll(smooth, -1)) & (smooth - m > max(0.35, 4 * noise))
-    z = np.fft.rfft(v - v.mean())
-    power = np.abs(z[1:]) ** 2
-    x = (v - v.mean()) / v.std() if v.std() > 0 else v * 0
-    second = np.where(np.abs((np.arange(n) - int(v.argmax()) + n // 2) % n - n // 2) > n // 8, v, -np.inf)
-    return {
-        "dip_depth_norm": dip, "flare_depth_norm": flare, "dip_duty_cycle": float(in_dip.mean()), "flare_duty_cycle": float(in_flare.mean()), "dip_width": longest_run(in_dip) / n, "flare_width": longest_run(in_flare) / n,
-        "dip_dominance": dip / max(flare, 1e-9), "flare_dominance": flare / max(dip, 1e-9), "secondary_dip_depth_norm": float(second.max() - m), "secondary_dip_phase_separation": float(abs(int(second.argmax()) - int(v.argmax())) % n / n),
-        "out_of_dip_variation": float(v[~in_dip].std()), "out_of_flare_variation": float(v[~in_flare].std()), "sinusoid_residual": float(1 - power[0] / power.sum()) if power.sum() > 0 else 1.0,
-        "profile_peak_count": float(peaks.sum()), "profile_skew": float((x**3).mean() * np.sqrt(n * (n - 1)) / (n - 2)), "mirror_symmetry": mirror_symmetry(v, noise),
-    }
-
-
-FEATURES = (
-    "source_id string, best_shift int, amplitude double, phase_coverage double, " + ", ".join(f"{k} double" for k in shape(np.sin(np.arange(64) / 10), 0.1)) + ", map_profile array<double>, wave_model_score double, dimming_model_score double, odd_even_difference double"
-)
-
-
-def _held_out(v: np.ndarray, s: np.ndarray) -> tuple[float, float]:
-    """Three-fold scores of a two-harmonic wave and of one Gaussian dip: how much of the median |z| each removes."""
-    n = len(v)
-    x = 2 * np.pi * np.arange(n) / n
-    wave = np.column_stack([np.ones(n), np.sin(x), np.cos(x), np.sin(2 * x), np.cos(2 * x)])
-    d = (np.arange(n) - int(v.argmax()) + n // 2) % n - n // 2
-    scores = []
-    for models in ([wave], [np.column_stack([np.ones(n), np.exp(-0.5 * (d / w) ** 2)]) for w in (2.0, 4.0, 8.0)]):
-        best = np.inf
-        for a in models:
-            z = []
-            for k in range(3):
-                test = np.arange(n) % 3 == k
-                coef = np.linalg.lstsq(a[~test] / s[~test, None], v[~test] / s[~test], rcond=None)[0]
-                z.append(np.abs(v[test] - a[test] @ coef) / s[test])
-            best = min(best, float(np.median(np.concatenate(z))) * (1 + 0.02 * a.shape[1]))
-        scores.append(max(0.0, 1 - best / max(float(np.median(np.abs(v - np.median(v)) / s)), 1e-9)))
-    return scores[0], scores[1]
-
-
-def shape_features(bins: DataFrame, cfg: MorphologyConfig = MorphologyConfig(), partitions: int | None = None) -> DataFrame:
-    """One row per source: bands aligned by their best circular shift, combined by significance, and measured."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        profiles = []
-        for _, b in pdf.sort_values(["filter", "bin"]).groupby("filter"):
-            v, s = np.full(cfg.phase_bins, np.nan), np.full(cfg.phase_bins, np.nan)
-            v[b["bin"]], s[b["bin"]] = b["value"], b["sigma"]
-            ok = np.isfinite(v)
-            filled = circular_fill(v)
-            filled = filled - np.median(filled)
-            s = np.where(np.isfinite(s) & (s > 0), s, np.nanmedian(s[s > 0]) if (s > 0).any() else 1.0)
-            chi2 = float(np.mean((filled[ok] / s[ok]) ** 2)) if ok.sum() >= 8 else 0.0
-            profiles.append((filled, s, max(chi2, 0.1) * np.sqrt(b["n"].sum()), ok.mean()))
-        first, shift = profiles[0][0], 0
-        total = sum(p[2] for p in profiles)
-        v, var = np.zeros(cfg.phase_bins), np.zeros(cfg.phase_bins)
-        for filled, s, weight, _ in profiles:
-            k = best_shift(first, filled)[0]
-            shift = k or shift
-            v, var = v + weight / total * np.roll(filled, k), var + (weight / total * np.roll(s, k)) ** 2
-        amplitude = float(np.percentile(v, 95) - np.percentile(v, 5))
-        norm = v / amplitude if amplitude > 1e-12 else v * 0
-        lead = int(np.argmax(0.8 * norm + 0.2 * (np.roll(norm, 1) + norm + np.roll(norm, -1)) / 3))
-        norm, sd = np.roll(norm, -lead), np.roll(np.sqrt(var), -lead) / max(amplitude, 1e-12)
-        wave, dim = _held_out(norm, np.maximum(sd, 1e-9))
-        half = cfg.phase_bins // 2
-        row = {
-            "source_id": key[0], "best_shift": shift, "amplitude": amplitude, "phase_coverage": float(max(p[3] for p in profiles)), **shape(norm, float(np.median(sd))), "map_profile": norm.reshape(cfg.map_bins, -1).mean(1).tolist(),
-            "wave_model_score": wave, "dimming_model_score": dim, "odd_even_difference": float(np.abs(norm[:half] - norm[half:]).max()),
-        }
-        return pd.DataFrame([row])[[c.split()[0] for c in FEATURES.split(", ")]]
-
-    n = partitions or max(int(bins.sparkSession.conf.get("spark.sql.shuffle.partitions")), bins.sparkSession.sparkContext.defaultParallelism)
-    out = bins.repartition(n, "source_id").groupBy("source_id").applyInPandas(one, FEATURES)
-    return out.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    ``dip`` has dip_phase and dip_duty_cycle. Very broad dips (0.40 and more) need no baseline of their own cycle.
+    """
+    src = W.partitionBy("source_id")
+    p = with_sections(points).join(dip.withColumnRenamed("source_id", "__d"), F.col("source_id") == F.col("__d"))
+    p = p.withColumn("turn", (F.col("time") - F.min("time").over(src)) / F.col("period")).withColumn("cycle", F.floor("turn")).withColumn("gap", F.abs(F.col("turn") - F.floor("turn") - F.col("dip_phase")))
+    p = p.withColumn("width", F.least(F.greatest("dip_duty_cycle", F.lit(0.02)), F.lit(0.65))).withColumn("inside", F.least("gap", 1 - F.col("gap")) <= F.col("width") / 2)
+    base = F.when(~F.col("inside"), F.col("mag"))
+    p = p.withColumn("scale", F.greatest(spread(F.col("mag"), src), median(F.col("err")).over(src), F.lit(1e-6))).withColumn("level", F.coalesce(median(base).over(src), median(F.col("mag")).over(src)))
+    p = p.withColumn("n_in_all", F.count_if("inside").over(src)).withColumn("own", median(base).over(W.partitionBy("source_id", "cycle"))).where("n_in_all >= 2")
+    dipped = p.where("inside and (own is not null or width >= 0.40)").withColumn("base", F.coalesce("own", "level"))
+    c = dipped.groupBy("source_id", "cycle").agg(
+        (median(F.col("mag")) - F.first("base")).alias("depth"), F.greatest(F.first("scale") / F.sqrt(F.count(F.lit(1))), median(F.col("err")), F.lit(1e-9)).alias("sigma"),
+        F.collect_set(F.when(F.col("mag") > F.col("base"), F.floor("time"))).alias("nights"), F.collect_set(F.when(F.col("mag") > F.col("base"), F.col("section"))).alias("sections"),
+    )
+    c = c.withColumn("contrast", F.col("depth") / F.col("sigma")).withColumn("good", (F.col("contrast") >= 1.5) & (F.col("depth") > 0))
+    distinct = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("good"), F.col(name))))))
+    return c.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("dip_covered_cycles"), F.count_if("good").alias("dip_supporting_cycles"), distinct("sections").alias("dip_supporting_time_sections"), distinct("nights").alias("dip_independent_nights"),
+        (F.count_if("good") / F.count(F.lit(1))).alias("dip_cycle_support_fraction"), median(F.col("contrast")).alias("dip_local_contrast_sigma"),
+    )

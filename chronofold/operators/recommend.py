@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronofold.config import WARNING_ORDER, PeriodConfig
 from chronofold.functions.columns import catalogue_match, harmonic_relation
+from chronofold.operators.series import fold_coherence
 
 SERIES = ("combined", "o", "c")
 
@@ -39,7 +40,7 @@ def evidence(rows: DataFrame, cfg: PeriodConfig = PeriodConfig()) -> DataFrame:
 
 def best_rows(rows: DataFrame) -> DataFrame:
     """One row per source and series: the most defensible of duplicates."""
-    order = [F.desc_nulls_last(c) for c in ("significant", "best_to_second_power_ratio", "raw_fold_amp_snr", "raw_ls_best_power")]
+    order = [F.desc_nulls_last(c) for c in ("significant", "best_to_second_power_ratio", "raw_fold_amp_snr", "raw_ls_best_power")] + [F.asc_nulls_last("recommended_series_period_days")]
     return rows.withColumn("__r", F.row_number().over(W.partitionBy("source_id", "series").orderBy(*order))).where("__r = 1").drop("__r")
 
 
@@ -198,3 +199,27 @@ def extra_fold_candidates(peaks: DataFrame, scored: DataFrame, k: int = 3) -> Da
     j = j.withColumn("separation", F.abs(F.log(F.col("period_days") / first))).where("rank > 1")
     w = W.partitionBy("source_id").orderBy(F.desc("separation"), "alias_score", "series", "rank")
     return j.withColumn("choice", F.row_number().over(w)).where(F.col("choice") <= k).drop("__p")
+
+
+def forced_folds(points: DataFrame, recommended: DataFrame, cfg: PeriodConfig = PeriodConfig()) -> DataFrame:
+    """Per source: how each band folds at the recommended period and at the other band's own, and which bands show the signal.
+
+    ``points`` are prepared series rows (source_id, series, mjd, ...). A band that
+    does not find the period by itself may still show it in the fold.
+    """
+    at = lambda name, c: F.struct(F.lit(name).alias("which"), F.col(c).alias("period"))
+    wanted = F.array(at("recommended", "recommended_period_days"), at("o_period", "o_period_days"), at("c_period", "c_period_days"))
+    periods = recommended.select(F.col("source_id").alias("__s"), F.explode(wanted).alias("f")).select("__s", "f.which", F.col("f.period").alias("__p")).where("__p > 0")
+    crossed = (F.col("which") == "recommended") | ((F.col("series") == "o") & (F.col("which") == "c_period")) | ((F.col("series") == "c") & (F.col("which") == "o_period"))
+    rows = points.where(F.col("series").isin("o", "c")).join(periods, F.col("source_id") == F.col("__s")).where(crossed)
+    rows = rows.withColumn("series", F.concat_ws("@", "series", "which")).withColumn("phase", F.col("mjd") / F.col("__p") - F.floor(F.col("mjd") / F.col("__p"))).drop("__s", "__p", "which")
+    folds = fold_coherence(rows, cfg)
+    get = lambda band, which, c: F.max(F.when(F.col("series") == f"{band}@{which}", F.col(c)))
+    names = {"amp": "fold_amplitude", "snr": "fold_amp_snr", "scatter_reduction": "fold_scatter_reduction"}
+    own = [get(b, "recommended", c).alias(f"{b}_forced_at_recommended_{n}") for b in ("o", "c") for n, c in names.items()]
+    other = [get(b, f"{o}_period", names[n]).alias(f"{b}_forced_at_{o}_period_{n}") for b, o in (("c", "o"), ("o", "c")) for n in ("amp", "snr")]
+    w = recommended.select("source_id").join(folds.groupBy("source_id").agg(*own, *other), "source_id", "left")
+    o, c = (_yes(F.col(f"{b}_forced_at_recommended_snr") >= cfg.fold_snr) for b in ("o", "c"))
+    status = F.when(o & c, "both_filters_show_forced_signal").when(o, "o_only_at_recommended_period").when(c, "c_only_at_recommended_period").otherwise("forced_fold_weak_or_unavailable")
+    ratio = F.when(F.col("c_forced_at_recommended_amp") > 0, F.col("o_forced_at_recommended_amp") / F.col("c_forced_at_recommended_amp"))
+    return w.withColumn("o_over_c_forced_amp_ratio", ratio).withColumn("colour_recovery_status", status)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronofold.config import MorphologyConfig
+from chronofold.operators import classify as K
 from chronofold.operators import features as M
+from chronofold.operators import profiles as P
 from chronofold.plans.cleaning import AUDIT_SQL, _rounded, cleaned
 from chronofold.sources.adapters import catalogue
 
@@ -56,11 +59,28 @@ def phase_section_mi(spark, sf_dir):
 
 def cycle_dimming(spark, sf_dir):
     p = points(spark, sf_dir)
-    return _rounded(M.cycle_dimming(p, M.phase_profile(p)))
+    return _rounded(M.cycle_dimming(p, M.dips(M.phase_profile(p))))
+
+
+def _listed(c: str):
+    return F.array_join(F.transform(c, lambda x: F.format_number(F.coalesce(x, F.lit(0.0)), 4)), ";").alias(c)
 
 
 def features_full(spark, sf_dir):
-    return _rounded(M.shape_features(M.phase_profile(points(spark, sf_dir)))).withColumn("map_profile", F.array_join(F.transform("map_profile", lambda x: F.format_number(x, 3)), ";"))
+    """Every feature of every source, with its two blocks and profile as text; tests hold them against plain formulas."""
+    f = P.source_features(points(spark, sf_dir))
+    return _rounded(f.select(*[_listed(c) if t == "array<double>" else F.col(c) for c, t in f.dtypes if c != "events"]))
+
+
+def feature_events(spark, sf_dir):
+    """The excursion events that the features rest on, rejected ones included."""
+    return _rounded(P.event_table(P.source_features(points(spark, sf_dir), MorphologyConfig(event_sigma=EVENT_SIGMA))))
+
+
+def classified_curves(spark, sf_dir):
+    """Families of the light curves' own features."""
+    out = K.classified(P.source_features(points(spark, sf_dir)).drop("events"))
+    return _rounded(out.select("source_id", "primary_tag", "secondary_tags", "review_reasons", "interest_status", "confidence", *K.SCORES))
 
 
 POINTS_SQL = AUDIT_SQL + """,
@@ -72,7 +92,7 @@ bins AS (SELECT source_id, filter, bin, count(*) AS n, median(x) AS value,
          coalesce(CASE WHEN count(*) > 3 AND quantile_cont(x, 0.84) - quantile_cont(x, 0.16) > 0 THEN (quantile_cont(x, 0.84) - quantile_cont(x, 0.16)) / 2 END, median(err)) / sqrt(count(*)) AS sigma FROM cen GROUP BY source_id, filter, bin)"""
 EVENTS_SQL = BINS_SQL + f""",
 res AS (SELECT cen.*, x - value AS r FROM cen JOIN bins USING (source_id, filter, bin)),
-zed AS (SELECT *, r / greatest(err, (quantile_cont(r, 0.84) OVER w - quantile_cont(r, 0.16) OVER w) / 2) AS z FROM res WINDOW w AS (PARTITION BY source_id, filter)),
+zed AS (SELECT *, r / greatest(err, (quantile_cont(r, 0.84) OVER w - quantile_cont(r, 0.16) OVER w) / 2) AS z FROM res WINDOW w AS (PARTITION BY source_id)),
 exc AS (SELECT *, CASE WHEN z > 0 THEN 'dimming' ELSE 'brightening' END AS event_type FROM zed WHERE abs(z) > {EVENT_SIGMA}),
 brk AS (SELECT *, lag(time) OVER w AS before FROM exc WINDOW w AS (PARTITION BY source_id, event_type ORDER BY time, row_id)),
 num AS (SELECT *, sum(CASE WHEN before IS NULL OR time - before > 1 OR floor(time) <> floor(before) THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, event_type ORDER BY time, row_id ROWS UNBOUNDED PRECEDING) AS event_number FROM brk),
@@ -80,12 +100,15 @@ evt AS (SELECT source_id, event_type, CAST(event_number AS BIGINT) AS event_numb
         max(abs(z)) AS peak, median(abs(z)) AS med, median(err) AS mq, count(*) >= 2 AS multi, count(DISTINCT filter) >= 2 AND count(*) >= 2 AS crossed FROM num GROUP BY source_id, event_type, event_number)"""
 
 
-def _metric(t: str) -> str:
-    ok = f"event_type = '{t}' AND (multi OR crossed)"
-    return (
-        f"count(*) FILTER ({ok}) AS {t}_event_count, max(peak) FILTER ({ok}) AS s_{t}, coalesce(sum(n_measurements) FILTER ({ok}), 0) AS {t}_points, count(*) FILTER (event_type = '{t}' AND NOT (multi OR crossed)) AS single_point_{t}_count, "
-        f"count(DISTINCT floor(event_time)) FILTER ({ok}) AS {t}_nights"
-    )
+_FLARE, _DIM = ("event_type = '" + t + "' AND (multi OR crossed)" for t in ("brightening", "dimming"))
+_METRICS = {
+    "flare_event_count": f"count(*) FILTER ({_FLARE})", "dimming_event_count": f"count(*) FILTER ({_DIM})", "strongest_flare_sigma": f"max(peak) FILTER ({_FLARE})", "strongest_dimming_sigma": f"max(peak) FILTER ({_DIM})",
+    "flare_point_fraction": "sum(n_measurements) FILTER (event_type = 'brightening') / any_value(n_points)", "dimming_point_fraction": "sum(n_measurements) FILTER (event_type = 'dimming') / any_value(n_points)",
+    "flare_duty_fraction": f"sum(n_measurements) FILTER ({_FLARE}) / any_value(n_points)", "validated_flare_independent_nights": f"count(DISTINCT floor(event_time)) FILTER ({_FLARE})",
+    "validated_flare_median_significance": f"median(med) FILTER ({_FLARE})", "validated_flare_cross_filter_fraction": f"avg(CAST(crossed AS INT)) FILTER ({_FLARE})", "validated_flare_multi_point_fraction": f"avg(CAST(multi AS INT)) FILTER ({_FLARE})",
+    "validated_flare_well_sampled_event_count": f"count(*) FILTER ({_FLARE} AND n_measurements >= 3)", "validated_flare_cross_filter_event_count": f"count(*) FILTER ({_FLARE} AND crossed)",
+    "single_point_flare_event_count": "count(*) FILTER (event_type = 'brightening' AND n_measurements = 1)",
+}
 
 
 _PI2 = "CAST(6.283185307179586 AS DOUBLE)"
@@ -103,7 +126,7 @@ def _phi(h: int) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (phase_profile_bins, profile_significance, fourier_descriptors, excursion_events, event_metrics, section_profile, temporal_coherence, phase_section_mi, cycle_dimming, features_full)
+    for f in (phase_profile_bins, profile_significance, fourier_descriptors, excursion_events, event_metrics, section_profile, temporal_coherence, phase_section_mi, cycle_dimming, features_full, feature_events, classified_curves)
 }
 
 ORACLES = {
@@ -117,11 +140,10 @@ ORACLES = {
     "excursion_events": f"""WITH {EVENTS_SQL} SELECT source_id, event_type, event_number, round(event_time, 9) AS event_time, n_measurements, round(event_duration_days, 9) AS event_duration_days, represented_filters, round(peak, 9) AS peak_residual_significance,
         round(med, 9) AS median_residual_significance, round(mq, 9) AS median_quoted_uncertainty, multi AS is_multi_point, crossed AS has_cross_filter_support, multi OR crossed AS passes_quality_validation, CAST(floor(event_time) AS BIGINT) AS independent_observing_night,
         CASE WHEN multi OR crossed THEN '' ELSE 'single_point_excursion' END AS rejection_reason FROM evt""",
-    "event_metrics": f"""WITH {EVENTS_SQL}, m AS (SELECT source_id, {_metric('brightening')}, {_metric('dimming')} FROM evt GROUP BY source_id), n AS (SELECT source_id, count(*) AS n_points FROM pts GROUP BY source_id),
-        j AS (SELECT n.source_id, n_points, {", ".join(f"CAST(coalesce({t}_{c}, 0) AS BIGINT) AS {t}_{c}" for t in ("brightening", "dimming") for c in ("event_count", "points", "nights"))},
-          {", ".join(f"coalesce(single_point_{t}_count, 0) AS single_point_{t}_count, coalesce(s_{t}, 0) AS s_{t}" for t in ("brightening", "dimming"))} FROM n LEFT JOIN m USING (source_id))
-        SELECT source_id, n_points, {", ".join(f"{t}_event_count, {t}_points, single_point_{t}_count, {t}_nights, round(s_{t}, 6) AS strongest_{t}_sigma, round({t}_points / n_points, 6) AS {t}_point_fraction" for t in ("brightening", "dimming"))},
-          round(coalesce((brightening_event_count - dimming_event_count) / nullif(brightening_event_count + dimming_event_count, 0), 0), 6) AS flare_asymmetry, brightening_event_count >= 3 AS leave_one_event_out_persistent FROM j""",
+    "event_metrics": f"""WITH {EVENTS_SQL}, n AS (SELECT source_id, count(*) AS n_points FROM pts GROUP BY source_id),
+        m AS (SELECT n.source_id, any_value(n_points) AS n_points, {", ".join(f"round(coalesce(CAST({x} AS DOUBLE), 0), 6) AS {c}" for c, x in _METRICS.items())} FROM n LEFT JOIN evt USING (source_id) GROUP BY n.source_id)
+        SELECT *, round(coalesce(flare_event_count / nullif(flare_event_count + dimming_event_count, 0), 0), 6) AS flare_asymmetry, CAST(flare_event_count - 1 >= 2 AS DOUBLE) AS flare_leave_one_event_out_persistent,
+          CAST(flare_event_count >= 2 OR validated_flare_well_sampled_event_count >= 1 OR validated_flare_cross_filter_event_count >= 1 AS DOUBLE) AS flare_primary_validation_pass FROM m""",
     "section_profile": f"""WITH {POINTS_SQL}, s AS (SELECT *, CAST(ntile(4) OVER (PARTITION BY source_id ORDER BY time, row_id) - 1 AS INTEGER) AS section FROM pts)
         SELECT source_id, section, count(*) AS n, round(median(mag), 6) AS median_mag, round(min(time), 6) AS first, round(max(time), 6) AS last FROM s GROUP BY source_id, section""",
     "temporal_coherence": f"""WITH {POINTS_SQL}, a AS (SELECT *, mag - median(mag) OVER s AS c, ntile(4) OVER (PARTITION BY source_id ORDER BY time, row_id) AS section, count(*) OVER s AS n FROM pts WINDOW s AS (PARTITION BY source_id)),
@@ -141,11 +163,17 @@ ORACLES = {
         mi AS (SELECT source_id, sum(n / tot * ln((n / tot) / ((n_o / tot) * (n_s / tot)))) AS mi FROM c JOIN t USING (source_id) JOIN po USING (source_id, o) JOIN ps USING (source_id, section) GROUP BY source_id),
         h AS (SELECT source_id, -sum(n_o / tot * ln(n_o / tot)) AS h FROM po JOIN t USING (source_id) GROUP BY source_id)
         SELECT source_id, round(greatest(0, least(1, mi / greatest(h, 1e-9))), 6) AS phase_time_section_dependence FROM mi JOIN h USING (source_id)""",
-    "cycle_dimming": f"""WITH {BINS_SQL}, dip AS (SELECT source_id, (arg_max(bin, value) + CAST(0.5 AS DOUBLE)) / 64 AS dp FROM (SELECT source_id, value, min(bin) AS bin FROM bins GROUP BY source_id, value) GROUP BY source_id),
-        s AS (SELECT *, ntile(4) OVER (PARTITION BY source_id ORDER BY time, row_id) AS section, floor((time - min(time) OVER (PARTITION BY source_id)) / period) AS cycle FROM cen),
-        d AS (SELECT s.*, least(abs(phase - dp), 1 - abs(phase - dp)) <= 0.1 AS inside FROM s JOIN dip USING (source_id)),
-        c AS (SELECT source_id, cycle, count(*) FILTER (inside) AS n_in, count(*) FILTER (NOT inside) AS n_out, avg(x) FILTER (inside) AS m_in, avg(x) FILTER (NOT inside) AS m_out, median(err) AS e, min(section) AS section, min(floor(time)) FILTER (inside) AS night FROM d GROUP BY source_id, cycle),
-        k AS (SELECT *, (m_in - m_out) / (e * sqrt(CAST(1 AS DOUBLE) / n_in + CAST(1 AS DOUBLE) / n_out)) AS contrast FROM c WHERE n_in > 0 AND n_out > 0)
-        SELECT source_id, count(*) AS dip_covered_cycles, count(*) FILTER (contrast >= 1.5) AS dip_supporting_cycles, count(DISTINCT section) FILTER (contrast >= 1.5) AS dip_supporting_time_sections, count(DISTINCT night) FILTER (contrast >= 1.5) AS dip_independent_nights,
-          round(count(*) FILTER (contrast >= 1.5) / count(*), 6) AS dip_cycle_support_fraction, round(median(contrast), 6) AS median_contrast FROM k GROUP BY source_id""",
+    "cycle_dimming": f"""WITH {BINS_SQL}, vb AS (SELECT source_id, bin, avg(value) AS v FROM bins GROUP BY source_id, bin), db AS (SELECT *, v - median(v) OVER (PARTITION BY source_id) AS depth FROM vb),
+        xb AS (SELECT *, max(depth) OVER (PARTITION BY source_id) AS deepest FROM db),
+        dip AS (SELECT source_id, min(bin) FILTER (depth = deepest) / CAST(64 AS DOUBLE) AS dp, avg(CAST(depth >= deepest / 2 AS INT)) AS duty FROM xb GROUP BY source_id),
+        s AS (SELECT pts.*, dp, greatest(least(duty, CAST(0.65 AS DOUBLE)), CAST(0.02 AS DOUBLE)) AS width, ntile(4) OVER (PARTITION BY source_id ORDER BY time, row_id) AS section, (time - min(time) OVER (PARTITION BY source_id)) / period AS turn FROM pts JOIN dip USING (source_id)),
+        g AS (SELECT *, floor(turn) AS cycle, least(abs(turn - floor(turn) - dp), 1 - abs(turn - floor(turn) - dp)) <= width / 2 AS inside FROM s),
+        w AS (SELECT *, greatest((quantile_cont(mag, 0.84) OVER a - quantile_cont(mag, 0.16) OVER a) / 2, median(err) OVER a, 1e-6) AS scale, coalesce(median(CASE WHEN NOT inside THEN mag END) OVER a, median(mag) OVER a) AS level,
+              median(CASE WHEN NOT inside THEN mag END) OVER (PARTITION BY source_id, cycle) AS own, count(*) FILTER (inside) OVER a AS n_in FROM g WINDOW a AS (PARTITION BY source_id)),
+        d AS (SELECT *, coalesce(own, level) AS base FROM w WHERE n_in >= 2 AND inside AND (own IS NOT NULL OR width >= 0.40)),
+        c AS (SELECT source_id, cycle, median(mag) - any_value(base) AS depth, greatest(any_value(scale) / sqrt(count(*)), median(err), 1e-9) AS sigma FROM d GROUP BY source_id, cycle),
+        k AS (SELECT *, depth / sigma AS contrast, depth / sigma >= 1.5 AND depth > 0 AS good FROM c),
+        t AS (SELECT source_id, count(DISTINCT section) AS sections, count(DISTINCT floor(time)) AS nights FROM d JOIN k USING (source_id, cycle) WHERE good AND mag > base GROUP BY source_id)
+        SELECT k.source_id, count(*) AS dip_covered_cycles, count(*) FILTER (good) AS dip_supporting_cycles, CAST(coalesce(any_value(sections), 0) AS INT) AS dip_supporting_time_sections, CAST(coalesce(any_value(nights), 0) AS INT) AS dip_independent_nights,
+          round(count(*) FILTER (good) / count(*), 6) AS dip_cycle_support_fraction, round(median(contrast), 6) AS dip_local_contrast_sigma FROM k LEFT JOIN t USING (source_id) GROUP BY k.source_id""",
 }

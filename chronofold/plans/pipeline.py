@@ -19,7 +19,7 @@ from chronofold.config import CleanConfig, MorphologyConfig, PeriodConfig, Selec
 from chronofold.operators import aliases as A
 from chronofold.operators import classify as K
 from chronofold.operators import clean as C
-from chronofold.operators import features as M
+from chronofold.operators import profiles as M
 from chronofold.operators import recommend as R
 from chronofold.operators import series as S
 from chronofold.operators import spectral as P
@@ -89,9 +89,9 @@ class Run:
         d = _digest(d, c.periods, c.bls)
         self._stage("periods", d, {
             "series": self._series, "analysis": self._analysis, "peaks": lambda: P.peak_table(self.read("periods", "analysis")), "inventory": lambda: A.learn_inventory(self._placed(fields), c.periods), "summary": lambda: self._summary(catalogue, fields),
-            "recommendations": lambda: R.recommend(self.read("periods", "summary"), c.periods), "consensus": lambda: R.consensus(self.read("periods", "summary"), self.read("periods", "recommendations"), c.periods), "failures": lambda: self.read("periods", "analysis").where("status <> 'ok'"),
+            "recommendations": lambda: R.recommend(self.read("periods", "summary"), c.periods), "consensus": lambda: R.consensus(self.read("periods", "summary"), self.read("periods", "recommendations"), c.periods), "forced": self._forced, "failures": lambda: self.read("periods", "analysis").where("status <> 'ok'"),
         })
-        self._stage("morphology", _digest(d, c.morphology), {"bins": self._bins, "features": self._features, "catalogue": lambda: self._classified(manual), "memberships": lambda: K.memberships(self.read("morphology", "catalogue"))})
+        self._stage("morphology", _digest(d, c.morphology), {"features": self._features, "events": lambda: M.event_table(self.read("morphology", "features")), "catalogue": lambda: self._classified(manual), "memberships": lambda: K.memberships(self.read("morphology", "catalogue"))})
         if c.strict and not self.read("periods", "failures").isEmpty():
             raise RuntimeError("some series failed; see the table periods/failures")
         return self.read("morphology", "catalogue")
@@ -133,27 +133,19 @@ class Run:
         return rows.join(catalogue.select("source_id", "catalogue_period_days"), "source_id", "left")
 
     def _points(self) -> DataFrame:
+        """Accepted points of every selected source with its period, null where none is recommended, and the period's warnings."""
         kept = C.selected_observations(self.read("clean", "observations"), self.read("select", "selection")).where("m is not null")
-        p = self.read("periods", "recommendations").select("source_id", F.col("recommended_period_days").alias("period")).where("period > 0")
-        return kept.select("source_id", "row_id", F.col("mjd").alias("time"), F.col("m").alias("mag"), F.col("dm").alias("err"), F.col("band").alias("filter")).join(p, "source_id")
-
-    def _bins(self) -> DataFrame:
-        return M.phase_profile(self._points(), self.cfg.morphology)
+        p = self.read("periods", "recommendations").select("source_id", F.when(F.col("recommended_period_days") > 0, F.col("recommended_period_days")).alias("period"), F.concat_ws(";", "alias_flags", "warning_flags", "harmonic_status", "detection_label").alias("period_flags"))
+        return kept.select("source_id", "row_id", F.col("mjd").alias("time"), F.col("m").alias("mag"), F.col("dm").alias("err"), F.col("band").alias("filter")).join(p, "source_id", "left")
 
     def _features(self) -> DataFrame:
-        cfg, points, bins = self.cfg.morphology, self._points(), self.read("morphology", "bins")
-        sig = M.profile_significance(bins, cfg).groupBy("source_id").agg(*[F.max(c).alias(c) for c in ("profile_chi2", "profile_snr")])
-        base = points.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_points"), F.percentile("err", F.lit(0.5)).alias("median_quoted_error"), (F.percentile("mag", F.lit(0.95)) - F.percentile("mag", F.lit(0.05))).alias("robust_amplitude_mag"), (F.stddev_pop("mag") / F.percentile("err", F.lit(0.5))).alias("scatter_over_error"), F.first("period").alias("recommended_period_days"))
-        events = M.event_metrics(M.excursion_events(M.residuals(points, bins), cfg.event_sigma, cfg.event_gap_days), base.select("source_id", "n_points")).drop("n_points")
-        events = events.withColumnsRenamed({"brightening_event_count": "flare_event_count", "strongest_brightening_sigma": "strongest_flare_sigma", "brightening_point_fraction": "flare_point_fraction", "single_point_brightening_count": "single_point_flare_event_count"})
-        out = base
-        for part in (sig, events, M.temporal_coherence(points), M.phase_section_dependence(points), M.cycle_dimming(points, bins), M.shape_features(bins, cfg)):
-            out = out.join(part, "source_id", "left")
-        share = F.least(F.lit(1.0), F.coalesce("dip_cycle_support_fraction", F.lit(0.0)))
-        return out.withColumn("coherent_dimming_score", share * F.coalesce("dimming_model_score", F.lit(0.0))).withColumn("wave_dimming_score_margin", F.col("wave_model_score") - F.col("dimming_model_score"))
+        return M.source_features(self._points(), self.cfg.morphology)
+
+    def _forced(self) -> DataFrame:
+        return R.forced_folds(self.read("periods", "series"), self.read("periods", "recommendations"), self.cfg.periods)
 
     def _classified(self, manual: DataFrame | None) -> DataFrame:
-        rows = K.classified(self.read("morphology", "features"), self.cfg.morphology).withColumn("dataset", F.lit("main"))
+        rows = K.classified(self.read("morphology", "features").drop("events"), self.cfg.morphology).withColumn("dataset", F.lit("main"))
         if manual is None:
             manual = self.spark.createDataFrame([], "source_id string, dataset string, manual_primary_tag string")
         return K.overlay(rows, manual)

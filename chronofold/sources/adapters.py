@@ -149,6 +149,7 @@ FEATURE_SPECS = {
     "flare_duty_fraction": (173, 20, 2000.0, 0.0), "single_point_flare_event_count": (1, 5, 2.0, 0.0), "flare_dominance": (179, 30, 10.0, 0.5), "flare_duty_cycle": (181, 60, 100.0, 0.0), "out_of_flare_variation": (191, 70, 100.0, 0.0),
     "minimum_section_correlation": (193, 200, 100.0, -1.0), "wave_dimming_score_margin": (197, 60, 100.0, -0.3), "section_median_range_sigma": (199, 60, 10.0, 0.0), "same_direction_excursion_groups": (1, 4, 1.0, 0.0),
     "dip_cycle_contrast_scatter": (211, 80, 100.0, 0.0), "maximum_section_distance": (223, 90, 100.0, 0.0), "sections_with_shape": (1, 5, 1.0, 0.0), "dimming_point_fraction": (227, 100, 1000.0, 0.0),
+    "validated_flare_well_sampled_event_count": (1, 1, 1.0, 0.0),
 }
 
 

@@ -1,0 +1,210 @@
+"""Features of one source against plain, loop-by-loop formulas, and the staged run's families on made stars."""
+
+import math
+from statistics import median
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chronofold.config import MorphologyConfig
+from chronofold.operators import classify as K
+from chronofold.operators import features as M
+from chronofold.operators import profiles as P
+
+CFG = MorphologyConfig()
+
+
+def star(kind, seed=0, n=400, period=9.7, noise=0.02):
+    r = np.random.default_rng(seed)
+    t = np.sort(r.uniform(58000, 59000, n))
+    band = np.where(np.arange(n) % 2 == 0, "c", "o")
+    ph = (t - t[0]) / period % 1
+    m = np.full(n, 15.0)
+    near = np.minimum(np.abs(ph - 0.4), 1 - np.abs(ph - 0.4))
+    if kind == "wave":
+        m += 0.25 * np.sin(2 * np.pi * ph)
+    elif kind == "dip":
+        m += 0.6 * np.exp(-0.5 * (near / 0.035) ** 2)
+    elif kind == "evolving":
+        m += np.where(t < 58500, 0.3, 0.15) * np.sin(2 * np.pi * (ph + 0.5 * (t >= 58500)))
+    m += r.normal(0, noise, n)
+    if kind == "flare":
+        for k in range(6):
+            at = 58100.3 + 140 * k
+            far = np.argsort(np.abs(t - at))[:3]
+            t[far] = at + np.array([0.0, 0.02, 0.04])
+            m[far] -= 0.7
+    by = np.argsort(t, kind="stable")
+    return t[by], m[by], np.full(n, noise), band[by], period
+
+
+def measured(kind, **more):
+    t, m, e, b, p = star(kind, **more)
+    return P.measure(t, m, e, b, p, "", CFG), (t, m, e, b, p)
+
+
+def quantile(x, q):
+    x = sorted(x)
+    at = q * (len(x) - 1)
+    low = int(at)
+    return x[low] + (at - low) * (x[min(low + 1, len(x) - 1)] - x[low])
+
+
+def plain_spread(x):
+    if len(x) < 8:
+        return 1.4826 * median(abs(v - median(x)) for v in x) if len(x) else math.nan
+    return (quantile(x, 0.84) - quantile(x, 0.16)) / 2
+
+
+def plain_fold(t, m, e, period, origin, bins=64):
+    """value, sigma, chi2, snr, amplitude of one band, bin by bin."""
+    centre = median(m)
+    rows = [(a, b - centre, c) for a, b, c in zip(t, m, e)]
+    limit = plain_spread([r[1] for r in rows])
+    near = [r for r in rows if abs(r[1]) <= 6 * limit]
+    rows = near if len(near) >= max(20, len(rows) // 2) else rows
+    scatter = plain_spread([r[1] for r in rows])
+    held = [[] for _ in range(bins)]
+    for a, x, c in rows:
+        held[min(int(((a - origin) / period % 1) * bins), bins - 1)].append((x, c))
+    value, sigma = [math.nan] * bins, [scatter] * bins
+    for k, h in enumerate(held):
+        if h:
+            xs = [x for x, _ in h]
+            value[k] = median(xs)
+            s = plain_spread(xs) if len(xs) > 3 else 0
+            s = s if s > 0 else median([c for _, c in h])
+            floor = scatter / math.sqrt(len(xs))
+            sigma[k] = max(s / math.sqrt(len(xs)) or floor, floor / 2)
+    filled = list(P.circular_fill(np.array(value)))
+    mid = median(filled)
+    filled = [v - mid for v in filled]
+    used = [k for k in range(bins) if held[k]]
+    amp = quantile(filled, 0.95) - quantile(filled, 0.05)
+    return filled, sigma, sum((filled[k] / sigma[k]) ** 2 for k in used) / len(used), amp / median(sigma[k] for k in used), amp
+
+
+@pytest.mark.parametrize("kind", ["wave", "dip", "none"])
+def test_folds_match_plain_ones(kind):
+    t, m, e, b, p = star(kind, 3)
+    for band in "co":
+        own = b == band
+        got = P.fold(t[own], m[own], e[own], p, t[0], 64)
+        value, sigma, chi2, snr, amp = plain_fold(t[own], m[own], e[own], p, t[0])
+        assert np.allclose(got.value, value) and np.allclose(got.sigma, sigma)
+        assert (got.chi2, got.snr, got.amplitude) == pytest.approx((chi2, snr, amp))
+
+
+def test_power_matches_a_plain_sum():
+    t, m, _, _, _ = star("wave", 1, 60)
+    got = P.diagnostic_power(t, m)
+    y = m - np.median(m)
+    powers, periods = [], np.geomspace(0.5, min(200, np.ptp(t) / 2), 3000)
+    for x in periods:
+        w = 2 * math.pi / x
+        tau = math.atan2(sum(math.sin(2 * w * a) for a in t), sum(math.cos(2 * w * a) for a in t)) / (2 * w)
+        c, s = [math.cos(w * (a - tau)) for a in t], [math.sin(w * (a - tau)) for a in t]
+        yc, ys = sum(a * b for a, b in zip(y, c)), sum(a * b for a, b in zip(y, s))
+        powers.append((yc**2 / sum(a * a for a in c) + ys**2 / sum(a * a for a in s)) / sum(a * a for a in y))
+    k = int(np.argmax(powers))
+    assert got["ls_peak_period_days"] == pytest.approx(periods[k]) and got["ls_peak_power"] == pytest.approx(powers[k], rel=1e-6)
+    assert got["ls_peak_ratio"] == pytest.approx(powers[k] / median(powers), rel=1e-5)
+
+
+def test_events_are_counted_as_by_hand():
+    got, (t, m, e, b, p) = measured("flare", noise=0.01)
+    assert got["flare_event_count"] == 6 and got["dimming_event_count"] == 0 and got["flare_asymmetry"] == 1
+    assert got["flare_primary_validation_pass"] == 1 and got["flare_leave_one_event_out_persistent"] == 1 and got["validated_flare_independent_nights"] == 6
+    assert got["flare_duty_fraction"] == pytest.approx(18 / 400) and got["validated_flare_well_sampled_event_count"] == 6 and got["validated_flare_multi_point_fraction"] == 1
+    flares = [x for x in got["events"] if x["event_type"] == "brightening"]
+    assert [x["n_measurements"] for x in flares] == [3] * 6 and all(x["passes_quality_validation"] for x in flares)
+    assert P.measure(t[:1], m[:1], e[:1], b[:1], p, "", CFG)["flare_event_count"] == 0
+
+
+def plain_dimming(t, m, e, section, period, origin, centre, width):
+    phase = [(a - origin) / period % 1 for a in t]
+    cycle = [math.floor((a - origin) / period) for a in t]
+    inside = [min(abs(x - centre), 1 - abs(x - centre)) <= width / 2 for x in phase]
+    scale = max(plain_spread(list(m)), median(e), 1e-6)
+    contrasts, good, nights, parts = [], 0, set(), set()
+    for k in sorted({c for c, i in zip(cycle, inside) if i}):
+        dip = [j for j in range(len(t)) if cycle[j] == k and inside[j]]
+        base = [m[j] for j in range(len(t)) if cycle[j] == k and not inside[j]]
+        if not base:
+            continue
+        depth = median(m[j] for j in dip) - median(base)
+        contrasts.append(depth / max(scale / math.sqrt(len(dip)), median(e[j] for j in dip)))
+        if contrasts[-1] >= 1.5 and depth > 0:
+            good += 1
+            faint = [j for j in dip if m[j] > median(base)]
+            nights |= {math.floor(t[j]) for j in faint}
+            parts |= {section[j] for j in faint}
+    return len(contrasts), good, len(nights), len(parts), median(contrasts)
+
+
+def test_dimming_matches_a_plain_loop_and_the_relational_form(spark):
+    got, (t, m, e, b, p) = measured("dip", noise=0.03)
+    section = P.sections(t, 4)
+    want = plain_dimming(t, m, e, section, p, t[0], got["dip_phase"], min(max(got["dip_duty_cycle"], 0.02), 0.65))
+    names = ("dip_covered_cycles", "dip_supporting_cycles", "dip_independent_nights", "dip_supporting_time_sections", "dip_local_contrast_sigma")
+    assert tuple(got[n] for n in names) == pytest.approx(want)
+    assert got["coherent_dimming_score"] > 0.5 and 0 <= got["phase_time_section_dependence"] < 0.3 and got["phase_coverage_near_dip"] > 0.9
+    rows = [("s", i, *map(float, x), str(f), p) for i, (*x, f) in enumerate(zip(t, m, e, b))]
+    points = spark.createDataFrame(rows, "source_id string, row_id long, time double, mag double, err double, filter string, period double")
+    dip = spark.createDataFrame([("s", got["dip_phase"], got["dip_duty_cycle"])], "source_id string, dip_phase double, dip_duty_cycle double")
+    row = M.cycle_dimming(points, dip).first()
+    assert tuple(row[n] for n in names) == pytest.approx(want)
+
+
+def test_sections_that_change():
+    still, moving = measured("wave")[0], measured("evolving")[0]
+    assert moving["evolution_raw_score"] > 1 > still["evolution_raw_score"] and moving["minimum_section_correlation"] < 0.25 < 0.9 < still["minimum_section_correlation"]
+    assert moving["maximum_section_distance"] > 0.65 and still["sections_with_shape"] == 4
+    assert P.sections(np.array([5.0, 1.0, 3.0, 2.0, 4.0]), 2).tolist() == [1, 0, 0, 0, 1]
+
+
+def test_other_folds_tell_harmonics():
+    got = measured("wave")[0]
+    assert got["double_period_odd_even_difference"] < 0.25 and got["half_period_profile_distance"] > 0.2
+    t, m, e, b, p = star("wave")
+    doubled = P.measure(t, m, e, b, 2 * p, "alias_warning", CFG)
+    assert doubled["half_period_profile_distance"] > 0.2 and "alias_possible" in doubled["diagnostic_tags"] and doubled["coherent_dimming_alias_penalty_component"] == 0.2
+
+
+def test_temporal_numbers_are_those_of_the_relational_form(spark):
+    t, m, e, b, p = star("evolving", 2)
+    rows = [("s", i, *map(float, x), str(f), p) for i, (*x, f) in enumerate(zip(t, m, e, b))]
+    points = spark.createDataFrame(rows, "source_id string, row_id long, time double, mag double, err double, filter string, period double")
+    want, got = M.temporal_coherence(points).first(), P.temporal(t, m, e, P.sections(t, 4))
+    assert all(got[n] == pytest.approx(want[n]) for n in P.TEMPORAL)
+
+
+def test_families_of_made_stars(spark):
+    """Every family is reached from light curves; sources without a period stay in."""
+    rows = []
+    kinds = {"wave": "wavelike", "dip": "transit", "flare": "flaring", "evolving": "irregular_variable", "none": "nonvar"}
+    for s, kind in enumerate(kinds):
+        t, m, e, b, p = star(kind, 10 + s, 600)
+        rows += [(kind, i, *map(float, x), str(f), None if kind in ("none", "flare") else p) for i, (*x, f) in enumerate(zip(t, m, e, b))]
+    points = spark.createDataFrame(rows, "source_id string, row_id long, time double, mag double, err double, filter string, period double")
+    features = P.source_features(points)
+    assert features.count() == 5 and P.event_table(features).where("source_id = 'flare' and event_type = 'brightening'").count() == 6
+    periodic, transient = P.block_names()
+    one = features.first()
+    assert len(one["periodic_block"]) == len(periodic) == 32 + 1 + 42 and len(one["transient_block"]) == len(transient) == 8 + 4 + 24
+    out = {r["source_id"]: r for r in K.classified(features.drop("events")).collect()}
+    assert {k: out[k]["primary_tag"] for k in kinds} == kinds
+    assert out["dip"]["secondary_tags"].startswith("narrow_eclipse") and "evolving_periodic" in out["evolving"]["secondary_tags"] and out["flare"]["score_flaring"] > 0.5
+    with pytest.raises(ValueError, match="ls_peak_ratio"):
+        K.category_scores(features.drop("ls_peak_ratio"))
+
+
+def test_thin_and_odd_sources(spark):
+    rows = [("a", 1, 1.0, 15.0, 0.1, "c", 3.0), ("b", 1, 1.0, 15.0, 0.1, "x", None), ("c", 1, 1.0, None, 0.1, "c", 2.0), (None, 1, 1.0, 15.0, 0.1, "c", 2.0)] + [("d", i, 5.0, 15.0, 0.0, "o", 2.0) for i in range(30)]
+    points = spark.createDataFrame(rows, "source_id string, row_id long, time double, mag double, err double, filter string, period double")
+    got = {r["source_id"]: r for r in P.source_features(points).collect()}
+    assert set(got) == {"a", "b", "d"} and got["a"]["profile_chi2"] == 0 and got["d"]["n_points"] == 30 and got["b"]["recommended_period_days"] is None
+    K.classified(P.source_features(points).drop("events")).collect()
+    assert P.source_features(points.where("false")).count() == 0
+    assert F is not None
