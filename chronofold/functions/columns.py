@@ -139,3 +139,19 @@ def average_rank(value: str, partition: list[str] | None = None) -> Column:
     w = Window.partitionBy(*(partition or [F.lit(0)]))
     ties = Window.partitionBy(*(partition or []), value)
     return (F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2) / F.count(F.lit(1)).over(w)
+
+
+def mjd_to_utc(mjd: Column) -> Column:
+    """The timestamp of a modified Julian date, to the microsecond; leap seconds are not counted."""
+    return F.timestamp_micros(F.round((mjd - F.lit(40587.0)) * F.lit(86400e6)).cast("long"))
+
+
+def utc_to_mjd(ts: Column) -> Column:
+    """The modified Julian date of a timestamp, whatever the session's time zone."""
+    return F.unix_micros(ts).cast("double") / F.lit(86400e6) + F.lit(40587.0)
+
+
+def mjd_window(days: float, now: Column | None = None) -> tuple[Column, Column]:
+    """First and last modified Julian date of the ``days`` up to ``now``."""
+    last = utc_to_mjd(F.current_timestamp() if now is None else now)
+    return last - F.lit(float(days)), last

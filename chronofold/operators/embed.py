@@ -1,17 +1,12 @@
 """Feature spaces, neighbours, outliers and density families.
 
-Exact neighbours are found block by block: each query block meets each block of
-the reference once, keeps its ``k`` nearest, and the partial lists are merged.
-Nothing emits all pairs, and no block grows with the data. Two-dimensional
-coordinates are principal components; the usual manifold library is not needed.
+Exact neighbours come from ``neighbours.nearest``. Two-dimensional coordinates are
+principal components; the usual manifold library is not at hand.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -19,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.functions.columns import median
+from chronofold.operators.neighbours import nearest
 
 
 def fit_scaler(values: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -41,45 +37,6 @@ def vectors(long_rows: DataFrame, id_col: str, value: str = "z") -> DataFrame:
     return long_rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("dim", value))).alias("p")).select(id_col, F.col(f"p.{value}").alias("v"))
 
 
-def nearest(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "id", metric: str = "euclidean", block: int = 2048) -> DataFrame:
-    """(query, rank, neighbour, distance): the ``k`` nearest reference rows of each query, itself excluded, ties by id.
-
-    Both sides are dealt to blocks by hash; a block pair is one Arrow group of at
-    most about ``block`` rows a side. Reference copies per query block are the
-    cost of exactness; for very large sets give a query subset.
-    """
-    nq, nr = max(1, math.ceil(queries.count() / block)), max(1, math.ceil(reference.count() / block))
-    q = queries.select(F.col(id_col).alias("i"), "v", F.pmod(F.xxhash64(id_col), F.lit(nq)).alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    r = reference.select(F.col(id_col).alias("i"), "v", F.pmod(F.xxhash64(id_col), F.lit(nr)).alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in (left.schema.field("i").type, left.schema.field("i").type, pa.float64())], names=["query", "neighbour", "distance"])
-        li, ri = left.column("i").to_pylist(), right.column("i").to_pylist()
-        x, y = (np.stack(t.column("v").to_numpy()) for t in (left, right))
-        if metric == "cosine":
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-        out = ([], [], [])
-        for s in range(0, len(x), 256):
-            if metric == "cosine":
-                d = 1 - x[s : s + 256] @ y.T
-            else:
-                d = np.sqrt(np.maximum((x[s : s + 256, None, :] - y[None, :, :]) ** 2, 0).sum(-1)) if len(y) * x.shape[1] <= 262_144 else np.sqrt(np.maximum((x[s : s + 256] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[s : s + 256] @ y.T, 0))
-            for a in range(d.shape[0]):
-                best = np.argsort(d[a], kind="stable")[: k + 1]
-                edge = d[a][best[-1]]
-                ties = np.flatnonzero(d[a] <= edge)
-                near = sorted((float(d[a][j]), ri[j]) for j in ties if ri[j] != li[s + a])[:k]
-                for dist, j in near:
-                    out[0].append(li[s + a]), out[1].append(j), out[2].append(dist)
-        return pa.table([pa.array(out[0], left.schema.field("i").type), pa.array(out[1], left.schema.field("i").type), pa.array(out[2], pa.float64())], names=["query", "neighbour", "distance"])
-
-    kind = dict(q.dtypes)["i"]
-    pairs = q.groupBy("a", "b").cogroup(r.groupBy("a", "b")).applyInArrow(pair, f"query {kind}, neighbour {kind}, distance double")
-    w = W.partitionBy("query").orderBy("distance", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "distance")
-
-
 def ood_scores(neighbours: DataFrame, n: int, quantile: float = 0.99) -> DataFrame:
     """Mean distance to the k-1 nearest (k = min(6, max(2, n-1))) over its ``quantile`` in the reference."""
     k = int(min(6, max(2, n - 1))) - 1

@@ -58,6 +58,63 @@ def exotic_candidates(t: DataFrame) -> DataFrame:
     return t.where("final_interest_status in ('exotic_candidate', 'manually_confirmed_exotic')").select("source_id", "dataset", "final_primary_tag", "interest_confidence", "interest_reasons")
 
 
+# Columns of the diagnostic tables; those that a catalogue lacks are left out.
+TRANSIT = (
+    "source_id", "dataset", "final_primary_tag", "final_secondary_tags", "confidence", "coherent_dimming_score", "dip_significance", "dip_duty_cycle", "dip_supporting_cycles", "dip_covered_cycles", "dip_cycle_support_fraction",
+    "dip_independent_nights", "dip_supporting_time_sections", "dip_local_contrast_sigma", "phase_time_section_dependence", "dip_section_concentration", "dip_single_section_fraction", "phase_coverage_near_dip",
+    "phase_coverage_outside_dip", "dip_point_quality_fraction", "dip_cycle_contrast_scatter", "wave_model_score", "dimming_model_score", "wave_dimming_score_margin", "review_reasons",
+)
+IRREGULAR = (
+    "source_id", "dataset", "final_secondary_tags", "confidence", "irregular_variability_score", "temporal_coherence_score", "von_neumann_ratio", "raw_time_lag1_correlation", "same_direction_excursion_groups",
+    "section_median_range_sigma", "evolution_raw_score", "minimum_section_correlation", "maximum_section_distance", "final_interest_status", "interest_reasons", "review_reasons",
+)
+
+
+def _some(t: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return t.select(*[n for n in names if n in t.columns])
+
+
+def _tagged(*names: str):
+    return F.arrays_overlap(tags(F.coalesce("final_secondary_tags", F.lit(""))), F.array(*map(F.lit, names)))
+
+
+def transit_diagnostics(t: DataFrame) -> DataFrame:
+    """Evidence of every transit, best score first."""
+    return _some(t.where("final_primary_tag = 'transit'"), TRANSIT).orderBy(F.desc_nulls_last("coherent_dimming_score"), "source_id")
+
+
+def transit_ambiguous(t: DataFrame) -> DataFrame:
+    return _some(t.where(_tagged("transit_wave_ambiguous")), TRANSIT)
+
+
+def seasonal_false_positives(t: DataFrame) -> DataFrame:
+    """Dimmings whose fold the seasons, the coverage or a few poor points may have made."""
+    return _some(t.where(_tagged("seasonal_phase_coupling", "single_section_dimming", "gappy_phase_coverage", "poor_point_driven")), TRANSIT)
+
+
+def irregular_summary(t: DataFrame) -> DataFrame:
+    return _some(t.where("final_primary_tag = 'irregular_variable'"), IRREGULAR)
+
+
+def coverage_and_period_flags(t: DataFrame) -> DataFrame:
+    """Sources of one band, of little phase coverage, or with a period on an alias."""
+    flags = t.withColumn("alias_period", _tagged("alias_period"))
+    names = ("source_id", "dataset", "final_primary_tag", "single_band_source", "phase_coverage", "low_phase_coverage", "recommended_period_days", "alias_period")
+    odd = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in ("single_band_source", "low_phase_coverage", "alias_period") if c in flags.columns]
+    hit = odd[0]
+    for c in odd[1:]:
+        hit = hit | c
+    return _some(flags.where(hit), names)
+
+
+def event_validation(events: DataFrame, t: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Every excursion event with its source's label; events of an ``earlier`` table stay for sources that ``events`` does not cover."""
+    if earlier is not None:
+        kept = earlier.drop("final_primary_tag", "confidence").join(events.select("source_id").distinct(), "source_id", "left_anti")
+        events = kept.unionByName(events, allowMissingColumns=True)
+    return events.join(t.select("source_id", "final_primary_tag", "confidence"), "source_id", "left")
+
+
 def examples(t: DataFrame, score: str, k: int = 9) -> DataFrame:
     """The ``k`` strongest sources of each family, in pages of nine."""
     w = W.partitionBy("final_primary_tag").orderBy(F.desc_nulls_last(score), "source_id", "dataset")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from chronofold.operators import recommend as R
 from chronofold.operators import series as S
 from chronofold.operators import spectral as P
 
+log = logging.getLogger("chronofold")
 STAGES = ("clean", "select", "periods", "morphology")
 _CONFIGS = {"clean": CleanConfig, "select": SelectConfig, "periods": PeriodConfig, "morphology": MorphologyConfig}
 
@@ -47,6 +49,15 @@ class RunConfig:
         return cls(**parts, **{k: v for k, v in values.items() if k in ("bls", "strict")})
 
 
+def code_digest() -> str:
+    """A digest of the package's own sources, so that a run of other code is not taken for this one's."""
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    files = [root / "config.py", *sorted(p for d in ("functions", "operators", "plans", "sources") for p in (root / d).glob("*.py"))]
+    return hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()
+
+
 def _digest(*parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=dataclasses.asdict).encode()).hexdigest()
 
@@ -71,9 +82,16 @@ class Run:
                 return None
             raise
 
+    def _there(self, stage: str, table: str) -> bool:
+        """Was the table written to its end?"""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(stage, table) + "/_SUCCESS")
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
     def _stage(self, name: str, digest: str, tables: dict) -> None:
-        if not self.force and self._receipt(name) == digest:
+        if not self.force and self._receipt(name) == digest and all(self._there(name, t) for t in tables):
+            log.info("stage %s: its receipt holds", name)
             return
+        log.info("stage %s: running", name)
         for table, make in tables.items():
             make().write.mode("overwrite").parquet(self.path(name, table))
         self.spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(self.path(name, "_receipt.txt"))
@@ -82,16 +100,17 @@ class Run:
     def all(self, obs: DataFrame, input_digest: str, catalogue: DataFrame | None = None, fields: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
         """Run what is out of date and return the classified catalogue. ``input_digest`` names the input's state."""
         c = self.cfg
-        d = _digest(input_digest, c.clean)
+        named = lambda df: None if df is None else [df.schema.simpleString(), df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()]
+        d = _digest(code_digest(), input_digest, c.clean)
         self._stage("clean", d, {"observations": lambda: C.clean(obs, c.clean), "summary": lambda: C.summary(self.read("clean", "observations")), "reasons": lambda: C.reason_counts(self.read("clean", "observations"))})
         d = _digest(d, c.select)
         self._stage("select", d, {"selection": lambda: C.select_sources(self.read("clean", "summary"), c.select), "reasons": lambda: C.selection_reasons(self.read("select", "selection"))})
-        d = _digest(d, c.periods, c.bls)
+        d = _digest(d, c.periods, c.bls, str(named(catalogue)), str(named(fields)))
         self._stage("periods", d, {
             "series": self._series, "analysis": self._analysis, "peaks": lambda: P.peak_table(self.read("periods", "analysis")), "inventory": lambda: A.learn_inventory(self._placed(fields), c.periods), "summary": lambda: self._summary(catalogue, fields),
             "recommendations": lambda: R.recommend(self.read("periods", "summary"), c.periods), "consensus": lambda: R.consensus(self.read("periods", "summary"), self.read("periods", "recommendations"), c.periods), "forced": self._forced, "failures": lambda: self.read("periods", "analysis").where("status <> 'ok'"),
         })
-        self._stage("morphology", _digest(d, c.morphology), {"features": self._features, "events": lambda: M.event_table(self.read("morphology", "features")), "catalogue": lambda: self._classified(manual), "memberships": lambda: K.memberships(self.read("morphology", "catalogue"))})
+        self._stage("morphology", _digest(d, c.morphology, str(named(manual))), {"features": self._features, "events": lambda: M.event_table(self.read("morphology", "features")), "catalogue": lambda: self._classified(manual), "memberships": lambda: K.memberships(self.read("morphology", "catalogue"))})
         if c.strict and not self.read("periods", "failures").isEmpty():
             raise RuntimeError("some series failed; see the table periods/failures")
         return self.read("morphology", "catalogue")

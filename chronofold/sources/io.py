@@ -4,36 +4,70 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.functions.columns import clean_id, clean_text, match_key, median, number
 
 
-def read_curves(spark: SparkSession, paths: str | list[str], recursive: bool = False, exclude: tuple[str, ...] = ("_cleaned", "summary")) -> DataFrame:
+#: Different header lines that one reading may have.
+MOST_HEADERS = 200
+
+
+def read_curves(spark: SparkSession, paths: str | list[str], recursive: bool = False, exclude: tuple[str, ...] = ("_cleaned", "summary"), max_files: int | None = None) -> DataFrame:
     """CSV curves with headers as strings, one ``input_file`` and ``source_id`` (from the name) a row.
 
-    Files with different headers are read apart and united by name. File names come
-    from Spark's own listing, so any store that Spark reads will do.
+    A file is one row until its lines are parted, in the executors; only the different
+    header lines reach the driver. Files with different headers are parsed apart and
+    united by name. Any store that Spark reads will do. ``max_files``: the first ones by name.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    opts = {"recursiveFileLookup": str(recursive).lower(), "pathGlobFilter": "*.csv"}
-    heads = spark.read.format("text").options(**opts).load(paths).select(F.input_file_name().alias("file"), "value")
-    heads = heads.groupBy("file").agg(F.max(F.when(F.col("value").rlike("MJD|mjd|time"), F.col("value"))).alias("head"))
-    rows = [r for r in heads.collect() if not any(x in r["file"].rsplit("/", 1)[-1] for x in exclude)]  # one row a file header
-    if not rows:
+    opts = {"recursiveFileLookup": str(recursive).lower(), "pathGlobFilter": "*.csv", "wholetext": "true"}
+    whole = spark.read.format("text").options(**opts).load(paths).select(F.col("_metadata.file_name").alias("input_file"), F.col("_metadata.file_path").alias("input_path"), "value")
+    for x in exclude:
+        whole = whole.where(~F.col("input_file").contains(x))
+    if max_files is not None:
+        first = whole.select("input_path").orderBy("input_path").limit(max_files)
+        whole = whole.join(first, "input_path", "left_semi")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    whole = whole.select("input_file", lines.alias("lines")).where("size(lines) > 0").withColumn("head", F.col("lines")[0])
+    heads = [r["head"] for r in whole.select("head").distinct().limit(MOST_HEADERS + 1).collect()]
+    if not heads:
         raise ValueError("no curve files found")
-    groups: dict[str, list[str]] = {}
-    for r in rows:
-        groups.setdefault(r["head"], []).append(r["file"])
+    if len(heads) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} different header lines; are these curve files?")
     out = None
-    for files in groups.values():
-        part = spark.read.option("header", True).csv(sorted(files)).withColumn("input_file", F.col("_metadata.file_name"))
-        part = part.toDF(*[c.strip() for c in part.columns])
+    for head in sorted(heads):
+        names = [c.strip().strip('"') or f"_c{i}" for i, c in enumerate(head.split(","))]
+        body = whole.where(F.col("head") == F.lit(head)).select("input_file", F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+        part = body.select("input_file", F.from_csv("line", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("r.*", "input_file")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     stem = F.regexp_replace(F.col("input_file"), r"(_cleaned)?\.csv$", "")
-    return out.withColumn("source_id", F.coalesce(F.nullif(F.regexp_extract(stem, r"(\d{15,20})", 1), F.lit("")), stem)).withColumn("row_id", F.monotonically_increasing_id())
+    return out.withColumn("source_id", source_from_name(stem)).withColumn("row_id", F.monotonically_increasing_id())
+
+
+def source_from_name(stem: Column) -> Column:
+    """The id in a file's name: a long number, or what follows 'gaia', 'source' or 'target', else the name itself."""
+    long_ = F.regexp_extract(stem, r"(\d{15,20})", 1)
+    named = F.regexp_extract(stem, r"(?i)(?:gaia(?:_?dr\d)?|source|target)[_\- ]+([A-Za-z0-9.]+)", 1)
+    return F.coalesce(F.nullif(long_, F.lit("")), F.nullif(named, F.lit("")), stem)
+
+
+def listing_digest(spark: SparkSession, paths: str | list[str]) -> str:
+    """A digest of the names, sizes and times of change of all files under ``paths``: it changes when an input does."""
+    import hashlib
+
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        for top in fs.globStatus(p) or []:
+            files = fs.listFiles(top.getPath(), True)
+            while files.hasNext():
+                f = files.next()
+                found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
 def manifest(spark: SparkSession, path: str) -> list[str]:

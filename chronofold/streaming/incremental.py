@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chronofold.config import CleanConfig
+from chronofold.config import CleanConfig, PeriodConfig
+from chronofold.operators.aliases import merge_memory
 from chronofold.operators.clean import audit
 
 
@@ -37,6 +38,34 @@ def excursion_sessions(stream: DataFrame, time_col: str = "ts", gap: str = "1 da
     return s.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("peak")).select("source_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "peak")
 
 
+def alias_memory(inventories: DataFrame, root: str, checkpoint: str, cfg: PeriodConfig = PeriodConfig()) -> StreamingQuery:
+    """Merge each micro-batch of field inventories into the memory saved under ``root``, one generation a batch.
+
+    A batch reads the last generation before its own, so one that is run again after
+    a failure writes the same generation once more and counts no star twice.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = remembered(spark, root, number - 1)
+        both = batch if before is None else batch.unionByName(before.select(batch.columns))
+        merge_memory(both, cfg).write.mode("overwrite").parquet(f"{root}/batch-{number}")
+
+    return inventories.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def remembered(spark: SparkSession, root: str, last: int | None = None) -> DataFrame | None:
+    """The saved memory: the newest whole generation, or the newest up to ``last``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(p):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    whole = [int(n[6:]) for n in names if n.startswith("batch-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    whole = [n for n in whole if last is None or n <= last]
+    return spark.read.parquet(f"{root}/batch-{max(whole)}") if whole else None
+
+
 def append_new(stream: DataFrame, read_known: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], keys: list[str], checkpoint: str, trigger_once: bool = True) -> StreamingQuery:
     """Hand each micro-batch's rows with unknown keys to ``write``, the first of repeats only; saved rows never change."""
 

@@ -71,6 +71,35 @@ def test_stream_appends_only_new_keys(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, "new")]
 
 
+def test_alias_memory_grows_by_batches(spark, tmp_path):
+    from chronofold.operators.aliases import INVENTORY, merge_memory
+
+    rows = [(1, 2, "1_2", 1.0, 10, 5, 0.5), (1, 2, "1_2", 1.01, 10, 4, 0.4), (3, 4, "3_4", 2.0, 20, 8, 0.4)]
+    src, root = str(tmp_path / "in"), f"file://{tmp_path}/memory"
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], INVENTORY).coalesce(1).write.parquet(f"{src}/{i}")
+    stream = spark.readStream.schema(INVENTORY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src)
+    incremental.alias_memory(stream, root, str(tmp_path / "c")).awaitTermination()
+    got = sorted(tuple(r) for r in incremental.remembered(spark, root).collect())
+    assert got == sorted(tuple(r) for r in merge_memory(spark.createDataFrame(rows, INVENTORY)).collect())
+    assert incremental.remembered(spark, f"{root}-none") is None
+
+
+def test_sessions_of_a_stream_are_the_batch_islands(spark, tmp_path):
+    ts = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:00:00"
+    rows = [("a", ts(1, 1), 6.0), ("a", ts(1, 3), 7.0), ("a", ts(2, 2), 6.5), ("a", ts(9, 1), 8.0), ("b", ts(3, 20), 5.5), ("b", ts(3, 23), 9.0), ("a", ts(28, 1), 6.0)]
+    df = spark.createDataFrame(rows, "source_id string, t string, value double").select("source_id", F.to_timestamp("t").alias("ts"), "value")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = incremental.excursion_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").outputMode("append").queryName("sessions").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r["source_id"], r["start"], r["n"], r["peak"]) for r in spark.table("sessions").collect())
+    p = df.select("source_id", F.unix_micros("ts").alias("row_id"), (F.unix_micros("ts") / F.lit(86400e6)).alias("time"), F.lit(0.1).alias("err"), F.lit("o").alias("filter"), F.col("value").alias("z"))
+    want = M.excursion_events(p, sigma=5.0).select("source_id", "n_measurements", "peak_residual_significance").collect()
+    # The last session stays open until the watermark passes it.
+    assert sorted((s, n, x) for s, _, n, x in got) == sorted((r[0], r[1], r[2]) for r in want if (r[0], r[2]) != ("a", 6.0) or r[1] != 1)
+
+
 def test_csv_curves_with_different_headers(spark, tmp_path):
     (tmp_path / "1234567890123456789.csv").write_text("###MJD,F,uJy,duJy\n59000.5,o,100,5\n")
     (tmp_path / "b.csv").write_text("MJD, F,m,dm\n59001.5,c,15,0.1\n")
