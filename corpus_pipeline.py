@@ -1,4 +1,10 @@
-"""A training-text pipeline: documents pass the stages in order, each stage's table written and read again."""
+"""A training-text pipeline: documents pass the stages in order, each stage's table written and read again.
+
+Documents are known by id and text together: rows that share an id, or have none, are
+judged each by its own text, and of rows alike in both the deduplicating stages keep
+one. Null, empty and very long texts, empty tables and other columns, whatever their
+names, pass through all stages; the columns stay those of ``documents`` until packing.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of linked fingerprints stays."""
+    """Of each group of documents whose five-word shingles are alike at 0.8 or more, by their sketches, the smallest id stays."""
     return simhash.keep_one_of_group(docs)
 
 
