@@ -162,8 +162,9 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, text_col: str = "text", metadata: tuple = ("source", "lang")) -> None:
-    """Write the documents into one folder per shard, all columns unchanged; a number given to each row first joins it to its shard."""
+    """Write the documents into one folder per shard (``shard=``, or ``__shard=`` if they have a column of that name), all columns unchanged; a number given to each row first joins it to its shard."""
+    name = "__shard" if "shard" in docs.columns else "shard"
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "shard-rows")
-    shards = kd_shards(rows, n_shards, "__row", text_col, metadata).select(F.col("__row").alias("__r"), "shard")
-    rows.join(shards, F.col("__row") == F.col("__r")).drop("__row", "__r").write.partitionBy("shard").parquet(path)
+    shards = kd_shards(rows, n_shards, "__row", text_col, metadata).select(F.col("__row").alias("__r"), F.col("shard").alias("__s"))
+    rows.join(shards, F.col("__row") == F.col("__r")).select(*docs.columns, F.col("__s").alias(name)).write.partitionBy(name).parquet(path)
     discard(rows)

@@ -56,6 +56,48 @@ def test_shards_are_even_and_gapless(docs):
     assert max(abs(v - target) for v in sizes.values()) <= 15001  # the largest document
 
 
+def plain_tree(rows, leaves, first=0):
+    """Shard of each row (number, size, keys) by a k-d tree in plain Python."""
+    if leaves == 1 or not rows:
+        return {r[0]: first for r in rows}
+    widths = [max(r[2][d] >> shards.HASH_BITS for r in rows) - min(r[2][d] >> shards.HASH_BITS for r in rows) for d in range(len(rows[0][2]))]
+    d = widths.index(max(widths))
+    want, low, cut = sum(r[1] for r in rows) * (leaves // 2) / leaves, 0, 0
+    for r in sorted(rows, key=lambda r: r[2][d]):
+        if low + r[1] >= want:
+            cut = r[2][d] + (want - low > r[1] / 2)
+            break
+        low += r[1]
+    left, right = [r for r in rows if r[2][d] < cut], [r for r in rows if r[2][d] >= cut]
+    return plain_tree(left, leaves // 2, first) | plain_tree(right, leaves - leaves // 2, first + leaves // 2)
+
+
+def test_shards_are_those_of_a_plain_tree(docs, monkeypatch):
+    monkeypatch.setattr(shards, "NEAR", 0.0)
+    rows = [(i, "w" * (1 + i * 7919 % 97)) for i in range(600)]
+    source = F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.concat(F.lit("src1"), F.col("doc_id") % 13))
+    d = docs(rows).withColumn("source", source).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "en").otherwise("enm"))
+    keys, dims, _ = shards.shard_keys(d)
+    table = [(r["id"], r["size"], [r[k] for k in dims]) for r in keys.collect()]
+    # Sources that begin alike are told apart, and lie in their order.
+    places = {}
+    for i, _, k in table:
+        places.setdefault(None if i % 5 == 0 else f"src1{i % 13}", set()).add(k[0] >> shards.HASH_BITS)
+    assert all(len(p) == 1 for p in places.values()) and len({min(p) for p in places.values()}) == 14
+    named = sorted((k for k in places if k), key=str)
+    assert min(places[None]) < min(places[named[0]]) and [min(places[k]) for k in named] == sorted(min(places[k]) for k in named)
+    for n in (16, 5):
+        got = {r["doc_id"]: r["shard"] for r in shards.kd_shards(d, n).collect()}
+        assert got == plain_tree(table, n)
+
+
+def test_written_shards_hold_every_row(docs, tmp_path, spark):
+    rows = ODD + [(7, "Éa  b ")] * 5
+    shards.write_shards(docs(rows), str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_any_number_of_shards(docs):
     rows = [(i, "y" * (i % 50)) for i in range(700)]
     for n in (1, 3, 7):
