@@ -13,9 +13,10 @@ gram occurrence takes form a segment.
    fetched and windows at the same place are compared byte by byte, in the order
    of documents and starts.
 
-Grams with more than ``CROWD`` segments, such as a line that every document has,
-are counted first and never dealt by gram: their segments are compared window by
-window through an aggregate, which no hot key can hold up.
+Grams with more than ``MOST_ROWS`` segments, such as a line that every document
+has, are counted first and never dealt by gram, and grams that still have more than
+``CROWD`` different segments after step 1 are not compared in one task: the segments of
+both are compared window by window through an aggregate, which no hot key can hold up.
 
 Defined cases: texts under ``length`` bytes, null or empty lose nothing. Rows
 that repeat id and text alike are one document and get the same result. Rows of
@@ -38,7 +39,8 @@ from pyspark.sql import types as T
 from chronofold.llm.tables import discard, numbered, release, slices, stored
 
 LENGTH, GRAM = 100, 32
-CROWD = 2_000
+#: Rows of one gram that a task may sort, and different segments that one may compare.
+MOST_ROWS, CROWD = 50_000, 2_000
 #: Crowded grams that may be broadcast.
 MOST_CROWDS = 1_000_000
 BLOCK_BYTES = 24 << 20
@@ -301,7 +303,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = rows.sparkSession
     long_rows = rows.select("doc", "text", F.encode("body", "UTF-8").alias("raw")).where(F.octet_length("raw") >= length)
     filed = stored(long_rows.mapInArrow(lambda x: _filed(x, length), _FILED), "filed-segments", texts=True)
-    crowds = crowded(filed, CROWD)
+    crowds = crowded(filed, MOST_ROWS)
     release(spark)
     calm, hot = apart(filed, crowds)
     dealt = calm.repartition(F.coalesce("gram", F.xxhash64("doc", "start"))).sortWithinPartitions("gram", "seg", "doc", "text", "start")
@@ -319,6 +321,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     whole = settled.where("gram is null").select("doc", "text", "start", "end")
     mixed = settled.where("gram is not null").select(segment)
+    mixed, more = apart(mixed, crowded(mixed, CROWD))
+    hot = hot.unionByName(more)
     fetched = stored(fetch(mixed, lambda x: x, "gram long, doc long, text long, start long, n int, off int, raw binary"), "segment-bytes", texts=True)
     release(spark)
     calm = fetched.repartition("gram").sortWithinPartitions("gram", "doc", "text", "start")

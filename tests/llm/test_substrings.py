@@ -26,9 +26,10 @@ PASSAGE, OTHER = prose(1, 40), prose(2, 60)
 ROWS = [r for r in ODD if r != (8, "other")] + [(20 + i, prose(30 + i, 50) + " " + PASSAGE + " " + prose(60 + i, 30)) for i in range(12)] + [(50, OTHER), (51, OTHER), (52, OTHER[:300] + "#" + OTHER[301:]), (53, "é" * 200), (54, "ab" * 150), (55, OTHER + OTHER)]
 
 
-@pytest.mark.parametrize(("crowd", "block"), [(2000, 24 << 20), (2, 1500)])
-def test_against_brute_force(docs, monkeypatch, crowd, block):
+@pytest.mark.parametrize(("crowd", "rows", "block"), [(2000, 50_000, 24 << 20), (2, 50_000, 1500), (2000, 2, 1500)])
+def test_against_brute_force(docs, monkeypatch, crowd, rows, block):
     monkeypatch.setattr(substrings, "CROWD", crowd)
+    monkeypatch.setattr(substrings, "MOST_ROWS", rows)
     monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
     want = brute(ROWS)
     got = substrings.dedup_substrings(docs(ROWS).repartition(3)).collect()
