@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.tables import content, keep_rows, lower_ascii, stored, text_of
+from chronofold.llm.tables import content, discard, keep_rows, lower_ascii, stored, text_of
 
 WINDOW = 13
 #: Runs of characters that separate words once A-Z are lower case.
@@ -131,7 +131,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     found = stored(contamination(docs, bench, id_col, text_col), "contamination")
     keyed = found.withColumnRenamed(id_col, "__id")
     if mode == "documents":
-        return keep_rows(docs, keyed.withColumn("stays", ~F.col("contaminated")), id_col, text_col)
+        out = keep_rows(docs, keyed.withColumn("stays", ~F.col("contaminated")), id_col, text_col)
+        discard(found)  # which rows go is a table of its own by now
+        return out
     hit = keyed.where("n_hit > 0").select(F.col("__id").alias("__i"), F.col("__x").alias("__u"), F.col("__y").alias("__v"), F.col("spans").alias("__s")).dropDuplicates(["__i", "__u", "__v"])
     marked = docs.select(*docs.columns, *content(text_of(docs, text_col)))
     same = marked[id_col].eqNullSafe(hit["__i"]) & (marked["__x"] == hit["__u"]) & (marked["__y"] == hit["__v"])

@@ -79,4 +79,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged."""
     found = stored(exact_dedup(docs, id_col, text_col, digest_all=True, with_content=True), "exact-found")
-    return keep_rows(docs, found.select(F.col(id_col).alias("__id"), "__x", "__y", F.col("kept").alias("stays")), id_col, text_col)
+    out = keep_rows(docs, found.select(F.col(id_col).alias("__id"), "__x", "__y", F.col("kept").alias("stays")), id_col, text_col)
+    discard(found)  # which rows go is a table of its own by now
+    return out

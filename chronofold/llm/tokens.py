@@ -33,7 +33,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofold.llm.tables import discard, give_back, release, stored, text_of
