@@ -35,6 +35,23 @@ def test_pairs_are_learnt_and_held_out(spark, docs):
     assert kept.columns == docs(rows).columns and kept.count() == sum(not r["predicted"] for r in got.values())
 
 
+@pytest.mark.skipif("not __import__('os').path.isdir('/root/testdata/sf0.1')", reason="no test tables")
+def test_held_out_labels_of_the_given_tables():
+    """The labels of the held-out third, from a machine of the other two thirds."""
+    import zlib
+
+    import duckdb
+    import numpy as np
+
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT l.doc_id, max(l.toxic), any_value(text) FROM '{sf}/labels.parquet' l JOIN '{sf}/documents.parquet' USING (doc_id) WHERE l.toxic IS NOT NULL GROUP BY 1 ORDER BY 1").fetchall()
+    terms, y = [toxicity.terms_of(t) for _, _, t in rows], np.array([x for _, x, _ in rows])
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == toxicity.HELD_OUT for i, _, _ in rows])
+    machine = toxicity.fit([t for t, h in zip(terms, held) if not h], y[~held])
+    found = machine.score([(s := machine.slots[t])[s >= 0] for t, h in zip(terms, held) if h]) >= toxicity.THRESHOLD
+    assert found[y[held] == 1].mean() >= 0.8 and found[y[held] == 0].mean() <= 0.005
+
+
 def test_odd_rows_and_labels(spark, docs):
     for labels in ([], [(8, 0)], [(8, 1)], [(None, 1), (8, None)]):
         machine = toxicity.train(docs(ODD), spark.createDataFrame(labels, "doc_id long, toxic int"))
