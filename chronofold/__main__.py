@@ -61,7 +61,11 @@ def settings(path: str, changes: list[str]) -> dict:
 
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
-    logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO, format="%(asctime)s %(levelname)s %(message)s", handlers=[logging.StreamHandler(), *([logging.FileHandler(a.log)] if a.log else [])])
+    logging.basicConfig(
+        level=logging.DEBUG if a.verbose else logging.INFO,
+        format="%(asctime)s %(levelname)s %(message)s",
+        handlers=[logging.StreamHandler(), *([logging.FileHandler(a.log)] if a.log else [])],
+    )
     logging.getLogger("py4j").setLevel(logging.WARNING)
     from pyspark.sql import SparkSession
 
@@ -89,7 +93,13 @@ def main(args: list[str] | None = None) -> int:
     saved = maps.Maps(spark, f"{out}/maps", cfg.morphology)
     if a.command == "run":
         obs = C.standardise(io.read_curves(spark, src))
-        run.all(obs, io.listing_digest(spark, src), number(read("catalogue"), "catalogue_period_days"), number(read("fields"), "ra_deg", "dec_deg"), read("manual")).show()
+        run.all(
+            obs,
+            io.listing_digest(spark, src),
+            number(read("catalogue"), "catalogue_period_days"),
+            number(read("fields"), "ra_deg", "dec_deg"),
+            read("manual"),
+        ).show()
     elif a.command == "fit":
         saved.fit(run.read("morphology", "features"), read("manual")).groupBy("final_primary_tag").count().show()
     elif a.command == "transform":

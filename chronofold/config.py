@@ -102,26 +102,61 @@ class MorphologyConfig:
     thresholds: dict = field(default_factory=dict)
 
     def threshold(self, name: str) -> float:
-        presets = {"pipeline": {"transit_max_duty_cycle": 0.25, "periodic_snr": 5.0}, "code": {"transit_max_duty_cycle": 0.65, "periodic_snr": 6.0}}
+        presets = {
+            "pipeline": {"transit_max_duty_cycle": 0.25, "periodic_snr": 5.0},
+            "code": {"transit_max_duty_cycle": 0.65, "periodic_snr": 6.0},
+        }
         return {**THRESHOLDS, **presets[self.preset], **self.thresholds}[name]
 
 
 # Classification thresholds.
 THRESHOLDS = {
-    "periodic_chi2": 5.0, "periodic_chi2_strong": 25.0, "alias_relative_tolerance": 0.01, "poor_photometry_error": 0.25,
-    "poor_photometry_amplitude_ratio": 3.0, "transit_min_supporting_sections": 2, "transit_min_cycles": 3, "transit_exceptional_two_cycle_score": 0.88,
-    "transit_min_cycle_support_fraction": 0.45, "transit_score_threshold": 0.52, "double_dip_fraction": 0.80, "eclipse_phase_tolerance": 0.08,
-    "transit_min_dip_significance": 6.0, "secondary_eclipse_fraction": 0.25, "flare_min_events": 2, "flare_min_event_snr": 5.0, "flare_min_asymmetry": 0.75,
-    "flare_max_point_fraction": 0.10, "flare_min_duty_fraction": 0.002, "flare_min_dominance": 1.6, "flare_max_duty_cycle": 0.35,
-    "flare_max_baseline_variation": 0.40, "evolving_min_section_distance": 0.65, "evolving_max_section_correlation": 0.25,
-    "irregular_min_scatter_over_error": 2.0, "irregular_min_temporal_coherence": 0.42, "wave_dimming_ambiguity_margin": 0.10,
-    "noisy_min_scatter_over_error": 4.0, "symmetry_min_correlation": 0.97, "low_confidence": 0.60, "filter_disagreement_correlation": 0.10,
+    "periodic_chi2": 5.0,
+    "periodic_chi2_strong": 25.0,
+    "alias_relative_tolerance": 0.01,
+    "poor_photometry_error": 0.25,
+    "poor_photometry_amplitude_ratio": 3.0,
+    "transit_min_supporting_sections": 2,
+    "transit_min_cycles": 3,
+    "transit_exceptional_two_cycle_score": 0.88,
+    "transit_min_cycle_support_fraction": 0.45,
+    "transit_score_threshold": 0.52,
+    "double_dip_fraction": 0.80,
+    "eclipse_phase_tolerance": 0.08,
+    "transit_min_dip_significance": 6.0,
+    "secondary_eclipse_fraction": 0.25,
+    "flare_min_events": 2,
+    "flare_min_event_snr": 5.0,
+    "flare_min_asymmetry": 0.75,
+    "flare_max_point_fraction": 0.10,
+    "flare_min_duty_fraction": 0.002,
+    "flare_min_dominance": 1.6,
+    "flare_max_duty_cycle": 0.35,
+    "flare_max_baseline_variation": 0.40,
+    "evolving_min_section_distance": 0.65,
+    "evolving_max_section_correlation": 0.25,
+    "irregular_min_scatter_over_error": 2.0,
+    "irregular_min_temporal_coherence": 0.42,
+    "wave_dimming_ambiguity_margin": 0.10,
+    "noisy_min_scatter_over_error": 4.0,
+    "symmetry_min_correlation": 0.97,
+    "low_confidence": 0.60,
+    "filter_disagreement_correlation": 0.10,
 }
 
 # Cadence aliases that any ground-based survey has, in days, in order of precedence.
 UNIVERSAL_ALIASES = (
-    ("third_day", 1.0 / 3.0), ("half_day", 0.5), ("two_thirds_day", 2.0 / 3.0), ("sidereal_day", 0.99726957), ("one_day", 1.0), ("one_and_half_day", 1.5),
-    ("two_day", 2.0), ("half_lunar", 29.53059 / 2.0), ("lunar", 29.53059), ("half_year", 365.25 / 2.0), ("year", 365.25),
+    ("third_day", 1.0 / 3.0),
+    ("half_day", 0.5),
+    ("two_thirds_day", 2.0 / 3.0),
+    ("sidereal_day", 0.99726957),
+    ("one_day", 1.0),
+    ("one_and_half_day", 1.5),
+    ("two_day", 2.0),
+    ("half_lunar", 29.53059 / 2.0),
+    ("lunar", 29.53059),
+    ("half_year", 365.25 / 2.0),
+    ("year", 365.25),
 )
 #: Warnings of a series in order of precedence; a row keeps the first two.
 WARNING_ORDER = ("alias_corrected", "alias_possible", "harmonic_possible", "filter_disagreement", "single_filter_only")
@@ -142,18 +177,65 @@ def _ascending(x) -> bool:
 #: What a setting must be, by class and name; numbers must be finite everywhere.
 RULES = {
     "CleanConfig": {
-        "bands": ("not empty", lambda x: len(x) > 0 and all(isinstance(b, str) and b for b in x)), "window": ("at least 3", lambda x: x >= 3), "flux_limit": ("positive", _positive), "dujy_max": ("positive", _positive),
+        "bands": ("not empty", lambda x: len(x) > 0 and all(isinstance(b, str) and b for b in x)),
+        "window": ("at least 3", lambda x: x >= 3),
+        "flux_limit": ("positive", _positive),
+        "dujy_max": ("positive", _positive),
         **{n: ("a pair, lower first", _ascending) for n in ("mag_range", "dm_range", "xy_range", "axis_range", "apfit_range")},
     },
-    "SelectConfig": {"min_points": ("not negative", lambda x: x >= 0), "min_band_points": ("not negative", lambda x: x >= 0), "min_baseline": ("not negative", lambda x: x >= 0), "max_removed": ("from 0 to 1", _share), "max_dm": ("positive", _positive)},
+    "SelectConfig": {
+        "min_points": ("not negative", lambda x: x >= 0),
+        "min_band_points": ("not negative", lambda x: x >= 0),
+        "min_baseline": ("not negative", lambda x: x >= 0),
+        "max_removed": ("from 0 to 1", _share),
+        "max_dm": ("positive", _positive),
+    },
     "PeriodConfig": {
-        **{n: ("positive", _positive) for n in ("min_period", "max_period", "min_cycles", "samples_per_peak", "n_peaks", "field_deg", "harmonic_order", "fold_bins", "odd_even_bins", "replacement_rank", "field_min_stars")},
-        **{n: ("from 0 to 1", _share) for n in ("field_min_fraction", "replacement_fraction", "alias_threshold", "fap_threshold", "nonvar_fap", "odd_even_fraction", "peak_separation", "cluster_tolerance", "field_tolerance", "universal_tolerance", "harmonic_tolerance", "catalogue_tolerance")},
-        "bls_range": ("a pair, lower first", _ascending), "bls_durations": ("positive", lambda x: len(x) > 0 and all(d > 0 for d in x)),
+        **{
+            n: ("positive", _positive)
+            for n in (
+                "min_period",
+                "max_period",
+                "min_cycles",
+                "samples_per_peak",
+                "n_peaks",
+                "field_deg",
+                "harmonic_order",
+                "fold_bins",
+                "odd_even_bins",
+                "replacement_rank",
+                "field_min_stars",
+            )
+        },
+        **{
+            n: ("from 0 to 1", _share)
+            for n in (
+                "field_min_fraction",
+                "replacement_fraction",
+                "alias_threshold",
+                "fap_threshold",
+                "nonvar_fap",
+                "odd_even_fraction",
+                "peak_separation",
+                "cluster_tolerance",
+                "field_tolerance",
+                "universal_tolerance",
+                "harmonic_tolerance",
+                "catalogue_tolerance",
+            )
+        },
+        "bls_range": ("a pair, lower first", _ascending),
+        "bls_durations": ("positive", lambda x: len(x) > 0 and all(d > 0 for d in x)),
     },
     "MorphologyConfig": {
-        "preset": ("'pipeline' or 'code'", lambda x: x in ("pipeline", "code")), "phase_bins": ("at least 8", lambda x: x >= 8), "map_bins": ("at least 4", lambda x: x >= 4), "sections": ("at least 1", lambda x: x >= 1),
-        "min_coverage": ("from 0 to 1", _share), "event_sigma": ("positive", _positive), "event_gap_days": ("positive", _positive), "event_min_points": ("at least 1", lambda x: x >= 1),
+        "preset": ("'pipeline' or 'code'", lambda x: x in ("pipeline", "code")),
+        "phase_bins": ("at least 8", lambda x: x >= 8),
+        "map_bins": ("at least 4", lambda x: x >= 4),
+        "sections": ("at least 1", lambda x: x >= 1),
+        "min_coverage": ("from 0 to 1", _share),
+        "event_sigma": ("positive", _positive),
+        "event_gap_days": ("positive", _positive),
+        "event_min_points": ("at least 1", lambda x: x >= 1),
         "thresholds": ("known names", lambda x: set(x) <= {*THRESHOLDS, "transit_max_duty_cycle", "periodic_snr"}),
     },
 }
@@ -173,7 +255,9 @@ def checked(cfg):
     for f in dataclasses.fields(cfg):
         value, default = getattr(cfg, f.name), f.default
         number = isinstance(default, (int, float)) and not isinstance(default, bool)
-        if number and (not isinstance(value, (int, float)) or isinstance(value, bool)) or isinstance(default, bool) and not isinstance(value, bool):
+        if number and (
+            not isinstance(value, (int, float)) or isinstance(value, bool)
+        ) or isinstance(default, bool) and not isinstance(value, bool):
             wrong.append(f"{f.name} must be {'a number' if number else 'true or false'}, not {value!r}")
             continue
         if not all(math.isfinite(n) for n in _numbers(value)):

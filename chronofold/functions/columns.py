@@ -44,7 +44,10 @@ def truth(c: Column) -> Column:
 def safe_name(c: Column, most: int = 80) -> Column:
     """A text as a file name; long ones end in a digest."""
     t = F.regexp_replace(clean_text(c), r"[^A-Za-z0-9._-]+", "_")
-    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 11), F.lit("_"), F.substring(F.sha1(clean_text(c)), 1, 10))).otherwise(t)
+    return F.when(
+        F.length(t) > most,
+        F.concat(F.substring(t, 1, most - 11), F.lit("_"), F.substring(F.sha1(clean_text(c)), 1, 10)),
+    ).otherwise(t)
 
 
 def tags(c: Column) -> Column:
@@ -108,7 +111,10 @@ def harmonic_relation(period: Column, reference: Column, order: int = 6, toleran
     ratio = F.when((period > 0) & (reference > 0), period / reference)
     out = F.when(F.abs(ratio - 1) <= tolerance, "direct")
     for n in range(2, order + 1):
-        out = out.when(F.abs(ratio - 1.0 / n) / (1.0 / n) <= tolerance, f"P/{n}").when(F.abs(ratio - float(n)) / float(n) <= tolerance, f"{n}P")
+        out = out.when(
+            F.abs(ratio - 1.0 / n) / (1.0 / n) <= tolerance,
+            f"P/{n}",
+        ).when(F.abs(ratio - float(n)) / float(n) <= tolerance, f"{n}P")
     return F.coalesce(out, F.lit(""))
 
 
@@ -127,8 +133,10 @@ def catalogue_match(period: Column, catalogue: Column, order: int = 6, tolerance
     """How a recovered period relates to a catalogue period."""
     rel = harmonic_relation(period, catalogue, order, tolerance)
     return (
-        F.when(~F.coalesce(catalogue > 0, F.lit(False)), "no_catalogue_period").when(~F.coalesce(period > 0, F.lit(False)), "no_recovered_period")
-        .when(rel == "", "mismatch").otherwise(rel)
+        F.when(
+            ~F.coalesce(catalogue > 0, F.lit(False)),
+            "no_catalogue_period",
+        ).when(~F.coalesce(period > 0, F.lit(False)), "no_recovered_period").when(rel == "", "mismatch").otherwise(rel)
     )
 
 

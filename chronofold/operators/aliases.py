@@ -16,22 +16,33 @@ from chronofold.functions.columns import harmonic_relation, universal_alias
 def with_field(df: DataFrame, cfg: PeriodConfig = PeriodConfig()) -> DataFrame:
     """Adds ra_bin, dec_bin and field_key; NULL bins and 'unknown' without a position."""
     known = F.col("ra_deg").isNotNull() & F.col("dec_deg").isNotNull()
-    out = df.withColumn("ra_bin", F.when(known, F.floor(F.col("ra_deg") / cfg.field_deg)).cast("int")).withColumn("dec_bin", F.when(known, F.floor(F.col("dec_deg") / cfg.field_deg)).cast("int"))
-    return out.withColumn("field_key", F.coalesce(F.concat(F.col("ra_bin").cast("string"), F.lit("_"), F.col("dec_bin").cast("string")), F.lit("unknown")))
+    out = df.withColumn("ra_bin", F.when(known, F.floor(F.col("ra_deg") / cfg.field_deg)).cast("int")).withColumn(
+        "dec_bin",
+        F.when(known, F.floor(F.col("dec_deg") / cfg.field_deg)).cast("int"),
+    )
+    return out.withColumn(
+        "field_key",
+        F.coalesce(F.concat(F.col("ra_bin").cast("string"), F.lit("_"), F.col("dec_bin").cast("string")), F.lit("unknown")),
+    )
 
 
 def learning_peaks(peaks: DataFrame, cfg: PeriodConfig = PeriodConfig(), series: str = "auto", most: int = 12) -> DataFrame:
     """(ra_bin, dec_bin, source_id, periods): each star's peaks once. ``auto`` uses combined rows where a star has them, else pools o and c; repeats of (source, series, rank) count once, the first ``priority`` wins."""
     prio = F.col("priority") if "priority" in peaks.columns else F.lit(0)
     w = W.partitionBy("source_id", "series", "rank").orderBy(prio, "period_days")
-    p = with_field(peaks, cfg).where(F.col("ra_bin").isNotNull() & (F.col("rank") <= most)).withColumn("__r", F.row_number().over(w)).where("__r = 1")
+    p = with_field(peaks, cfg).where(
+        F.col("ra_bin").isNotNull()
+        & (F.col("rank") <= most)
+    ).withColumn("__r", F.row_number().over(w)).where("__r = 1")
     if series == "auto":
         whole = F.max(F.col("series") == "combined").over(W.partitionBy("source_id"))
         p = p.withColumn("__c", whole).where(F.when(F.col("__c"), F.col("series") == "combined").otherwise(F.col("series").isin("o", "c")))
     else:
         p = p.where(F.col("series") == series)
     p = p.where((F.col("period_days") > 0) & (universal_alias(F.col("period_days"), cfg.universal_tolerance) == ""))
-    listed = p.groupBy("ra_bin", "dec_bin", "source_id").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("series") == "o", 0).otherwise(1).alias("s"), "rank", "period_days"))).alias("l"))
+    listed = p.groupBy("ra_bin", "dec_bin", "source_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.when(F.col("series") == "o", 0).otherwise(1).alias("s"), "rank", "period_days"))).alias("l")
+    )
     return listed.select("ra_bin", "dec_bin", "source_id", F.col("l.period_days").alias("periods"))
 
 
@@ -59,7 +70,11 @@ def learn_inventory(peaks: DataFrame, cfg: PeriodConfig = PeriodConfig(), series
                 else:
                     clusters.append({"centre": p, "members": [p], "stars": {star}})
         n = int(pdf["n_stars"].iloc[0])
-        rows = [(key[0], key[1], f"{key[0]}_{key[1]}", c["centre"], n, len(c["stars"]), len(c["stars"]) / n) for c in clusters if len(c["stars"]) / n >= cfg.field_min_fraction]
+        rows = [
+            (key[0], key[1], f"{key[0]}_{key[1]}", c["centre"], n, len(c["stars"]), len(c["stars"]) / n)
+            for c in clusters
+            if len(c["stars"]) / n >= cfg.field_min_fraction
+        ]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in INVENTORY.split(", ")])
 
     stars = with_field(peaks, cfg).where("ra_bin is not null").select("ra_bin", "dec_bin", "source_id").distinct()
@@ -82,7 +97,9 @@ def merge_memory(inventories: DataFrame, cfg: PeriodConfig = PeriodConfig()) ->
         for g in groups:
             sub = pdf.iloc[g]
             n, hit = int(sub["n_stars_in_field"].sum()), int(sub["n_stars_hit"].sum())
-            rows.append((key[0], key[1], f"{key[0]}_{key[1]}", float(sub["alias_period_days"].median()), n, hit, hit / n if n else math.nan))
+            rows.append(
+                (key[0], key[1], f"{key[0]}_{key[1]}", float(sub["alias_period_days"].median()), n, hit, hit / n if n else math.nan)
+            )
         return pd.DataFrame(rows, columns=[c.split()[0] for c in INVENTORY.split(", ")])
 
     return inventories.groupBy("ra_bin", "dec_bin").applyInPandas(one, INVENTORY)
@@ -98,18 +115,38 @@ def score(peaks: DataFrame, inventory: DataFrame, cfg: PeriodConfig = PeriodConf
     width = math.log1p(cfg.field_tolerance)
     p = with_field(peaks, cfg).withColumn("__id", F.struct("source_id", "series", "rank"))
     near = F.explode(F.array(*[(F.floor(F.log("alias_period_days") / width) + d).cast("long") for d in (-1, 0, 1)]))
-    inv = inventory.where("alias_period_days > 0").select(F.col("ra_bin").alias("rb"), F.col("dec_bin").alias("db"), F.col("alias_period_days").alias("a"), "hit_fraction", near.alias("lb"))
+    inv = inventory.where("alias_period_days > 0").select(
+        F.col("ra_bin").alias("rb"),
+        F.col("dec_bin").alias("db"),
+        F.col("alias_period_days").alias("a"),
+        "hit_fraction",
+        near.alias("lb"),
+    )
     p = p.withColumn("__lb", F.floor(F.log("period_days") / width).cast("long"))
-    hit = (F.col("ra_bin") == F.col("rb")) & (F.col("dec_bin") == F.col("db")) & (F.col("__lb") == F.col("lb")) & (F.abs(F.col("period_days") - F.col("a")) / F.col("a") <= cfg.field_tolerance)
+    hit = (F.col("ra_bin") == F.col("rb")) & (F.col("dec_bin") == F.col("db")) & (F.col("__lb") == F.col("lb")) & (
+        F.abs(F.col("period_days") - F.col("a")) / F.col("a") <= cfg.field_tolerance
+    )
     j = p.join(inv, hit, "left")
     w = W.partitionBy("source_id", "series", "rank").orderBy(F.desc_nulls_last("hit_fraction"), "a")
     j = j.withColumn("__r", F.row_number().over(w)).where("__r = 1")
-    j = j.withColumn("universal_alias", universal_alias(F.col("period_days"), cfg.universal_tolerance)).withColumnRenamed("a", "field_alias_period")
-    window = F.when(F.col("rank") == 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("raw_sampling_window_power", F.lit(0.0))))).otherwise(0.0)
-    s = F.when(F.col("universal_alias") != "", cfg.weight_universal).otherwise(0.0) + F.when(F.col("field_alias_period").isNotNull(), cfg.weight_field).otherwise(0.0) + cfg.weight_window * window
+    j = j.withColumn(
+        "universal_alias",
+        universal_alias(F.col("period_days"), cfg.universal_tolerance),
+    ).withColumnRenamed("a", "field_alias_period")
+    window = F.when(
+        F.col("rank") == 1,
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("raw_sampling_window_power", F.lit(0.0)))),
+    ).otherwise(0.0)
+    s = F.when(F.col("universal_alias") != "", cfg.weight_universal).otherwise(0.0) + F.when(
+        F.col("field_alias_period").isNotNull(),
+        cfg.weight_field,
+    ).otherwise(0.0) + cfg.weight_window * window
     j = j.withColumn("alias_score", F.least(F.lit(1.0), s)).withColumn("is_alias", F.col("alias_score") >= cfg.alias_threshold)
     labels = F.concat_ws(
-        ";", F.when(F.col("universal_alias") != "", F.concat(F.lit("universal:"), F.col("universal_alias"))), F.when(F.col("field_alias_period").isNotNull(), "field"), F.when(window >= cfg.window_warning, "window")
+        ";",
+        F.when(F.col("universal_alias") != "", F.concat(F.lit("universal:"), F.col("universal_alias"))),
+        F.when(F.col("field_alias_period").isNotNull(), "field"),
+        F.when(window >= cfg.window_warning, "window"),
     )
     return j.withColumn("alias_labels", labels).drop("__id", "__lb", "__r", "rb", "db", "lb")
 
@@ -118,32 +155,61 @@ def replace(scored: DataFrame, cfg: PeriodConfig = PeriodConfig()) -> DataFrame:
     """One row per series: the first peak, or the first strong, unrelated non-alias peak of rank 2 to ``replacement_rank`` if the first is an alias."""
     key = ["source_id", "series"]
     first = scored.where("rank = 1").select(
-        *[F.col(k).alias(f"__{k}") for k in key], F.col("period_days").alias("p1"), F.col("alias_score").alias("raw_alias_score"), F.col("alias_labels").alias("raw_alias_labels"), F.col("is_alias").alias("raw_is_alias_suspect")
+        *[F.col(k).alias(f"__{k}") for k in key],
+        F.col("period_days").alias("p1"),
+        F.col("alias_score").alias("raw_alias_score"),
+        F.col("alias_labels").alias("raw_alias_labels"),
+        F.col("is_alias").alias("raw_is_alias_suspect"),
     )
     j = scored.join(first, [F.col(k) == F.col(f"__{k}") for k in key])
     able = (
-        F.col("raw_is_alias_suspect") & (F.col("rank") > 1) & (F.col("rank") <= cfg.replacement_rank) & ~F.col("is_alias") & (F.col("power_fraction_of_best") >= cfg.replacement_fraction)
+        F.col("raw_is_alias_suspect")
+        & (F.col("rank") > 1)
+        & (F.col("rank") <= cfg.replacement_rank)
+        & ~F.col("is_alias")
+        & (F.col("power_fraction_of_best") >= cfg.replacement_fraction)
         & (harmonic_relation(F.col("period_days"), F.col("p1"), cfg.harmonic_order, cfg.harmonic_tolerance) == "")
     )
     out = j.groupBy(*key).agg(
-        F.first("p1").alias("p1"), F.first("raw_alias_score").alias("raw_alias_score"), F.first("raw_alias_labels").alias("raw_alias_labels"), F.first("raw_is_alias_suspect").alias("raw_is_alias_suspect"),
+        F.first("p1").alias("p1"),
+        F.first("raw_alias_score").alias("raw_alias_score"),
+        F.first("raw_alias_labels").alias("raw_alias_labels"),
+        F.first("raw_is_alias_suspect").alias("raw_is_alias_suspect"),
         F.min(F.when(able, F.struct("rank", "period_days", "power_fraction_of_best"))).alias("r"),
     )
     swapped = F.col("r").isNotNull()
     return out.select(
-        *key, "raw_alias_score", "raw_alias_labels", "raw_is_alias_suspect", swapped.alias("alias_correction_applied"), F.coalesce("r.period_days", "p1").alias("recommended_series_period_days"), F.coalesce("r.rank", F.lit(1)).alias("alias_corrected_rank"),
-        F.when(swapped, "alias_corrected").when(F.col("raw_is_alias_suspect"), "alias_period_possible_true_or_artifact").otherwise("non_alias_period").alias("series_confidence_class"),
+        *key,
+        "raw_alias_score",
+        "raw_alias_labels",
+        "raw_is_alias_suspect",
+        swapped.alias("alias_correction_applied"),
+        F.coalesce("r.period_days", "p1").alias("recommended_series_period_days"),
+        F.coalesce("r.rank", F.lit(1)).alias("alias_corrected_rank"),
+        F.when(swapped, "alias_corrected").when(
+            F.col("raw_is_alias_suspect"),
+            "alias_period_possible_true_or_artifact",
+        ).otherwise("non_alias_period").alias("series_confidence_class"),
     )
 
 
 def two_p_support(peaks: DataFrame, adopted: DataFrame, cfg: PeriodConfig = PeriodConfig(), by: str = "power") -> DataFrame:
     """The peak near twice the adopted period: the strongest (``power``) or first in rank (``rank``), and whether it counts (5 % of the best power)."""
     a = adopted.select("source_id", "series", F.col("recommended_series_period_days").alias("p"))
-    j = peaks.join(a, ["source_id", "series"]).where((F.col("rank") <= cfg.n_peaks) & (F.abs(F.col("period_days") - 2 * F.col("p")) / (2 * F.col("p")) <= cfg.harmonic_tolerance))
+    j = peaks.join(a, ["source_id", "series"]).where(
+        (F.col("rank") <= cfg.n_peaks)
+        & (F.abs(F.col("period_days") - 2 * F.col("p")) / (2 * F.col("p")) <= cfg.harmonic_tolerance)
+    )
     order = (-F.col("power_fraction_of_best")) if by == "power" else F.col("rank").cast("double")
-    best = j.groupBy("source_id", "series").agg(F.min(F.struct(order.alias("o"), "rank", "period_days", "power_fraction_of_best")).alias("b"))
+    best = j.groupBy("source_id", "series").agg(
+        F.min(F.struct(order.alias("o"), "rank", "period_days", "power_fraction_of_best")).alias("b")
+    )
     return a.join(best, ["source_id", "series"], "left").select(
-        "source_id", "series", F.col("b.period_days").alias("top_peak_2p_period_days"), F.col("b.rank").alias("top_peak_2p_rank"), F.col("b.power_fraction_of_best").alias("top_peak_2p_power_fraction"),
+        "source_id",
+        "series",
+        F.col("b.period_days").alias("top_peak_2p_period_days"),
+        F.col("b.rank").alias("top_peak_2p_rank"),
+        F.col("b.power_fraction_of_best").alias("top_peak_2p_power_fraction"),
         F.coalesce(F.col("b.power_fraction_of_best") >= 0.05, F.lit(False)).alias("top_peak_2p_present"),
     )
 

@@ -40,7 +40,11 @@ def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
 
     ranged = cut_lineage(ranged)
     sums = ranged.groupBy("__p").agg(F.sum("__n").alias("__s"))
-    below = sums.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"), F.sum("__s").over(W.partitionBy()).alias("__t"))
+    below = sums.select(
+        F.col("__p").alias("__q"),
+        F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"),
+        F.sum("__s").over(W.partitionBy()).alias("__t"),
+    )
     inner = W.partitionBy("__p").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
     ranks = ranged.withColumn("__a", F.coalesce(F.sum("__n").over(inner), F.lit(0))).join(F.broadcast(below), F.col("__p") == F.col("__q"))  # one row a range
     ranks = ranks.select("__v", ((F.col("__b") + F.col("__a") + (F.col("__n") + 1) / 2) / F.col("__t")).alias(name))
@@ -58,7 +62,10 @@ def removed_fraction_examples(summary: DataFrame) -> DataFrame:
 def neighbour_preservation(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """(query, preserved): share of the k nearest in space ``a`` that are also among those in ``b``."""
     lists = lambda x, n: x.where(F.col("rank") <= k).groupBy("query").agg(F.collect_set("neighbour").alias(n))
-    return lists(a, "x").join(lists(b, "y"), "query").select("query", (F.size(F.array_intersect("x", "y")) / F.lit(float(k))).alias("preserved"))
+    return lists(a, "x").join(lists(b, "y"), "query").select(
+        "query",
+        (F.size(F.array_intersect("x", "y")) / F.lit(float(k))).alias("preserved"),
+    )
 
 
 def medoid_distances(rows: DataFrame) -> DataFrame:

@@ -26,7 +26,9 @@ def standardise(raw: DataFrame, source_col: str = "source_id", row_col: str = "r
     if not found["ujy"] and not (found["m"] and found["dm"]):
         raise ValueError("a flux or a magnitude pair is required")
     out = raw.select(
-        raw[source_col].cast("string").alias("source_id"), raw[row_col].alias("row_id"), F.trim(raw[found["band"]].cast("string")).alias("band"),
+        raw[source_col].cast("string").alias("source_id"),
+        raw[row_col].alias("row_id"),
+        F.trim(raw[found["band"]].cast("string")).alias("band"),
         *[number(raw[f"`{c}`"]).alias(to) for to, c in found.items() if c and to != "band"],
     )
     for to in ("m", "dm"):
@@ -45,10 +47,16 @@ def cuts(columns: list[str], cfg: CleanConfig) -> dict[str, Column]:
 
     snr = F.try_divide("ujy", "dujy")
     all_cuts = {
-        "err==0": ("err", F.col("err") == 0) if cfg.require_err_zero else None, f"duJy<{cfg.dujy_max:g}": ("dujy", F.col("dujy") < cfg.dujy_max),
-        f"SNR>{cfg.snr_min:g}": ("ujy", ~F.coalesce(snr < cfg.snr_min, F.lit(False))), "x_in": ("x", between("x", *cfg.xy_range)), "y_in": ("y", between("y", *cfg.xy_range)),
-        "maj_in": ("maj", between("maj", *cfg.axis_range)), "min_in": ("min", between("min", *cfg.axis_range)), "apfit_in": ("apfit", between("apfit", *cfg.apfit_range)),
-        f"mag5sig>{cfg.depth_min:g}": ("mag5sig", F.col("mag5sig") > cfg.depth_min), f"Sky>{cfg.sky_min:g}": ("sky", F.col("sky") > cfg.sky_min),
+        "err==0": ("err", F.col("err") == 0) if cfg.require_err_zero else None,
+        f"duJy<{cfg.dujy_max:g}": ("dujy", F.col("dujy") < cfg.dujy_max),
+        f"SNR>{cfg.snr_min:g}": ("ujy", ~F.coalesce(snr < cfg.snr_min, F.lit(False))),
+        "x_in": ("x", between("x", *cfg.xy_range)),
+        "y_in": ("y", between("y", *cfg.xy_range)),
+        "maj_in": ("maj", between("maj", *cfg.axis_range)),
+        "min_in": ("min", between("min", *cfg.axis_range)),
+        "apfit_in": ("apfit", between("apfit", *cfg.apfit_range)),
+        f"mag5sig>{cfg.depth_min:g}": ("mag5sig", F.col("mag5sig") > cfg.depth_min),
+        f"Sky>{cfg.sky_min:g}": ("sky", F.col("sky") > cfg.sky_min),
         "flags==0": ("flags", F.col("flags") == 0) if cfg.require_flags_zero else None,
     }
     return {k: F.coalesce(v[1], F.lit(False)) for k, v in all_cuts.items() if v and v[0] in columns}
@@ -58,12 +66,17 @@ def audit(obs: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """Every observation with snr, hard_valid, filter_ok, hard_reject, standard_keep and ``failed``, the names of its failed cuts."""
     ok = lambda c: F.coalesce(c, F.lit(False))
     within = lambda c, r: F.col(c).isNull() | ((F.col(c) > r[0]) & (F.col(c) < r[1]))
-    valid = F.col("mjd").isNotNull() & within("m", cfg.mag_range) & within("dm", cfg.dm_range) & ok(F.col("dujy") > 0) & ok(F.abs("ujy") < cfg.flux_limit)
+    valid = F.col("mjd").isNotNull() & within("m", cfg.mag_range) & within("dm", cfg.dm_range) & ok(F.col("dujy") > 0) & ok(
+        F.abs("ujy") < cfg.flux_limit
+    )
     if cfg.require_magnitude:
         valid = valid & F.col("m").isNotNull() & F.col("dm").isNotNull()
     deep = ok(F.col("mag5sig") < cfg.hard_depth) if "mag5sig" in obs.columns else F.lit(False)
     soft = cuts(obs.columns, cfg)
-    out = obs.withColumn("snr", F.try_divide("ujy", "dujy")).withColumn("hard_valid", valid).withColumn("filter_ok", ok(F.col("band").isin(*cfg.bands)))
+    out = obs.withColumn("snr", F.try_divide("ujy", "dujy")).withColumn("hard_valid", valid).withColumn(
+        "filter_ok",
+        ok(F.col("band").isin(*cfg.bands)),
+    )
     out = out.withColumn("hard_reject", ~F.col("hard_valid") | ~F.col("filter_ok") | deep).withColumn("__deep", deep)
     out = out.withColumn("failed", F.array_compact(F.array(*[F.when(~c, f"fail_{k}") for k, c in soft.items()])))
     return out.withColumn("standard_keep", ~F.col("hard_reject") & (F.size("failed") == 0))
@@ -74,12 +87,18 @@ def baseline(audited: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     half = cfg.window // 2
     source, band = W.partitionBy("source_id"), W.partitionBy("source_id", "band")
     rolling = band.orderBy(F.col("mjd").asc_nulls_last(), "row_id").rowsBetween(-half, half)
-    trusted = F.when(F.count_if("standard_keep").over(source) > 50, F.col("standard_keep")).otherwise(F.col("hard_valid") & F.col("filter_ok"))
+    trusted = F.when(
+        F.count_if("standard_keep").over(source) > 50,
+        F.col("standard_keep"),
+    ).otherwise(F.col("hard_valid") & F.col("filter_ok"))
     out = audited.withColumn("__t", F.when(trusted, F.col("ujy")))
     roll = F.when(F.count("__t").over(rolling) >= max(5, cfg.window // 5), median(F.col("__t")).over(rolling))
     enough = F.count("__t").over(band) >= max(10, half)
     value = F.when(enough, F.coalesce(roll, median(F.col("__t")).over(band))).otherwise(median(F.col("ujy")).over(band))
-    return out.withColumn("baseline_ujy", value).withColumn("z_resid", F.try_divide(F.col("ujy") - F.col("baseline_ujy"), "dujy")).drop("__t")
+    return out.withColumn("baseline_ujy", value).withColumn(
+        "z_resid",
+        F.try_divide(F.col("ujy") - F.col("baseline_ujy"), "dujy"),
+    ).drop("__t")
 
 
 def clean(obs: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
@@ -91,7 +110,10 @@ def clean(obs: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
         rescued = F.coalesce(F.col("z_resid") < cfg.rescue_z, F.lit(False)) & ~F.col("standard_keep") & ~F.col("hard_reject")
     out = out.withColumn("rescued", rescued).withColumn("final_keep", F.col("standard_keep") | F.col("rescued"))
     hard = F.concat_ws(
-        ";", F.when(~F.col("hard_valid"), "HARD_invalid_nan_inf_or_bad_m_dm_flux"), F.when(~F.col("filter_ok"), "HARD_filter"), F.when(F.col("__deep"), f"HARD_mag5sig<{cfg.hard_depth:g}")
+        ";",
+        F.when(~F.col("hard_valid"), "HARD_invalid_nan_inf_or_bad_m_dm_flux"),
+        F.when(~F.col("filter_ok"), "HARD_filter"),
+        F.when(F.col("__deep"), f"HARD_mag5sig<{cfg.hard_depth:g}"),
     )
     soft = F.concat_ws(";", F.array_join("failed", ";"))
     reason = F.when(F.col("hard_reject"), hard).when(~F.col("standard_keep"), soft).otherwise("")
@@ -105,15 +127,26 @@ def summary(cleaned: DataFrame) -> DataFrame:
     has = F.col("mjd").isNotNull()
     span = lambda c: F.when(F.count(F.when(c, F.col("mjd"))) > 1, F.max(F.when(c, F.col("mjd"))) - F.min(F.when(c, F.col("mjd"))))
     aggs = [
-        F.count(F.lit(1)).alias("n_raw"), n("hard_reject").alias("n_hard_reject"), n("standard_keep").alias("n_standard_keep"), n("rescued").alias("n_rescued"),
-        n("final_keep").alias("n_final_keep"), n(~kept).alias("n_removed"), (n(kept) / F.count(F.lit(1))).alias("fraction_kept"),
-        F.min("mjd").alias("mjd_min_raw"), F.max("mjd").alias("mjd_max_raw"), span(has).alias("baseline_days_raw"),
-        F.min(F.when(kept, F.col("mjd"))).alias("mjd_min_clean"), F.max(F.when(kept, F.col("mjd"))).alias("mjd_max_clean"), span(kept).alias("baseline_days_clean"),
+        F.count(F.lit(1)).alias("n_raw"),
+        n("hard_reject").alias("n_hard_reject"),
+        n("standard_keep").alias("n_standard_keep"),
+        n("rescued").alias("n_rescued"),
+        n("final_keep").alias("n_final_keep"),
+        n(~kept).alias("n_removed"),
+        (n(kept) / F.count(F.lit(1))).alias("fraction_kept"),
+        F.min("mjd").alias("mjd_min_raw"),
+        F.max("mjd").alias("mjd_max_raw"),
+        span(has).alias("baseline_days_raw"),
+        F.min(F.when(kept, F.col("mjd"))).alias("mjd_min_clean"),
+        F.max(F.when(kept, F.col("mjd"))).alias("mjd_max_clean"),
+        span(kept).alias("baseline_days_clean"),
     ]
     for b in ("c", "o"):
         mine = F.col("band") == b
         aggs += [
-            n(mine).alias(f"n_{b}_raw"), n(mine & kept).alias(f"n_{b}_clean"), median(F.when(mine & kept, F.col("dm"))).alias(f"median_dm_{b}_clean"),
+            n(mine).alias(f"n_{b}_raw"),
+            n(mine & kept).alias(f"n_{b}_clean"),
+            median(F.when(mine & kept, F.col("dm"))).alias(f"median_dm_{b}_clean"),
             median(F.when(mine & kept, F.col("dujy"))).alias(f"median_dujy_{b}_clean"),
         ]
     aggs += [
@@ -138,8 +171,12 @@ def top_reasons(counts: DataFrame, k: int = 3) -> DataFrame:
 def totals(per_source: DataFrame) -> DataFrame:
     """Run totals from the per-source summary."""
     return per_source.agg(
-        F.count(F.lit(1)).alias("n_sources"), F.sum("n_raw").alias("n_raw"), F.sum("n_final_keep").alias("n_kept"), F.sum("n_removed").alias("n_removed"),
-        (F.sum("n_removed") / F.sum("n_raw")).alias("removed_fraction"), median(1 - F.col("fraction_kept")).alias("median_removed_fraction"),
+        F.count(F.lit(1)).alias("n_sources"),
+        F.sum("n_raw").alias("n_raw"),
+        F.sum("n_final_keep").alias("n_kept"),
+        F.sum("n_removed").alias("n_removed"),
+        (F.sum("n_removed") / F.sum("n_raw")).alias("removed_fraction"),
+        median(1 - F.col("fraction_kept")).alias("median_removed_fraction"),
     )
 
 
@@ -151,10 +188,16 @@ def select_sources(per_source: DataFrame, cfg: SelectConfig = SelectConfig()) ->
     ok = F.lower(F.coalesce(F.col("status").cast("string"), F.lit("ok"))) == "ok" if "status" in per_source.columns else F.lit(True)
     no = lambda c: ~F.coalesce(c, F.lit(False))
     reasons = F.concat_ws(
-        ";", F.when(~ok, "cleaning_failed"), F.when(no(col("n_final_keep") >= cfg.min_points), f"fewer_than_{cfg.min_points}_points"),
-        F.when(F.greatest(*[F.coalesce(col(f"n_{b}_clean"), F.lit(0)) for b in ("c", "o")]) < cfg.min_band_points, f"no_band_with_{cfg.min_band_points}_points"),
+        ";",
+        F.when(~ok, "cleaning_failed"),
+        F.when(no(col("n_final_keep") >= cfg.min_points), f"fewer_than_{cfg.min_points}_points"),
+        F.when(
+            F.greatest(*[F.coalesce(col(f"n_{b}_clean"), F.lit(0)) for b in ("c", "o")]) < cfg.min_band_points,
+            f"no_band_with_{cfg.min_band_points}_points",
+        ),
         F.when(no(col("baseline_days_clean") >= cfg.min_baseline), f"baseline_under_{cfg.min_baseline:g}_days"),
-        F.when(1 - col("fraction_kept") > cfg.max_removed, f"more_than_{cfg.max_removed:.0%}_removed"), F.when(no(best <= cfg.max_dm), f"median_uncertainty_over_{cfg.max_dm:g}_mag"),
+        F.when(1 - col("fraction_kept") > cfg.max_removed, f"more_than_{cfg.max_removed:.0%}_removed"),
+        F.when(no(best <= cfg.max_dm), f"median_uncertainty_over_{cfg.max_dm:g}_mag"),
     )
     return per_source.withColumn("selection_reasons", reasons).withColumn("selected", F.col("selection_reasons") == "")
 
@@ -174,5 +217,6 @@ def sigma_of(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     w = W.partitionBy(*keys)
     dev = df.withColumn("__c", median(F.col(value)).over(w))
     return dev.groupBy(*keys).agg(
-        F.first("__c").alias("centre"), F.coalesce(positive(MAD_SIGMA * median(F.abs(F.col(value) - F.col("__c")))), positive(F.stddev_pop(value))).alias("sigma")
+        F.first("__c").alias("centre"),
+        F.coalesce(positive(MAD_SIGMA * median(F.abs(F.col(value) - F.col("__c")))), positive(F.stddev_pop(value))).alias("sigma"),
     )

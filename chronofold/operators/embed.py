@@ -20,21 +20,38 @@ from chronofold.operators.neighbours import nearest
 def fit_scaler(values: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(dim, centre, scale, empty, weight) of long rows (id, dim, x): exact median and interquartile range; a dimension without any value becomes 0."""
     fin = F.when(~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x"))
-    s = values.withColumn("v", fin).groupBy("dim").agg(median(F.col("v")).alias("centre"), (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"))
-    out = s.select("dim", F.coalesce("centre", F.lit(0.0)).alias("centre"), F.when(F.col("iqr") > 0, F.col("iqr")).otherwise(1.0).alias("scale"), F.col("centre").isNull().alias("empty"))
-    return out.withColumn("weight", F.lit(1.0)) if weights is None else out.join(weights.select("dim", "weight"), "dim", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    s = values.withColumn("v", fin).groupBy("dim").agg(
+        median(F.col("v")).alias("centre"),
+        (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"),
+    )
+    out = s.select(
+        "dim",
+        F.coalesce("centre", F.lit(0.0)).alias("centre"),
+        F.when(F.col("iqr") > 0, F.col("iqr")).otherwise(1.0).alias("scale"),
+        F.col("centre").isNull().alias("empty"),
+    )
+    return out.withColumn("weight", F.lit(1.0)) if weights is None else out.join(
+        weights.select("dim", "weight"),
+        "dim",
+        "left",
+    ).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
 def scaled(values: DataFrame, scaler: DataFrame) -> DataFrame:
     """Long rows imputed with the frozen medians, scaled and weighted by the square root of the block weight."""
     j = values.join(scaler, "dim")
     x = F.when(F.isnan("x") | (F.abs("x") == float("inf")), None).otherwise(F.col("x"))
-    return j.withColumn("z", F.when(F.col("empty"), 0.0).otherwise((F.coalesce(x, F.col("centre")) - F.col("centre")) / F.col("scale")) * F.sqrt("weight"))
+    return j.withColumn(
+        "z",
+        F.when(F.col("empty"), 0.0).otherwise((F.coalesce(x, F.col("centre")) - F.col("centre")) / F.col("scale")) * F.sqrt("weight"),
+    )
 
 
 def vectors(long_rows: DataFrame, id_col: str, value: str = "z") -> DataFrame:
     """(id, v): one array a row, in the order of dim."""
-    return long_rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("dim", value))).alias("p")).select(id_col, F.col(f"p.{value}").alias("v"))
+    return long_rows.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.struct("dim", value))).alias("p")
+    ).select(id_col, F.col(f"p.{value}").alias("v"))
 
 
 def ood_scores(neighbours: DataFrame, n: int, quantile: float = 0.99) -> DataFrame:
@@ -56,7 +73,11 @@ def neighbour_agreement(neighbours: DataFrame, labels: DataFrame, ks: tuple[int,
 
 def category_validation(agreement: DataFrame) -> DataFrame:
     cols = [c for c in agreement.columns if c.startswith("agreement_at_")]
-    return agreement.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in cols], *[median(F.col(c)).alias(f"median_{c}") for c in cols])
+    return agreement.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"mean_{c}") for c in cols],
+        *[median(F.col(c)).alias(f"median_{c}") for c in cols],
+    )
 
 
 def silhouette(rows: DataFrame) -> DataFrame:
@@ -68,10 +89,24 @@ def silhouette(rows: DataFrame) -> DataFrame:
     dims = len(rows.select("v").first()[0])
     sq = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b * b)
     flat = rows.select("id", "label", "v", sq(F.col("v")).alias("n2"))
-    c = flat.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("n2").alias("m2"), F.array(*[F.avg(F.col("v")[i]) for i in range(dims)]).alias("mean"))
+    c = flat.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("n2").alias("m2"),
+        F.array(*[F.avg(F.col("v")[i]) for i in range(dims)]).alias("mean"),
+    )
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
     table = c.groupBy().agg(F.collect_list(F.struct("label", "n", "m2", "mean")).alias("cs"))  # one row a cluster
-    j = flat.crossJoin(F.broadcast(table)).withColumn("d", F.transform("cs", lambda k: F.struct(k["label"].alias("label"), k["n"].alias("n"), (F.col("n2") + k["m2"] - 2 * dot(F.col("v"), k["mean"])).alias("d"))))
+    j = flat.crossJoin(F.broadcast(table)).withColumn(
+        "d",
+        F.transform(
+            "cs",
+            lambda k: F.struct(
+                k["label"].alias("label"),
+                k["n"].alias("n"),
+                (F.col("n2") + k["m2"] - 2 * dot(F.col("v"), k["mean"])).alias("d"),
+            ),
+        ),
+    )
     own = F.filter("d", lambda k: k["label"] == F.col("label"))[0]
     other = F.array_min(F.transform(F.filter("d", lambda k: k["label"] != F.col("label")), lambda k: k["d"]))
     j = j.withColumn("a", F.when(own["n"] > 1, own["d"] * own["n"] / (own["n"] - 1))).withColumn("b", other)
@@ -82,9 +117,15 @@ def silhouette(rows: DataFrame) -> DataFrame:
 def score_similarity(neighbours: DataFrame, evidence: DataFrame, k: int = 10) -> DataFrame:
     """(query, similarity): mean cosine between a row's evidence and its neighbours'; a zero vector gives 0. ``evidence`` is (id, v)."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    a, b = evidence.select(F.col("id").alias("query"), F.col("v").alias("x")), evidence.select(F.col("id").alias("neighbour"), F.col("v").alias("y"))
+    a, b = evidence.select(F.col("id").alias("query"), F.col("v").alias("x")), evidence.select(
+        F.col("id").alias("neighbour"),
+        F.col("v").alias("y"),
+    )
     j = neighbours.where(F.col("rank") <= k).join(a, "query").join(b, "neighbour")
-    cos = F.coalesce(F.try_divide(dot(F.col("x"), F.col("y")), F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))), F.lit(0.0))
+    cos = F.coalesce(
+        F.try_divide(dot(F.col("x"), F.col("y")), F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))),
+        F.lit(0.0),
+    )
     return j.groupBy("query").agg(F.avg(cos).alias("similarity"))
 
 
@@ -119,15 +160,38 @@ def density_families(points: DataFrame, k: int = 5, quantile: float = 0.95, leas
     cell = lambda c: F.floor(F.col(c) / eps)
     a = core.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = p.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(steps).alias("s")).select("b", "bx", "by", (F.floor(F.col("bx") / eps) + F.col("s.i")).alias("cx"), (F.floor(F.col("by") / eps) + F.col("s.j")).alias("cy"))
-    links = a.join(b, ["cx", "cy"]).where((F.pow(F.col("ax") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("ay") - F.col("by"), F.lit(2.0)) <= eps * eps) & (F.col("a") != F.col("b"))).select("a", "b")
+    b = p.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(steps).alias("s")).select(
+        "b",
+        "bx",
+        "by",
+        (F.floor(F.col("bx") / eps) + F.col("s.i")).alias("cx"),
+        (F.floor(F.col("by") / eps) + F.col("s.j")).alias("cy"),
+    )
+    links = a.join(b, ["cx", "cy"]).where(
+        (F.pow(F.col("ax") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("ay") - F.col("by"), F.lit(2.0)) <= eps * eps)
+        & (F.col("a") != F.col("b"))
+    ).select("a", "b")
     ids = core.select(F.col("id").alias("b"))
     comp = components(links.join(ids, "b", "left_semi"), core.select("id"))
-    border = links.join(ids, "b", "left_anti").join(comp, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("component"))
+    border = links.join(ids, "b", "left_anti").join(comp, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(
+        F.min("component").alias("component")
+    )
     all_in = comp.unionByName(border)
-    sizes = all_in.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(W.orderBy(F.desc("n"), "component")))
-    sizes = sizes.withColumn("family", F.when(F.col("r") == 1, "main").when(F.col("n") >= max(least, share * total), F.concat(F.lit("family_"), F.col("r") - 1)).otherwise("none"))
-    return points.select("id").join(all_in, "id", "left").join(sizes.select("component", "family"), "component", "left").select("id", F.coalesce("family", F.lit("none")).alias("family"))
+    sizes = all_in.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "r",
+        F.row_number().over(W.orderBy(F.desc("n"), "component")),
+    )
+    sizes = sizes.withColumn(
+        "family",
+        F.when(F.col("r") == 1, "main").when(
+            F.col("n") >= max(least, share * total),
+            F.concat(F.lit("family_"), F.col("r") - 1),
+        ).otherwise("none"),
+    )
+    return points.select("id").join(all_in, "id", "left").join(sizes.select("component", "family"), "component", "left").select(
+        "id",
+        F.coalesce("family", F.lit("none")).alias("family"),
+    )
 
 
 def append(frozen: DataFrame, batch: DataFrame, keys: list[str], existing: str = "skip") -> DataFrame:

@@ -26,9 +26,17 @@ def components(links: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> Dat
     label = cut_lineage(nodes.select("id", F.col("id").alias("component")))
     for _ in range(most_rounds):
         lower = both.join(label, F.col("b") == F.col("id")).groupBy(F.col("a").alias("n")).agg(F.min("component").alias("c"))
-        step = label.join(lower, F.col("id") == F.col("n"), "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"))
+        step = label.join(lower, F.col("id") == F.col("n"), "left").select(
+            "id",
+            F.least("component", F.coalesce("c", "component")).alias("component"),
+        )
         jump = step.select(F.col("id").alias("j"), F.col("component").alias("jc"))
-        new = cut_lineage(step.join(jump, F.col("component") == F.col("j"), "left").select("id", F.least("component", F.coalesce("jc", "component")).alias("component")))
+        new = cut_lineage(
+            step.join(jump, F.col("component") == F.col("j"), "left").select(
+                "id",
+                F.least("component", F.coalesce("jc", "component")).alias("component"),
+            )
+        )
         moved = new.select("id", F.col("component").alias("x")).join(label, "id").where("x <> component").isEmpty()
         label = new
         if moved:

@@ -76,19 +76,32 @@ def _to_cells(pivots: np.ndarray, radii: np.ndarray | None, metric: str):
                 d = np.sqrt(_squared(_unit(x) if metric == "cosine" else x, pivots))
                 own = d.argmin(1)
                 if radii is None:
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(d)), own])], ["i", "v", "cell", "r"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(d)), own])],
+                        ["i", "v", "cell", "r"],
+                    )
                     continue
                 reach = part.column(2).to_numpy(zero_copy_only=False)[:, None]
                 open_ = d - radii <= reach * (1 + 1e-9) + 1e-9
                 open_[np.arange(len(d)), own] = False
                 rows, cells = np.nonzero(open_)
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(cells.astype(np.int32))], ["i", "v", "cell"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(cells.astype(np.int32))],
+                    ["i", "v", "cell"],
+                )
 
     return go
 
 
-def nearest(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "id", metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
+def nearest(
+    queries: DataFrame,
+    reference: DataFrame,
+    k: int,
+    id_col: str = "id",
+    metric: str = "euclidean",
+    block: int = BLOCK,
+) -> DataFrame:
     """(query, rank, neighbour, distance): the ``k`` nearest reference rows (id, v) of each query, itself excluded, ties by id."""
     q, r = (df.select(F.col(id_col).alias("i"), F.col("v").cast("array<double>").alias("v")) for df in (queries, reference))
     n = r.count()

@@ -26,18 +26,48 @@ def family_ladder(spark, sf_dir):
 
 def classified_catalogue(spark, sf_dir):
     d = K.classified(feature_rows(spark, sf_dir))
-    return _rounded(d.select("source_id", "dataset", "primary_tag", "secondary_tags", "review_reasons", "confidence", "interest_status", "interest_confidence", "interest_reasons", "needs_review"))
+    return _rounded(
+        d.select(
+            "source_id",
+            "dataset",
+            "primary_tag",
+            "secondary_tags",
+            "review_reasons",
+            "confidence",
+            "interest_status",
+            "interest_confidence",
+            "interest_reasons",
+            "needs_review",
+        )
+    )
 
 
 def _manual(spark, sf_dir):
     m = table(spark, sf_dir, "labels")
-    tag = F.when(F.col("toxic") == 1, "exotic;transit").when((F.col("quality") == 0) & (F.col("doc_id") % 2 == 0), "exotic").when(F.col("quality") == 0, "flaring").when(F.col("doc_id") % 5 == 0, "nonsense").otherwise("")
-    return m.select(F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("d"), F.col("doc_id") % 2).alias("dataset"), tag.alias("manual_primary_tag"), F.when(F.col("doc_id") % 7 == 0, "checked").otherwise("").alias("manual_secondary_tags"))
+    tag = F.when(F.col("toxic") == 1, "exotic;transit").when(
+        (F.col("quality") == 0) & (F.col("doc_id") % 2 == 0),
+        "exotic",
+    ).when(F.col("quality") == 0, "flaring").when(F.col("doc_id") % 5 == 0, "nonsense").otherwise("")
+    return m.select(
+        F.col("doc_id").cast("string").alias("source_id"),
+        F.concat(F.lit("d"), F.col("doc_id") % 2).alias("dataset"),
+        tag.alias("manual_primary_tag"),
+        F.when(F.col("doc_id") % 7 == 0, "checked").otherwise("").alias("manual_secondary_tags"),
+    )
 
 
 def manual_label_overlay(spark, sf_dir):
-    t = catalogue_rows(spark, sf_dir).withColumnsRenamed({"final_primary_tag": "primary_tag", "final_secondary_tags": "secondary_tags", "final_interest_status": "interest_status"})
-    return K.overlay(t, _manual(spark, sf_dir)).select("source_id", "dataset", "final_primary_tag", "final_secondary_tags", "final_interest_status", "label_source")
+    t = catalogue_rows(spark, sf_dir).withColumnsRenamed(
+        {"final_primary_tag": "primary_tag", "final_secondary_tags": "secondary_tags", "final_interest_status": "interest_status"}
+    )
+    return K.overlay(t, _manual(spark, sf_dir)).select(
+        "source_id",
+        "dataset",
+        "final_primary_tag",
+        "final_secondary_tags",
+        "final_interest_status",
+        "label_source",
+    )
 
 
 def memberships(spark, sf_dir):
@@ -45,7 +75,10 @@ def memberships(spark, sf_dir):
 
 
 def strength(spark, sf_dir):
-    d = feature_rows(spark, sf_dir).withColumn("final_primary_tag", F.element_at(F.array(*[F.lit(x) for x in K.FAMILIES]), (F.col("source_id").cast("long") % 7 + 1).cast("int"))).withColumn("score_unknown", F.lit(0.25))
+    d = feature_rows(spark, sf_dir).withColumn(
+        "final_primary_tag",
+        F.element_at(F.array(*[F.lit(x) for x in K.FAMILIES]), (F.col("source_id").cast("long") % 7 + 1).cast("int")),
+    ).withColumn("score_unknown", F.lit(0.25))
     return _rounded(d.select("source_id", "final_primary_tag", K.strength(d).alias("strength")))
 
 
@@ -131,8 +164,24 @@ _HALF = ", ".join(f"greatest({s}, 0) + 1e-12 AS r{i}" for i, s in enumerate(K.SC
 QUERIES = {
     f.__name__: f
     for f in (
-        category_scores, hellinger, family_ladder, classified_catalogue, manual_label_overlay, memberships, strength, category_summary, dataset_categories, tag_summary, family_tag_crosstab, unknown_reasons, alias_summary, interest_summary, crosstab_margins,
-        review_queue, exotic_candidates, strongest_examples,
+        category_scores,
+        hellinger,
+        family_ladder,
+        classified_catalogue,
+        manual_label_overlay,
+        memberships,
+        strength,
+        category_summary,
+        dataset_categories,
+        tag_summary,
+        family_tag_crosstab,
+        unknown_reasons,
+        alias_summary,
+        interest_summary,
+        crosstab_margins,
+        review_queue,
+        exotic_candidates,
+        strongest_examples,
     )
 }
 _TAGS = "list_distinct(list_filter(string_split({0}, ';'), lambda x: x <> ''))"

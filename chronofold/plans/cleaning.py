@@ -13,7 +13,15 @@ def cleaned(spark, sf_dir):
 
 
 def clean_audit(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("source_id", "row_id", F.round("snr", 6).alias("snr"), "hard_reject", "standard_keep", "final_keep", "reject_reason")
+    return cleaned(spark, sf_dir).select(
+        "source_id",
+        "row_id",
+        F.round("snr", 6).alias("snr"),
+        "hard_reject",
+        "standard_keep",
+        "final_keep",
+        "reject_reason",
+    )
 
 
 def rounded(c, digits=6):
@@ -90,16 +98,26 @@ chosen AS (SELECT *, concat_ws(';', CASE WHEN n_final_keep < 100 THEN 'fewer_tha
     CASE WHEN NOT coalesce(dm <= 0.2, false) THEN 'median_uncertainty_over_0.2_mag' END) AS selection_reasons FROM best)"""
 
 _SUMMARY_ROUNDED = ", ".join(
-    f"round({c}, 6) AS {c}" if c.startswith(("fraction", "mjd", "baseline", "median")) else c
+    f"round({c}, 6) AS {c}"
+    if c.startswith(("fraction", "mjd", "baseline", "median")) else c
     for c in (
-        "source_id n_raw n_hard_reject n_standard_keep n_rescued n_final_keep n_removed fraction_kept mjd_min_raw mjd_max_raw baseline_days_raw mjd_min_clean mjd_max_clean "
-        "baseline_days_clean n_c_raw n_c_clean median_dm_c_clean median_dujy_c_clean n_o_raw n_o_clean median_dm_o_clean median_dujy_o_clean filters_present_raw filters_present_clean"
+        "source_id n_raw n_hard_reject n_standard_keep n_rescued n_final_keep n_removed fraction_kept mjd_min_raw mjd_max_raw baseline_days_raw mjd_min_clean mjd_max_clean " "baseline_days_clean n_c_raw n_c_clean median_dm_c_clean median_dujy_c_clean n_o_raw n_o_clean median_dm_o_clean median_dujy_o_clean filters_present_raw filters_present_clean"
     ).split()
 )
 
 QUERIES = {
     f.__name__: f
-    for f in (clean_audit, clean_summary, reject_reasons, reject_top3, clean_totals, source_selection, selection_reason_counts, selected_observations, rolling_baseline)
+    for f in (
+        clean_audit,
+        clean_summary,
+        reject_reasons,
+        reject_top3,
+        clean_totals,
+        source_selection,
+        selection_reason_counts,
+        selected_observations,
+        rolling_baseline,
+    )
 }
 
 ORACLES = {

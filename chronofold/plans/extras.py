@@ -45,7 +45,12 @@ def extra_folds(spark, sf_dir):
 
 
 def first_known_metadata(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("a"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).alias("b"))
+    o = table(spark, sf_dir, "orders").select(
+        "o_custkey",
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("a"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).alias("b"),
+    )
     return U.first_known(o, "o_custkey", "o_orderkey", {"object_name": ["a", "b"], "cluster_name": ["b"]})
 
 
@@ -58,10 +63,26 @@ def truth_audit(spark, sf_dir):
 def fold_period_choice(spark, sf_dir):
     c = catalogue_rows(spark, sf_dir)
     forced = F.when(F.col("source_id").cast("long") % 10 == 0, 5.0)
-    return c.select("source_id", R.fold_period(forced, F.col("recommended_period_days"), F.col("profile_chi2"), F.lit(1.0)).alias("fold_period"))
-
-
-QUERIES = {f.__name__: f for f in (percentile_rank, neighbour_preservation, medoid_distances, removed_examples, cross_band_recovery, extra_folds, first_known_metadata, truth_audit, fold_period_choice)}
+    return c.select(
+        "source_id",
+        R.fold_period(forced, F.col("recommended_period_days"), F.col("profile_chi2"), F.lit(1.0)).alias("fold_period"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        percentile_rank,
+        neighbour_preservation,
+        medoid_distances,
+        removed_examples,
+        cross_band_recovery,
+        extra_folds,
+        first_known_metadata,
+        truth_audit,
+        fold_period_choice,
+    )
+}
 _KNN = lambda name, cut: f"{name} AS (SELECT a.id AS query, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v{cut}, b.v{cut}), b.id) AS r FROM e a JOIN e b ON a.id <> b.id)"
 ORACLES = {
     "percentile_rank": f"WITH {CATALOGUE_SQL} SELECT source_id, confidence, round((rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2) / count(*) OVER (), 6) AS confidence_rank FROM cat",

@@ -35,9 +35,25 @@ REPRESENTATION = ("phase_bins", "sections", "map_bins", "event_sigma", "event_ga
 
 # The scalar space that validation falls back on.
 SCALARS = (
-    "profile_chi2", "profile_snr", "dip_duty_cycle", "dip_dominance", "secondary_dip_depth_norm", "secondary_dip_phase_separation", "out_of_dip_variation", "mirror_symmetry", "harmonic_energy_ratio",
-    "coherent_dimming_score", "dip_cycle_support_fraction", "wave_model_score", "dimming_model_score", "flare_event_count", "flare_asymmetry", "irregular_variability_score", "temporal_coherence_score",
-    "scatter_over_error", "phase_coverage",
+    "profile_chi2",
+    "profile_snr",
+    "dip_duty_cycle",
+    "dip_dominance",
+    "secondary_dip_depth_norm",
+    "secondary_dip_phase_separation",
+    "out_of_dip_variation",
+    "mirror_symmetry",
+    "harmonic_energy_ratio",
+    "coherent_dimming_score",
+    "dip_cycle_support_fraction",
+    "wave_model_score",
+    "dimming_model_score",
+    "flare_event_count",
+    "flare_asymmetry",
+    "irregular_variability_score",
+    "temporal_coherence_score",
+    "scatter_over_error",
+    "phase_coverage",
 )
 
 
@@ -50,7 +66,12 @@ def settings_digest(cfg: MorphologyConfig) -> str:
 def space_names(space: str, cfg: MorphologyConfig) -> list[str]:
     """The columns of a space in order; the combined one has each name once."""
     periodic, transient = P.block_names(cfg)
-    return {"periodic": periodic, "transient": transient, "combined": [*periodic, *(n for n in transient if n not in periodic)], "evidence": list(K.SCORES)}[space]
+    return {
+        "periodic": periodic,
+        "transient": transient,
+        "combined": [*periodic, *(n for n in transient if n not in periodic)],
+        "evidence": list(K.SCORES),
+    }[space]
 
 
 def space_values(table: DataFrame, space: str, cfg: MorphologyConfig) -> DataFrame:
@@ -64,7 +85,11 @@ def space_values(table: DataFrame, space: str, cfg: MorphologyConfig) -> DataFra
     else:
         periodic, transient = P.block_names(cfg)
         kept = [i + 1 for i, n in enumerate(transient) if n not in periodic]
-        block = {"periodic": F.col("periodic_block"), "transient": F.col("transient_block"), "combined": F.concat("periodic_block", F.transform(F.array(*map(F.lit, kept)), lambda i: F.element_at("transient_block", i)))}[space]
+        block = {
+            "periodic": F.col("periodic_block"),
+            "transient": F.col("transient_block"),
+            "combined": F.concat("periodic_block", F.transform(F.array(*map(F.lit, kept)), lambda i: F.element_at("transient_block", i))),
+        }[space]
         v = table.select("source_id", block.alias("v"))
     return v.select("source_id", F.posexplode("v").alias("dim", "x"))
 
@@ -72,7 +97,10 @@ def space_values(table: DataFrame, space: str, cfg: MorphologyConfig) -> DataFra
 def scalar_space(table: DataFrame) -> DataFrame:
     """(id, v): the scalar features, median-imputed and scaled by their interquartile ranges."""
     names = [n for n in SCALARS if n in table.columns]
-    values = table.select(F.col("source_id").alias("id"), F.posexplode(F.array(*[F.col(n).cast("double") for n in names] or [F.lit(0.0)])).alias("dim", "x"))
+    values = table.select(
+        F.col("source_id").alias("id"),
+        F.posexplode(F.array(*[F.col(n).cast("double") for n in names] or [F.lit(0.0)])).alias("dim", "x"),
+    )
     return E.vectors(E.scaled(values, E.fit_scaler(values)), "id")
 
 
@@ -94,7 +122,11 @@ class Maps:
         if not fs.exists(p):
             return None
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [int(n[4:]) for n in names if n.startswith("gen-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_COMPLETE"))]
+        done = [
+            int(n[4:])
+            for n in names
+            if n.startswith("gen-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_COMPLETE"))
+        ]
         return max(done, default=None)
 
     def read(self, table: str) -> DataFrame:
@@ -141,7 +173,9 @@ class Maps:
         """(source_id, space_1, space_2, space_vector) by the saved scaler and axes."""
         scaler, axes = self._model(space)
         z = E.scaled(space_values(table, space, self.cfg), scaler)
-        xy = z.join(F.broadcast(axes), "dim").groupBy("source_id").agg(*[F.sum(F.col("z") * F.col(f"axis_{k}")).alias(f"{space}_{k}") for k in (1, 2)])
+        xy = z.join(F.broadcast(axes), "dim").groupBy("source_id").agg(
+            *[F.sum(F.col("z") * F.col(f"axis_{k}")).alias(f"{space}_{k}") for k in (1, 2)]
+        )
         return xy.join(E.vectors(z, "source_id").withColumnRenamed("v", f"{space}_vector"), "source_id")
 
     def _scored(self, features: DataFrame, manual: DataFrame | None) -> DataFrame:
@@ -169,10 +203,25 @@ class Maps:
             scaler = self.spark.read.parquet(f"{self.root}/models/{space}/scaler")
             model = E.pca_map(E.vectors(E.scaled(values, scaler), "source_id").withColumnRenamed("source_id", "id"))[1]
             axes = [(i, *map(float, row)) for i, row in enumerate(model.pc.toArray())]  # a row a dimension
-            self.spark.createDataFrame(axes, "dim int, axis_1 double, axis_2 double").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/models/{space}/axes")
-        meta = json.dumps({"settings": settings_digest(self.cfg), "names": {s: space_names(s, self.cfg) for s in SPACES}, "config": dataclasses.asdict(self.cfg)}, sort_keys=True)
+            self.spark.createDataFrame(
+                axes,
+                "dim int, axis_1 double, axis_2 double",
+            ).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/models/{space}/axes")
+        meta = json.dumps(
+            {
+                "settings": settings_digest(self.cfg),
+                "names": {s: space_names(s, self.cfg) for s in SPACES},
+                "config": dataclasses.asdict(self.cfg),
+            },
+            sort_keys=True,
+        )
         self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/models/meta")
-        self._write({"features": features, "catalogue": self._mapped(scored).withColumn("is_reference", F.lit(True)).withColumn("is_latest_batch", F.lit(True))})
+        self._write(
+            {
+                "features": features,
+                "catalogue": self._mapped(scored).withColumn("is_reference", F.lit(True)).withColumn("is_latest_batch", F.lit(True)),
+            }
+        )
         return self.read("catalogue")
 
     def _distances(self, table: DataFrame, reference: DataFrame) -> DataFrame:
@@ -180,8 +229,12 @@ class Maps:
         v = lambda df: df.select(F.col("source_id").alias("id"), F.col("combined_vector").alias("v"))
         n = reference.count()
         k = int(min(6, max(2, n - 1))) - 1
-        scale = E.ood_scores(E.nearest(v(reference), v(reference), k), n).agg(F.max(F.col("typical") / F.greatest("out_of_distribution_score", F.lit(1e-12)))).first()[0] or 1e-9
-        far = E.nearest(v(table), v(reference), k).groupBy("query").agg((F.avg("distance") / F.lit(scale)).alias("out_of_distribution_score"))
+        scale = E.ood_scores(E.nearest(v(reference), v(reference), k), n).agg(
+            F.max(F.col("typical") / F.greatest("out_of_distribution_score", F.lit(1e-12)))
+        ).first()[0] or 1e-9
+        far = E.nearest(v(table), v(reference), k).groupBy("query").agg(
+            (F.avg("distance") / F.lit(scale)).alias("out_of_distribution_score")
+        )
         return table.drop("out_of_distribution_score").join(far, F.col("source_id") == F.col("query"), "left").drop("query")
 
     def transform(self, features: DataFrame, existing: str = "skip", manual: DataFrame | None = None) -> DataFrame:
@@ -197,10 +250,20 @@ class Maps:
         if new.isEmpty():
             return old
         # Two steps: the distance from the reference is one of the rules' inputs, the scores make the evidence map.
-        far = self._distances(new.drop("events").join(self._place(new, "combined").select("source_id", "combined_vector"), "source_id"), old.where("is_reference")).drop("combined_vector")
-        batch = self._mapped(self._held(self._scored(far, manual))).withColumn("is_reference", F.lit(False)).withColumn("is_latest_batch", F.lit(True))
+        far = self._distances(
+            new.drop("events").join(self._place(new, "combined").select("source_id", "combined_vector"), "source_id"),
+            old.where("is_reference"),
+        ).drop("combined_vector")
+        batch = self._mapped(
+            self._held(self._scored(far, manual))
+        ).withColumn("is_reference", F.lit(False)).withColumn("is_latest_batch", F.lit(True))
         kept = old.join(new.select("source_id"), "source_id", "left_anti").withColumn("is_latest_batch", F.lit(False))
-        self._write({"features": old_features.join(new.select("source_id"), "source_id", "left_anti").unionByName(new, allowMissingColumns=True), "catalogue": kept.unionByName(batch, allowMissingColumns=True)})
+        self._write(
+            {
+                "features": old_features.join(new.select("source_id"), "source_id", "left_anti").unionByName(new, allowMissingColumns=True),
+                "catalogue": kept.unionByName(batch, allowMissingColumns=True),
+            }
+        )
         return self.read("catalogue")
 
     def relabel(self, manual: DataFrame | None = None) -> DataFrame:
@@ -231,34 +294,67 @@ class Maps:
                 raise ValueError(f"source {source_id} is not on the map")
             parts.append(E.nearest(one, rows, k).withColumn("space", F.lit(name)))
         label = table.select(F.col("source_id").alias("neighbour"), "final_primary_tag", "recommended_period_days")
-        return parts[0].unionByName(parts[1]).join(label, "neighbour").select("space", "rank", "neighbour", "distance", "final_primary_tag", "recommended_period_days")
+        return parts[0].unionByName(parts[1]).join(label, "neighbour").select(
+            "space",
+            "rank",
+            "neighbour",
+            "distance",
+            "final_primary_tag",
+            "recommended_period_days",
+        )
 
     def validation(self) -> dict[str, DataFrame]:
         """Neighbour validation of the saved catalogue: rows by source, by category, and the neighbours of each category's strongest source."""
         table = self.read("catalogue")
         complete = table.where("combined_vector is null").isEmpty()
         space = table.select(F.col("source_id").alias("id"), F.col("combined_vector").alias("v")) if complete else scalar_space(table)
-        flat = table.select(F.col("source_id").alias("id"), F.array(F.coalesce("combined_1", F.lit(0.0)), F.coalesce("combined_2", F.lit(0.0))).alias("v"))
+        flat = table.select(
+            F.col("source_id").alias("id"),
+            F.array(F.coalesce("combined_1", F.lit(0.0)), F.coalesce("combined_2", F.lit(0.0))).alias("v"),
+        )
         return neighbour_validation(table, space, flat)
 
 
 def _labels(table: DataFrame) -> list[str]:
     """Columns that classification adds."""
-    made = {*K.SCORES, "rung", "primary_tag", "secondary_tags", "review_reasons", "confidence", "interest_status", "interest_confidence", "interest_reasons", "needs_review", "final_primary_tag", "final_secondary_tags", "final_interest_status", "label_source"}
+    made = {
+        *K.SCORES,
+        "rung",
+        "primary_tag",
+        "secondary_tags",
+        "review_reasons",
+        "confidence",
+        "interest_status",
+        "interest_confidence",
+        "interest_reasons",
+        "needs_review",
+        "final_primary_tag",
+        "final_secondary_tags",
+        "final_interest_status",
+        "label_source",
+    }
     return [c for c in table.columns if c in made]
 
 
 def family_summary(members: DataFrame, x: str, y: str) -> DataFrame:
     """Per family: size, centroid, box and most frequent category (first by name on ties)."""
     kinds = members.groupBy("family", "final_primary_tag").count()
-    modal = kinds.groupBy("family").agg(F.min(F.struct((-F.col("count")).alias("n"), "final_primary_tag"))["final_primary_tag"].alias("dominant_category"))
-    box = members.groupBy("family").agg(F.count(F.lit(1)).alias("n_sources"), *[f(c).alias(f"{n}_{i}") for i, c in ((1, x), (2, y)) for n, f in (("centroid", F.avg), ("minimum", F.min), ("maximum", F.max))])
+    modal = kinds.groupBy("family").agg(
+        F.min(F.struct((-F.col("count")).alias("n"), "final_primary_tag"))["final_primary_tag"].alias("dominant_category")
+    )
+    box = members.groupBy("family").agg(
+        F.count(F.lit(1)).alias("n_sources"),
+        *[f(c).alias(f"{n}_{i}") for i, c in ((1, x), (2, y)) for n, f in (("centroid", F.avg), ("minimum", F.min), ("maximum", F.max))],
+    )
     return box.join(modal, "family")
 
 
 def score_margin(table: DataFrame) -> DataFrame:
     """(id, classification_score_margin): the best category score over the second, as shares of all."""
-    s = K.hellinger(table).select(F.col("source_id").alias("id"), F.sort_array(F.transform("evidence", lambda x: x * x), asc=False).alias("s"))
+    s = K.hellinger(table).select(
+        F.col("source_id").alias("id"),
+        F.sort_array(F.transform("evidence", lambda x: x * x), asc=False).alias("s"),
+    )
     return s.select("id", (F.element_at("s", 1) - F.element_at("s", 2)).alias("classification_score_margin"))
 
 
@@ -285,7 +381,10 @@ def typical_distances(rows: DataFrame, block: int = 1024) -> DataFrame:
         return pa.table([x.column("id"), x.column("label"), pa.array(total)], names=["id", "label", "s"])
 
     keys = ["label", "a", "b"]
-    per = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(sums, f"id {kind}, label string, s double").groupBy("id", "label").agg(F.sum("s").alias("s"))
+    per = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        sums,
+        f"id {kind}, label string, s double",
+    ).groupBy("id", "label").agg(F.sum("s").alias("s"))
     medoid = per.groupBy("label").agg(F.min(F.struct(F.round("s", 9).alias("s"), "id"))["id"].alias("medoid"))
     at = medoid.join(rows.select(F.col("id").alias("medoid"), F.col("v").alias("w")), "medoid").select(F.col("label").alias("l"), "w")  # a row a label
     gap = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
@@ -299,32 +398,80 @@ def neighbour_validation(table: DataFrame, space: DataFrame, flat: DataFrame, an
     near, mapped = E.nearest(space, space, 10), E.nearest(flat, flat, 5)
     by = E.neighbour_agreement(near, labels)
     on_map = E.neighbour_agreement(mapped, labels, (5,)).select("query", F.col("agreement_at_5").alias("map_agreement_at_5"))
-    first = near.where("rank = 1").select("query", F.col("neighbour").alias("nearest_source_id"), F.col("distance").alias("nearest_distance"))
-    kept = first.join(mapped.select(F.col("query").alias("q"), F.col("neighbour").alias("n")), (F.col("query") == F.col("q")) & (F.col("nearest_source_id") == F.col("n")), "left_semi").select("query", F.lit(True).alias("kept"))
-    out = by.join(on_map, "query", "left").join(first, "query", "left").join(kept, "query", "left").withColumn("nearest_preserved_on_map", F.coalesce("kept", F.lit(False))).drop("kept")
-    out = out.join(E.score_similarity(near, evidence, 10).select("query", F.col("similarity").alias("score_similarity_at_10")), "query", "left")
+    first = near.where("rank = 1").select(
+        "query",
+        F.col("neighbour").alias("nearest_source_id"),
+        F.col("distance").alias("nearest_distance"),
+    )
+    kept = first.join(
+        mapped.select(F.col("query").alias("q"), F.col("neighbour").alias("n")),
+        (F.col("query") == F.col("q")) & (F.col("nearest_source_id") == F.col("n")),
+        "left_semi",
+    ).select("query", F.lit(True).alias("kept"))
+    out = by.join(on_map, "query", "left").join(first, "query", "left").join(kept, "query", "left").withColumn(
+        "nearest_preserved_on_map",
+        F.coalesce("kept", F.lit(False)),
+    ).drop("kept")
+    out = out.join(
+        E.score_similarity(near, evidence, 10).select("query", F.col("similarity").alias("score_similarity_at_10")),
+        "query",
+        "left",
+    )
     out = out.join(score_margin(table).withColumnRenamed("id", "query"), "query", "left")
-    away = typical_distances(space.join(labels, "id")).select(F.col("id").alias("query"), F.col("distance").alias("distance_to_typical_example"))
+    away = typical_distances(space.join(labels, "id")).select(
+        F.col("id").alias("query"),
+        F.col("distance").alias("distance_to_typical_example"),
+    )
     out = out.join(away, "query", "left").withColumnRenamed("query", "source_id")
     summary = out.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n_sources"), F.avg("agreement_at_5").alias("neighbour_agreement"), F.avg("map_agreement_at_5").alias("map_neighbour_agreement"),
-        median(F.col("classification_score_margin")).alias("median_score_margin"), median(F.col("distance_to_typical_example")).alias("median_distance_to_typical_example"),
+        F.count(F.lit(1)).alias("n_sources"),
+        F.avg("agreement_at_5").alias("neighbour_agreement"),
+        F.avg("map_agreement_at_5").alias("map_neighbour_agreement"),
+        median(F.col("classification_score_margin")).alias("median_score_margin"),
+        median(F.col("distance_to_typical_example")).alias("median_distance_to_typical_example"),
     )
     w = W.partitionBy("final_primary_tag").orderBy(F.desc_nulls_last("strength"), "source_id")
-    strongest = table.withColumn("strength", K.strength(table)).withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("source_id").alias("query"), F.col("final_primary_tag").alias("anchor_category"))
-    pairs = near.where(F.col("rank") <= anchors).join(strongest, "query").join(labels.select(F.col("id").alias("neighbour"), F.col("label").alias("neighbour_category")), "neighbour")
-    pairs = pairs.select(F.col("query").alias("anchor_source_id"), "anchor_category", "rank", F.col("neighbour").alias("neighbour_source_id"), "distance", "neighbour_category", (F.col("anchor_category") == F.col("neighbour_category")).alias("same_category"))
+    strongest = table.withColumn("strength", K.strength(table)).withColumn("r", F.row_number().over(w)).where("r = 1").select(
+        F.col("source_id").alias("query"),
+        F.col("final_primary_tag").alias("anchor_category"),
+    )
+    pairs = near.where(F.col("rank") <= anchors).join(strongest, "query").join(
+        labels.select(F.col("id").alias("neighbour"), F.col("label").alias("neighbour_category")),
+        "neighbour",
+    )
+    pairs = pairs.select(
+        F.col("query").alias("anchor_source_id"),
+        "anchor_category",
+        "rank",
+        F.col("neighbour").alias("neighbour_source_id"),
+        "distance",
+        "neighbour_category",
+        (F.col("anchor_category") == F.col("neighbour_category")).alias("same_category"),
+    )
     return {"sources": out, "categories": summary, "anchors": pairs}
 
 
 def trustworthiness(space_near: DataFrame, map_near: DataFrame, ranks: DataFrame, n: int, k: int) -> float:
     """How far map neighbours are neighbours in the space: 1 less the mean excess of their ranks there. ``ranks`` is (query, neighbour, rank) up to n - 1."""
-    wrong = map_near.where(F.col("rank") <= k).select("query", "neighbour").join(space_near.where(F.col("rank") <= k).select("query", "neighbour"), ["query", "neighbour"], "left_anti")
-    excess = wrong.join(ranks.select("query", "neighbour", F.col("rank").alias("r")), ["query", "neighbour"]).agg(F.sum(F.col("r") - k)).first()[0] or 0
+    wrong = map_near.where(F.col("rank") <= k).select("query", "neighbour").join(
+        space_near.where(F.col("rank") <= k).select("query", "neighbour"),
+        ["query", "neighbour"],
+        "left_anti",
+    )
+    excess = wrong.join(
+        ranks.select("query", "neighbour", F.col("rank").alias("r")),
+        ["query", "neighbour"],
+    ).agg(F.sum(F.col("r") - k)).first()[0] or 0
     return 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * excess
 
 
-def weight_sweep(features: DataFrame, choices: dict[str, dict[str, float]], cfg: MorphologyConfig = MorphologyConfig(), space: str = "combined", k: int = 5) -> list[dict]:
+def weight_sweep(
+    features: DataFrame,
+    choices: dict[str, dict[str, float]],
+    cfg: MorphologyConfig = MorphologyConfig(),
+    space: str = "combined",
+    k: int = 5,
+) -> list[dict]:
     """For each named choice of block weights: the share of map neighbours that are neighbours in the unweighted space too, best first."""
     values = space_values(features, space, cfg).withColumnRenamed("source_id", "id")
     names = space_names(space, cfg)

@@ -15,7 +15,14 @@ EVENT_SIGMA = 1.5
 
 
 def points(spark, sf_dir):
-    obs = cleaned(spark, sf_dir).where("final_keep and m is not null").select("source_id", "row_id", F.col("mjd").alias("time"), F.col("m").alias("mag"), F.col("dm").alias("err"), F.col("band").alias("filter"))
+    obs = cleaned(spark, sf_dir).where("final_keep and m is not null").select(
+        "source_id",
+        "row_id",
+        F.col("mjd").alias("time"),
+        F.col("m").alias("mag"),
+        F.col("dm").alias("err"),
+        F.col("band").alias("filter"),
+    )
     return obs.join(catalogue(spark, sf_dir).withColumnRenamed("catalogue_period_days", "period"), "source_id").where("period > 0")
 
 
@@ -46,7 +53,14 @@ def event_metrics(spark, sf_dir):
 
 
 def section_profile(spark, sf_dir):
-    return _rounded(M.with_sections(points(spark, sf_dir)).groupBy("source_id", "section").agg(F.count(F.lit(1)).alias("n"), F.percentile("mag", F.lit(0.5)).alias("median_mag"), F.min("time").alias("first"), F.max("time").alias("last")))
+    return _rounded(
+        M.with_sections(points(spark, sf_dir)).groupBy("source_id", "section").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile("mag", F.lit(0.5)).alias("median_mag"),
+            F.min("time").alias("first"),
+            F.max("time").alias("last"),
+        )
+    )
 
 
 def temporal_coherence(spark, sf_dir):
@@ -102,11 +116,19 @@ evt AS (SELECT source_id, event_type, CAST(event_number AS BIGINT) AS event_numb
 
 _FLARE, _DIM = ("event_type = '" + t + "' AND (multi OR crossed)" for t in ("brightening", "dimming"))
 _METRICS = {
-    "flare_event_count": f"count(*) FILTER ({_FLARE})", "dimming_event_count": f"count(*) FILTER ({_DIM})", "strongest_flare_sigma": f"max(peak) FILTER ({_FLARE})", "strongest_dimming_sigma": f"max(peak) FILTER ({_DIM})",
-    "flare_point_fraction": "sum(n_measurements) FILTER (event_type = 'brightening') / any_value(n_points)", "dimming_point_fraction": "sum(n_measurements) FILTER (event_type = 'dimming') / any_value(n_points)",
-    "flare_duty_fraction": f"sum(n_measurements) FILTER ({_FLARE}) / any_value(n_points)", "validated_flare_independent_nights": f"count(DISTINCT floor(event_time)) FILTER ({_FLARE})",
-    "validated_flare_median_significance": f"median(med) FILTER ({_FLARE})", "validated_flare_cross_filter_fraction": f"avg(CAST(crossed AS INT)) FILTER ({_FLARE})", "validated_flare_multi_point_fraction": f"avg(CAST(multi AS INT)) FILTER ({_FLARE})",
-    "validated_flare_well_sampled_event_count": f"count(*) FILTER ({_FLARE} AND n_measurements >= 3)", "validated_flare_cross_filter_event_count": f"count(*) FILTER ({_FLARE} AND crossed)",
+    "flare_event_count": f"count(*) FILTER ({_FLARE})",
+    "dimming_event_count": f"count(*) FILTER ({_DIM})",
+    "strongest_flare_sigma": f"max(peak) FILTER ({_FLARE})",
+    "strongest_dimming_sigma": f"max(peak) FILTER ({_DIM})",
+    "flare_point_fraction": "sum(n_measurements) FILTER (event_type = 'brightening') / any_value(n_points)",
+    "dimming_point_fraction": "sum(n_measurements) FILTER (event_type = 'dimming') / any_value(n_points)",
+    "flare_duty_fraction": f"sum(n_measurements) FILTER ({_FLARE}) / any_value(n_points)",
+    "validated_flare_independent_nights": f"count(DISTINCT floor(event_time)) FILTER ({_FLARE})",
+    "validated_flare_median_significance": f"median(med) FILTER ({_FLARE})",
+    "validated_flare_cross_filter_fraction": f"avg(CAST(crossed AS INT)) FILTER ({_FLARE})",
+    "validated_flare_multi_point_fraction": f"avg(CAST(multi AS INT)) FILTER ({_FLARE})",
+    "validated_flare_well_sampled_event_count": f"count(*) FILTER ({_FLARE} AND n_measurements >= 3)",
+    "validated_flare_cross_filter_event_count": f"count(*) FILTER ({_FLARE} AND crossed)",
     "single_point_flare_event_count": "count(*) FILTER (event_type = 'brightening' AND n_measurements = 1)",
 }
 
@@ -126,7 +148,20 @@ def _phi(h: int) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (phase_profile_bins, profile_significance, fourier_descriptors, excursion_events, event_metrics, section_profile, temporal_coherence, phase_section_mi, cycle_dimming, features_full, feature_events, classified_curves)
+    for f in (
+        phase_profile_bins,
+        profile_significance,
+        fourier_descriptors,
+        excursion_events,
+        event_metrics,
+        section_profile,
+        temporal_coherence,
+        phase_section_mi,
+        cycle_dimming,
+        features_full,
+        feature_events,
+        classified_curves,
+    )
 }
 
 ORACLES = {

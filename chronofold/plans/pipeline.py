@@ -97,20 +97,62 @@ class Run:
         self.spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(self.path(name, "_receipt.txt"))
         self.ran.append(name)
 
-    def all(self, obs: DataFrame, input_digest: str, catalogue: DataFrame | None = None, fields: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
+    def all(
+        self,
+        obs: DataFrame,
+        input_digest: str,
+        catalogue: DataFrame | None = None,
+        fields: DataFrame | None = None,
+        manual: DataFrame | None = None,
+    ) -> DataFrame:
         """Run what is out of date and return the classified catalogue. ``input_digest`` names the input's state."""
         c = self.cfg
         named = lambda df: None if df is None else [df.schema.simpleString(), df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()]
         d = _digest(code_digest(), input_digest, c.clean)
-        self._stage("clean", d, {"observations": lambda: C.clean(obs, c.clean), "summary": lambda: C.summary(self.read("clean", "observations")), "reasons": lambda: C.reason_counts(self.read("clean", "observations"))})
+        self._stage(
+            "clean",
+            d,
+            {
+                "observations": lambda: C.clean(obs, c.clean),
+                "summary": lambda: C.summary(self.read("clean", "observations")),
+                "reasons": lambda: C.reason_counts(self.read("clean", "observations")),
+            },
+        )
         d = _digest(d, c.select)
-        self._stage("select", d, {"selection": lambda: C.select_sources(self.read("clean", "summary"), c.select), "reasons": lambda: C.selection_reasons(self.read("select", "selection"))})
+        self._stage(
+            "select",
+            d,
+            {
+                "selection": lambda: C.select_sources(self.read("clean", "summary"), c.select),
+                "reasons": lambda: C.selection_reasons(self.read("select", "selection")),
+            },
+        )
         d = _digest(d, c.periods, c.bls, str(named(catalogue)), str(named(fields)))
-        self._stage("periods", d, {
-            "series": self._series, "analysis": self._analysis, "peaks": lambda: P.peak_table(self.read("periods", "analysis")), "inventory": lambda: A.learn_inventory(self._placed(fields), c.periods), "summary": lambda: self._summary(catalogue, fields),
-            "recommendations": lambda: R.recommend(self.read("periods", "summary"), c.periods), "consensus": lambda: R.consensus(self.read("periods", "summary"), self.read("periods", "recommendations"), c.periods), "forced": self._forced, "failures": lambda: self.read("periods", "analysis").where("status <> 'ok'"),
-        })
-        self._stage("morphology", _digest(d, c.morphology, str(named(manual))), {"features": self._features, "events": lambda: M.event_table(self.read("morphology", "features")), "catalogue": lambda: self._classified(manual), "memberships": lambda: K.memberships(self.read("morphology", "catalogue"))})
+        self._stage(
+            "periods",
+            d,
+            {
+                "series": self._series,
+                "analysis": self._analysis,
+                "peaks": lambda: P.peak_table(self.read("periods", "analysis")),
+                "inventory": lambda: A.learn_inventory(self._placed(fields), c.periods),
+                "summary": lambda: self._summary(catalogue, fields),
+                "recommendations": lambda: R.recommend(self.read("periods", "summary"), c.periods),
+                "consensus": lambda: R.consensus(self.read("periods", "summary"), self.read("periods", "recommendations"), c.periods),
+                "forced": self._forced,
+                "failures": lambda: self.read("periods", "analysis").where("status <> 'ok'"),
+            },
+        )
+        self._stage(
+            "morphology",
+            _digest(d, c.morphology, str(named(manual))),
+            {
+                "features": self._features,
+                "events": lambda: M.event_table(self.read("morphology", "features")),
+                "catalogue": lambda: self._classified(manual),
+                "memberships": lambda: K.memberships(self.read("morphology", "catalogue")),
+            },
+        )
         if c.strict and not self.read("periods", "failures").isEmpty():
             raise RuntimeError("some series failed; see the table periods/failures")
         return self.read("morphology", "catalogue")
@@ -138,15 +180,39 @@ class Run:
         a = self.read("periods", "analysis").where("status = 'ok'").drop("peak_periods", "peak_powers", "status", "error")
         rows = a.join(adopted, key)
         points = self.read("periods", "series").join(adopted.select(*key, F.col("recommended_series_period_days").alias("period")), key)
-        points = points.withColumn("phase", F.col("mjd") / F.col("period") - F.floor(F.col("mjd") / F.col("period"))).withColumn("phase2", F.col("mjd") / (2 * F.col("period")) - F.floor(F.col("mjd") / (2 * F.col("period"))))
-        points = points.withColumn("half", F.when(F.col("phase2") < 0.5, 0).otherwise(1)).withColumn("subphase", F.col("phase2") * 2 - F.col("half"))
-        fold = S.fold_coherence(points, cfg).select(*key, F.col("fold_amp_snr").alias("raw_fold_amp_snr"), F.col("fold_scatter_reduction").alias("raw_fold_scatter_reduction"))
+        points = points.withColumn("phase", F.col("mjd") / F.col("period") - F.floor(F.col("mjd") / F.col("period"))).withColumn(
+            "phase2",
+            F.col("mjd") / (2 * F.col("period")) - F.floor(F.col("mjd") / (2 * F.col("period"))),
+        )
+        points = points.withColumn(
+            "half",
+            F.when(F.col("phase2") < 0.5, 0).otherwise(1),
+        ).withColumn("subphase", F.col("phase2") * 2 - F.col("half"))
+        fold = S.fold_coherence(points, cfg).select(
+            *key,
+            F.col("fold_amp_snr").alias("raw_fold_amp_snr"),
+            F.col("fold_scatter_reduction").alias("raw_fold_scatter_reduction"),
+        )
         peaks = self.read("periods", "peaks")
         at = lambda r: F.max(F.when(F.col("rank") == r, F.col("power")))
-        ratios = peaks.groupBy(*key).agg(F.try_divide(at(1), at(2)).alias("best_to_second_power_ratio"), F.try_divide(at(1), F.coalesce(at(4), F.when(F.count(F.lit(1)) > 1, F.max_by("power", "rank")))).alias("best_to_fourth_power_ratio"), F.count(F.lit(1)).alias("n_peaks"))
-        ratios = ratios.withColumn("top4_flat", F.coalesce((F.col("n_peaks") >= 4) & (F.col("best_to_fourth_power_ratio") <= cfg.flat_ratio4), F.lit(False)))
+        ratios = peaks.groupBy(*key).agg(
+            F.try_divide(at(1), at(2)).alias("best_to_second_power_ratio"),
+            F.try_divide(
+                at(1),
+                F.coalesce(at(4), F.when(F.count(F.lit(1)) > 1, F.max_by("power", "rank"))),
+            ).alias("best_to_fourth_power_ratio"),
+            F.count(F.lit(1)).alias("n_peaks"),
+        )
+        ratios = ratios.withColumn(
+            "top4_flat",
+            F.coalesce((F.col("n_peaks") >= 4) & (F.col("best_to_fourth_power_ratio") <= cfg.flat_ratio4), F.lit(False)),
+        )
         two = A.two_p_support(peaks, adopted, cfg).select(*key, "top_peak_2p_present")
-        rows = rows.join(fold, key, "left").join(S.odd_even(points, cfg).select(*key, "two_p_supported"), key, "left").join(ratios, key, "left").join(two, key, "left")
+        rows = rows.join(fold, key, "left").join(
+            S.odd_even(points, cfg).select(*key, "two_p_supported"),
+            key,
+            "left",
+        ).join(ratios, key, "left").join(two, key, "left")
         if catalogue is None:
             return rows.withColumn("catalogue_period_days", F.lit(None).cast("double"))
         return rows.join(catalogue.select("source_id", "catalogue_period_days"), "source_id", "left")
@@ -154,8 +220,19 @@ class Run:
     def _points(self) -> DataFrame:
         """Accepted points of every selected source with its period, null where none is recommended, and the period's warnings."""
         kept = C.selected_observations(self.read("clean", "observations"), self.read("select", "selection")).where("m is not null")
-        p = self.read("periods", "recommendations").select("source_id", F.when(F.col("recommended_period_days") > 0, F.col("recommended_period_days")).alias("period"), F.concat_ws(";", "alias_flags", "warning_flags", "harmonic_status", "detection_label").alias("period_flags"))
-        return kept.select("source_id", "row_id", F.col("mjd").alias("time"), F.col("m").alias("mag"), F.col("dm").alias("err"), F.col("band").alias("filter")).join(p, "source_id", "left")
+        p = self.read("periods", "recommendations").select(
+            "source_id",
+            F.when(F.col("recommended_period_days") > 0, F.col("recommended_period_days")).alias("period"),
+            F.concat_ws(";", "alias_flags", "warning_flags", "harmonic_status", "detection_label").alias("period_flags"),
+        )
+        return kept.select(
+            "source_id",
+            "row_id",
+            F.col("mjd").alias("time"),
+            F.col("m").alias("mag"),
+            F.col("dm").alias("err"),
+            F.col("band").alias("filter"),
+        ).join(p, "source_id", "left")
 
     def _features(self) -> DataFrame:
         return M.source_features(self._points(), self.cfg.morphology)

@@ -14,8 +14,20 @@ from chronofold.sources.adapters import PEAK_SQL, SERIES_SQL, peak_rows, series_
 
 def _inventory(spark, sf_dir):
     r = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 2).cast("int").alias("ra_bin"), F.col("r_regionkey").alias("k"))
-    r = r.select("ra_bin", F.lit(0).alias("dec_bin"), F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(h).alias("h")) for p, h in ((7.3, 0.5), (12.75, 0.4), (7.4, 0.6))])).alias("x"), "k")
-    return r.select("ra_bin", "dec_bin", (F.col("x.p") + F.col("k").cast("double") * 0.01).alias("alias_period_days"), F.col("x.h").alias("hit_fraction"))
+    r = r.select(
+        "ra_bin",
+        F.lit(0).alias("dec_bin"),
+        F.explode(
+            F.array(*[F.struct(F.lit(p).alias("p"), F.lit(h).alias("h")) for p, h in ((7.3, 0.5), (12.75, 0.4), (7.4, 0.6))])
+        ).alias("x"),
+        "k",
+    )
+    return r.select(
+        "ra_bin",
+        "dec_bin",
+        (F.col("x.p") + F.col("k").cast("double") * 0.01).alias("alias_period_days"),
+        F.col("x.h").alias("hit_fraction"),
+    )
 
 
 def _scored(spark, sf_dir):
@@ -23,7 +35,16 @@ def _scored(spark, sf_dir):
 
 
 def alias_score(spark, sf_dir):
-    return _scored(spark, sf_dir).select("source_id", "series", "rank", "universal_alias", rounded("field_alias_period").alias("field_alias_period"), rounded("alias_score").alias("alias_score"), "alias_labels", "is_alias")
+    return _scored(spark, sf_dir).select(
+        "source_id",
+        "series",
+        "rank",
+        "universal_alias",
+        rounded("field_alias_period").alias("field_alias_period"),
+        rounded("alias_score").alias("alias_score"),
+        "alias_labels",
+        "is_alias",
+    )
 
 
 def alias_replacement(spark, sf_dir):
@@ -41,14 +62,24 @@ def field_alias_inventory(spark, sf_dir):
 
 def alias_memory(spark, sf_dir):
     current = A.learn_inventory(peak_rows(spark, sf_dir)).drop("field_key")
-    kept = _inventory(spark, sf_dir).select("ra_bin", "dec_bin", "alias_period_days", F.lit(10).cast("long").alias("n_stars_in_field"), (F.col("hit_fraction") * 10).cast("long").alias("n_stars_hit"), "hit_fraction")
+    kept = _inventory(spark, sf_dir).select(
+        "ra_bin",
+        "dec_bin",
+        "alias_period_days",
+        F.lit(10).cast("long").alias("n_stars_in_field"),
+        (F.col("hit_fraction") * 10).cast("long").alias("n_stars_hit"),
+        "hit_fraction",
+    )
     return _rounded(A.merge_memory(current.unionByName(kept)))
 
 
 def harmonic_relations(spark, sf_dir):
     s = series_rows(spark, sf_dir)
     return s.select(
-        "source_id", "series", K.harmonic_relation(F.col("recommended_series_period_days"), F.col("catalogue_period_days")).alias("relation"), K.catalogue_match(F.col("recommended_series_period_days"), F.col("catalogue_period_days")).alias("match"),
+        "source_id",
+        "series",
+        K.harmonic_relation(F.col("recommended_series_period_days"), F.col("catalogue_period_days")).alias("relation"),
+        K.catalogue_match(F.col("recommended_series_period_days"), F.col("catalogue_period_days")).alias("match"),
         K.universal_alias(F.col("recommended_series_period_days")).alias("universal_alias"),
     )
 
@@ -59,7 +90,16 @@ def validation_rates(spark, sf_dir):
 
 def series_class(spark, sf_dir):
     out = R.classify_series(R.evidence(series_rows(spark, sf_dir)).withColumn("filter_disagreement", F.col("top4_flat")))
-    return out.select("source_id", "series", "dominant", "significant", "likely_nonvar", rounded("series_score").alias("series_score"), "primary_classification", "secondary_classification")
+    return out.select(
+        "source_id",
+        "series",
+        "dominant",
+        "significant",
+        "likely_nonvar",
+        rounded("series_score").alias("series_score"),
+        "primary_classification",
+        "secondary_classification",
+    )
 
 
 def source_recommendations(spark, sf_dir):
@@ -72,7 +112,10 @@ def source_consensus(spark, sf_dir):
 
 
 def _rel(a: str, b: str, tol: float = 0.02) -> str:
-    steps = "".join(f" WHEN abs({a}/{b} - CAST(1 AS DOUBLE)/{n}) / (CAST(1 AS DOUBLE)/{n}) <= {tol} THEN 'P/{n}' WHEN abs({a}/{b} - {n}) / {n} <= {tol} THEN '{n}P'" for n in range(2, 7))
+    steps = "".join(
+        f" WHEN abs({a}/{b} - CAST(1 AS DOUBLE)/{n}) / (CAST(1 AS DOUBLE)/{n}) <= {tol} THEN 'P/{n}' WHEN abs({a}/{b} - {n}) / {n} <= {tol} THEN '{n}P'"
+        for n in range(2, 7)
+    )
     return f"CASE WHEN NOT coalesce({a} > 0 AND {b} > 0, false) THEN '' WHEN abs({a}/{b} - 1) <= {tol} THEN 'direct'{steps} ELSE '' END"
 
 
@@ -82,7 +125,10 @@ def _match(a: str, b: str) -> str:
 
 
 def _universal(p: str) -> str:
-    return "CASE" + "".join(f" WHEN abs({p} - CAST({d!r} AS DOUBLE)) / CAST({d!r} AS DOUBLE) <= 0.015 THEN '{n}'" for n, d in UNIVERSAL_ALIASES) + " ELSE '' END"
+    return "CASE" + "".join(
+        f" WHEN abs({p} - CAST({d!r} AS DOUBLE)) / CAST({d!r} AS DOUBLE) <= 0.015 THEN '{n}'"
+        for n, d in UNIVERSAL_ALIASES
+    ) + " ELSE '' END"
 
 
 _W = PeriodConfig()
@@ -107,8 +153,25 @@ ev AS (SELECT *, CASE WHEN significant THEN CAST(3 AS DOUBLE) ELSE 0 END + CASE
    + CASE WHEN raw_fold_scatter_reduction > 0 THEN least(raw_fold_scatter_reduction * 3, 1) ELSE 0 END + CASE WHEN f THEN CAST(0.5 AS DOUBLE) ELSE 0 END - CASE WHEN raw_is_alias_suspect THEN CAST(0.75 AS DOUBLE) ELSE 0 END
    + CASE WHEN alias_correction_applied THEN CAST(0.25 AS DOUBLE) ELSE 0 END - CASE WHEN top4_flat THEN CAST(0.75 AS DOUBLE) ELSE 0 END AS score FROM ev1)"""
 
-_COLS = {"P": "recommended_series_period_days", "sig": "significant", "nv": "likely_nonvar", "sc": "score", "fs": "raw_fold_amp_snr", "ps": "ls_peak_snr", "tp": "two_p_supported", "mh": "mh_2p_supported", "pk": "top_peak_2p_present", "al": "raw_is_alias_suspect", "co": "alias_correction_applied", "bl": "bls_best_period_days"}
-_WIDE = ", ".join(f"any_value({c}) FILTER (series = '{s}') AS {k}_{t}" for t, s in (("m", "combined"), ("o", "o"), ("c", "c")) for k, c in _COLS.items())
+_COLS = {
+    "P": "recommended_series_period_days",
+    "sig": "significant",
+    "nv": "likely_nonvar",
+    "sc": "score",
+    "fs": "raw_fold_amp_snr",
+    "ps": "ls_peak_snr",
+    "tp": "two_p_supported",
+    "mh": "mh_2p_supported",
+    "pk": "top_peak_2p_present",
+    "al": "raw_is_alias_suspect",
+    "co": "alias_correction_applied",
+    "bl": "bls_best_period_days",
+}
+_WIDE = ", ".join(
+    f"any_value({c}) FILTER (series = '{s}') AS {k}_{t}"
+    for t, s in (("m", "combined"), ("o", "o"), ("c", "c"))
+    for k, c in _COLS.items()
+)
 _T = ("m", "o", "c")
 
 
@@ -143,7 +206,18 @@ rec AS (SELECT *, CASE WHEN fin IS NULL THEN 'none' WHEN det <> '' THEN 'support
 
 QUERIES = {
     f.__name__: f
-    for f in (alias_score, alias_replacement, two_p_support, field_alias_inventory, alias_memory, harmonic_relations, validation_rates, series_class, source_recommendations, source_consensus)
+    for f in (
+        alias_score,
+        alias_replacement,
+        two_p_support,
+        field_alias_inventory,
+        alias_memory,
+        harmonic_relations,
+        validation_rates,
+        series_class,
+        source_recommendations,
+        source_consensus,
+    )
 }
 
 _MATCHED = f"WITH {SERIES_SQL}, h AS (SELECT source_id, series, {_rel('recommended_series_period_days', 'catalogue_period_days')} AS relation, {_match('recommended_series_period_days', 'catalogue_period_days')} AS match, {_universal('recommended_series_period_days')} AS universal_alias FROM ser)"

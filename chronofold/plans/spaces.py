@@ -16,7 +16,11 @@ def robust_scale(spark, sf_dir):
 
 
 def _rows(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        "label",
+        F.transform("embedding", lambda x: x.cast("double")).alias("v"),
+    )
 
 
 def _near(spark, sf_dir, k=10):
@@ -61,8 +65,16 @@ def density_families(spark, sf_dir):
 
 def _catalogues(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("source_id"), F.col("o_orderpriority").alias("tag"), F.lit("old").alias("batch"))
-    new = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("source_id"), F.col("o_orderstatus").alias("tag"), F.lit("new").alias("batch"))
+    old = o.where("o_orderkey % 3 <> 0").select(
+        F.col("o_orderkey").alias("source_id"),
+        F.col("o_orderpriority").alias("tag"),
+        F.lit("old").alias("batch"),
+    )
+    new = o.where("o_orderkey % 2 = 0").select(
+        F.col("o_orderkey").alias("source_id"),
+        F.col("o_orderstatus").alias("tag"),
+        F.lit("new").alias("batch"),
+    )
     return old, new
 
 
@@ -77,7 +89,12 @@ def incremental_replace(spark, sf_dir):
 def _records(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.col("l_partkey").cast("string").alias("source_id"), (F.col("l_quantity") + 1.0).alias("period"), (F.col("l_returnflag") == "R").alias("authoritative"), F.col("l_linenumber").alias("priority"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"), F.col("l_linestatus").alias("table")
+        F.col("l_partkey").cast("string").alias("source_id"),
+        (F.col("l_quantity") + 1.0).alias("period"),
+        (F.col("l_returnflag") == "R").alias("authoritative"),
+        F.col("l_linenumber").alias("priority"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"),
+        F.col("l_linestatus").alias("table"),
     )
 
 
@@ -92,7 +109,10 @@ def period_table_conflicts(spark, sf_dir):
 def _targets(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     raw = c.select(
-        F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.concat(F.col("c_custkey").cast("string"), F.lit(".0"))).alias("GaiaDR3"), (F.col("c_custkey") % 400).cast("string").alias("RAdeg"), ((F.col("c_custkey") * 7 % 200) - 100).cast("string").alias("DEdeg"), F.col("c_mktsegment").alias("group")
+        F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.concat(F.col("c_custkey").cast("string"), F.lit(".0"))).alias("GaiaDR3"),
+        (F.col("c_custkey") % 400).cast("string").alias("RAdeg"),
+        ((F.col("c_custkey") * 7 % 200) - 100).cast("string").alias("DEdeg"),
+        F.col("c_mktsegment").alias("group"),
     )
     return IO.prepare_targets(raw, group="auto-mobile")
 
@@ -121,7 +141,22 @@ _TGT = "t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CA
 QUERIES = {
     f.__name__: f
     for f in (
-        robust_scale, knn, ood_scores, neighbour_agreement, category_neighbours, silhouette, score_similarity, pca_map, density_families, incremental_append, incremental_replace, period_table_precedence, period_table_conflicts, target_preparation, target_counters, target_summary,
+        robust_scale,
+        knn,
+        ood_scores,
+        neighbour_agreement,
+        category_neighbours,
+        silhouette,
+        score_similarity,
+        pca_map,
+        density_families,
+        incremental_append,
+        incremental_replace,
+        period_table_precedence,
+        period_table_conflicts,
+        target_preparation,
+        target_counters,
+        target_summary,
     )
 }
 ORACLES = {

@@ -15,7 +15,13 @@ from chronofold.functions.columns import clean_id, clean_text, match_key, median
 MOST_HEADERS = 200
 
 
-def read_curves(spark: SparkSession, paths: str | list[str], recursive: bool = False, exclude: tuple[str, ...] = ("_cleaned", "summary"), max_files: int | None = None) -> DataFrame:
+def read_curves(
+    spark: SparkSession,
+    paths: str | list[str],
+    recursive: bool = False,
+    exclude: tuple[str, ...] = ("_cleaned", "summary"),
+    max_files: int | None = None,
+) -> DataFrame:
     """CSV curves with headers as strings, one ``input_file`` and ``source_id`` (from the name) a row.
 
     A file is one row until its lines are parted, in the executors; only the different
@@ -24,7 +30,11 @@ def read_curves(spark: SparkSession, paths: str | list[str], recursive: bool = F
     """
     paths = [paths] if isinstance(paths, str) else paths
     opts = {"recursiveFileLookup": str(recursive).lower(), "pathGlobFilter": "*.csv", "wholetext": "true"}
-    whole = spark.read.format("text").options(**opts).load(paths).select(F.col("_metadata.file_name").alias("input_file"), F.col("_metadata.file_path").alias("input_path"), "value")
+    whole = spark.read.format("text").options(**opts).load(paths).select(
+        F.col("_metadata.file_name").alias("input_file"),
+        F.col("_metadata.file_path").alias("input_path"),
+        "value",
+    )
     for x in exclude:
         whole = whole.where(~F.col("input_file").contains(x))
     if max_files is not None:
@@ -41,7 +51,10 @@ def read_curves(spark: SparkSession, paths: str | list[str], recursive: bool = F
     for head in sorted(heads):
         names = [c.strip().strip('"') or f"_c{i}" for i, c in enumerate(head.split(","))]
         body = whole.where(F.col("head") == F.lit(head)).select("input_file", F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-        part = body.select("input_file", F.from_csv("line", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("r.*", "input_file")
+        part = body.select(
+            "input_file",
+            F.from_csv("line", ", ".join(f"`{n}` string" for n in names)).alias("r"),
+        ).select("r.*", "input_file")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     stem = F.regexp_replace(F.col("input_file"), r"(_cleaned)?\.csv$", "")
     return out.withColumn("source_id", source_from_name(stem)).withColumn("row_id", F.monotonically_increasing_id())
@@ -80,20 +93,36 @@ def parse_download(text: DataFrame) -> DataFrame:
     """Rows of downloaded tables (id, value): comma or white space; '###MJD' is the time; 'no data' bodies are empty; a header without a time is an error row."""
     lines = text.select("id", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
     sep = F.when(F.col("line").contains(","), F.split("line", ",")).otherwise(F.split(F.trim("line"), r"\s+"))
-    parts = lines.withColumn("cells", sep).withColumn("head", F.first(F.transform("cells", lambda c: F.regexp_replace(F.trim(c), "^#+", ""))).over(W.partitionBy("id").orderBy("pos")))
+    parts = lines.withColumn("cells", sep).withColumn(
+        "head",
+        F.first(F.transform("cells", lambda c: F.regexp_replace(F.trim(c), "^#+", ""))).over(W.partitionBy("id").orderBy("pos")),
+    )
     body = parts.where("pos > 0").where(~F.lower("line").contains("no data"))
-    return body.select("id", "pos", F.map_from_arrays(F.slice("head", 1, F.size("cells")), F.slice("cells", 1, F.size("head"))).alias("row"), (~F.array_contains("head", "MJD")).alias("bad"))
+    return body.select(
+        "id",
+        "pos",
+        F.map_from_arrays(F.slice("head", 1, F.size("cells")), F.slice("cells", 1, F.size("head"))).alias("row"),
+        (~F.array_contains("head", "MJD")).alias("bad"),
+    )
 
 
 def standard_observations(rows: DataFrame, bands: tuple[str, ...] = ("c", "o"), mag_range: tuple[float, float] = (2.0, 25.0)) -> DataFrame:
     """(source_id, dataset, row_id, time, mag, err, filter): finite, in range, positive flux where there is one; a bad error becomes the median of its file and band, of the file, or 0.02."""
     r = rows.withColumn("time", number(F.col("time"))).withColumn("mag", number(F.col("mag"))).withColumn("err", number(F.col("err")))
-    r = r.withColumn("filter", F.coalesce(F.nullif(F.lower(F.trim("filter")), F.lit("")), F.lit("o"))).where(F.col("filter").isin(*bands) & F.col("time").isNotNull() & (F.col("mag") > mag_range[0]) & (F.col("mag") < mag_range[1]))
+    r = r.withColumn("filter", F.coalesce(F.nullif(F.lower(F.trim("filter")), F.lit("")), F.lit("o"))).where(
+        F.col("filter").isin(*bands)
+        & F.col("time").isNotNull()
+        & (F.col("mag") > mag_range[0])
+        & (F.col("mag") < mag_range[1])
+    )
     if "flux" in rows.columns:
         r = r.where(number(F.col("flux")).isNull() | (number(F.col("flux")) > 0))
     good = F.when(F.col("err") > 0, F.col("err"))
     by_band, by_file = W.partitionBy("source_id", "dataset", "filter"), W.partitionBy("source_id", "dataset")
-    return r.withColumn("err", F.coalesce(good, median(good).over(by_band), median(good).over(by_file), F.lit(0.02))).select("source_id", "dataset", "row_id", "time", "mag", "err", "filter")
+    return r.withColumn(
+        "err",
+        F.coalesce(good, median(good).over(by_band), median(good).over(by_file), F.lit(0.02)),
+    ).select("source_id", "dataset", "row_id", "time", "mag", "err", "filter")
 
 
 def merge_datasets(frames: DataFrame, minimum: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -101,9 +130,14 @@ def merge_datasets(frames: DataFrame, minimum: int = 50) -> tuple[DataFrame, Dat
     w = W.partitionBy("source_id", "time", "filter").orderBy("priority", "dataset", "row_id")
     r = frames.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
     n = F.count(F.lit(1)).over(W.partitionBy("source_id"))
-    name = F.first("dataset").over(W.partitionBy("source_id").orderBy("priority", "dataset").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    name = F.first("dataset").over(
+        W.partitionBy("source_id").orderBy("priority", "dataset").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    )
     r = r.withColumn("n", n).withColumn("dataset", name)
-    return r.where(F.col("n") >= minimum).drop("n"), r.where(F.col("n") < minimum).groupBy("source_id").agg(F.first("n").alias("n"), F.lit("too_few_observations").alias("problem"))
+    return r.where(F.col("n") >= minimum).drop("n"), r.where(F.col("n") < minimum).groupBy("source_id").agg(
+        F.first("n").alias("n"),
+        F.lit("too_few_observations").alias("problem"),
+    )
 
 
 def selected(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -114,19 +148,46 @@ def selected(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def period_precedence(records: DataFrame, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """(chosen, conflicts) of (source_id, period, authoritative, priority, arrival, table): authoritative first, then priority, then arrival; other records that differ by more than ``tolerance`` conflict."""
     w = W.partitionBy("source_id").orderBy(F.desc("authoritative"), "priority", "arrival")
-    r = records.where("period > 0").withColumn("__r", F.row_number().over(w)).withColumn("kept", F.first("period").over(w)).withColumn("kept_table", F.first("table").over(w))
+    r = records.where("period > 0").withColumn("__r", F.row_number().over(w)).withColumn("kept", F.first("period").over(w)).withColumn(
+        "kept_table",
+        F.first("table").over(w),
+    )
     clash = r.where((F.col("__r") > 1) & (F.abs(F.col("period") - F.col("kept")) > tolerance * F.greatest("period", "kept")))
-    return r.where("__r = 1").drop("__r", "kept", "kept_table"), clash.select("source_id", F.col("kept").alias("kept_period_days"), F.col("period").alias("other_period_days"), "kept_table", F.col("table").alias("other_table"))
-
-
-def prepare_targets(raw: DataFrame, group: str | None = None, equal: dict[str, str] | None = None, radius: tuple[float, float, float] | None = None, offset: int = 0, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    return r.where("__r = 1").drop("__r", "kept", "kept_table"), clash.select(
+        "source_id",
+        F.col("kept").alias("kept_period_days"),
+        F.col("period").alias("other_period_days"),
+        "kept_table",
+        F.col("table").alias("other_table"),
+    )
+
+
+def prepare_targets(
+    raw: DataFrame,
+    group: str | None = None,
+    equal: dict[str, str] | None = None,
+    radius: tuple[float, float, float] | None = None,
+    offset: int = 0,
+    limit: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(targets, counters): resolved columns, valid coordinates, optional group, equality and radius filters, one row a key."""
     lower = {c.lower(): c for c in raw.columns}
     find = lambda *names: next((F.col(f"`{lower[n]}`") for n in names if n in lower), None)
-    ra, dec, gaia, grp = find("radeg", "ra_deg", "ra"), find("dedeg", "dec_deg", "dec"), find("gaiadr3", "gaia_dr3", "source_id"), find("group", "notes")
+    ra, dec, gaia, grp = find("radeg", "ra_deg", "ra"), find("dedeg", "dec_deg", "dec"), find(
+        "gaiadr3",
+        "gaia_dr3",
+        "source_id",
+    ), find("group", "notes")
     if ra is None or dec is None:
         raise ValueError("targets need right ascension and declination")
-    t = raw.select("*", number(ra).alias("__ra"), number(dec).alias("__dec"), (clean_id(gaia) if gaia is not None else F.lit("")).alias("__id"), (clean_text(grp) if grp is not None else F.lit("")).alias("__grp"), F.monotonically_increasing_id().alias("__n"))
+    t = raw.select(
+        "*",
+        number(ra).alias("__ra"),
+        number(dec).alias("__dec"),
+        (clean_id(gaia) if gaia is not None else F.lit("")).alias("__id"),
+        (clean_text(grp) if grp is not None else F.lit("")).alias("__grp"),
+        F.monotonically_increasing_id().alias("__n"),
+    )
     t = t.withColumn("valid", F.coalesce(F.col("__ra").between(0, 360) & F.col("__dec").between(-90, 90), F.lit(False)))
     keep = F.lit(True)
     if group:
@@ -137,11 +198,27 @@ def prepare_targets(raw: DataFrame, group: str | None = None, equal: dict[str, s
         a, d, r = (F.radians(F.lit(float(x))) for x in radius)
         x, y = F.radians("__ra"), F.radians("__dec")
         keep = keep & (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(y) * F.sin(d) + F.cos(y) * F.cos(d) * F.cos(x - a)))) <= r)
-    key = F.when(F.col("__id") != "", F.concat(F.lit("gaia:"), F.col("__id"))).otherwise(F.format_string("coord:%.7f,%.7f", "__ra", "__dec"))
+    key = F.when(
+        F.col("__id") != "",
+        F.concat(F.lit("gaia:"), F.col("__id")),
+    ).otherwise(F.format_string("coord:%.7f,%.7f", "__ra", "__dec"))
     t = t.withColumn("wanted", F.coalesce(keep, F.lit(False))).withColumn("target_key", F.when(F.col("valid"), key))
     ok = t.where("valid and wanted").withColumn("__r", F.row_number().over(W.partitionBy("target_key").orderBy("__n"))).where("__r = 1")
-    out = ok.select("target_key", F.concat(F.lit("T"), F.substring(F.sha1("target_key"), 1, 14)).alias("target_id"), F.col("__id").alias("gaia_dr3"), F.col("__ra").alias("ra_deg"), F.col("__dec").alias("dec_deg"), F.col("__grp").alias("target_group"), "__n")
-    counters = t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(F.col("valid") & ~F.col("wanted")).alias("n_filtered"), F.countDistinct(F.when(F.col("valid") & F.col("wanted"), F.col("target_key"))).alias("n_targets"))
+    out = ok.select(
+        "target_key",
+        F.concat(F.lit("T"), F.substring(F.sha1("target_key"), 1, 14)).alias("target_id"),
+        F.col("__id").alias("gaia_dr3"),
+        F.col("__ra").alias("ra_deg"),
+        F.col("__dec").alias("dec_deg"),
+        F.col("__grp").alias("target_group"),
+        "__n",
+    )
+    counters = t.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("valid")).alias("n_invalid"),
+        F.count_if(F.col("valid") & ~F.col("wanted")).alias("n_filtered"),
+        F.countDistinct(F.when(F.col("valid") & F.col("wanted"), F.col("target_key"))).alias("n_targets"),
+    )
     out = out.orderBy("__n").offset(offset)
     return (out.limit(limit) if limit is not None else out).drop("__n"), counters
 
@@ -153,7 +230,10 @@ def target_summary(t: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 def with_metadata(curves: DataFrame, targets: DataFrame) -> DataFrame:
     """Curves with their target's columns; targets have one row an id."""
-    meta = targets.select(F.col("gaia_dr3").alias("source_id"), *[F.col(c).alias(f"target_{c}") for c in ("target_id", "ra_deg", "dec_deg", "target_group")])
+    meta = targets.select(
+        F.col("gaia_dr3").alias("source_id"),
+        *[F.col(c).alias(f"target_{c}") for c in ("target_id", "ra_deg", "dec_deg", "target_group")],
+    )
     return curves.join(meta, "source_id", "left")
 
 
@@ -175,7 +255,10 @@ def publish_model(spark: SparkSession, root: str, version: str, tables: dict[str
     """Write a model's tables under root/version, then point root/current to it."""
     for name, df in tables.items():
         write_table(df, f"{root}/{version}/{name}")
-    spark.createDataFrame([(json.dumps({"version": version, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    spark.createDataFrame(
+        [(json.dumps({"version": version, "tables": sorted(tables)}),)],
+        "value string",
+    ).coalesce(1).write.mode("overwrite").text(f"{root}/current")
 
 
 def current_model(spark: SparkSession, root: str) -> dict[str, DataFrame]:

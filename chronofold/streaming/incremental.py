@@ -29,13 +29,26 @@ def audited(stream: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
 def nightly_counts(stream: DataFrame, time_col: str = "ts", late: str = "2 days") -> DataFrame:
     """(night, source_id, n, mean): per source and night, with late rows up to ``late`` behind."""
     w = stream.withWatermark(time_col, late).groupBy(F.window(time_col, "1 day").alias("w"), "source_id")
-    return w.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("night"), "source_id", "n", "mean")
+    return w.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("value").alias("mean"),
+    ).select(F.col("w.start").alias("night"), "source_id", "n", "mean")
 
 
 def excursion_sessions(stream: DataFrame, time_col: str = "ts", gap: str = "1 day", late: str = "2 days") -> DataFrame:
     """(source_id, start, end, n): excursions grouped by gaps, the streaming form of the batch events; nights are kept apart by key."""
-    s = stream.withWatermark(time_col, late).groupBy("source_id", F.date_trunc("day", time_col).alias("night"), F.session_window(time_col, gap).alias("w"))
-    return s.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("peak")).select("source_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "peak")
+    s = stream.withWatermark(time_col, late).groupBy(
+        "source_id",
+        F.date_trunc("day", time_col).alias("night"),
+        F.session_window(time_col, gap).alias("w"),
+    )
+    return s.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("peak")).select(
+        "source_id",
+        F.col("w.start").alias("start"),
+        F.col("w.end").alias("end"),
+        "n",
+        "peak",
+    )
 
 
 def alias_memory(inventories: DataFrame, root: str, checkpoint: str, cfg: PeriodConfig = PeriodConfig()) -> StreamingQuery:
@@ -61,12 +74,23 @@ def remembered(spark: SparkSession, root: str, last: int | None = None) -> DataF
     if not fs.exists(p):
         return None
     names = [s.getPath().getName() for s in fs.listStatus(p)]
-    whole = [int(n[6:]) for n in names if n.startswith("batch-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    whole = [
+        int(n[6:])
+        for n in names
+        if n.startswith("batch-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))
+    ]
     whole = [n for n in whole if last is None or n <= last]
     return spark.read.parquet(f"{root}/batch-{max(whole)}") if whole else None
 
 
-def append_new(stream: DataFrame, read_known: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], keys: list[str], checkpoint: str, trigger_once: bool = True) -> StreamingQuery:
+def append_new(
+    stream: DataFrame,
+    read_known: Callable[[], DataFrame],
+    write: Callable[[DataFrame, int], None],
+    keys: list[str],
+    checkpoint: str,
+    trigger_once: bool = True,
+) -> StreamingQuery:
     """Hand each micro-batch's rows with unknown keys to ``write``, the first of repeats only; saved rows never change."""
 
     def step(batch: DataFrame, number: int) -> None:
