@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.substrings import BLOCK_BYTES, _runs, apart, crowded, without_spans
-from chronofold.llm.tables import connected_components, discard, numbered, release, slices, stored, stored_parts
+from chronofold.llm.tables import connected_components, discard, give_back, numbered, release, slices, stored, stored_parts
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -55,8 +55,10 @@ CHUNK = 512
 MOST_BROADCAST = 1_000_000
 #: Words of a window, and of the grams that windows are filed under.
 PASSAGE, GRAM = 50, 8
-#: Grams with more segments than this are compared window by window through an aggregate.
-CROWD = 2_000
+#: Rows of one gram that a task may sort, and different segments that one may compare; beyond, windows go through an aggregate.
+MOST_ROWS, CROWD = 50_000, 2_000
+#: Words that a worker remembers the hashes of.
+MOST_WORDS = 200_000
 #: Windows of one document that are indexed at a time; places take the low bits of a gram's sort key.
 STRETCH, PLACE_BITS = 1 << 17, 18
 _MIX = 0x9E3779B97F4A7C15
@@ -143,7 +145,7 @@ def _places(t: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _word_hashes(t: str, known: _Hashes) -> np.ndarray:
     words = t.lower().split()
-    if len(known) > 500_000:
+    if len(known) > MOST_WORDS:
         known.clear()
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
@@ -276,8 +278,12 @@ def _scan(batches, least: int):
                 continue
             docs, texts = (np.array(x, np.int64) for x in zip(*who))
             key, rank, start, end, fresh = (np.concatenate(x) for x in zip(*lines))
+            lines.clear()
             yield from _line_rows(key, docs[rank], texts[rank], start, end, fresh, words)
+            words.clear()
+            seen.clear()
             key, rank, start, end, ordinal, n = (np.concatenate(x) for x in zip(*sentences))
+            sentences.clear()
             later = rank != _first_of(rank, key)
             for kind, mask in ((SENTENCES, ~later), (LATER, later)):
                 at = np.flatnonzero(mask)
@@ -287,6 +293,7 @@ def _scan(batches, least: int):
             if not segments:
                 continue
             gram, seg, rank, start, end, first, n = (np.concatenate(x) for x in zip(*segments))
+            segments.clear()
             again = rank != _first_of(rank, seg, gram)
             at = np.flatnonzero(~again)
             for k in range(0, len(at), 65536):
@@ -296,6 +303,10 @@ def _scan(batches, least: int):
                 r, a, z = rank[again], start[again], end[again]
                 at = np.flatnonzero(_runs(a, z, r))
                 yield _row(SPANS, len(at), doc=docs[r[at]], text=texts[r[at]], start=a[at], end=np.maximum.reduceat(z, at))
+                del r, a, z
+            del gram, seg, rank, start, end, first, n, again
+    known.clear()
+    give_back()
 
 
 def _first_of(rank: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -409,6 +420,8 @@ def _window_hashes(batches):
                 cols = [[] for _ in names]
         if cols[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+    known.clear()
+    give_back()
 
 
 def _compared(batches):
@@ -446,7 +459,7 @@ def _windows(batches):
 def repeated_passages(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """(doc, text, start, end): byte spans of ``rows`` (doc, text, body), with their ``segments``, that cover each window of ``PASSAGE`` words that an earlier document has."""
     spark = rows.sparkSession
-    crowds = crowded(segments, CROWD)
+    crowds = crowded(segments, MOST_ROWS)
     release(spark)
     calm, hot = apart(segments, crowds)
     dealt = calm.repartition("gram").sortWithinPartitions("gram", "seg", "doc", "text", "start")
@@ -463,6 +476,8 @@ def repeated_passages(rows: DataFrame, segments: DataFrame) -> DataFrame:
 
     whole = settled.where("gram is null").select("doc", "text", "start", "end")
     mixed = settled.where("gram is not null").select(segment)
+    mixed, more = apart(mixed, crowded(mixed, CROWD))
+    hot = hot.unionByName(more)
     fetched = stored(fetch(mixed, lambda x: x, "gram long, doc long, text long, first long, hashes binary, starts binary, ends binary"), "passage-windows", texts=True)
     release(spark)
     parts = [whole, stored(fetched.repartition("gram").sortWithinPartitions("gram", "doc", "text", "first").mapInArrow(_compared, _SPAN_SQL), "compared-passages")]
@@ -513,6 +528,8 @@ def _similar(batches):
                     a += [lines[x][0]] * len(near)
                     z += [lines[y][0] for y in near]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+    known.clear()
+    give_back()
 
 
 def _texts(batches):

@@ -94,7 +94,8 @@ def test_near_copies_with_repeated_and_absent_ids(docs):
     assert left == sorted([(1, prose(1)), (2, prose(5)), (None, prose(6)), (7, prose(7)), (4, "")], key=str)
 
 
-def test_near_copies_are_found_and_others_stay(docs):
+@pytest.mark.parametrize("chunk", [2048, 2])
+def test_near_copies_are_found_and_others_stay(docs, chunk):
     """Recall over pairs of a similarity of 0.8 or more, and no link far below it."""
     r = random.Random(5)
     rows, pairs = [], []
@@ -106,7 +107,7 @@ def test_near_copies_are_found_and_others_stay(docs):
         a, b = grams(" ".join(w)), grams(" ".join(v))
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
         pairs.append((2 * k, len(a & b) / len(a | b)))
-    left = {x["doc_id"] for x in simhash.keep_one_of_group(docs(rows)).collect()}
+    left = {x["__id"] for x in simhash.near_groups(docs(rows), chunk=chunk).where("__id = leader.__id").collect()}
     near, far = [i for i, j in pairs if j >= 0.8], [i for i, j in pairs if j < 0.65]
     assert len(near) >= 40 and len(far) >= 30
     assert all(i in left for i, _ in pairs)
@@ -201,9 +202,10 @@ def marked(rows, spans):
     assert {k: bytes(m) for k, m in got.items()} == want and sum(map(sum, want.values())) > 4000
 
 
-@pytest.mark.parametrize("crowd", [2000, 2])
-def test_passages_match_brute_force(docs, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "most"), [(2000, 50_000), (2, 50_000), (2000, 2)])
+def test_passages_match_brute_force(docs, monkeypatch, crowd, most):
     monkeypatch.setattr(paragraphs, "CROWD", crowd)
+    monkeypatch.setattr(paragraphs, "MOST_ROWS", most)
     rows = ODD + INSIDE
     d, _, segments, spans = parts_of(docs(rows).repartition(5))
     marked(rows, [tuple(r) for r in paragraphs.repeated_passages(d, segments).unionByName(spans).collect()])
