@@ -372,16 +372,16 @@ def typical_distances(rows: DataFrame, block: int = 1024) -> DataFrame:
     sizes = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m"))
     base = rows.join(F.broadcast(sizes), "label").withColumn("a", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     left = base.select("id", "label", "v", "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"))
-    right = base.select("label", "v", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("a"))
+    right = base.select(F.col("label").alias("label_"), F.col("v").alias("v_"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("a_"), F.col("a").alias("b_"))
     kind = dict(rows.dtypes)["id"]
 
     def sums(x: pa.Table, y: pa.Table) -> pa.Table:
-        p, q = _matrix(x.column("v")), _matrix(y.column("v"))
+        p, q = _matrix(x.column("v")), _matrix(y.column("v_"))
         total = np.sqrt(_squared(p, q)).sum(1) if len(p) and len(q) else np.zeros(len(p))
         return pa.table([x.column("id"), x.column("label"), pa.array(total)], names=["id", "label", "s"])
 
     keys = ["label", "a", "b"]
-    per = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+    per = left.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_" for k in keys])).applyInArrow(
         sums,
         f"id {kind}, label string, s double",
     ).groupBy("id", "label").agg(F.sum("s").alias("s"))

@@ -169,3 +169,33 @@ def test_period_queries_cover_every_gated_series(spark, tmp_path, monkeypatch):
         with __import__("pytest").raises(StopIteration):
             query(spark, "")
         assert seen.pop("series") == {"c", "o", "combined"}
+
+
+def test_fold_coherence_is_linear_in_points(spark):
+    """Four times the points of one series take at most about four times as long, and the result is that of plain formulas."""
+    import time
+
+    from chronofold.operators.series import fold_coherence
+
+    def timed(n):
+        rows = spark.range(n).select(F.lit(1).alias("source_id"), F.lit("o").alias("series"), F.rand(1).alias("phase"), F.randn(2).alias("y"), F.lit(0.1).alias("e")).cache()
+        rows.count()
+        best = min(_elapsed(lambda: fold_coherence(rows).collect()) for _ in range(3))
+        got, pdf = fold_coherence(rows).first(), rows.toPandas()
+        rows.unpersist()
+        return best, got, pdf
+
+    def _elapsed(f):
+        began = time.time()
+        f()
+        return time.time() - began
+
+    few, _, _ = timed(10_000)
+    many, got, pdf = timed(40_000)
+    assert many < 5 * few + 1
+    n_bins = PeriodConfig().fold_bins
+    bins = np.minimum((pdf.phase * n_bins).astype(int), n_bins - 1)
+    res = pdf.y - pdf.y.groupby(bins).transform("median")
+    mad = lambda v: 1.4826 * np.median(np.abs(v - np.median(v)))
+    assert got["fold_valid_bins"] == n_bins
+    assert got["fold_scatter_reduction"] == pytest.approx((mad(pdf.y) - mad(res)) / mad(pdf.y), rel=1e-3)
