@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import decontaminate, exact, licences, packing, paragraphs, shards, simhash, substrings, tokens, toxicity
+from chronofold.llm import centroids, decontaminate, exact, licences, packing, paragraphs, shards, simhash, substrings, tokens, toxicity
 from chronofold.llm.tables import documents
 
 
@@ -70,10 +70,14 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.dedup_paragraphs(documents(spark, sf_dir))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_substrings, op3_shards, op4_packing, op5_decontaminate, op6_token_counts, op7_toxicity, op8_simhash, op9_licences, op10_paragraphs,
+        op1_exact_dedup, op2_substrings, op3_shards, op4_packing, op5_decontaminate, op6_token_counts, op7_toxicity, op8_simhash, op9_licences, op10_paragraphs, op13_centroids,
     )
 }
 
@@ -99,10 +103,36 @@ def _licence_sql() -> str:
         SELECT doc_id, text_digest, licence, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices FROM d LEFT JOIN k ON text_digest = digest LEFT JOIN h USING (doc_id)"""
 
 
+def _centroid_sql() -> str:
+    """The clustering in SQL: rounds written out one by one, distances over all dimensions."""
+    k, dims, scale, rounds, seed = centroids.K, centroids.DIMS, centroids.SCALE, centroids.ROUNDS, centroids.SEED
+    parts = [
+        f"""kept AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"v AS (SELECT r, d, v[d] AS x FROM kept, unnest(range(1, {dims + 1})) AS t(d))",
+        f"first AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM kept QUALIFY c < {k})",
+        f"c0 AS (SELECT c, d, v[d] AS y FROM first, unnest(range(1, {dims + 1})) AS t(d))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS (SELECT r, c, s FROM (SELECT r, c, sum((x - y) * (x - y)) AS s FROM v JOIN c{i} USING (d) GROUP BY r, c)
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY s, c) = 1)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} AS (SELECT c{i}.c, c{i}.d, CASE WHEN n IS NULL THEN y ELSE (t - ((t % n) + n) % n) // n END AS y FROM c{i}
+                LEFT JOIN (SELECT c, d, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM a{i} JOIN v USING (r) GROUP BY c, d) USING (c, d))"""
+            )
+    parts.append(f"named AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(s AS BIGINT) AS distance, CAST(sum(s) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+        CAST(sum(s) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN kept USING (r) JOIN named USING (c)"""
+
+
 _NORM = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
 ORACLES = {
     "op9_licences": _licence_sql(),
+    "op13_centroids": _centroid_sql(),
     "op1_exact_dedup": f"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256({_NORM}) AS h FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
