@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import centroids, decontaminate, exact, licences, packing, paragraphs, shards, simhash, substrings, tokens, toxicity
+from chronofold.llm import centroids, decontaminate, divergence, exact, licences, packing, paragraphs, shards, simhash, substrings, tokens, toxicity
 from chronofold.llm.tables import documents
 
 
@@ -70,6 +70,10 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.dedup_paragraphs(documents(spark, sf_dir))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -77,7 +81,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_substrings, op3_shards, op4_packing, op5_decontaminate, op6_token_counts, op7_toxicity, op8_simhash, op9_licences, op10_paragraphs, op13_centroids,
+        op1_exact_dedup, op2_substrings, op3_shards, op4_packing, op5_decontaminate, op6_token_counts, op7_toxicity, op8_simhash, op9_licences, op10_paragraphs, op12_divergence, op13_centroids,
     )
 }
 
@@ -131,6 +135,24 @@ def _centroid_sql() -> str:
 _NORM = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
 ORACLES = {
+    "op12_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        dense AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+        own AS (SELECT *, 1 + CAST({divergence.SCALE} AS HUGEINT) * (n + 1) // (sum(n) OVER w + count(*) OVER w) AS p FROM dense WINDOW w AS (PARTITION BY lang, source)),
+        whole AS (SELECT lang, term, 1 + CAST({divergence.SCALE} AS HUGEINT) * (n + 1) // (sum(n) OVER w + count(*) OVER w) AS q
+                  FROM (SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term) WINDOW w AS (PARTITION BY lang)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+                  GROUP BY a.lang, a.source, b.source),
+        every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+                  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every
+        QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}""",
     "op9_licences": _licence_sql(),
     "op13_centroids": _centroid_sql(),
     "op1_exact_dedup": f"""
