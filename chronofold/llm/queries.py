@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import centroids, decontaminate, divergence, exact, licences, packing, paragraphs, shards, simhash, substrings, tokens, toxicity
+from chronofold.llm import centroids, decontaminate, divergence, exact, licences, packing, paragraphs, shards, simhash, substrings, token_files, tokens, toxicity
 from chronofold.llm.tables import documents
 
 
@@ -70,6 +70,10 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.dedup_paragraphs(documents(spark, sf_dir))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(documents(spark, sf_dir))
 
@@ -81,7 +85,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_substrings, op3_shards, op4_packing, op5_decontaminate, op6_token_counts, op7_toxicity, op8_simhash, op9_licences, op10_paragraphs, op12_divergence, op13_centroids,
+        op1_exact_dedup, op2_substrings, op3_shards, op4_packing, op5_decontaminate, op6_token_counts, op7_toxicity, op8_simhash, op9_licences, op10_paragraphs, op11_token_files, op12_divergence, op13_centroids,
     )
 }
 
