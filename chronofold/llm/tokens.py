@@ -113,6 +113,18 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _joined(words: list[str]) -> bytes:
+    """Words with their lengths before them, compressed; any character may be in them."""
+    return zlib.compress(_packed(np.fromiter(map(len, words), np.int64, len(words))) + "".join(words).encode(), 1)
+
+
+def _parted(raw: bytes, n: int) -> list[str]:
+    raw = zlib.decompress(raw)
+    ends = np.cumsum(_unpacked(raw[: 4 * n]), dtype=np.int64).tolist()
+    text = raw[4 * n :].decode()
+    return [text[a:z] for a, z in zip([0, *ends], ends)]
+
+
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, for a byte-level vocabulary file of the tokenizers library."""
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
@@ -170,7 +182,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(m, block)), none(ids.type, m), none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), pa.array([part[g[0]] for g in groups], pa.int32()),
-                        pa.array([_packed(g) for g in groups], pa.binary()), pa.array([zlib.compress("\0".join([tokens[i] for i in g.tolist()]).encode(), 1) for g in groups], pa.binary()),
+                        pa.array([_packed(g) for g in groups], pa.binary()), pa.array([_joined([tokens[i] for i in g.tolist()]) for g in groups], pa.binary()),
                     ],
                     names,
                 )
@@ -200,12 +212,13 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
         for b in batches:
             for raw, block, numbers in zip(*(b.column(k).to_pylist() for k in range(3))):
-                tokens = zlib.decompress(raw).decode().split("\0")
+                numbers = _unpacked(numbers)
+                tokens = _parted(raw, len(numbers))
                 if len(many) > MOST_KNOWN:
                     many.clear()
                 todo = [t for t in tokens if t not in many]
                 many.update(zip(todo, (len(e.ids) for e in lib.encode_batch_fast(todo, add_special_tokens=False))))
-                held.append((np.full(len(tokens), block), _unpacked(numbers), np.fromiter(map(many.__getitem__, tokens), np.int64, len(tokens))))
+                held.append((np.full(len(tokens), block), numbers, np.fromiter(map(many.__getitem__, tokens), np.int64, len(tokens))))
                 size += len(tokens)
                 if size >= FLUSH_ROWS:
                     yield flush()
