@@ -163,3 +163,8 @@ def mjd_window(days: float, now: Column | None = None) -> tuple[Column, Column]:
     """First and last modified Julian date of the ``days`` up to ``now``."""
     last = utc_to_mjd(F.current_timestamp() if now is None else now)
     return last - F.lit(float(days)), last
+
+
+def let(value, use) -> Column:
+    """``use(value)`` with the value worked out once: an expression inside a lambda is worked out anew for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
