@@ -29,13 +29,15 @@ other columns are never read. A file whose digest or block ends do not fit is an
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,62 +45,128 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from chronofold.llm.tables import discard, few_rows, give_back, release, shared_folder, slices, stored, text_of
-from chronofold.llm.tokens import _PIECE, _PLAIN
+from chronofold.llm.tokens import _PIECE, _blocks
 
 END_ID = 2
 MOST_BITS, BLOCK_IDS = 20, 128
 #: Ids of a segment and of a file, about; distinct words that a worker remembers.
-SEGMENT_IDS, FILE_IDS, MOST_KNOWN = 1 << 20, 64 << 20, 1 << 19
+SEGMENT_IDS, FILE_IDS, MOST_KNOWN = 1 << 20, 64 << 20, 600_000
+#: Words that are looked up at once.
+WORDS = 4 << 20
 BOOK, MARK = b"CFB1", b"CFS1"
 #: mark, partition, segment, ids before, ids, pieces, blocks, bytes of the piece table, bytes of bits, CRC-32.
 HEAD = struct.Struct("<4sIQQQIIIQI")
-#: White space, a space, white space or the end: there a run of white space spans two words, and words are not encoded one by one.
-_SPAN = re.compile(r"\s (?:\s|\Z)")
+#: Marks a text's first word, which has no space before it; no plain text has this character.
+START = "\0"
+
+
+def _spread(sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs ``at`` of ``flat``, one after another; runs lie side by side and have ``sizes``."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[at]
+    return flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+class _Known:
+    """Ids of strings. Past ``most`` strings only those of the last call stay, so frequent ones do."""
+
+    def __init__(self, kind: str, most: int, make):
+        self.most, self.make = most, make
+        self.words, self.sizes, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, kind)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all of ``words``, number of ids of each)."""
+        coded = words.dictionary_encode()
+        own, place = coded.dictionary, coded.indices.to_numpy()
+        at = pc.index_in(own, value_set=self.words)
+        missed = own.filter(pc.is_null(at))
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(missed))
+        if len(missed):
+            flat, sizes = self.make(missed)
+            self.words, self.sizes, self.flat = pa.concat_arrays([self.words, missed]), np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        out = _spread(self.sizes, self.flat, at[place]), self.sizes[at[place]]
+        if len(self.words) > self.most:
+            self.words, self.flat, self.sizes = own, _spread(self.sizes, self.flat, at), self.sizes[at]
+        return out
 
 
 class ByteTokenizer:
     """Ids of texts under a byte-level vocabulary of the tokenizers library.
 
-    A text is cut at its spaces; a word with its leading space is encoded once while
-    it is remembered. Words are cut further by the vocabulary's own pattern and go to
-    the library's model. Texts outside Latin-1, with an added token's string, or where
-    white space runs across a cut, go to the library whole.
+    Texts are cut at their spaces, and the distinct words of many texts, with the
+    space before them, are looked up once. Words that are not remembered are cut by
+    the vocabulary's own pattern, and pieces that are not go to the library's model.
+    Texts outside Latin-1, with an added token's string, or where white space runs
+    across a cut, go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known, self.pieces = _Known(self._word, MOST_KNOWN), _Known(self._piece, MOST_KNOWN)
+        self.kind, self.letter = ("<u2", "H") if self.lib.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.words, self.pieces = _Known(self.kind, MOST_KNOWN, self._cut), _Known(self.kind, MOST_KNOWN, self._tokenize)
         keep = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
         rest = [b for b in range(256) if b not in keep]
         self.letters = {b: chr(256 + k) for k, b in enumerate(rest)}  # byte-level vocabularies write such bytes as characters from 256 on
 
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.lib.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, self.kind).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
+    def _tokenize(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(pieces, r"\A[ -~]+\z")  # there all but the space stands for itself
+        letters = pc.if_else(plain, pc.replace_substring(pieces, " ", self.letters[0x20]), pieces).to_pylist()
+        for k in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+            letters[k] = letters[k].encode().decode("latin-1").translate(self.letters)
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for a in range(0, len(letters), 20_000):
+            found = list(map(self.model.tokenize, letters[a : a + 20_000]))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), self.kind, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _cut(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words have a space before them, but for those that ``START`` marks as a text's first."""
+        odd = pc.match_substring_regex(words, r"\A\z|\A[\x00\t\n\r]|[\t\n\r]\z")  # side by side, white space of two words would run together
+        rest = words.filter(pc.invert(odd))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(rest)], rest), " ")[0].as_py()
+        cut = _PIECE.findall(" " + joined) if len(rest) else []
+        own = [_PIECE.findall(w[1:] if w[:1] == START else " " + w) for w in words.filter(odd).to_pylist()]
+        pieces = pa.array([*cut, *chain.from_iterable(own)], pa.string())
+        first = np.flatnonzero(pc.starts_with(pieces[: len(cut)], " ").to_numpy(zero_copy_only=False))  # each word's first piece has its space, and no other piece has one
+        alone = odd.to_numpy(zero_copy_only=False)
+        count = np.empty(len(words), np.int64)
+        count[~alone] = np.diff(first, append=len(cut))
+        count[alone] = list(map(len, own))
+        flat, sizes = self.pieces(pieces)
+        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])  # of the words, as their pieces lie
+        upto = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(count[order])]]
+        back = np.argsort(order)
+        return _spread(np.diff(upto), flat, back), np.diff(upto)[back]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text."""
+        matches = lambda pattern: pc.match_substring_regex(texts, pattern)
+        plain = pc.and_(matches(r"\A[\t\n\r -~\x{a1}-\x{ac}\x{ae}-\x{ff}]*\z"), pc.invert(matches(r"[\t\n\r ] (?:[\t\n\r ]|\z)")))
+        for a in self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, a)))
+        lists = pc.split_pattern(pc.binary_join_element_wise(START, texts.filter(plain), ""), " ")
+        words, ends = lists.flatten(), lists.offsets.to_numpy()
+        parts = [self.words(words.slice(a, WORDS)) for a in range(0, len(words), WORDS)] or [(np.zeros(0, self.kind), np.zeros(0, np.int64))]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
+        upto = np.r_[0, np.cumsum(sizes)][ends - ends[0]].tolist()
+        runs = zip(upto, upto[1:])
+        out = []
+        for k, ok in enumerate(plain.to_pylist()):
+            if ok:
+                a, z = next(runs)
+                out.append(ids[a:z].tobytes())
+            else:
+                got = self.lib.encode(texts[k].as_py(), add_special_tokens=False).ids
+                out.append(np.array(got, self.kind).tobytes())
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if _PLAIN.match(text) and not _SPAN.search(text) and not any(a in text for a in self.added):
-            first, *words = text.split(" ")
-            return b"".join([*map(self.pieces.__getitem__, _PIECE.findall(first)), *map(self.known.__getitem__, words)])
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-
-class _Known(dict):
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[key] = self.make(key)
-        return out
+        return self.encode(pa.array([text], pa.string()))[0]
 
 
 _TOKENIZERS: dict[str, ByteTokenizer] = {}
@@ -167,12 +235,11 @@ class Book:
         (n,) = struct.unpack_from("<I", raw, 4)
         return cls(np.frombuffer(raw, "<u4", n, 8), np.frombuffer(raw, np.uint8, n, 8 + 4 * n))
 
-    def by_id(self) -> tuple[np.ndarray, np.ndarray]:
-        """(code, length) by id."""
-        size = int(self.ids.max(initial=0)) + 1
-        code, length = np.zeros(size, np.uint32), np.zeros(size, np.uint8)
-        code[self.ids], length[self.ids] = canonical(self.lengths), self.lengths
-        return code, length
+    def by_id(self) -> np.ndarray:
+        """code * 32 + length by id; 0 for an id without a code."""
+        out = np.zeros(int(self.ids.max(initial=0)) + 1, np.uint64)
+        out[self.ids] = canonical(self.lengths).astype(np.uint64) << np.uint64(5) | self.lengths
+        return out
 
     def table(self) -> np.ndarray:
         """id * 32 + length for every window of ``bits`` bits; 0 where no code begins so."""
@@ -186,20 +253,24 @@ class Book:
         return out
 
 
-def encode_bits(ids: np.ndarray, code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, bytes]:
+def encode_bits(ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, bytes]:
     """(bits of each block, the bits of all), first bit highest."""
-    sizes = length[ids].astype(np.int64)
+    if not len(ids):
+        return np.zeros(0, "<u2"), b""
+    both = codes[ids]
+    sizes = (both & np.uint64(31)).astype(np.int64)
     if not sizes.all():
         raise ValueError("an id without a code")
     ends = np.cumsum(sizes)
     at = ends - sizes
-    word, low = at >> 5, at & 31
-    v = code[ids].astype(np.uint64) << (64 - low - sizes).astype(np.uint64)
-    n = int(ends[-1] + 31 >> 5) + 1 if len(ids) else 1
-    whole = np.bincount(word, (v >> np.uint64(32)).astype(np.float64), n)  # codes do not overlap, so sums are unions; below 2^53 they are exact
-    whole += np.bincount(word + 1, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), n)[:n]
-    total = int(ends[-1]) if len(ids) else 0
-    cuts = ends[np.r_[np.arange(BLOCK_IDS - 1, len(ids) - 1, BLOCK_IDS), len(ids) - 1]] if len(ids) else ends
+    word = at >> 5
+    v = (both >> np.uint64(5)) << (64 - (at & 31) - sizes).astype(np.uint64)  # a code in 64 bits from its word on
+    # Codes are shorter than words, so each word has one that begins there, and codes do not overlap, so sums are unions.
+    runs = np.add.reduceat(v, np.r_[0, 1 + np.flatnonzero(np.diff(word))])
+    whole = np.r_[runs >> np.uint64(32), np.uint64(0)]
+    whole[1:] |= runs & np.uint64(0xFFFFFFFF)
+    total = int(ends[-1])
+    cuts = ends[np.r_[np.arange(BLOCK_IDS - 1, len(ids) - 1, BLOCK_IDS), len(ids) - 1]]
     return np.diff(cuts, prepend=0).astype("<u2"), whole.astype(">u4").tobytes()[: (total + 7) // 8]
 
 
@@ -212,7 +283,7 @@ def decode_blocks(bits, sizes: np.ndarray, n: int, table: np.ndarray, width: int
     raw = np.frombuffer(bits, np.uint8)[base : (int(ends[last - 1]) + 7 >> 3) if len(at) else 0]
     raw = np.concatenate([raw, np.zeros(BLOCK_IDS * MOST_BITS // 8 + 8, np.uint8)]).astype(np.uint32)
     windows = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]  # the 32 bits that begin at each byte
-    at -= 8 * base
+    at = (at - 8 * base).astype(np.int32)
     out = np.empty((BLOCK_IDS, len(at)), np.uint32)
     tail = n - (last - 1) * BLOCK_IDS if last == len(sizes) else BLOCK_IDS
     want = ends[first:last] - 8 * base
@@ -222,21 +293,21 @@ def decode_blocks(bits, sizes: np.ndarray, n: int, table: np.ndarray, width: int
                 raise ValueError("a block does not end where the next begins")
             at, out[j:, -1] = at[:-1], 0
         k = len(at)
-        hit = table[windows[at >> 3] >> (32 - width - (at & 7)).astype(np.uint32) & np.uint32((1 << width) - 1)]
+        hit = table[windows[at >> 3] >> (32 - width - (at & 7)).view(np.uint32) & np.uint32((1 << width) - 1)]
         out[j, :k] = hit >> np.uint32(5)
-        at += (hit & np.uint32(31)).astype(np.int64)
+        at += (hit & np.uint32(31)).view(np.int32)
     if not (at == want[: len(at)]).all():
         raise ValueError("a block does not end where the next begins")
     return out.T.ravel()[: (last - first - 1) * BLOCK_IDS + tail] if len(want) else out.ravel()
 
 
-def segment(part: int, number: int, before: int, ids: np.ndarray, pieces: pa.RecordBatch, code: np.ndarray, length: np.ndarray) -> bytes:
+def segment(part: int, number: int, before: int, ids: np.ndarray, pieces: pa.RecordBatch, codes: np.ndarray) -> bytes:
     """One segment of a data file."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pieces.schema) as out:
         out.write_batch(pieces)
     table = sink.getvalue().to_pybytes()
-    sizes, bits = encode_bits(ids, code, length)
+    sizes, bits = encode_bits(ids, codes)
     body = table + sizes.tobytes() + bits
     return HEAD.pack(MARK, part, number, before, len(ids), pieces.num_rows, len(sizes), len(table), len(bits), zlib.crc32(body)) + body
 
@@ -278,16 +349,17 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
         end = np.array([end_id], tok.kind).tobytes()
         counts = np.zeros(tok.lib.get_vocab_size() + end_id + 1, np.int64)
         width = np.dtype(tok.kind).itemsize
-        for part in slices(batches, 256):
-            raw = [tok(t) + end for t in part.column(1).to_pylist()]
-            for r in raw:
-                counts += np.bincount(np.frombuffer(r, tok.kind), minlength=len(counts)) if len(r) > 1 << 16 else 0
-            few = [r for r in raw if len(r) <= 1 << 16]
-            counts += np.bincount(np.frombuffer(b"".join(few), tok.kind), minlength=len(counts))
-            k = len(raw)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(r) // width for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(raw, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names
-            )
+        for ids, texts in _blocks(batches):
+            raw = [r + end for r in tok.encode(texts)]
+            big = [r for r in raw if len(r) > 1 << 20]
+            for part in (b"".join([r for r in raw if len(r) <= 1 << 20]), *big):
+                counts += np.bincount(np.frombuffer(part, tok.kind), minlength=len(counts))
+            for a in range(0, len(raw), 512):
+                some = raw[a : a + 512]
+                k = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, k), pa.array([len(r) // width for r in some], pa.int64()), pa.array([zlib.crc32(r) for r in some], pa.int64()), pa.array(some, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names
+                )
         seen = np.flatnonzero(counts)
         k = len(seen)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, _arrow(id_field)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(seen, pa.int32()), pa.array(counts[seen])], names)
@@ -300,7 +372,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
     ids, times = counts["seen"].to_numpy(np.int64), counts["times"].to_numpy(np.int64)
     book = Book(ids, code_lengths(times))
     _write(spark.createDataFrame([(bytearray(book.to_bytes()),)], "b binary").coalesce(1), f"{path}/book")
-    code, length = book.by_id()
+    codes = book.by_id()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(times.sum()) // FILE_IDS))
     order = ["id", "n", "crc"]
     first = F.col("id").isNull()
@@ -315,7 +387,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
             batch = pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([p[0] for p in pieces]), pa.array([p[1] for p in pieces], pa.int64()), pa.array([p[2] for p in pieces], pa.int64()), pa.array([p[3] for p in pieces], pa.bool_())], ["id", "start", "n", "ends"]
             )
-            raw = segment(part, number, before, np.concatenate(held), batch, code, length)
+            raw = segment(part, number, before, np.concatenate(held), batch, codes)
             number, before, size = number + 1, before + size, 0
             held.clear(), pieces.clear()
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["segment"])
