@@ -1,7 +1,6 @@
 """Feature spaces, neighbours, outliers and density families.
 
-Exact neighbours come from ``neighbours.nearest``. Two-dimensional coordinates are
-principal components; the usual manifold library is not at hand.
+Exact neighbours come from ``neighbours.nearest``, coordinates of maps from ``layout``.
 """
 
 from __future__ import annotations

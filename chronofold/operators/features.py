@@ -1,8 +1,8 @@
 """Relational forms of phase profiles, excursion events and time-domain features.
 
-Observations are (source_id, row_id, time, mag, err, filter). What is a sum, a
-median or a neighbour in time is native here. What needs a source's whole fold at
-once (shifts, axes, fits), and all that the staged run uses, is in ``profiles``.
+Observations are (source_id, row_id, time, mag, err, filter). Profiles of
+all folds are in ``folds`` and ``shapes``, models and dip evidence in ``evidence``, and all
+features of a source in ``measures``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chronofold.config import MorphologyConfig
 from chronofold.functions.columns import MAD_SIGMA, bin_of, clip01, median, phase, positive
+from chronofold.operators.folds import spread_over
 
 TAU = 2 * 3.141592653589793
 
@@ -118,6 +119,8 @@ def excursion_events(rows: DataFrame, sigma: float = 5.0, gap: float = 1.0, min_
         F.max(F.abs("z")).alias("peak_residual_significance"),
         median(F.abs("z")).alias("median_residual_significance"),
         median(F.col("err")).alias("median_quoted_uncertainty"),
+        F.min("err").alias("minimum_quoted_uncertainty"),
+        F.max("err").alias("maximum_quoted_uncertainty"),
     )
     multi, cross = F.col("n_measurements") >= max(2, min_points), (F.col("nf") >= 2) & (F.col("n_measurements") >= 2)
     out = out.withColumn("is_multi_point", multi).withColumn("has_cross_filter_support", cross).withColumn("passes_quality_validation", multi | cross).withColumn("independent_observing_night", F.floor("event_time").cast("long"))
@@ -178,7 +181,8 @@ def temporal_coherence(points: DataFrame) -> DataFrame:
         "c",
         F.col("mag") - median(F.col("mag")).over(src),
     ).withColumn("n", F.count(F.lit(1)).over(src)).where("n >= 6")
-    scale = F.greatest(spread(F.col("c"), src), median(F.col("err")).over(src), F.lit(1e-9))
+    p = p.withColumn("dev", F.abs(F.col("c") - median(F.col("c")).over(src)))
+    scale = F.greatest(spread_over("c", "dev", F.col("n"), src), median(F.col("err")).over(src), F.lit(1e-9))
     p = p.withColumn("scale", scale).withColumn("nxt", F.lead("c").over(order)).withColumn(
         "sg",
         F.when(F.abs("c") >= 2 * F.col("scale"), F.signum("c")).otherwise(0.0),
@@ -195,7 +199,7 @@ def temporal_coherence(points: DataFrame) -> DataFrame:
     )
     base = p.withColumn("__a", F.abs(F.col("c") - median(F.col("c")).over(src))).groupBy("source_id").agg(
         (F.avg(F.pow(F.col("nxt") - F.col("c"), F.lit(2.0))) / F.greatest(F.var_pop("c"), F.lit(1e-12))).alias("von_neumann_ratio"),
-        F.corr("c", "nxt").alias("lag"),
+        F.try_divide(F.covar_pop("c", "nxt"), F.stddev_pop(F.when(F.col("nxt").isNotNull(), F.col("c"))) * F.stddev_pop("nxt")).alias("lag"),
         F.first("scale").alias("scale"),
         (MAD_SIGMA * median(F.col("__a"))).alias("robust"),
         median(F.col("err")).alias("med_err"),

@@ -111,6 +111,21 @@ def _descend(own: np.ndarray, head: np.ndarray, tail: np.ndarray, weight: np.nda
     return place[:n]
 
 
+def _mover(pool: np.ndarray, span: range, top: float, epochs: int, seed: int):
+    """One round of one block: its rows (id, block, x, y) and the edges that start there (a, b, weight, x and y of b)."""
+
+    def move(key, rows: pa.Table, links: pa.Table) -> pa.Table:
+        rows, links = rows.sort_by("id"), links.sort_by([("a", "ascending"), ("b", "ascending")])
+        at = {v: i for i, v in enumerate(rows.column("id").to_pylist())}
+        own, ends = (np.column_stack([t.column(c).to_numpy() for c in ("x", "y")]) for t in (rows, links))
+        head = np.array([at[v] for v in links.column("a").to_pylist()], int)
+        tail = np.array([at.get(v, len(own) + i) for i, v in enumerate(links.column("b").to_pylist())], int)  # ends elsewhere have a place of their own, one an edge
+        moved = _descend(own, head, tail, links.column("weight").to_numpy(), ends, pool, top, span, epochs, seed * 1_000_003 + key[0].as_py() * 1009 + span.start)
+        return pa.table([rows.column("id"), rows.column("block"), pa.array(moved[:, 0]), pa.array(moved[:, 1])], names=["id", "block", "x", "y"])
+
+    return move
+
+
 def layout(graph: DataFrame, start: DataFrame, seed: int = 42, epochs: int = EPOCHS, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """(id, x, y): the rows of ``start`` (id, x, y), moved by ``graph`` (a, b, weight of both directions)."""
     n, top = start.count(), graph.agg(F.max("weight")).first()[0]
@@ -126,19 +141,8 @@ def layout(graph: DataFrame, start: DataFrame, seed: int = 42, epochs: int = EPO
         pool = np.array([(p["x"], p["y"]) for p in places.orderBy(F.xxhash64("id", F.lit(r)), "id").limit(POOL).collect()]) if blocks > 1 else np.zeros((0, 2))
         span = range(r * each, min((r + 1) * each, epochs))
 
-        def move(key, rows: pa.Table, links: pa.Table, pool=pool, span=span) -> pa.Table:
-            rows, links = rows.sort_by("id"), links.sort_by([("a", "ascending"), ("b", "ascending")])
-            at = {v: i for i, v in enumerate(rows.column("id").to_pylist())}
-            xy = lambda t: np.column_stack([t.column(c).to_numpy() for c in ("x", "y")])
-            ends, own = xy(links) if links.num_rows else np.zeros((0, 2)), xy(rows)
-            b = links.column("b").to_pylist()
-            head = np.array([at[v] for v in links.column("a").to_pylist()], int)
-            tail = np.array([at.get(v, len(own) + i) for i, v in enumerate(b)], int)  # ends elsewhere have a place of their own, one an edge
-            moved = _descend(own, head, tail, links.column("weight").to_numpy(), ends, pool, top, span, epochs, seed * 1_000_003 + key[0].as_py() * 1009 + span.start)
-            return pa.table([rows.column("id"), rows.column("block"), pa.array(moved[:, 0]), pa.array(moved[:, 1])], names=["id", "block", "x", "y"])
-
         ends = edges.join(places.select(F.col("id").alias("b"), "x", "y"), "b").select("home", "a", "b", "weight", "x", "y")
-        places = cut_lineage(places.groupBy("block").cogroup(ends.groupBy("home")).applyInArrow(move, f"id {kind}, block int, x double, y double"))
+        places = cut_lineage(places.groupBy("block").cogroup(ends.groupBy("home")).applyInArrow(_mover(pool, span, top, epochs, seed), f"id {kind}, block int, x double, y double"))
     return places.select("id", "x", "y")
 
 

@@ -3,9 +3,9 @@
 A map folder holds generations ``gen-N``, each a whole catalogue: features,
 coordinates and labels, events. A generation counts once its ``_COMPLETE`` marker is
 there, so an interrupted run leaves the one before in force. The models (scaler,
-weights, axes of each space) are written by ``fit`` alone and never change
-afterwards: ``transform`` puts new sources on the same map and leaves every old
-coordinate as it is.
+weights, and the reference sources' places in each space) are written by ``fit`` alone
+and never change afterwards: ``transform`` puts new sources among the nearest reference
+sources and leaves every old coordinate as it is.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from chronofold.config import MorphologyConfig
 from chronofold.functions.columns import median
 from chronofold.operators import classify as K
 from chronofold.operators import embed as E
-from chronofold.operators import profiles as P
+from chronofold.operators import layout as L
+from chronofold.operators import measures as P
 
 log = logging.getLogger("chronofold")
 #: The version of what the blocks hold; a model of another version is refused.
-SCHEMA = 1
+SCHEMA = 2
 SPACES = ("periodic", "transient", "combined", "evidence")
+#: How neighbours are found in each space.
+METRIC = {"periodic": "cosine", "transient": "cosine", "combined": "cosine", "evidence": "euclidean"}
 #: Settings that change a feature's value. Thresholds of the classifier only change labels.
 REPRESENTATION = ("phase_bins", "sections", "map_bins", "event_sigma", "event_gap_days", "event_min_points")
 
@@ -153,7 +156,7 @@ class Maps:
         log.info("wrote generation %d under %s", at + 1, self.root)
 
     def _model(self, space: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(self.spark.read.parquet(f"{self.root}/models/{space}/{t}") for t in ("scaler", "axes"))
+        return tuple(self.spark.read.parquet(f"{self.root}/models/{space}/{t}") for t in ("scaler", "reference"))
 
     def _meta(self) -> dict:
         return json.loads(self.spark.read.text(f"{self.root}/models/meta").first()["value"])
@@ -170,13 +173,11 @@ class Maps:
     # Coordinates.
 
     def _place(self, table: DataFrame, space: str) -> DataFrame:
-        """(source_id, space_1, space_2, space_vector) by the saved scaler and axes."""
-        scaler, axes = self._model(space)
-        z = E.scaled(space_values(table, space, self.cfg), scaler)
-        xy = z.join(F.broadcast(axes), "dim").groupBy("source_id").agg(
-            *[F.sum(F.col("z") * F.col(f"axis_{k}")).alias(f"{space}_{k}") for k in (1, 2)]
-        )
-        return xy.join(E.vectors(z, "source_id").withColumnRenamed("v", f"{space}_vector"), "source_id")
+        """(source_id, space_1, space_2, space_vector) by the saved scaler and the reference sources' places."""
+        scaler, reference = self._model(space)
+        v = self._held(E.vectors(E.scaled(space_values(table, space, self.cfg), scaler), "source_id").withColumnRenamed("source_id", "id"))
+        xy = L.placed(v, reference, METRIC[space])
+        return xy.join(v, "id").select(F.col("id").alias("source_id"), F.col("x").alias(f"{space}_1"), F.col("y").alias(f"{space}_2"), F.col("v").alias(f"{space}_vector"))
 
     def _scored(self, features: DataFrame, manual: DataFrame | None) -> DataFrame:
         rows = features.drop("events") if "events" in features.columns else features
@@ -192,7 +193,7 @@ class Maps:
     # Modes.
 
     def fit(self, features: DataFrame, manual: DataFrame | None = None, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
-        """Models of the four spaces from ``profiles.source_features`` and the first generation of the catalogue."""
+        """Models of the four spaces from ``measures.source_features`` and the first generation of the catalogue."""
         scored = self._held(self._scored(features, manual))
         for space in SPACES:
             names = space_names(space, self.cfg)
@@ -201,12 +202,8 @@ class Maps:
             table = self.spark.createDataFrame([(i, float(given.get(n, 1.0))) for i, n in enumerate(names)], "dim int, weight double")
             E.fit_scaler(values, table).write.mode("overwrite").parquet(f"{self.root}/models/{space}/scaler")
             scaler = self.spark.read.parquet(f"{self.root}/models/{space}/scaler")
-            model = E.pca_map(E.vectors(E.scaled(values, scaler), "source_id").withColumnRenamed("source_id", "id"))[1]
-            axes = [(i, *map(float, row)) for i, row in enumerate(model.pc.toArray())]  # a row a dimension
-            self.spark.createDataFrame(
-                axes,
-                "dim int, axis_1 double, axis_2 double",
-            ).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/models/{space}/axes")
+            v = self._held(E.vectors(E.scaled(values, scaler), "source_id").withColumnRenamed("source_id", "id"))
+            v.join(L.manifold_map(v, METRIC[space]), "id").write.mode("overwrite").parquet(f"{self.root}/models/{space}/reference")
         meta = json.dumps(
             {
                 "settings": settings_digest(self.cfg),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronofold.config import MorphologyConfig
 from chronofold.operators import classify as K
 from chronofold.operators import features as M
-from chronofold.operators import profiles as P
+from chronofold.operators import measures as P
 from chronofold.plans.cleaning import AUDIT_SQL, _rounded, cleaned
 from chronofold.sources.adapters import catalogue
 
@@ -111,7 +111,7 @@ exc AS (SELECT *, CASE WHEN z > 0 THEN 'dimming' ELSE 'brightening' END AS event
 brk AS (SELECT *, lag(time) OVER w AS before FROM exc WINDOW w AS (PARTITION BY source_id, event_type ORDER BY time, row_id)),
 num AS (SELECT *, sum(CASE WHEN before IS NULL OR time - before > 1 OR floor(time) <> floor(before) THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, event_type ORDER BY time, row_id ROWS UNBOUNDED PRECEDING) AS event_number FROM brk),
 evt AS (SELECT source_id, event_type, CAST(event_number AS BIGINT) AS event_number, median(time) AS event_time, count(*) AS n_measurements, max(time) - min(time) AS event_duration_days, string_agg(DISTINCT filter, ';' ORDER BY filter) AS represented_filters,
-        max(abs(z)) AS peak, median(abs(z)) AS med, median(err) AS mq, count(*) >= 2 AS multi, count(DISTINCT filter) >= 2 AND count(*) >= 2 AS crossed FROM num GROUP BY source_id, event_type, event_number)"""
+        max(abs(z)) AS peak, median(abs(z)) AS med, median(err) AS mq, min(err) AS lq, max(err) AS hq, count(*) >= 2 AS multi, count(DISTINCT filter) >= 2 AND count(*) >= 2 AS crossed FROM num GROUP BY source_id, event_type, event_number)"""
 
 
 _FLARE, _DIM = ("event_type = '" + t + "' AND (multi OR crossed)" for t in ("brightening", "dimming"))
@@ -173,7 +173,7 @@ ORACLES = {
     "fourier_descriptors": f"""WITH {BINS_SQL}, b AS (SELECT *, value - avg(value) OVER (PARTITION BY source_id, filter) AS v FROM bins), s AS (SELECT source_id, filter, {_FOURIER} FROM b GROUP BY source_id, filter)
         SELECT source_id, filter, round({_amp(1)}, 6) AS fourier_amplitude, {", ".join(f"round({_amp(h)} / greatest({_amp(1)}, 1e-12), 6) AS fourier_r{h}1, round({_phi(h)}, 6) AS fourier_phi{h}1" for h in (2, 3, 4))} FROM s""",
     "excursion_events": f"""WITH {EVENTS_SQL} SELECT source_id, event_type, event_number, round(event_time, 9) AS event_time, n_measurements, round(event_duration_days, 9) AS event_duration_days, represented_filters, round(peak, 9) AS peak_residual_significance,
-        round(med, 9) AS median_residual_significance, round(mq, 9) AS median_quoted_uncertainty, multi AS is_multi_point, crossed AS has_cross_filter_support, multi OR crossed AS passes_quality_validation, CAST(floor(event_time) AS BIGINT) AS independent_observing_night,
+        round(med, 9) AS median_residual_significance, round(mq, 9) AS median_quoted_uncertainty, round(lq, 9) AS minimum_quoted_uncertainty, round(hq, 9) AS maximum_quoted_uncertainty, multi AS is_multi_point, crossed AS has_cross_filter_support, multi OR crossed AS passes_quality_validation, CAST(floor(event_time) AS BIGINT) AS independent_observing_night,
         CASE WHEN multi OR crossed THEN '' ELSE 'single_point_excursion' END AS rejection_reason FROM evt""",
     "event_metrics": f"""WITH {EVENTS_SQL}, n AS (SELECT source_id, count(*) AS n_points FROM pts GROUP BY source_id),
         m AS (SELECT n.source_id, any_value(n_points) AS n_points, {", ".join(f"round(coalesce(CAST({x} AS DOUBLE), 0), 6) AS {c}" for c, x in _METRICS.items())} FROM n LEFT JOIN evt USING (source_id) GROUP BY n.source_id)
@@ -182,7 +182,8 @@ ORACLES = {
     "section_profile": f"""WITH {POINTS_SQL}, s AS (SELECT *, CAST(ntile(4) OVER (PARTITION BY source_id ORDER BY time, row_id) - 1 AS INTEGER) AS section FROM pts)
         SELECT source_id, section, count(*) AS n, round(median(mag), 6) AS median_mag, round(min(time), 6) AS first, round(max(time), 6) AS last FROM s GROUP BY source_id, section""",
     "temporal_coherence": f"""WITH {POINTS_SQL}, a AS (SELECT *, mag - median(mag) OVER s AS c, ntile(4) OVER (PARTITION BY source_id ORDER BY time, row_id) AS section, count(*) OVER s AS n FROM pts WINDOW s AS (PARTITION BY source_id)),
-        b AS (SELECT *, greatest((quantile_cont(c, 0.84) OVER s - quantile_cont(c, 0.16) OVER s) / 2, median(err) OVER s, 1e-9) AS scale, lead(c) OVER (PARTITION BY source_id ORDER BY time, row_id) AS nxt, median(c) OVER s AS mc FROM a WHERE n >= 6 WINDOW s AS (PARTITION BY source_id)),
+        a2 AS (SELECT *, abs(c - median(c) OVER (PARTITION BY source_id)) AS dev FROM a),
+        b AS (SELECT *, greatest(CASE WHEN n >= 8 THEN (quantile_cont(c, 0.84) OVER s - quantile_cont(c, 0.16) OVER s) / 2 ELSE 1.4826 * median(dev) OVER s END, median(err) OVER s, 1e-9) AS scale, lead(c) OVER (PARTITION BY source_id ORDER BY time, row_id) AS nxt, median(c) OVER s AS mc FROM a2 WHERE n >= 6 WINDOW s AS (PARTITION BY source_id)),
         d AS (SELECT *, CASE WHEN abs(c) >= 2 * scale THEN sign(c) ELSE 0 END AS sg FROM b), e AS (SELECT *, CASE WHEN sg = lag(sg) OVER (PARTITION BY source_id ORDER BY time, row_id) THEN 0 ELSE 1 END AS brk FROM d),
         f AS (SELECT *, sum(brk) OVER (PARTITION BY source_id ORDER BY time, row_id ROWS UNBOUNDED PRECEDING) AS isl FROM e),
         runs AS (SELECT source_id, count(*) AS groups FROM (SELECT source_id, isl FROM f WHERE sg <> 0 GROUP BY source_id, isl HAVING count(*) >= 2) GROUP BY source_id),

@@ -20,7 +20,7 @@ from chronofold.config import CleanConfig, MorphologyConfig, PeriodConfig, Selec
 from chronofold.operators import aliases as A
 from chronofold.operators import classify as K
 from chronofold.operators import clean as C
-from chronofold.operators import profiles as M
+from chronofold.operators import measures as M
 from chronofold.operators import recommend as R
 from chronofold.operators import series as S
 from chronofold.operators import spectral as P

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronofold.plans import classification, cleaning, extras, morphology, periods, recommendation, spaces
+from chronofold.plans import classification, cleaning, extras, morphology, periods, recommendation, shapes, spaces
 
-_PARTS = [cleaning, periods, recommendation, morphology, classification, spaces, extras]
+_PARTS = [cleaning, periods, recommendation, morphology, shapes, classification, spaces, extras]
 
 
 def queries() -> dict:

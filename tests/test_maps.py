@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from chronofold import __main__ as cli
 from chronofold.config import MorphologyConfig, PeriodConfig, configured, overridden
 from chronofold.functions.columns import mjd_to_utc, utc_to_mjd
-from chronofold.operators import profiles as P
+from chronofold.operators import measures as P
 from chronofold.operators import reports
 from chronofold.plans import maps
 from chronofold.plans.pipeline import RunConfig
 from chronofold.sources import io
-from test_profiles import star
+from test_measures import star
 
 KINDS = ("wave", "dip", "none", "flare", "evolving")
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from chronofold.operators import clean as C
 from chronofold.operators import embed as E
 from chronofold.operators import features as M
-from chronofold.operators import profiles as P
 from chronofold.plans.pipeline import Run, RunConfig
 from chronofold.sources import io
 from chronofold.streaming import incremental
@@ -115,15 +114,6 @@ def test_events_and_profiles(spark):
     assert got == [("brightening", 3, True), ("dimming", 1, False), ("dimming", 1, False)]
 
 
-def test_circular_helpers():
-    v = np.full(8, np.nan)
-    v[[0, 4]] = [1.0, 3.0]
-    assert P.circular_fill(v).tolist() == [1, 1.5, 2, 2.5, 3, 2.5, 2, 1.5]
-    a = np.sin(np.arange(64) / 64 * 2 * np.pi)
-    assert P.best_shift(a, np.roll(a, -5))[0] == 5 and P.longest_run(np.array([1, 0, 0, 1, 1], bool)) == 3
-    assert P.mirror_symmetry(a, 0.01) > 0.99
-
-
 def test_append_policies(spark):
     old, new = spark.createDataFrame([(1, "a")], "k long, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "k long, v string")
     rows = lambda how: sorted(map(tuple, E.append(old, new, ["k"], how).collect()))
