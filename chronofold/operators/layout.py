@@ -26,7 +26,7 @@ from chronofold.operators.graph import cut_lineage
 from chronofold.operators.neighbours import nearest
 
 #: Rows of a block, epochs of a layout, rounds where there are several blocks, and rows of all blocks that repel each block's.
-BLOCK, EPOCHS, ROUNDS, POOL = 20_000, 200, 20, 2048
+BLOCK, EPOCHS, ROUNDS, POOL = 20_000, 200, 10, 2048
 #: Closest places on a map, negative samples an edge, and steps of the bisection.
 MIN_DIST, NEGATIVES, HALVINGS = 0.08, 5, 64
 
@@ -112,12 +112,12 @@ def _descend(own: np.ndarray, head: np.ndarray, tail: np.ndarray, weight: np.nda
 
 
 def _mover(pool: np.ndarray, span: range, top: float, epochs: int, seed: int):
-    """One round of one block: its rows (id, block, x, y) and the edges that start there (a, b, weight, x and y of b)."""
+    """One round of one block: its rows (id, block, x, y) and the edges that start there (a, b, weight, and the place bx, by of b)."""
 
     def move(key, rows: pa.Table, links: pa.Table) -> pa.Table:
         rows, links = rows.sort_by("id"), links.sort_by([("a", "ascending"), ("b", "ascending")])
         at = {v: i for i, v in enumerate(rows.column("id").to_pylist())}
-        own, ends = (np.column_stack([t.column(c).to_numpy() for c in ("x", "y")]) for t in (rows, links))
+        own, ends = (np.column_stack([t.column(c).to_numpy() for c in names]) for t, names in ((rows, ("x", "y")), (links, ("bx", "by"))))
         head = np.array([at[v] for v in links.column("a").to_pylist()], int)
         tail = np.array([at.get(v, len(own) + i) for i, v in enumerate(links.column("b").to_pylist())], int)  # ends elsewhere have a place of their own, one an edge
         moved = _descend(own, head, tail, links.column("weight").to_numpy(), ends, pool, top, span, epochs, seed * 1_000_003 + key[0].as_py() * 1009 + span.start)
@@ -141,7 +141,7 @@ def layout(graph: DataFrame, start: DataFrame, seed: int = 42, epochs: int = EPO
         pool = np.array([(p["x"], p["y"]) for p in places.orderBy(F.xxhash64("id", F.lit(r)), "id").limit(POOL).collect()]) if blocks > 1 else np.zeros((0, 2))
         span = range(r * each, min((r + 1) * each, epochs))
 
-        ends = edges.join(places.select(F.col("id").alias("b"), "x", "y"), "b").select("home", "a", "b", "weight", "x", "y")
+        ends = edges.join(places.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b").select("home", "a", "b", "weight", "bx", "by")
         places = cut_lineage(places.groupBy("block").cogroup(ends.groupBy("home")).applyInArrow(_mover(pool, span, top, epochs, seed), f"id {kind}, block int, x double, y double"))
     return places.select("id", "x", "y")
 
