@@ -9,11 +9,13 @@ executors, are collected.
 
 Of the terms, the machine uses the ``most_terms`` that tell most about the label by
 themselves, if their log-likelihood ratio is ``least_ratio`` or more and ``least_seen``
-training texts have them; ``fit(..., None, 0, 1)`` uses all. All 306,024 terms of 8,000
-labelled rows let the machine learn rare words by heart: held out, it catches 0.79 of
-the toxic texts at the threshold, against 0.99 with 3,000 terms (both leave over 0.999 of
-the others alone). The price: a term that only matters together with another, and
-tells next to nothing alone, is not used.
+training texts have them, and besides these the terms of the ``MOST_PAIRS`` pairs that
+tell most beyond what either of the two tells alone, among the ``PAIRED`` terms that most
+toxic training texts have. So a harmless insult and a harmless group name that
+are toxic together are both in. ``fit(..., None, 0, 1)`` uses all terms: then the machine
+learns rare words by heart, and held out it catches 0.62 to 0.87 of the toxic texts of the
+check's tables at the threshold, whatever its rate, decay and shrinking of rare terms,
+against 0.99 with the chosen terms (each leaves over 0.999 of the others alone).
 
 Only ``text`` enters a score. Defined cases: null, empty and wordless texts get
 the score of no terms; rows of the labels with a null label or id, and labels
@@ -41,6 +43,8 @@ BUCKETS, FACTORS = 1 << 20, 8
 MOST_TRAINING, MOST_TRAINING_BYTES = 12_000, 256 << 20
 #: Terms that the machine uses, see above.
 MOST_TERMS, LEAST_RATIO, LEAST_SEEN = 3_000, 5.0, 3
+#: Terms whose pairs are screened, pairs that are taken, and what a pair must tell beyond its terms: far more than the best of so many pairs does by chance.
+PAIRED, MOST_PAIRS, LEAST_GAIN = 2048, 500, 20.0
 THRESHOLD, HELD_OUT = 0.7, 1
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,6 +82,36 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def told(bad: np.ndarray, seen: np.ndarray, toxic: int, n: int) -> np.ndarray:
+    """Log-likelihood ratio of a feature that ``seen`` of ``n`` texts have, ``bad`` of the ``toxic`` ones among them."""
+    ll = lambda a, b: a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9))
+    p, rest, outside = toxic / n, toxic - bad, n - seen
+    return ll(bad, seen * p) + ll(seen - bad, seen * (1 - p)) + ll(rest, outside * p) + ll(outside - rest, outside * (1 - p))
+
+
+def telling_pairs(terms: list[np.ndarray], labels: np.ndarray, candidates: np.ndarray, most: int = MOST_PAIRS, least: float = LEAST_GAIN) -> np.ndarray:
+    """The terms of the pairs of ``candidates`` whose joint presence tells most beyond either term, by counts of all pairs."""
+    m, toxic, n = len(candidates), int(labels.sum()), len(labels)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[candidates] = np.arange(m)
+    both, bad = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    for a in range(0, n, 1000):
+        y = labels[a : a + 1000].astype(bool)
+        there = np.zeros((len(y), m), np.float32)
+        for i, t in enumerate(terms[a : a + 1000]):
+            at = place[t]
+            there[i, at[at >= 0]] = 1
+        both += there.T @ there
+        bad += there[y].T @ there[y]
+    alone = told(np.diag(bad).astype(float), np.diag(both).astype(float), toxic, n)
+    found: list[tuple[float, int, int]] = []
+    for i in range(m - 1):  # a row of pairs at a time
+        gain = told(bad[i, i + 1 :].astype(float), both[i, i + 1 :].astype(float), toxic, n) - np.maximum(alone[i], alone[i + 1 :])
+        found += [(-float(gain[j]), i, i + 1 + j) for j in np.flatnonzero(gain >= least).tolist()]
+        found = sorted(found)[:most] if len(found) > 4 * most else found
+    return candidates[sorted({k for _, i, j in sorted(found)[:most] for k in (i, j)})]
+
+
 def fit(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 2e-4, seed: int = 7, most_terms: int | None = MOST_TERMS, least_ratio: float = LEAST_RATIO, least_seen: int = LEAST_SEEN) -> Machine:
     toxic, n = int(labels.sum()), len(labels)
     if not 0 < toxic < n:
@@ -89,11 +123,10 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
         bad[t] += y
     used = np.flatnonzero(seen >= least_seen)
     k, m = bad[used], seen[used]
-    rest, outside = toxic - k, n - m
-    ll = lambda a, b: a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9))
-    ratio = ll(k, m * p) + ll(m - k, m * (1 - p)) + ll(rest, outside * p) + ll(outside - rest, outside * (1 - p))
+    ratio = told(k, m, toxic, n)
     best = np.argsort(-ratio, kind="stable")[:most_terms]
-    used = np.sort(used[best[ratio[best] >= least_ratio]])
+    paired = used[np.sort(np.argsort(-k, kind="stable")[:PAIRED])]
+    used = np.union1d(used[best[ratio[best] >= least_ratio]], telling_pairs(terms, labels, paired))
     slot = np.full(BUCKETS, -1, np.int32)
     slot[used] = np.arange(len(used))
     rows = [s[s >= 0] for s in (slot[t] for t in terms)]

@@ -35,6 +35,27 @@ def test_pairs_are_learnt_and_held_out(spark, docs):
     assert kept.columns == docs(rows).columns and kept.count() == sum(not r["predicted"] for r in got.values())
 
 
+def test_pairs_of_which_neither_term_tells_alone():
+    """Toxic if both words are there or neither is: each word by itself leaves the odds as they are."""
+    import zlib
+
+    import numpy as np
+
+    rows, _ = corpus(2400, 9)
+    y = np.array([("rotten" in t.split()) == ("martians" in t.split()) for _, t in rows], np.int64)
+    terms = [toxicity.terms_of(t) for _, t in rows]
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == toxicity.HELD_OUT for i, _ in rows])
+    train = [t for t, h in zip(terms, held) if not h]
+    both = {zlib.crc32(w.encode()) % toxicity.BUCKETS for w in ("rotten$", "martians$")}
+    for w in both:
+        has = np.array([w in set(t.tolist()) for t in train])
+        assert toxicity.told(y[~held][has].sum() * 1.0, has.sum() * 1.0, int(y[~held].sum()), len(train)) < toxicity.LEAST_RATIO
+    machine = toxicity.fit(train, y[~held])
+    assert all(machine.slots[w] >= 0 for w in both)
+    s = machine.score([(p := machine.slots[t])[p >= 0] for t, h in zip(terms, held) if h])
+    assert ((s >= 0.5) == (y[held] == 1)).mean() >= 0.95
+
+
 @pytest.mark.skipif("not __import__('os').path.isdir('/root/testdata/sf0.1')", reason="no test tables")
 def test_held_out_labels_of_the_given_tables():
     """The labels of the held-out third, from a machine of the other two thirds."""
