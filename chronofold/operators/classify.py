@@ -36,7 +36,7 @@ def category_scores(df: DataFrame, cfg: MorphologyConfig = MorphologyConfig()) -
     d = df.withColumn(
         "__per",
         clip01(
-            0.55 * clip01((v("profile_chi2") - gate) / (strong - gate))
+            0.55 * clip01((v("profile_chi2") - gate) / max(strong - gate, 1e-9))
             + 0.25 * clip01(v("profile_snr") / 12.0)
             + 0.20 * clip01(v("phase_coverage") / 0.7)
         ),

@@ -88,7 +88,7 @@ def features_full(spark, sf_dir):
 
 def feature_events(spark, sf_dir):
     """The excursion events that the features rest on, rejected ones included."""
-    return _rounded(P.event_table(P.source_features(points(spark, sf_dir), MorphologyConfig(event_sigma=EVENT_SIGMA))))
+    return _rounded(P.event_table(P.source_features(points(spark, sf_dir), MorphologyConfig(event_sigma=EVENT_SIGMA))), 9)
 
 
 def classified_curves(spark, sf_dir):

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronofold.config import MorphologyConfig
 from chronofold.operators import evidence as D
+from chronofold.operators import features as M
 from chronofold.operators import folds as O
 from chronofold.operators import measures as Q
 from chronofold.operators import shapes as S
 from chronofold.operators.graph import cut_lineage
 from chronofold.plans.cleaning import _rounded
-from chronofold.plans.morphology import POINTS_SQL, points
+from chronofold.plans.morphology import EVENT_SIGMA, EVENTS_SQL, POINTS_SQL, points
 
 SECTIONS, BINS = 4, 64
 
@@ -72,7 +74,13 @@ def dip_evidence(spark, sf_dir):
     return _rounded(out)
 
 
-QUERIES = {f.__name__: f for f in (combined_profiles, fold_numbers, period_alternatives, section_evolution, profile_shape, wave_or_dip, dip_evidence)}
+def residual_events(spark, sf_dir):
+    """Excursions of what is left once each band's clipped and filled fold is taken off, rejected ones included."""
+    p = cut_lineage(_usable(spark, sf_dir))
+    return _rounded(M.excursion_events(Q.residual_points(p, O.profiles(p), MorphologyConfig()), EVENT_SIGMA), 9)
+
+
+QUERIES = {f.__name__: f for f in (combined_profiles, fold_numbers, period_alternatives, section_evolution, profile_shape, wave_or_dip, dip_evidence, residual_events)}
 
 
 # The SQL: rows where the operators have arrays, shifts and axes as joins.
@@ -138,6 +146,7 @@ def _harmonics(of: str) -> str:
     return ", ".join(f"2 * avg({of} * cos({_D(S.TAU)} * {h} / {BINS} * bin)) AS a{h}, 2 * avg({of} * sin({_D(S.TAU)} * {h} / {BINS} * bin)) AS b{h}" for h in S.HARMONICS)
 
 
+_AT = f"a[(bin + {{0}} + {BINS}) % {BINS} + 1]".format
 _AROUND = f"least(abs(bin - {{0}}), {BINS} - abs(bin - {{0}}))".format
 SHAPE_SQL = FOLDS_SQL + f""",
 v0 AS (SELECT source_id, bin, u AS v, median(u) OVER (PARTITION BY source_id) AS m FROM unit WHERE fold = 'whole' AND source_id IN (SELECT source_id FROM unit WHERE fold = 'whole' GROUP BY source_id HAVING max(u) > min(u))),
@@ -157,8 +166,9 @@ axes AS (SELECT source_id, k, sum(pow(a * cos(h * {_D(S.TAU)} * k / {4 * BINS})
 mirror AS (SELECT source_id, max(share) AS mirror FROM axes GROUP BY source_id),
 five AS (SELECT a.source_id, a.bin, any_value(a.v) AS v, sum(b.v - b.m) FILTER (least(abs(a.bin - b.bin), {BINS} - abs(a.bin - b.bin)) <= 2) / 5 AS s, sum(b.v) FILTER (least(abs(a.bin - b.bin), {BINS} - abs(a.bin - b.bin)) <= 1) / 3 AS three,
         max(abs(b.v - b.m)) AS top FROM v0 a JOIN v0 b USING (source_id) GROUP BY a.source_id, a.bin),
-peaks AS (SELECT f.source_id, count(*) FILTER (f.s >= p.s AND f.s >= n.s AND f.s > pp.s AND f.s > nn.s AND f.s / f.top >= greatest({_D(0.35)}, 4 * noise)) AS peaks, CAST(min_by(f.bin, (-({_D(0.8)} * f.v + {_D(0.2)} * f.three), f.bin)) AS INTEGER) AS turn
-        FROM five f JOIN vw USING (source_id) {" ".join(f"JOIN five {n} ON {n}.source_id = f.source_id AND {n}.bin = (f.bin + {k} + {BINS}) % {BINS}" for n, k in (("p", -1), ("n", 1), ("pp", -2), ("nn", 2)))} GROUP BY f.source_id),
+fives AS (SELECT source_id, list(s ORDER BY bin) AS a FROM five GROUP BY source_id),
+peaks AS (SELECT source_id, count(*) FILTER (s >= {_AT(-1)} AND s >= {_AT(1)} AND s > {_AT(-2)} AND s > {_AT(2)} AND s / top >= greatest({_D(0.35)}, 4 * noise)) AS peaks, CAST(min_by(bin, (-({_D(0.8)} * v + {_D(0.2)} * three), bin)) AS INTEGER) AS turn
+        FROM five JOIN vw USING (source_id) JOIN fives USING (source_id) GROUP BY source_id),
 wav AS (SELECT source_id, v, v - a1 * cos({_D(S.TAU)} / {BINS} * bin) - b1 * sin({_D(S.TAU)} / {BINS} * bin) AS r FROM v0 JOIN vw USING (source_id)),
 wdev AS (SELECT source_id, abs(v - median(v) OVER k) AS dv, abs(r - median(r) OVER k) AS dr FROM wav WINDOW k AS (PARTITION BY source_id)),
 sinus AS (SELECT source_id, {_D(1.4826)} * median(dr) / greatest({_D(1.4826)} * median(dv), 1e-9) AS sinus FROM wdev GROUP BY source_id),
@@ -272,6 +282,17 @@ cw2 AS (SELECT *, greatest(CASE WHEN nc >= 8 THEN wide ELSE {_D(1.4826)} * media
 cw AS (SELECT source_id, CASE WHEN count(*) FILTER (inside AND mag > mm + sc / 2) >= 3 THEN count(DISTINCT CASE WHEN inside AND mag > mm + sc / 2 THEN cycle END) ELSE count(DISTINCT CASE WHEN inside THEN cycle END) END AS cycles FROM cw2 GROUP BY source_id)"""
 
 
+RESIDUAL_SQL = FOLDS_SQL + f""",
+rs0 AS (SELECT source_id, row_id, time, filter, err, mag - median(mag) OVER (PARTITION BY source_id, filter) AS x, CAST(least(floor(((time - origin) / period - floor((time - origin) / period)) * {BINS}), {BINS - 1}) AS INTEGER) AS bin FROM use WHERE filter IN ('c', 'o')),
+rs1 AS (SELECT r.*, x - coalesce(v, 0) AS r, count(*) OVER {_SRC} AS n FROM rs0 r LEFT JOIN (SELECT source_id, filter, bin, v FROM prof WHERE fold = 'whole') USING (source_id, filter, bin)),
+rs2 AS (SELECT *, abs(r - median(r) OVER {_SRC}) AS dev FROM rs1),
+zed AS (SELECT *, r / greatest(err, CASE WHEN n >= 8 THEN {_span("r", 0.16, 0.84, f" OVER {_SRC}")} / 2 ELSE {_D(1.4826)} * median(dev) OVER {_SRC} END, 1e-6) AS z FROM rs2),
+exc AS""" + EVENTS_SQL.split("exc AS", 1)[1]
+_EVENT = """SELECT source_id, event_type, event_number, round(event_time, 9) AS event_time, n_measurements, round(event_duration_days, 9) AS event_duration_days, represented_filters, round(peak, 9) AS peak_residual_significance,
+        round(med, 9) AS median_residual_significance, round(mq, 9) AS median_quoted_uncertainty, round(lq, 9) AS minimum_quoted_uncertainty, round(hq, 9) AS maximum_quoted_uncertainty, multi AS is_multi_point,
+        crossed AS has_cross_filter_support, multi OR crossed AS passes_quality_validation, CAST(floor(event_time) AS BIGINT) AS independent_observing_night, CASE WHEN multi OR crossed THEN '' ELSE 'single_point_excursion' END AS rejection_reason FROM evt"""
+
+
 def _r(x: str, name: str, digits: int = 6) -> str:
     return f"round(CAST({x} AS DOUBLE), {digits}) AS {name}"
 
@@ -286,6 +307,8 @@ _EVIDENCE = {
 }
 
 ORACLES = {
+    "residual_events": f"WITH {RESIDUAL_SQL} {_EVENT}",
+    "feature_events": f"WITH {RESIDUAL_SQL} {_EVENT}",
     "combined_profiles": f"WITH {FOLDS_SQL} SELECT source_id, fold, bin, round(v, 6) AS value, round(sigma, 6) AS sigma FROM comb",
     "fold_numbers": f"""WITH {FOLDS_SQL} SELECT source_id, fold, shift, CAST(points AS BIGINT) AS points, {", ".join(_r(x, n) for n, x in (("c_weight", "wc"), ("o_weight", "wo"), ("coverage", "coverage"), ("median_error", "me"), ("scatter_over_error", "soe"),
         ("over_scatter", "os"), ("amplitude", "amplitude"), ("chi2", "chi2"), ("snr", "snr")))} FROM cfold""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofold.operators import embed as E
+from chronofold.operators import layout as L
 from chronofold.plans.cleaning import _rounded, rounded
 from chronofold.sources import io as IO
 from chronofold.sources.adapters import feature_values, table
@@ -58,6 +59,18 @@ def pca_map(spark, sf_dir):
     return out.select("id", F.round(F.abs(F.col("components")[0]), 4).alias("pc1"), F.round(F.abs(F.col("components")[1]), 4).alias("pc2"))
 
 
+def fuzzy_graph(spark, sf_dir):
+    """The weighted graph that maps are laid out by."""
+    r = _rows(spark, sf_dir)
+    k = L.neighbour_count(r.count())
+    return L.fuzzy_graph(E.nearest(r, r, k - 1), k).select("a", "b", rounded("weight", 5).alias("weight"))
+
+
+def manifold_map(spark, sf_dir):
+    """Coordinates by stochastic layout: no SQL; tests hold their trustworthiness against that of components."""
+    return L.manifold_map(_rows(spark, sf_dir).select("id", "v")).select("id", rounded("x", 4).alias("x"), rounded("y", 4).alias("y"))
+
+
 def density_families(spark, sf_dir):
     out, _ = E.pca_map(_rows(spark, sf_dir))
     return E.density_families(out.select("id", F.col("components").alias("v")), least=20)
@@ -149,6 +162,8 @@ QUERIES = {
         silhouette,
         score_similarity,
         pca_map,
+        fuzzy_graph,
+        manifold_map,
         density_families,
         incremental_append,
         incremental_replace,
@@ -159,7 +174,18 @@ QUERIES = {
         target_summary,
     )
 }
+_TOTAL = "list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0) / wid)))"
 ORACLES = {
+    "fuzzy_graph": f"""WITH RECURSIVE {_EMB}, size AS (SELECT least(15, greatest(5, CAST(round(sqrt(count(*))) AS INTEGER)), greatest(2, count(*) - 1)) AS k FROM e),
+        near AS MATERIALIZED (SELECT * FROM (SELECT a.id AS query, b.id AS neighbour, list_distance(a.v, b.v) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank < (SELECT k FROM size)),
+        r AS (SELECT query, list(distance) AS ds, coalesce(min(distance) FILTER (distance > 0), 0) AS rho FROM near GROUP BY query),
+        h AS (SELECT query, ds, rho, CAST(0 AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, CAST(1 AS DOUBLE) AS wid, 0 AS i FROM r
+              UNION ALL SELECT query, ds, rho, l2, h2, CASE WHEN h2 IS NULL THEN wid * 2 ELSE (l2 + h2) / 2 END, i + 1 FROM (
+              SELECT *, CASE WHEN {_TOTAL} > log2((SELECT k FROM size)) THEN low ELSE wid END AS l2, CASE WHEN {_TOTAL} > log2((SELECT k FROM size)) THEN wid ELSE high END AS h2 FROM h WHERE i < {L.HALVINGS})),
+        b AS (SELECT query, rho, greatest(wid, list_avg(ds) * 1e-3, 1e-12) AS wid FROM h WHERE i = {L.HALVINGS}),
+        m AS (SELECT query AS a, neighbour AS b, exp(-greatest(distance - rho, 0) / wid) AS w FROM near JOIN b USING (query)),
+        g AS (SELECT a, b, w FROM m UNION ALL SELECT b, a, w FROM m)
+        SELECT a, b, round(sum(w) - CASE WHEN count(*) > 1 THEN max(w) * min(w) ELSE 0 END, 5) AS weight FROM g GROUP BY a, b""",
     "robust_scale": """WITH f AS (SELECT vec_id, d - 1 AS dim, CAST(embedding[d] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) t(d)), s AS (SELECT dim, median(x) AS c, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS q FROM f GROUP BY dim)
         SELECT vec_id, CAST(dim AS INTEGER) AS dim, round((x - c) / CASE WHEN q > 0 THEN q ELSE 1 END, 5) + 0.0 AS z FROM f JOIN s USING (dim)""",
     "knn": f"WITH {_NEAR} SELECT query, rank, neighbour, round(distance, 5) AS distance FROM near",
