@@ -44,7 +44,7 @@ def combined_profiles(spark, sf_dir):
 def fold_numbers(spark, sf_dir):
     """Weights, shift and significance of every combined fold."""
     names = ["c_weight", "o_weight", "coverage", "median_error", "scatter_over_error", "over_scatter", "amplitude", "chi2", "snr"]
-    return _rounded(_folds(spark, sf_dir).select("source_id", "fold", "shift", "points", *names))
+    return _rounded(_folds(spark, sf_dir).select("source_id", "fold", "shift", "points", *names), 9)
 
 
 def period_alternatives(spark, sf_dir):
@@ -310,7 +310,7 @@ ORACLES = {
     "residual_events": f"WITH {RESIDUAL_SQL} {_EVENT}",
     "feature_events": f"WITH {RESIDUAL_SQL} {_EVENT}",
     "combined_profiles": f"WITH {FOLDS_SQL} SELECT source_id, fold, bin, round(v, 6) AS value, round(sigma, 6) AS sigma FROM comb",
-    "fold_numbers": f"""WITH {FOLDS_SQL} SELECT source_id, fold, shift, CAST(points AS BIGINT) AS points, {", ".join(_r(x, n) for n, x in (("c_weight", "wc"), ("o_weight", "wo"), ("coverage", "coverage"), ("median_error", "me"), ("scatter_over_error", "soe"),
+    "fold_numbers": f"""WITH {FOLDS_SQL} SELECT source_id, fold, shift, CAST(points AS BIGINT) AS points, {", ".join(_r(x, n, 9) for n, x in (("c_weight", "wc"), ("o_weight", "wo"), ("coverage", "coverage"), ("median_error", "me"), ("scatter_over_error", "soe"),
         ("over_scatter", "os"), ("amplitude", "amplitude"), ("chi2", "chi2"), ("snr", "snr")))} FROM cfold""",
     "period_alternatives": f"""WITH {FOLDS_SQL}, {", ".join(_NEAR.format(name=n, bins=BINS) for n in ("half", "double"))},
         odd AS (SELECT source_id, abs(max(u) FILTER (bin < {BINS // 2}) - max(u) FILTER (bin >= {BINS // 2})) AS odd FROM unit WHERE fold = 'double' GROUP BY source_id), every AS (SELECT DISTINCT source_id FROM unit)
