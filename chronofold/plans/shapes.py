@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofold.config import MorphologyConfig
+from chronofold.functions import tables
 from chronofold.operators import evidence as D
 from chronofold.operators import features as M
 from chronofold.operators import folds as O
@@ -80,7 +81,15 @@ def residual_events(spark, sf_dir):
     return _rounded(M.excursion_events(Q.residual_points(p, O.profiles(p), MorphologyConfig()), EVENT_SIGMA), 9)
 
 
-QUERIES = {f.__name__: f for f in (combined_profiles, fold_numbers, period_alternatives, section_evolution, profile_shape, wave_or_dip, dip_evidence, residual_events)}
+def excursions_by_sql(spark, sf_dir):
+    """Excursions by a SQL statement, through the table function."""
+    p = cut_lineage(_usable(spark, sf_dir))
+    tables.register(spark)
+    Q.residual_points(p, O.profiles(p), MorphologyConfig()).createOrReplaceTempView("chronofold_residuals")
+    return _rounded(spark.sql(f"SELECT * FROM excursions(TABLE(chronofold_residuals), {EVENT_SIGMA}D, 1D)"), 9)
+
+
+QUERIES = {f.__name__: f for f in (combined_profiles, fold_numbers, period_alternatives, section_evolution, profile_shape, wave_or_dip, dip_evidence, residual_events, excursions_by_sql)}
 
 
 # The SQL: rows where the operators have arrays, shifts and axes as joins.
@@ -308,6 +317,8 @@ _EVIDENCE = {
 
 ORACLES = {
     "residual_events": f"WITH {RESIDUAL_SQL} {_EVENT}",
+    "excursions_by_sql": f"""WITH {RESIDUAL_SQL} SELECT source_id, event_type, CAST(event_number AS INTEGER) AS event_number, CAST(count(*) AS INTEGER) AS n_measurements, round(min(time), 9) AS first_time, round(max(time), 9) AS last_time,
+        round(max(abs(z)), 9) AS peak_significance FROM num GROUP BY source_id, event_type, event_number""",
     "feature_events": f"WITH {RESIDUAL_SQL} {_EVENT}",
     "combined_profiles": f"WITH {FOLDS_SQL} SELECT source_id, fold, bin, round(v, 6) AS value, round(sigma, 6) AS sigma FROM comb",
     "fold_numbers": f"""WITH {FOLDS_SQL} SELECT source_id, fold, shift, CAST(points AS BIGINT) AS points, {", ".join(_r(x, n, 9) for n, x in (("c_weight", "wc"), ("o_weight", "wo"), ("coverage", "coverage"), ("median_error", "me"), ("scatter_over_error", "soe"),
