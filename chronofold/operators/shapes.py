@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.config import MorphologyConfig
 from chronofold.functions import circles as C
 from chronofold.functions.columns import let
 from chronofold.operators import folds as O
