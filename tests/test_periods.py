@@ -199,3 +199,41 @@ def test_fold_coherence_is_linear_in_points(spark):
     mad = lambda v: 1.4826 * np.median(np.abs(v - np.median(v)))
     assert got["fold_valid_bins"] == n_bins
     assert got["fold_scatter_reduction"] == pytest.approx((mad(pdf.y) - mad(res)) / mad(pdf.y), rel=1e-3)
+
+
+def test_searches_are_dealt_to_many_tasks_after_a_join_by_their_key(spark):
+    rows = prepared(spark, {f"s{i}": curve(5.0, 60, seed=i) for i in range(12)})
+    gates = rows.select("source_id", "series").distinct().hint("merge")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.analyse(rows.join(gates, ["source_id", "series"], "left_semi"), with_bls=False)
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_fast_transform_is_the_sum_and_box_search_the_plain_search():
+    t, y, e = curve(9.1, 150)
+    t = t - t.min()
+    weights = [1 / e**2 / (1 / e**2).sum(), y]
+    for f0, df, n, most in ((0.005, 1 / (15 * t.max()), 20_001, 1e-11), (0.01, 2 / (15 * t.max()), 5_000, 1e-11), (0.3, 0.37, 4_500, 1e-8)):  # angles of the last are large
+        for got, want in zip(P._sums(t, weights, f0, df, n), P._products(t, weights, f0, df, n)):
+            assert np.abs(got - want).max() < most * np.abs(weights[1]).sum()
+    cfg = PeriodConfig(max_period=20)
+    span, w = t.max(), weights[0]
+    f0, df, n = P.frequency_grid(span, 0.5, min(50, span / 3), cfg.samples_per_peak)
+    wy, best = w * (y - (w * y).sum()), np.zeros(n)
+    for i in range(n):
+        first = f0 + df * (i // 256 * 256)
+        f, bins = f0 + df * i, max(120, int(np.ceil(2 / (first * 0.05))))
+        k = ((f * t - np.floor(f * t)) * bins).astype(int)
+        r, s = (np.concatenate([[0], np.cumsum(np.tile(np.bincount(k, v, bins), 2))]) for v in (w, wy))
+        for d in cfg.bls_durations:
+            q = int(np.clip(np.round(d * f * bins), 1, bins // 2))
+            rr, dip = r[q : q + bins] - r[:bins], np.minimum(s[q : q + bins] - s[:bins], 0)
+            full = rr * (1 - rr) > 0
+            best[i] = max(best[i], (np.abs(dip[full]) / np.sqrt((rr * (1 - rr))[full])).max(initial=0))
+    period, _ = P.bls(t, y, e, cfg)
+    assert period == pytest.approx(1 / (f0 + df * best.argmax()))
+    assert P.bls(t, y, e, cfg)[1] == pytest.approx((best.max() - np.median(best)) / (1.4826 * np.median(np.abs(best - np.median(best)))))
