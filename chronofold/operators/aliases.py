@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.config import PeriodConfig
-from chronofold.functions.columns import harmonic_relation, universal_alias
+from chronofold.functions.columns import harmonic_relation, task_count, universal_alias
 
 
 def with_field(df: DataFrame, cfg: PeriodConfig = PeriodConfig()) -> DataFrame:
@@ -53,22 +55,30 @@ def learn_inventory(peaks: DataFrame, cfg: PeriodConfig = PeriodConfig(), series
     """Periods that pile up over the stars of a field.
 
     Clustering is greedy in the order of source id and rank, so it runs per
-    field. A field is a bounded patch of sky and holds one short list a star.
+    field. A field is a bounded patch of sky and holds one short list a star; a
+    cluster's members stay sorted, so a field's work does not grow with the square of its stars.
     """
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         clusters: list[dict] = []
+        centres = np.empty(64)
         for star, periods in zip(*(pdf.sort_values("source_id")[c] for c in ("source_id", "periods"))):
             for p in periods:
-                near = [(abs(p - c["centre"]) / c["centre"], i) for i, c in enumerate(clusters)]
-                near = [x for x in near if x[0] <= cfg.cluster_tolerance]
-                if near:
-                    c = clusters[min(near)[1]]
-                    c["members"].append(p)
+                known = centres[: len(clusters)]
+                far = np.abs(p - known) / known
+                i = int(far.argmin()) if len(far) else 0
+                if len(far) and far[i] <= cfg.cluster_tolerance:
+                    c = clusters[i]
+                    bisect.insort(c["members"], p)
                     c["stars"].add(star)
-                    c["centre"] = float(pd.Series(c["members"]).median())
+                    m, odd = divmod(len(c["members"]), 2)
+                    c["centre"] = float(c["members"][m] if odd else (c["members"][m - 1] + c["members"][m]) / 2)
                 else:
-                    clusters.append({"centre": p, "members": [p], "stars": {star}})
+                    i = len(clusters)
+                    clusters.append({"centre": float(p), "members": [p], "stars": {star}})
+                    if i == len(centres):
+                        centres = np.concatenate([centres, np.empty(i)])
+                centres[i] = clusters[i]["centre"]
         n = int(pdf["n_stars"].iloc[0])
         rows = [
             (key[0], key[1], f"{key[0]}_{key[1]}", c["centre"], n, len(c["stars"]), len(c["stars"]) / n)
@@ -79,7 +89,8 @@ def learn_inventory(peaks: DataFrame, cfg: PeriodConfig = PeriodConfig(), series
 
     stars = with_field(peaks, cfg).where("ra_bin is not null").select("ra_bin", "dec_bin", "source_id").distinct()
     sizes = stars.groupBy("ra_bin", "dec_bin").agg(F.count(F.lit(1)).alias("n_stars")).where(F.col("n_stars") >= cfg.field_min_stars)
-    return learning_peaks(peaks, cfg, series).join(sizes, ["ra_bin", "dec_bin"]).groupBy("ra_bin", "dec_bin").applyInPandas(one, INVENTORY)
+    listed = learning_peaks(peaks, cfg, series).join(sizes, ["ra_bin", "dec_bin"])
+    return listed.repartition(task_count(listed), "ra_bin", "dec_bin").groupBy("ra_bin", "dec_bin").applyInPandas(one, INVENTORY)
 
 
 def merge_memory(inventories: DataFrame, cfg: PeriodConfig = PeriodConfig()) -> DataFrame:

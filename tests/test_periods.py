@@ -237,3 +237,19 @@ def test_fast_transform_is_the_sum_and_box_search_the_plain_search():
     period, _ = P.bls(t, y, e, cfg)
     assert period == pytest.approx(1 / (f0 + df * best.argmax()))
     assert P.bls(t, y, e, cfg)[1] == pytest.approx((best.max() - np.median(best)) / (1.4826 * np.median(np.abs(best - np.median(best)))))
+
+
+def test_a_crowded_field_is_learnt_in_time(spark):
+    """40,000 stars in one field near one period: a median of all members at each step took the square of that."""
+    import time
+
+    peaks = spark.range(40_000).select(
+        F.col("id").cast("string").alias("source_id"), F.lit("combined").alias("series"), F.lit(1).alias("rank"),
+        (7.3 + 0.01 * F.sin(F.col("id"))).alias("period_days"), F.lit(1.0).alias("ra_deg"), F.lit(1.0).alias("dec_deg"),
+    )
+    from chronofold.operators import aliases
+
+    start = time.time()
+    (row,) = aliases.learn_inventory(peaks).collect()
+    assert row["n_stars_hit"] == row["n_stars_in_field"] == 40_000 and row["alias_period_days"] == pytest.approx(7.3, abs=1e-6)
+    assert time.time() - start < 20
