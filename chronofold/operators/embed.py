@@ -146,10 +146,11 @@ def density_families(points: DataFrame, k: int = 5, quantile: float = 0.95, leas
     that width, so links come from an equi join on cells, core points link to core
     points, and components are found by iterated minimum labels.
     """
-    from chronofold.operators.graph import components
+    from chronofold.operators.graph import components, cut_lineage
 
+    points = cut_lineage(points)  # read by each step below
     near = nearest(points, points, k)
-    kth = near.where(F.col("rank") == k).groupBy("query").agg(F.max("distance").alias("d"))
+    kth = cut_lineage(near.where(F.col("rank") == k).groupBy("query").agg(F.max("distance").alias("d")))
     eps = kth.agg(F.percentile("d", F.lit(quantile))).first()[0]
     total = points.count()
     if not eps:

@@ -27,3 +27,32 @@ def test_few_rows(spark):
     rows = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, v array<double>")
     assert [tuple(r) for r in nearest(rows, rows, 5).orderBy("query").collect()] == [(1, 1, 2, 1.0), (2, 1, 1, 1.0)]
     assert nearest(rows, rows.where("false"), 3).count() == 0
+
+
+def test_neighbours_are_found_once_and_few_rows_are_sent(spark, monkeypatch):
+    """The first round was worked out again for each of its readers, and a row went to each block of 2,048 rows by itself."""
+    from chronofold.operators import neighbours as N
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 8))
+    rows = spark.createDataFrame([(f"s{i}", [float(a) for a in v]) for i, v in enumerate(x)], "id string, v array<double>")
+    sent = spark.sparkContext.accumulator(0)
+    real = N._pair
+
+    def counting(*a):
+        one = real(*a)
+
+        def go(left, right):
+            sent.add(left.num_rows + right.num_rows)
+            return one(left, right)
+
+        return go
+
+    monkeypatch.setattr(N, "_pair", counting)
+    got = {}
+    for r in N.nearest(rows, rows, 5, block=50).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["neighbour"]))
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert all([int(n[1:]) for _, n in sorted(got[f"s{i}"])] == np.argsort(d[i])[:5].tolist() for i in range(1500))
+    assert sent.value < 1500 * 20
