@@ -265,43 +265,62 @@ def _groups(lists: pa.ListArray):
 
 
 def _likely(batches):
-    """Of each anchor's members (node, check), those within ``CHECK_BITS`` of another one."""
+    """Of each anchor's members (node, check, c), those within ``CHECK_BITS`` of another one, unless all of these are linked already (``c``)."""
     for b in slices(batches, 4096):
         flat, groups = _groups(b.column(0))
-        node, check = (flat.field(k).to_numpy() for k in ("node", "check"))
+        node, check, c = (flat.field(k).to_numpy() for k in ("node", "check", "c"))
         check = check.view(np.uint64)
         out = []
         for first, end in groups:
             x = check[first:end]
             if end - first == 2:
-                if int(x[0] ^ x[1]).bit_count() <= CHECK_BITS:
+                if c[first] != c[first + 1] and int(x[0] ^ x[1]).bit_count() <= CHECK_BITS:
                     out.append(node[first:end])
                 continue
+            if (c[first:end] == c[first]).all():
+                continue
             some = np.zeros(len(x), bool)
             for k in range(0, len(x), 256):
                 d = np.bitwise_count(x[k : k + 256, None] ^ x)
                 d[np.arange(len(d)), np.arange(k, k + len(d))] = 64
                 some[k : k + 256] = (d <= CHECK_BITS).any(1)
-            if some.any():
+            if some.any() and np.ptp(c[first:end][some]):
                 out.append(node[first:end][some])
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["nodes"])
 
 
 def sketch_links(nodes: DataFrame, most: int, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): a spanning forest, anchor by anchor, of the pairs of ``nodes`` (node, sketch) that meet at one and differ in at most ``most`` bits."""
+    """(a, b): links whose components are those of the pairs of ``nodes`` (node, sketch) that meet at an anchor and differ in at most ``most`` bits.
+
+    The first fingerprint's anchors go first. A large group of near copies meets at all anchors of all fingerprints; what
+    the first has linked is not met again at the others, unless someone else is there too.
+    """
+    first = _links_at(nodes.withColumn("c", F.col("node")), range(1), most, chunk, "sketch-first")
+    comps = stored(connected_components(first, "near-first"), "near-first-comps")
+    linked = comps.select(F.col("node").alias("n"), F.col("component").alias("c"))
+    rest = nodes.join(linked, F.col("node") == F.col("n"), "left").select("node", "sketch", F.coalesce("c", "node").alias("c"))
+    second = _links_at(rest, range(1, ANCHOR_WORDS), most, chunk, "sketch-rest")
+    links = stored(first.unionByName(second), "sketch-links")
+    discard(first, second, comps)
+    return links
+
+
+def _links_at(nodes: DataFrame, which: range, most: int, chunk: int, name: str) -> DataFrame:
+    """(a, b): a spanning forest, anchor by anchor of the fingerprints ``which``, of ``nodes`` (node, sketch, c); anchors where all have one ``c`` are left out."""
 
     def spread(batches):
         for b in slices(batches, 1024):
             node = b.column(0).to_numpy()
             words = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
             check = np.ascontiguousarray(words[:, ANCHOR_WORDS]).view(np.int64)
-            for k in range(ANCHOR_WORDS):
+            linked = b.column(2).to_numpy()
+            for k in which:
                 row, key = _anchors(np.ascontiguousarray(words[:, k]))
-                yield pa.RecordBatch.from_arrays([pa.array(key | (k << 26)), pa.array(node[row]), pa.array(check[row])], ["anchor", "node", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array(key | (k << 26)), pa.array(node[row]), pa.array(check[row]), pa.array(linked[row])], ["anchor", "node", "check", "c"])
 
-    keyed = stored(nodes.select("node", "sketch").mapInArrow(spread, "anchor long, node long, check long"), "sketch-anchors")
-    met = _meetings(keyed.select("anchor", F.struct("node", "check").alias("v")), chunk)
-    groups = stored(met.mapInArrow(_likely, "nodes array<long>").withColumn("g", F.monotonically_increasing_id()), "sketch-meetings")
+    keyed = stored(nodes.select("node", "sketch", "c").mapInArrow(spread, "anchor long, node long, check long, c long"), f"{name}-anchors")
+    met = _meetings(keyed.select("anchor", F.struct("node", "check", "c").alias("v")), chunk)
+    groups = stored(met.mapInArrow(_likely, "nodes array<long>").withColumn("g", F.monotonically_increasing_id()), f"{name}-meetings")
     discard(keyed)
     release(nodes.sparkSession)
     members = groups.select("g", F.explode("nodes").alias("n"))
@@ -322,7 +341,7 @@ def sketch_links(nodes: DataFrame, most: int, chunk: int = CHUNK) -> DataFrame:
                     a.append(node[first + i]), z.append(node[first + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
-    links = stored(full.mapInArrow(compare, "a long, b long"), "sketch-links", texts=True)
+    links = stored(full.mapInArrow(compare, "a long, b long"), f"{name}-links", texts=True)
     discard(groups)
     return links
 

@@ -311,3 +311,23 @@ def test_passage_inside_unlike_lines(docs):
 
 def test_empty_tables(docs):
     assert simhash.simhash_groups(docs([])).count() == 0 and paragraphs.dedup_paragraphs(docs([])).count() == 0
+
+
+def test_a_large_group_of_near_copies_is_not_met_again_at_each_fingerprint(spark, monkeypatch):
+    base = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:i] + [f"other{i}"] + base[i + 1 :])) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"lone{i}x{j}" for j in range(30))) for i in range(20)]
+    met = []
+    real = simhash.stored
+
+    def counted(df, name, **more):
+        out = real(df, name, **more)
+        if name.endswith("meetings"):
+            met.append(out.selectExpr("coalesce(sum(size(nodes)), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["leader"]["__id"] for x in found if x["__id"] < 1000} == {0}
+    assert all(x["leader"]["__id"] == x["__id"] for x in found if x["__id"] >= 1000)
+    assert sum(met) < 300 * 45
