@@ -306,13 +306,15 @@ def consensus(rows: DataFrame, recommended: DataFrame, cfg: PeriodConfig = Perio
 
 def validation_rates(rows: DataFrame, group: str, match: str) -> DataFrame:
     """Share of searchable rows whose match is direct, or direct or harmonic."""
-    searchable = rows.where(~F.col(match).isin("no_catalogue_period"))
-    share = lambda c: F.avg(c.cast("double"))
-    return searchable.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        share(F.col(match) == "direct").alias("direct_rate"),
-        share(~F.col(match).isin("mismatch", "no_recovered_period")).alias("any_rate"),
+    # Counted by match first: a condition on ``match`` before that would work it out a second time for every row.
+    counts = rows.groupBy(group, match).agg(F.count(F.lit(1)).alias("k"))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
+    found = counts.groupBy(group).agg(
+        of(F.col(match) != "no_catalogue_period").alias("n"),
+        of(F.col(match) == "direct").alias("direct"),
+        of(~F.col(match).isin("no_catalogue_period", "mismatch", "no_recovered_period")).alias("any"),
     )
+    return found.where("n > 0").select(group, "n", (F.col("direct") / F.col("n")).alias("direct_rate"), (F.col("any") / F.col("n")).alias("any_rate"))
 
 
 def override_catalogue(rows: DataFrame, external: DataFrame) -> DataFrame:

@@ -253,3 +253,15 @@ def test_a_crowded_field_is_learnt_in_time(spark):
     (row,) = aliases.learn_inventory(peaks).collect()
     assert row["n_stars_hit"] == row["n_stars_in_field"] == 40_000 and row["alias_period_days"] == pytest.approx(7.3, abs=1e-6)
     assert time.time() - start < 20
+
+
+def test_rates_count_the_searchable_and_work_is_dealt(spark, tmp_path):
+    from chronofold.operators import recommend
+    from chronofold.sources.adapters import series_rows
+
+    rows = [("o", "direct"), ("o", "mismatch"), ("o", "P/2"), ("o", "no_recovered_period"), ("o", "no_catalogue_period"), ("o", None), ("c", "no_catalogue_period"), ("c", None)]
+    got = recommend.validation_rates(spark.createDataFrame(rows, "series string, match string"), "series", "match").collect()
+    assert [tuple(r) for r in got] == [("o", 4, 0.25, 0.5)]
+    spark.range(1, 4000).selectExpr("id p_partkey", "cast(id % 50 as int) p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    parts = series_rows(spark, str(tmp_path)).selectExpr("spark_partition_id() p").distinct().count()
+    assert parts > spark.sparkContext.defaultParallelism
