@@ -1,20 +1,26 @@
 """Folded profiles of a source in its bands, alone and combined (M1, M2).
 
 A point takes part in four folds of its source: at the period, at half and at twice
-of it, and at the period within its section in time. Everything is grouped by source
-first, so windows, bins and profiles share one exchange. A profile is one row with
-arrays of ``phase_bins`` values; all that is done to it are array expressions.
+of it, and at the period within its section in time. Points are dealt by source and
+sorted once; a small numpy helper folds a source's points, so no point is written or
+sorted again for each fold. A profile is one row with arrays of ``phase_bins`` values;
+all that is done to it are array expressions.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofold.config import MorphologyConfig
 from chronofold.functions import circles as C
-from chronofold.functions.columns import MAD_SIGMA, bin_of, let, median, phase, positive
+from chronofold.functions.columns import MAD_SIGMA, let, median
 
 WHOLE, HALF, DOUBLE, SECTION = "whole", "half", "double", "section"
 BANDS = ("c", "o")
@@ -42,51 +48,116 @@ def spread_over(x: str, dev: str, n: Column, w) -> Column:
     return F.when(n >= 8, wide).otherwise(MAD_SIGMA * median(F.col(dev)).over(w))
 
 
-def fold_points(points: DataFrame) -> DataFrame:
-    """The points of every fold and band, outliers left out: x (the magnitude less its median), bin, and the fold's points, scatter and errors."""
-    folds = [F.struct(F.lit(n).alias("fold"), (F.col("period") * f).alias("at")) for n, f in ((WHOLE, 1.0), (HALF, 0.5), (DOUBLE, 2.0))]
-    own = F.struct(F.concat(F.lit(SECTION), F.col("section").cast("string")).alias("fold"), F.col("period").alias("at"))
-    w = W.partitionBy(*KEY)
-    count = F.count(F.lit(1)).over(w)
-    p = points.where(F.col("filter").isin(*BANDS) & (F.col("err") > 0)).withColumn("f", F.explode(F.array(*folds, own)))
-    p = p.select("source_id", "f.fold", "filter", "time", "mag", "err", "origin", F.col("f.at").alias("at")).where((F.col("at") > 0) | ~F.col("fold").isin(HALF, DOUBLE))
-    p = p.withColumn("n", count).where("n >= 3")
-    p = p.withColumn("x", F.col("mag") - median(F.col("mag")).over(w)).withColumn("median_error", median(F.col("err")).over(w)).withColumn("dev", F.abs("x"))
-    p = p.withColumn("limit", spread_over("x", "dev", F.col("n"), w)).withColumn("near", F.abs("x") <= CLIP * F.col("limit"))
-    p = p.withColumn("n_near", F.count_if("near").over(w))
-    clipped = (F.col("limit") > 0) & (F.col("n_near") >= F.greatest(F.lit(20), F.floor(F.col("n") / 2)))
-    p = p.where(~F.coalesce(clipped, F.lit(False)) | F.col("near")).withColumn("points", count)
-    p = p.withColumn("dev", F.abs(F.col("x") - median(F.col("x")).over(w))).withColumn("scatter", spread_over("x", "dev", F.col("points"), w)).withColumn("own_mad", MAD_SIGMA * median(F.col("dev")).over(w))
-    p = p.withColumn("raw_amplitude", F.percentile("x", F.lit(0.95)).over(w) - F.percentile("x", F.lit(0.05)).over(w))
-    return p.withColumn("ph", phase(F.col("time") - F.col("origin"), F.col("at")))
+def _at(ordered: np.ndarray, share: float) -> float:
+    """The percentile of sorted values, in the steps of Spark's ``percentile``."""
+    at = (len(ordered) - 1) * share
+    low = int(at)
+    x, y = ordered[low], ordered[min(low + 1, len(ordered) - 1)]
+    return x if at == low or x == y else (low + 1 - at) * x + (at - low) * y
+
+
+def _spread(x: np.ndarray, dev: np.ndarray) -> float:
+    """As ``spread_over``, of sorted ``x`` and its sorted deviations."""
+    return (_at(x, 0.84) - _at(x, 0.16)) / 2 if len(x) >= 8 else MAD_SIGMA * _at(dev, 0.5)
+
+
+def _clipped(mag: np.ndarray, err: np.ndarray) -> tuple:
+    """Places of the points that stay, their x (the magnitude less the median), and the fold's numbers ``WHOLE_FOLD``."""
+    x = mag - _at(np.sort(mag), 0.5)
+    limit = _spread(np.sort(x), np.sort(np.abs(x)))
+    near = np.flatnonzero(np.abs(x) <= CLIP * limit)
+    stay = near if limit > 0 and len(near) >= max(20, len(x) // 2) else np.arange(len(x))
+    x = x[stay]
+    ordered = np.sort(x)
+    dev = np.sort(np.abs(x - _at(ordered, 0.5)))
+    return stay, x, (len(x), _spread(ordered, dev), MAD_SIGMA * _at(dev, 0.5), _at(np.sort(err), 0.5), _at(ordered, 0.95) - _at(ordered, 0.05))
+
+
+def _cells(bins: np.ndarray, x: np.ndarray, err: np.ndarray, scatter: np.ndarray) -> tuple:
+    """Count, median and error of each bin of all folds (``scatter``: its fold's); NaN where it has no point."""
+    n = np.bincount(bins, minlength=len(scatter))
+    some = np.flatnonzero(n)
+    k, first = n[some], (np.cumsum(n) - n)[some]
+
+    def at(values: np.ndarray, share: float) -> np.ndarray:
+        """``_at`` of every bin that has points; ``values`` are sorted within bins."""
+        place = (k - 1) * share
+        low = place.astype(np.int64)
+        a, b = values[first + low], values[first + np.minimum(low + 1, k - 1)]
+        return np.where((place == low) | (a == b), a, (low + 1 - place) * a + (place - low) * b)
+
+    within = lambda values: values[np.lexsort((values, bins))]
+    ordered, mid, sigma = within(x), np.full(len(n), np.nan), np.full(len(n), np.nan)
+    mid[some] = at(ordered, 0.5)
+    off = MAD_SIGMA * at(within(np.abs(x - mid[bins])), 0.5)
+    wide = np.where(k >= 8, (at(ordered, 0.84) - at(ordered, 0.16)) / 2, np.where(k > 3, off, 0.0))
+    root = np.sqrt(k)
+    sigma[some] = np.maximum(np.where(wide > 0, wide, at(within(err), 0.5)) / root, scatter[some] / root / 2)
+    return n, mid, sigma
+
+
+#: Numbers of a fold that need no period, and its cells, as ``folded_cells`` gives them.
+WHOLE_FOLD = ("points", "scatter", "own_mad", "median_error", "raw_amplitude")
+
+
+def folded_cells(points: DataFrame, n_bins: int) -> DataFrame:
+    """(KEY, ``WHOLE_FOLD``, folded, n, mid, seen): the folds of each source's bands, outliers left out, with arrays of the bins.
+
+    A source's points are dealt and sorted once, as they are: folds are made inside the group, so no point is
+    copied for each fold through sorts and windows.
+    """
+
+    def fold(t: pa.Table) -> pa.Table:
+        band, section = t.column("filter").to_numpy(), t.column("section").to_numpy()
+        time, mag, error, period = (t.column(c).to_numpy().astype(np.float64) for c in ("elapsed", "mag", "err", "period"))
+        found, held = [], []
+        with np.errstate(all="ignore"):
+            for b in BANDS:
+                every = np.flatnonzero(band == b)
+                turning = every[~(period[every] <= 0)]
+                folds = [(WHOLE, every, 1.0), (HALF, turning, 0.5), (DOUBLE, turning, 2.0)]
+                folds += [(f"{SECTION}{s}", every[section[every] == s], 1.0) for s in np.unique(section[every])]
+                known = {}
+                for name, rows, factor in folds:
+                    if len(rows) < 3:
+                        continue
+                    same = (name.startswith(SECTION) and name, len(rows))
+                    if same not in known:
+                        known[same] = _clipped(mag[rows], error[rows])
+                    stay, x, numbers = known[same]
+                    rows = rows[stay]
+                    at = period[rows] * factor
+                    on = ~(at <= 0)
+                    turns = time[rows][on] / at[on]
+                    bins = np.minimum(np.floor(np.nan_to_num((turns - np.floor(turns)) * n_bins)), n_bins - 1).astype(np.int64)
+                    held.append((bins + n_bins * len(found), x[on], error[rows][on]))
+                    found.append((name, b, *numbers, bool(on.any())))
+            bins, x, err = (np.concatenate(c) for c in zip(*held)) if held else (np.empty(0, np.int64), np.empty(0), np.empty(0))
+            cells = _cells(bins, x, err, np.repeat([f[3] for f in found], n_bins))
+        columns = [list(c) for c in zip(*found)] or [[] for _ in range(8)]
+        starts = pa.array(np.arange(len(found) + 1, dtype=np.int32) * n_bins)
+        lists = [pa.ListArray.from_arrays(starts, pa.array(c, kind, from_pandas=True)) for c, kind in zip(cells, (pa.int32(), pa.float64(), pa.float64()))]
+        own = t.column("source_id").slice(0, 1).take(pa.array([0] * len(found), pa.int64())).combine_chunks()
+        kinds = [pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 4, pa.bool_()]
+        return pa.Table.from_arrays([own, *[pa.array(c, k) for c, k in zip(columns, kinds)], *lists], [*KEY, *WHOLE_FOLD, "folded", "n", "mid", "seen"])
+
+    p = points.where(F.col("filter").isin(*BANDS) & (F.col("err") > 0)).select(
+        "source_id", F.col("filter").cast("string").alias("filter"), F.col("section").cast("int").alias("section"), (F.col("time") - F.col("origin")).alias("elapsed"), "mag", "err",
+        F.coalesce(F.col("period").cast("double"), F.lit(0.0)).alias("period"),
+    )
+    numbers = "fold string, filter string, points long, scatter double, own_mad double, median_error double, raw_amplitude double, folded boolean, n array<int>, mid array<double>, seen array<double>"
+    schema = T.StructType([p.schema["source_id"], *T.DataType.fromDDL(numbers).fields])
+    return p.groupBy("source_id").applyInArrow(fold, schema)
 
 
 def profiles(points: DataFrame, cfg: MorphologyConfig = MorphologyConfig()) -> DataFrame:
     """One row a (source_id, fold, filter) with three points or more: value and sigma a bin, counts, and the fold's numbers. Without a period only the numbers that need none."""
     n_bins = cfg.phase_bins
-    p = fold_points(points).withColumn("bin", F.when(F.col("at") > 0, bin_of(F.col("ph"), n_bins)))
-    wb = W.partitionBy(*KEY, "bin")
-    p = p.withColumn("mid", median(F.col("x")).over(wb)).withColumn("off", F.abs(F.col("x") - F.col("mid")))
-    n = F.count(F.lit(1))
-    wide = (F.percentile("x", F.lit(0.84)) - F.percentile("x", F.lit(0.16))) / 2
-    own = F.coalesce(positive(F.when(n >= 8, wide).when(n > 3, MAD_SIGMA * median(F.col("off")))), positive(median(F.col("err")))) / F.sqrt(n)
-    whole = ["points", "scatter", "own_mad", "median_error", "raw_amplitude"]
-    bins = p.groupBy(*KEY, "bin").agg(n.alias("n"), F.first("mid").alias("mid"), own.alias("own"), *[F.first(c).alias(c) for c in whole])
-    floor = F.col("scatter") / F.sqrt("n")
-    cell = F.struct("n", "mid", F.greatest(F.coalesce("own", floor), floor / 2).alias("sigma"))
-    rows = bins.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", cell.alias("cell"))))).alias("cells"), *[F.first(c).alias(c) for c in whole])
-
-    def arrays(m):
-        every = F.sequence(F.lit(0), F.lit(n_bins - 1))
-        of = lambda name: F.transform(every, lambda i: F.try_element_at(m, i)[name])
-        return F.struct(of("n").alias("n"), of("mid").alias("mid"), of("sigma").alias("sigma"))
-
-    rows = rows.select(*KEY, *whole, (F.size("cells") > 0).alias("folded"), let(F.col("cells"), arrays).alias("a"))
+    rows = folded_cells(points, n_bins)
+    whole = list(WHOLE_FOLD)
     rows = rows.select(
         *KEY, *whole, "folded",
-        F.transform("a.n", lambda k: F.coalesce(k, F.lit(0)).cast("int")).alias("n"),
-        F.when(F.col("folded"), C.central(C.filled(F.col("a.mid"), n_bins))).alias("value"),
-        F.transform("a.sigma", lambda s: s).alias("seen"),
+        "n", F.when(F.col("folded"), C.central(C.filled(F.col("mid"), n_bins))).alias("value"), "seen",
     )
     rows = rows.withColumn("sigma", F.when(F.col("folded"), let(F.struct("seen", "scatter"), lambda s: F.transform(s["seen"], lambda x: F.coalesce(x, s["scatter"])))))
     rows = rows.withColumn("occupied", F.size(C.known(F.col("seen")))).withColumn("amplitude", F.when(F.col("folded"), C.span(F.col("value"), 0.05, 0.95)).otherwise(F.col("raw_amplitude")))

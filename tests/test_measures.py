@@ -383,3 +383,17 @@ def test_thin_and_odd_sources(spark):
     assert set(got) == {"a", "b", "d"} and got["a"]["profile_chi2"] == 0 and got["d"]["n_points"] == 30 and got["b"]["recommended_period_days"] is None
     K.classified(P.source_features(points).drop("events")).collect()
     assert P.source_features(points.where("false")).count() == 0
+
+
+def test_points_are_not_copied_for_each_fold(points):
+    plan = O.profiles(O.in_sections(O.usable(points), 4))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Window") == 2  # the first time and the sections, both of plain points
+
+
+def test_folds_of_odd_sources(spark):
+    rows = [("none", i, float(i), 10.0 + i % 5, 0.1, "c", None) for i in range(9)] + [("two", i, float(i), 10.0, 0.1, "o", 3.0) for i in range(2)] + [("flat", i, float(i), 10.0, 0.1, "o", 3.0) for i in range(40)] + [("w", 1, 1.0, 1.0, 0.1, "w", 3.0)]
+    p = spark.createDataFrame(rows, "source_id string, row_id long, time double, mag double, err double, filter string, period double")
+    got = {(r["source_id"], r["fold"]): r for r in O.profiles(O.in_sections(O.usable(p), 2)).collect()}
+    assert {k for k in got} == {("none", f) for f in ("whole", "section0", "section1")} | {("flat", f) for f in ("whole", "half", "double", "section0", "section1")}
+    assert not got["none", "whole"]["folded"] and got["none", "whole"]["value"] is None and got["none", "whole"]["points"] == 9 and got["none", "whole"]["amplitude"] > 0
+    assert got["flat", "whole"]["folded"] and set(got["flat", "whole"]["value"]) == {0.0} and sum(got["flat", "whole"]["n"]) == 40
