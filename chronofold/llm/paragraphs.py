@@ -130,13 +130,20 @@ def bands(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _edges(space: np.ndarray) -> np.ndarray:
+    """Places where words begin and end, in turn."""
+    outside = np.ones(len(space) + 2, bool)
+    outside[1:-1] = space
+    return np.flatnonzero(outside[1:] != outside[:-1])
+
+
 def _places(t: str) -> tuple[np.ndarray, np.ndarray]:
     """First and end byte of each word of ``t.split()``."""
     if t.isascii():
-        edge = np.flatnonzero(np.diff(_SPACE[np.frombuffer(t.encode(), np.uint8)], prepend=True, append=True))
+        edge = _edges(_SPACE[np.frombuffer(t.encode(), np.uint8)])
     else:
         c = np.frombuffer(t.encode("utf-32-le"), "<u4")
-        edge = np.flatnonzero(np.diff(_SPACE[np.minimum(c, 0x3001)], prepend=True, append=True))
+        edge = _edges(_SPACE[np.minimum(c, 0x3001)])
         at = np.zeros(len(c) + 1, np.int64)
         np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000), out=at[1:])
         edge = at[edge]
@@ -179,8 +186,8 @@ def _segments(h: np.ndarray) -> tuple[np.ndarray, ...]:
         if spare > width:
             least = np.minimum(least[: len(least) - (spare - width)], least[spare - width :])
         place = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        n = np.diff(np.append(first, len(place)))
+        first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+        n = np.append(first[1:], len(place)) - first
         seg = (p[first + n + PASSAGE - 1] - p[first]) * down[first] + n.astype(np.uint64)
         seg = (seg ^ (seg >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         found.append((g[place[first]].view(np.int64), seg.view(np.int64), first + at, n))
@@ -228,7 +235,7 @@ def _parts(t: str, h: np.ndarray, a: np.ndarray, z: np.ndarray, least: int):
     last = np.zeros(len(h), bool)
     last[we - 1] = True
     stop = np.flatnonzero(last | _END[raw[z - 1]])
-    kept = stop[np.diff(stop, prepend=-1) >= SHINGLE]
+    kept = stop[stop - np.concatenate([[-1], stop[:-1]]) >= SHINGLE]
     of = np.searchsorted(we, kept, side="right")  # the line of each kept sentence
     before = np.concatenate([[-1], kept[:-1]])
     first = np.maximum(before + 1, ws[of])

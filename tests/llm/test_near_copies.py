@@ -331,3 +331,12 @@ def test_a_large_group_of_near_copies_is_not_met_again_at_each_fingerprint(spark
     assert {x["leader"]["__id"] for x in found if x["__id"] < 1000} == {0}
     assert all(x["leader"]["__id"] == x["__id"] for x in found if x["__id"] >= 1000)
     assert sum(met) < 300 * 45
+
+
+@pytest.mark.parametrize("t", ["", " ", "a", " a", "a ", "ab  c\n", "\x1cab\x1fc", "é\u3000ab\u2003ç 𝄞 x"])
+def test_edges_are_those_of_split(t):
+    space = paragraphs._SPACE[np.minimum(np.frombuffer(t.encode("utf-32-le"), "<u4"), 0x3001)]
+    edge = paragraphs._edges(space)
+    assert [t[a:z] for a, z in zip(edge[::2], edge[1::2])] == t.split()
+    a, z = paragraphs._places(t)
+    assert [t.encode()[i:j].decode() for i, j in zip(a, z)] == t.split()
