@@ -397,3 +397,20 @@ def test_folds_of_odd_sources(spark):
     assert {k for k in got} == {("none", f) for f in ("whole", "section0", "section1")} | {("flat", f) for f in ("whole", "half", "double", "section0", "section1")}
     assert not got["none", "whole"]["folded"] and got["none", "whole"]["value"] is None and got["none", "whole"]["points"] == 9 and got["none", "whole"]["amplitude"] > 0
     assert got["flat", "whole"]["folded"] and set(got["flat", "whole"]["value"]) == {0.0} and sum(got["flat", "whole"]["n"]) == 40
+
+
+@pytest.mark.parametrize("n, length, whole", [(300, 2500.0, False), (40, 12.0, False), (5000, 900.0, False), (60, 1e6, False), (200, 2000.0, True)])
+def test_sampled_sums_match_plain_ones(n, length, whole):
+    """Also a baseline too long for samples, and whole days, whose sines vanish at a period of a day."""
+    r = np.random.default_rng(n)
+    t = np.sort(r.uniform(58000, 58000 + length, n))
+    t = np.floor(t) if whole else t
+    y = np.sin(t * 0.7) + r.normal(0, 1, n)
+    periods = np.geomspace(0.5, min(200, np.ptp(t) / 2), 700)
+    periods = np.sort(np.append(periods[1:], [1.0, 2.0])) if whole else periods
+    assert P.power(t, y, periods)[1:] == pytest.approx(P.block_power(t - t[0], y, periods)[1:], rel=1e-8, abs=1e-11, nan_ok=True)
+
+
+def test_a_source_s_power_is_worked_out_inside_its_group(points):
+    plan = P.diagnostic_power(points)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "Window" not in plan and plan.count("Repartition") == 1
