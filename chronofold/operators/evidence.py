@@ -64,11 +64,15 @@ def wave_or_dip(points: DataFrame) -> DataFrame:
     for k, cs in shapes.items():
         for i in range(len(cs)):
             products |= {f"{k}_{i}_{j}": F.col(f"{k}{i}") * F.col(f"{k}{j}") for j in range(i, len(cs))} | {f"{k}_{i}_y": F.col(f"{k}{i}") * F.col("y")}
-    third = p.groupBy("source_id", "third").agg(*[F.sum(c).alias(n) for n, c in products.items()])
+    # Both readers of the points ask for the same columns (``e`` too), and solutions are joined by source alone: the points are dealt once and stay where they are.
+    third = p.groupBy("source_id", "third").agg(F.max("e").alias("most"), *[F.sum(c).alias(n) for n, c in products.items()]).where("most > 0")
     others = third.select("source_id", "third", *[(F.sum(n).over(by_source()) - F.col(n)).alias(n) for n in products])
+    waves = solved(others, "wave", len(shapes["wave"]), ["source_id", "third", *[n for n in products if n.startswith("dip")]])
+    fits = solved(waves, "dip", len(shapes["dip"]), ["source_id", "third", "wave"])
+    fits = fits.groupBy("source_id").agg(*[F.map_from_entries(F.collect_list(F.struct("third", k))).alias(k) for k in shapes])
+    p = p.join(fits, "source_id")
     for k, cs in shapes.items():
-        p = p.join(solved(others, k, len(cs), ["source_id", "third"]), ["source_id", "third"])
-        fit = sum((F.col(f"{k}{i}") * F.col(k)[i] for i in range(len(cs))), F.lit(0.0))
+        fit = sum((F.col(f"{k}{i}") * F.col(k)[F.col("third")][i] for i in range(len(cs))), F.lit(0.0))
         p = p.withColumn(f"{k}_missed", F.abs(F.col("y") - fit) / F.col("e")).drop(k)
     missed = p.groupBy("source_id", "third").agg(F.first("n").alias("n"), *[median(F.col(f"{k}_missed")).alias(k) for k in shapes])
     cost = lambda k: median(F.col(k)) + len(shapes[k]) * F.log(F.first("n")) / F.first("n")
