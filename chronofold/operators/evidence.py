@@ -99,6 +99,8 @@ def dip_evidence(points: DataFrame, shapes: DataFrame, bins: int = 64) -> DataFr
     p = p.withColumn("typical", median(F.col("err")).over(by_source())).withColumn("scale", F.greatest(span, F.col("typical"), F.lit(1e-6)))
     p = p.withColumn("level", F.coalesce(median(rest).over(by_source()), median(F.col("mag")).over(by_source()))).withColumn("cycle", F.floor("turn"))
     p = p.withColumn("base", F.coalesce(median(rest).over(W.partitionBy("source_id", "cycle")), F.when(F.col("width") >= BROAD, F.col("level"))))
+    # Always so: with it all readers of the points ask for the same columns, so that the points are dealt once for all of them.
+    p = p.where("scale > 0 and section >= 0")
     p = p.withColumn("bin", bin_of(F.col("ph"), bins)).withColumn("octant", bin_of(F.col("ph"), 8)).withColumn("night", F.floor("time"))
 
     dipped = F.col("inside") & F.col("base").isNotNull()

@@ -414,3 +414,21 @@ def test_sampled_sums_match_plain_ones(n, length, whole):
 def test_a_source_s_power_is_worked_out_inside_its_group(points):
     plan = P.diagnostic_power(points)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan and "Window" not in plan and plan.count("Repartition") == 1
+
+
+def test_points_of_models_and_dips_are_dealt_once(spark, points):
+    """All readers of the points share one exchange, and a model's solutions join by source alone."""
+    q = O.in_sections(O.usable(points), 4).withColumn("dip_phase", F.lit(0.4)).withColumn("dip_duty_cycle", F.lit(0.1))
+    shapes = spark.createDataFrame([("wave", 5.0, 0.1, False)], "source_id string, dip_significance double, out_of_dip_variation double, alias boolean")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        models, dips = (df._jdf.queryExecution().executedPlan().toString().splitlines() for df in (D.wave_or_dip(q), D.dip_evidence(q, shapes)))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    dealt = lambda plan: [x for x in plan if " Exchange hashpartitioning" in x]
+    again = lambda plan: {x.split("[", 1)[1].count("#") for x in plan if "ReusedExchange [" in x}
+    assert len([x for x in dealt(models) if "ReusedExchange" not in x]) == 1
+    assert len([x for x in dips if "ReusedExchange [" in x]) == 5 and len(again(dips)) == 1  # readers of other columns would not share
