@@ -94,15 +94,17 @@ def telling_pairs(terms: list[np.ndarray], labels: np.ndarray, candidates: np.nd
     m, toxic, n = len(candidates), int(labels.sum()), len(labels)
     place = np.full(BUCKETS, -1, np.int32)
     place[candidates] = np.arange(m)
-    both, bad = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    both, bad = (np.zeros((m, m), np.uint16 if n < 1 << 16 else np.uint32) for _ in range(2))
     for a in range(0, n, 1000):
         y = labels[a : a + 1000].astype(bool)
         there = np.zeros((len(y), m), np.float32)
         for i, t in enumerate(terms[a : a + 1000]):
             at = place[t]
             there[i, at[at >= 0]] = 1
-        both += there.T @ there
-        bad += there[y].T @ there[y]
+        toxic_rows = there[y]
+        for r in range(0, m, 256):  # some rows of the counts at a time: this runs on the driver
+            both[r : r + 256] += (there[:, r : r + 256].T @ there).astype(both.dtype)
+            bad[r : r + 256] += (toxic_rows[:, r : r + 256].T @ toxic_rows).astype(bad.dtype)
     alone = told(np.diag(bad).astype(float), np.diag(both).astype(float), toxic, n)
     found: list[tuple[float, int, int]] = []
     for i in range(m - 1):  # a row of pairs at a time
@@ -129,6 +131,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
     used = np.union1d(used[best[ratio[best] >= least_ratio]], telling_pairs(terms, labels, paired))
     slot = np.full(BUCKETS, -1, np.int32)
     slot[used] = np.arange(len(used))
+    del seen, bad
     rows = [s[s >= 0] for s in (slot[t] for t in terms)]
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(used)), rng.normal(0, 0.02, (len(used), FACTORS)), float(np.log(p / (1 - p)))
@@ -177,7 +180,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         last = r["h"]
     got = found.where(F.col("h") <= last).orderBy("h", "id").limit(most).toArrow() if last is not None else found.limit(0).toArrow()
     discard(rows, found)
-    return fit([np.frombuffer(x.as_py(), np.int32) for x in got["terms"]], got["y"].to_numpy().astype(np.int64), most_terms=most_terms)
+    y, lists = got["y"].to_numpy().astype(np.int64), got["terms"]
+    del got
+    terms = [np.frombuffer(x.as_py(), np.int32) for x in lists]
+    del lists  # the driver holds the terms once
+    machine = fit(terms, y, most_terms=most_terms)
+    del terms
+    give_back()
+    return machine
 
 
 class _Scorer:

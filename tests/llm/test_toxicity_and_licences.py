@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from chronofold.llm import licences, toxicity
@@ -57,6 +59,18 @@ def test_pairs_of_which_neither_term_tells_alone():
 
 
 @pytest.mark.skipif("not __import__('os').path.isdir('/root/testdata/sf0.1')", reason="no test tables")
+def test_counts_of_pairs_take_little_of_the_driver():
+    """2,048 terms: two tables of counts of 8 MB each, the presence of 1,000 texts, and no third table beside them."""
+    r = np.random.default_rng(3)
+    terms = [np.sort(r.choice(2048, 60, replace=False)).astype(np.int32) for _ in range(1500)]
+    labels = (r.random(1500) < 0.2).astype(np.int64)
+    tracemalloc.start()
+    toxicity.telling_pairs(terms, labels, np.arange(2048))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
 def test_held_out_labels_of_the_given_tables():
     """The labels of the held-out third, from a machine of the other two thirds."""
     import zlib
