@@ -340,3 +340,53 @@ def test_edges_are_those_of_split(t):
     assert [t[a:z] for a, z in zip(edge[::2], edge[1::2])] == t.split()
     a, z = paragraphs._places(t)
     assert [t.encode()[i:j].decode() for i, j in zip(a, z)] == t.split()
+
+
+def joined(df):
+    """Rows that the joins of ``df`` make."""
+    df.collect()
+
+    def walk(p):
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(p.executedPlan())
+        if "QueryStage" in name:
+            return walk(p.plan())
+        own = p.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return own + sum(walk(p.children().apply(k)) for k in range(p.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_sketch_is_looked_up_once_however_often_its_document_meets_others(spark, monkeypatch):
+    base = [f"word{i}" for i in range(400)]
+    n = 200
+    rows = [(i, " ".join(base[:i] + [f"other{i}"] + base[i + 1 :])) for i in range(n)]
+    rows += [(1000 + i, " ".join(f"lone{i}x{j}" for j in range(30))) for i in range(20)]
+    made, real = {}, simhash.stored
+
+    def counted(df, name, **more):
+        if name in ("sketch-first-links", "sketch-rest-links"):
+            made[name] = joined(df)
+        return real(df, name, **more)
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["leader"]["__id"] for x in found if x["__id"] < n} == {0}
+    assert all(x["leader"]["__id"] == x["__id"] for x in found if x["__id"] >= n)
+    assert n / 2 <= made["sketch-first-links"] <= 2 * n and made["sketch-rest-links"] <= 2 * n  # 33 * n before
+
+
+def test_a_linked_group_at_a_crowded_anchor_is_not_sent_once_for_each_of_its_chunks(spark):
+    n, chunk = 400, 10
+    others = {n: 7, n + 1: 8, n + 2: 8}
+    rows = [(5, i, 0, 0) for i in range(n)] + [(5, i, 0, c) for i, c in others.items()] + [(6, 1, 0, 0), (6, n, 0, 7), (7, 2, 0, 0)]
+    keyed = spark.createDataFrame(rows, "anchor long, node long, check long, c long")
+    crowded = spark.createDataFrame([(5,)], "anchor long")
+    met = [{v["node"] for v in r["members"]} for r in simhash._near_meetings(keyed, crowded, chunk, False).collect()]
+    for a in range(n + 3):
+        for b in others:
+            assert a == b or any({a, b} <= x for x in met)
+    assert sum(map(len, met)) <= 2 * n  # 41 * n where each pair of chunks meets
+    alone = [{v["node"] for v in r["members"]} for r in simhash._near_meetings(keyed.withColumn("c", keyed["node"]), crowded, chunk, True).collect()]
+    assert sorted(x for m in alone for x in m if m != {1, n}) == list(range(n + 3))
