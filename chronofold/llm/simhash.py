@@ -231,8 +231,8 @@ def _meetings(keyed: DataFrame, chunk: int) -> DataFrame:
     return plain.unionByName(hot)
 
 
-def _near_meetings(keyed: DataFrame, crowded: DataFrame, chunk: int, alone: bool) -> DataFrame:
-    """``_meetings`` of (anchor, node, check, c) for members that are linked already if they have one ``c``.
+def _near_meetings(keyed: DataFrame, crowded: DataFrame, chunk: int, alone: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """``_meetings``, and the stored tables that they read, of (anchor, node, check, c) for members that are linked already if they have one ``c``.
 
     At a ``crowded`` anchor each ``c`` of more than a chunk has chunks of its own, and all others share some. Two chunks of one
     ``c`` are not compared, so a linked group is sent once for each chunk of others there, not once for each of its own.
@@ -241,7 +241,7 @@ def _near_meetings(keyed: DataFrame, crowded: DataFrame, chunk: int, alone: bool
     v = F.struct("node", "check", "c").alias("v")
     plain = keyed.join(crowded, "anchor", "left_anti").groupBy("anchor").agg(F.collect_list(v).alias("members")).where("size(members) > 1").select("members")
     if crowded.isEmpty():
-        return plain
+        return plain, []
     there = keyed.join(crowded, "anchor")
     large = stored(there.groupBy("anchor", "c").count().where(F.col("count") > chunk).select("anchor", "c", F.col("c").alias("own")), "near-large")
     dealt = stored(there.join(large, ["anchor", "c"], "left").select("anchor", "node", "check", "c", F.coalesce("own", F.lit(-1)).alias("own")), "near-dealt")
@@ -252,7 +252,8 @@ def _near_meetings(keyed: DataFrame, crowded: DataFrame, chunk: int, alone: bool
     pairs = stored(part.join(part.withColumnRenamed("x", "y"), "anchor").where(met & ((F.col("x.own") != F.col("y.own")) | (F.col("x.own") == -1))).withColumn("meeting", F.monotonically_increasing_id()), "near-pairs")
     ends = pairs.select("meeting", "anchor", "x.own", "x.k").unionByName(pairs.where("x <> y").select("meeting", "anchor", "y.own", "y.k"))
     placed = dealt.join(sizes, ["anchor", "own"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    return plain.unionByName(placed.join(ends, ["anchor", "own", "k"]).groupBy("meeting").agg(F.collect_list(v).alias("members")).select("members"))
+    hot = placed.join(ends, ["anchor", "own", "k"]).groupBy("meeting").agg(F.collect_list(v).alias("members")).select("members")
+    return plain.unionByName(hot), [large, dealt, sizes, pairs]
 
 
 def fingerprint_links(nodes: DataFrame, most: int = MOST_BITS, chunk: int = CHUNK) -> DataFrame:
@@ -350,10 +351,11 @@ def _links_at(nodes: DataFrame, which: range, most: int, chunk: int, name: str,
 
     keyed = stored(nodes.select("node", "sketch", "c").mapInArrow(spread, "anchor long, node long, check long, c long"), f"{name}-anchors")
     crowded = stored(keyed.groupBy("anchor").count().where(F.col("count") > 2 * chunk).select("anchor"), f"{name}-crowded")
-    met = _near_meetings(keyed, crowded, chunk, alone).mapInArrow(_likely, "hub long, nodes array<long>")
+    members, read = _near_meetings(keyed, crowded, chunk, alone)
+    met = members.mapInArrow(_likely, "hub long, nodes array<long>")
     groups = stored(met.withColumn("hub", F.when(F.size("nodes") > GATHER, F.xxhash64("nodes")).otherwise(F.col("hub"))), f"{name}-meetings")
     any_crowded = not crowded.isEmpty()
-    discard(keyed, crowded)
+    discard(keyed, crowded, *read)
     release(nodes.sparkSession)
     gathered = stored(groups.groupBy("hub").agg(F.collect_list("nodes").alias("meetings")), f"{name}-gathered")
     asked = gathered.select("hub", F.explode(F.array_distinct(F.flatten("meetings"))).alias("n")).groupBy("n").agg(F.collect_list("hub").alias("hubs"))

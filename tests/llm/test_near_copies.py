@@ -383,10 +383,10 @@ def test_a_linked_group_at_a_crowded_anchor_is_not_sent_once_for_each_of_its_chu
     rows = [(5, i, 0, 0) for i in range(n)] + [(5, i, 0, c) for i, c in others.items()] + [(6, 1, 0, 0), (6, n, 0, 7), (7, 2, 0, 0)]
     keyed = spark.createDataFrame(rows, "anchor long, node long, check long, c long")
     crowded = spark.createDataFrame([(5,)], "anchor long")
-    met = [{v["node"] for v in r["members"]} for r in simhash._near_meetings(keyed, crowded, chunk, False).collect()]
+    met = [{v["node"] for v in r["members"]} for r in simhash._near_meetings(keyed, crowded, chunk, False)[0].collect()]
     for a in range(n + 3):
         for b in others:
             assert a == b or any({a, b} <= x for x in met)
     assert sum(map(len, met)) <= 2 * n  # 41 * n where each pair of chunks meets
-    alone = [{v["node"] for v in r["members"]} for r in simhash._near_meetings(keyed.withColumn("c", keyed["node"]), crowded, chunk, True).collect()]
+    alone = [{v["node"] for v in r["members"]} for r in simhash._near_meetings(keyed.withColumn("c", keyed["node"]), crowded, chunk, True)[0].collect()]
     assert sorted(x for m in alone for x in m if m != {1, n}) == list(range(n + 3))
