@@ -265,3 +265,37 @@ def test_rates_count_the_searchable_and_work_is_dealt(spark, tmp_path):
     spark.range(1, 4000).selectExpr("id p_partkey", "cast(id % 50 as int) p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     parts = series_rows(spark, str(tmp_path)).selectExpr("spark_partition_id() p").distinct().count()
     assert parts > spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("kind", ["dips", "outlier", "uneven", "flat"])
+def test_few_boxes_are_met_in_double_precision_and_none_is_missed(kind, monkeypatch):
+    """The result is that of all boxes in double precision, with a point far off, errors from 0.001 to 10, or no signal at all."""
+    r = np.random.default_rng(5)
+    t = np.sort(r.uniform(0, 300, 250))
+    y, e = r.normal(0, 0.3, 250) - 0.5 * ((t % 7.7) < 0.4), np.full(250, 0.1)
+    y[3] += 1000.0 * (kind == "outlier")
+    y *= kind != "flat"
+    e = 10.0 ** r.uniform(-3, 1, 250) if kind == "uneven" else e
+    plain, asked = P._boxes, []
+    monkeypatch.setattr(P, "_boxes", lambda sums, *a: asked.append(len(sums)) or plain(sums, *a))
+    got = P.bls(t, y, e, PeriodConfig())
+    n = P.frequency_grid(np.ptp(t), 0.5, 50.0, PeriodConfig().samples_per_peak)[2]
+    assert sum(asked) < n / 10 if kind == "dips" else sum(asked) <= n
+    monkeypatch.setattr(P, "_rough_boxes", plain)
+    assert P.bls(t, y, e, PeriodConfig()) == pytest.approx(got, rel=1e-12, nan_ok=True)
+
+
+def test_rough_boxes_keep_their_bound():
+    """Also with shares of a billionth and boxes that hold all or nothing."""
+    r = np.random.default_rng(2)
+    for n in (30, 400):
+        w = 10.0 ** r.uniform(-9, 0, n)
+        w, y = w / w.sum(), r.normal(0, 1, n)
+        y -= (w * y).sum()
+        y /= np.abs(y).max()
+        bins, f, t = 120, np.linspace(0.4, 0.5, 200), np.sort(r.uniform(0, 500, n))
+        room = [np.empty((P.BINNED, n), k) for k in (float, float, np.int32, np.int64)]
+        sums = P._binned(f, t, np.tile(w + 1j * w * y, (P.BINNED, 1)), bins, room, np.empty(len(f) * (bins + 1), complex))
+        width = np.sort(r.integers(1, bins // 2, (4, len(f))), axis=1)
+        held = np.empty((6, len(f) * (bins + bins // 2)), np.float32)
+        assert np.abs(P._rough_boxes(sums, bins, width, held) - P._boxes(sums, bins, width, held)).max() < P.ROUGH
