@@ -142,41 +142,46 @@ def pca_map(rows: DataFrame, variance: float | None = None, k: int = 2) -> tuple
 def density_families(points: DataFrame, k: int = 5, quantile: float = 0.95, least: int = 100, share: float = 0.02) -> DataFrame:
     """(id, family): DBSCAN over 2-D points; eps is the ``quantile`` of the k-th neighbour's distance, the largest body is 'main', small ones 'none'.
 
-    Points within eps of each other lie in the same or adjacent cells of a grid of
-    that width, so links come from an equi join on cells, core points link to core
-    points, and components are found by iterated minimum labels.
+    A cell of the grid has a diagonal of eps, so core points of one cell are of one body: bodies are
+    components of cells, which link where any two of their core points are within eps; of equal points one is compared. Other
+    points have fewer than ``k`` core points within eps and join the body of the smallest of them.
     """
     from chronofold.operators.graph import components, cut_lineage
 
     points = cut_lineage(points)  # read by each step below
     near = nearest(points, points, k)
-    kth = cut_lineage(near.where(F.col("rank") == k).groupBy("query").agg(F.max("distance").alias("d")))
-    eps = kth.agg(F.percentile("d", F.lit(quantile))).first()[0]
-    total = points.count()
+    p = points.join(near.where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("distance").alias("d")), "id", "left")
+    p = cut_lineage(p.select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), "d"))
+    eps, total = p.agg(F.percentile("d", F.lit(quantile)), F.count(F.lit(1))).first()
     if not eps:
         return points.select("id", F.lit("main").alias("family"))
-    p = points.select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
-    core = p.join(kth.where(F.col("d") <= eps).select(F.col("query").alias("id")), "id", "left_semi")
-    cell = lambda c: F.floor(F.col(c) / eps)
-    a = core.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = p.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(steps).alias("s")).select(
-        "b",
-        "bx",
-        "by",
-        (F.floor(F.col("bx") / eps) + F.col("s.i")).alias("cx"),
-        (F.floor(F.col("by") / eps) + F.col("s.j")).alias("cy"),
-    )
-    links = a.join(b, ["cx", "cy"]).where(
-        (F.pow(F.col("ax") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("ay") - F.col("by"), F.lit(2.0)) <= eps * eps)
-        & (F.col("a") != F.col("b"))
-    ).select("a", "b")
-    ids = core.select(F.col("id").alias("b"))
-    comp = components(links.join(ids, "b", "left_semi"), core.select("id"))
-    border = links.join(ids, "b", "left_anti").join(comp, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(
-        F.min("component").alias("component")
-    )
-    all_in = comp.unionByName(border)
+    side = eps / 2**0.5 * (1 - 1e-9)  # whatever is rounded, two points of a cell are within eps
+    p = p.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    core = p.where(F.col("d") <= eps)
+    # A row for each place: the smallest id there, and of its cell.
+    places = core.groupBy("cx", "cy", "x", "y").agg(F.min("id").alias("id"))
+    places = cut_lineage(places.withColumn("a", F.min("id").over(W.partitionBy("cx", "cy"))).select("cx", "cy", "x", "y", "a"))
+    within = F.pow(F.col("x") - F.col("ox"), F.lit(2.0)) + F.pow(F.col("y") - F.col("oy"), F.lit(2.0)) <= eps * eps
+
+    def about(rows, steps: list[tuple[int, int]]):
+        """``rows`` once for each of the cells that are ``steps`` away, named as the places there are."""
+        at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])
+        return rows.select("*", F.explode(at).alias("s")).select(
+            (F.col("cx") + F.col("s.i")).alias("cx"),
+            (F.col("cy") + F.col("s.j")).alias("cy"),
+            *[c for c in rows.columns if c not in ("cx", "cy")],
+        )
+
+    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    others = places.withColumnsRenamed({"x": "ox", "y": "oy", "a": "b"})
+    links = places.transform(about, [s for s in steps if s > (0, 0)]).join(others, ["cx", "cy"]).where(within).select("a", "b")
+    cells = components(links, places.select(F.col("a").alias("id")).distinct())
+    cells = cut_lineage(places.select("cx", "cy", "a").distinct().join(cells, F.col("a") == F.col("id")).select("cx", "cy", "a", "component"))
+    comp = core.join(cells, ["cx", "cy"]).select("id", "component")
+    rim = p.where(F.col("d").isNull() | (F.col("d") > eps)).select("id", "x", "y", "cx", "cy").transform(about, steps)
+    rim = rim.join(others, ["cx", "cy"]).where(within)
+    border = rim.join(cells.select(F.col("a").alias("b"), "component"), "b").groupBy("id").agg(F.min("component").alias("component"))
+    all_in = cut_lineage(comp.unionByName(border))
     sizes = all_in.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "r",
         F.row_number().over(W.orderBy(F.desc("n"), "component")),
@@ -188,7 +193,7 @@ def density_families(points: DataFrame, k: int = 5, quantile: float = 0.95, leas
             F.concat(F.lit("family_"), F.col("r") - 1),
         ).otherwise("none"),
     )
-    return points.select("id").join(all_in, "id", "left").join(sizes.select("component", "family"), "component", "left").select(
+    return p.select("id").join(all_in, "id", "left").join(sizes.select("component", "family"), "component", "left").select(
         "id",
         F.coalesce("family", F.lit("none")).alias("family"),
     )

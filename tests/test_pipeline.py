@@ -128,3 +128,40 @@ def test_families_of_two_blobs(spark):
     got = E.density_families(spark.createDataFrame(pts, "id long, v array<double>"), least=20).groupBy("family").count().collect()
     sizes = {r["family"]: r["count"] for r in got}
     assert sizes["main"] > 130 and sizes["family_1"] > 45
+
+
+def test_families_match_a_plain_search_and_need_few_plans(spark, monkeypatch):
+    """Bodies of any shape, copies of one point and rims: the bodies of all pairs; no round of its own for each step of a long chain."""
+    from chronofold.operators import graph
+
+    r = np.random.default_rng(4)
+    ring = np.linspace(0, 2 * np.pi, 240)
+    v = np.concatenate([r.normal(0, 0.4, (200, 2)), np.stack([9 * np.cos(ring), 9 * np.sin(ring)], 1), np.full((150, 2), 3.5), r.uniform(-12, 12, (30, 2)), r.normal(30, 0.3, (40, 2))])
+    ids = r.permutation(len(v))
+    d = np.sqrt(((v[:, None] - v) ** 2).sum(2))
+    kth = np.sort(d, axis=1)[:, 5]
+    eps = np.quantile(kth, 0.95)
+    core = kth <= eps
+    body = np.where(core, ids, len(v))
+    while True:
+        new = np.where(core, np.where((d <= eps) & core, body, len(v)).min(1), len(v))
+        if (new == body).all():
+            break
+        body = new
+    body = np.where(core, body, np.where((d <= eps) & core, body, len(v)).min(1))
+    kinds, n = np.unique(body[body < len(v)], return_counts=True)
+    order = kinds[np.lexsort((kinds, -n))]
+    want = {int(i): "none" for i in ids}
+    for i, b in zip(ids, body):
+        at = int(np.flatnonzero(order == b)[0]) if b < len(v) else None
+        if at is not None and (at == 0 or n[kinds == b][0] >= 20):
+            want[int(i)] = f"family_{at}" if at else "main"
+    assert len(set(want.values())) >= 4 and not core.all()
+    cut, seen = graph.cut_lineage, []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: seen.append(1) or cut(df))
+    points = spark.createDataFrame([(int(i), [float(a), float(b)]) for i, (a, b) in zip(ids, v)], "id long, v array<double>")
+    for few, most in ((graph.FEW_LINKS, 8), (0, 99)):
+        monkeypatch.setattr(graph, "FEW_LINKS", few)
+        seen.clear()
+        assert dict(E.density_families(points, least=20).collect()) == want
+        assert len(seen) <= most
