@@ -299,3 +299,19 @@ def test_rough_boxes_keep_their_bound():
         width = np.sort(r.integers(1, bins // 2, (4, len(f))), axis=1)
         held = np.empty((6, len(f) * (bins + bins // 2)), np.float32)
         assert np.abs(P._rough_boxes(sums, bins, width, held) - P._boxes(sums, bins, width, held)).max() < P.ROUGH
+
+
+def test_long_grids_take_a_short_transform(monkeypatch):
+    """A grid of 15 frequencies a turn of the baseline has a transform of some two a turn, and gives the sums of plain ones."""
+    t, y, e = curve(9.1, 150)
+    t = t - t.min()
+    plain, asked = np.fft.ifft, []
+    monkeypatch.setattr(np.fft, "ifft", lambda x, *a, **k: asked.append(np.size(x)) or plain(x, *a, **k))
+    n, df = 20_001, 1 / (15 * t.max())
+    (got,), (want,) = (f(t, [y], 0.005, df, n) for f in (P._sums, P._products))
+    assert np.abs(got - want).max() < 1e-11 * np.abs(y).sum() and 0 < sum(asked) < n
+
+
+def test_a_series_goes_to_python_as_arrow(spark):
+    plan = P.analyse(prepared(spark, {"s": curve(5.0, 60)}), with_bls=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" in plan and "InPandas" not in plan
