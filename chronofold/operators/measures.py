@@ -24,6 +24,7 @@ from chronofold.operators import evidence as D
 from chronofold.operators import features as M
 from chronofold.operators import folds as O
 from chronofold.operators import shapes as S
+from chronofold.operators import spectral
 from chronofold.operators.graph import cut_lineage
 
 # Names of the features, by what makes them, in the order of the table.
@@ -101,29 +102,28 @@ def _sampled(samples: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", np.cosh(SHAPE_OF_KERNEL * arc) / arc, np.where(place < 0, near.conj(), near))
 
 
+def _samples(t: np.ndarray, w: np.ndarray, step: float, n: int) -> np.ndarray:
+    """Sums with the middle of the baseline as origin at 0, step, ..; a turn of the baseline has ``OVER`` steps, so a step turns the origin by a right angle."""
+    (sums,) = spectral._sums(t, [w], 0.0, step, n)
+    return sums * np.array([1, -1j, -1, 1j])[np.arange(n) % 4]
+
+
 def power(t: np.ndarray, y: np.ndarray, periods: np.ndarray) -> np.ndarray:
     """As ``block_power``, to some 1e-12, from sums sampled evenly in frequency and taken between the samples.
 
-    A sample's sine is a product of two of fewer frequencies, so samples are a product of two small matrices. Where
-    the baseline has more turns than samples pay for, and where the sine's own sum nearly cancels, sums are plain.
+    Samples are two a turn of the baseline and come from one fast transform each. Where the baseline has more turns than
+    samples pay for, and where the sine's own sum nearly cancels, sums are plain.
     """
-    step = 1 / (OVER * np.ptp(t))
+    span = np.ptp(t)
+    step = 1 / (OVER * span)
     at, n = 1 / (periods * step), len(t)
     plain, out = np.ones(len(periods), bool), np.empty(len(periods))
     if 2 * at.max() <= 64 * len(periods):
-        last = int(2 * at.max()) + TAPS
-        inner = math.isqrt(last) + 1
-        outer, half = last // inner + 1, (int(at.max()) + TAPS) // inner + 1
-        ones, values = np.zeros((outer, inner), complex), np.zeros((half, inner), complex)
-        turn = (t - (t.min() + t.max()) / 2) * step
-        for k in range(0, n, 2048):
-            x = turn[k : k + 2048]
-            near, far = (np.cumprod(np.vstack([np.ones(len(x)), np.broadcast_to(np.exp(2j * np.pi * w * x), (m - 1, len(x)))]), 0) for w, m in ((1, inner), (inner, outer)))
-            far /= np.i0(np.sqrt(np.maximum(SHAPE_OF_KERNEL**2 - (np.pi * TAPS * x) ** 2, 0))) * np.pi * TAPS / 2
-            ones += far @ near.T
-            values += (far[:half] * y[k : k + 2048]) @ near.T
-        double = _sampled(ones.ravel(), 2 * at)
-        level = _sampled(values.ravel(), at) * np.exp(-0.5j * np.angle(double))
+        x = (t - (t.min() + t.max()) / 2) * step
+        level = 1 / (np.i0(np.sqrt(np.maximum(SHAPE_OF_KERNEL**2 - (np.pi * TAPS * x) ** 2, 0))) * np.pi * TAPS / 2)
+        ones, values = (_samples(t - t.min(), w, step, int(most) + TAPS) for w, most in ((level, 2 * at.max()), (level * y, at.max())))
+        double = _sampled(ones, 2 * at)
+        level = _sampled(values, at) * np.exp(-0.5j * np.angle(double))
         even = np.abs(double)
         plain = n - even < 1e-6 * n
         with np.errstate(all="ignore"):

@@ -432,3 +432,13 @@ def test_points_of_models_and_dips_are_dealt_once(spark, points):
     again = lambda plan: {x.split("[", 1)[1].count("#") for x in plan if "ReusedExchange [" in x}
     assert len([x for x in dealt(models) if "ReusedExchange" not in x]) == 1
     assert len([x for x in dips if "ReusedExchange [" in x]) == 5 and len(again(dips)) == 1  # readers of other columns would not share
+
+
+def test_samples_of_long_baselines_come_from_a_transform(monkeypatch):
+    """Two transforms give all samples, and the power is that of plain sums."""
+    r = np.random.default_rng(6)
+    t, y = np.sort(r.uniform(58000, 60500, 300)), r.normal(0, 1, 300)
+    periods = np.geomspace(0.5, 200, 700)
+    plain, asked = np.fft.ifft, []
+    monkeypatch.setattr(np.fft, "ifft", lambda x, *a, **k: asked.append(np.size(x)) or plain(x, *a, **k))
+    assert P.power(t, y, periods) == pytest.approx(P.block_power(t - t[0], y, periods), rel=1e-8, abs=1e-11) and len(asked) == 2
