@@ -24,7 +24,7 @@ from chronofold.operators.graph import cut_lineage
 #: Rows of a block on either side, on average, and pivots at most (their vectors go to every task).
 BLOCK, MOST_PIVOTS = 2048, 1024
 #: Cells that the second round takes as one, so that a row is sent to fewer tasks, and distances held at once.
-TOGETHER, CELLS = 8, 1 << 20
+TOGETHER, CELLS = 8, 1 << 17
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -41,6 +41,29 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0)
 
 
+def _rough(x: np.ndarray, y: np.ndarray) -> tuple:
+    """Two matrices whose product is the squared distances, in single precision where that can hold them, and by how much each row's are off at most.
+
+    Rows are taken about their middle. A sum of d + 2 products is off by (d + 5) u of their sizes' sum, which is 2 (x x + y y) at most; u is 2**-24.
+    """
+    known = np.isfinite(y).all(1)
+    middle = y[known].mean(0) if known.any() else 0.0
+    x, y = x - middle, y - middle
+    xx, yy = (x**2).sum(1), (y**2).sum(1)
+    long_, one = xx + yy[known].max(initial=0.0), lambda v: np.ones(len(v))
+    single = 0 < np.fmax.reduce(long_) < 1e30
+    pair = (np.column_stack(c).astype(np.float32 if single else float) for c in ([x, xx, one(x)], [-2 * y, one(y), yy]))
+    return *pair, (2 * (x.shape[1] + 16) * 2.0**-24 * long_ + 1e-30 if single else 1e-9 * (1 + long_))
+
+
+def _kth(rough: np.ndarray, k: int) -> np.ndarray:
+    """At least the ``k``-th smallest of each row, from 0: that of the smallest of some columns each, where there are many."""
+    length = rough.shape[1] // (16 * (k + 1))
+    if length > 1:
+        rough = rough[:, : rough.shape[1] // length * length].reshape(len(rough), length, rough.shape[1] // length).min(1)
+    return np.partition(rough, k, axis=1)[:, k]
+
+
 def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Ids and their places in the order of ids, nulls last."""
     ids = np.array(column.to_pylist(), dtype=object)
@@ -66,14 +89,17 @@ def _pair(k: int, metric: str, kind: pa.DataType):
             x, y = _unit(x), _unit(y)
         out = ([], [], [])
         size = max(16, CELLS // len(y))
+        near_x, near_y, slack = _rough(x, y)
         for s in range(0, len(x), size):
-            part = x[s : s + size]
-            rough = _squared(part, y)
-            edge = reach[s : s + size].copy()
-            many = np.flatnonzero((rough <= edge[:, None]).sum(1) > 4 * k) if len(y) > k + 1 else ()
-            if len(many):
-                edge[many] = np.minimum(edge[many], np.partition(rough[many], k, axis=1)[:, k])
-            rows, near = np.nonzero(rough <= (edge + 1e-9 * (1 + edge))[:, None])
+            part, off = x[s : s + size], slack[s : s + size]
+            rough = near_x[s : s + size] @ near_y.T
+            edge = reach[s : s + size] + off
+            if len(y) > k + 1:
+                many = np.flatnonzero(np.isinf(edge) if np.isinf(edge).all() else np.count_nonzero(rough <= edge[:, None], axis=1) > 4 * k)
+                edge[many] = np.minimum(edge[many], _kth(rough if len(many) == len(rough) else rough[many], k) + 2 * off[many])
+            edge += 1e-9 * (1 + edge)
+            within = rough <= (edge * (1 + 2.0**-22)).astype(rough.dtype)[:, None]
+            rows, near = np.divmod(np.flatnonzero(within), len(y))
             other = (ri[near] != li[s + rows]) & (cell[near] != own[s + rows])
             rows, near = rows[other], near[other]
             d = np.empty(len(rows))

@@ -1,8 +1,10 @@
 """Neighbours by cells against all distances."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from chronofold.operators import neighbours as N
 from chronofold.operators.neighbours import nearest
 
 
@@ -56,3 +58,29 @@ def test_neighbours_are_found_once_and_few_rows_are_sent(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     assert all([int(n[1:]) for _, n in sorted(got[f"s{i}"])] == np.argsort(d[i])[:5].tolist() for i in range(1500))
     assert sent.value < 1500 * 20
+
+
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e6, 1.0), (0.0, 1e20), (0.0, 0.0)])
+def test_rough_distances_lose_no_neighbour(shift, scale):
+    """In single precision or not, far from the origin, with near ties and a row without numbers, a block's nearest are those of all distances."""
+    r = np.random.default_rng(3)
+    x = r.normal(0, 1, (900, 24))
+    x[300:600] = x[:300] + r.normal(0, 1e-9, (300, 24))
+    x = x * scale + shift
+    x[7] = np.nan
+    y, rows = x[:700], x[650:]
+    table = lambda v, first, **more: pa.table({"i": np.arange(first, first + len(v)), "v": pa.array(v.tolist(), pa.list_(pa.float64())), **more})
+    near, far, slack = N._rough(rows, y)
+    assert (near.dtype == np.float32) == (0 < scale < 1e10)
+    assert np.nanmax(np.abs((near @ far.T).astype(float) - ((rows[:, None] - y) ** 2).sum(2)) / slack[:, None]) <= 1
+    got = N._pair(5, "euclidean", pa.int64())(table(rows, 650, reach=np.full(len(rows), np.inf), own=np.full(len(rows), -1)), table(y, 0, c=np.zeros(len(y), int)))
+    d = np.sqrt(((y - rows[:, None]) ** 2).sum(2))
+    d[np.arange(50), np.arange(650, 700)] = np.inf
+    d[:, 7] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert got.column("neighbour").to_numpy().reshape(-1, 5).tolist() == want.tolist()
+    values = r.uniform(0, 1, (40, 3000)).astype(np.float32)
+    assert (N._kth(values, 5) >= np.sort(values, axis=1)[:, 5]).all() and len(N._kth(values[:0], 5)) == 0
+    reach = d[:, 2] ** 2  # two or three are within it
+    got = N._pair(5, "euclidean", pa.int64())(table(rows, 650, reach=reach, own=np.full(len(rows), -1)), table(y, 0, c=np.zeros(len(y), int)))
+    assert set(zip(got.column("query").to_pylist(), got.column("neighbour").to_pylist())) >= {(650 + i, int(n)) for i in range(len(rows)) for n in want[i, :2]}
